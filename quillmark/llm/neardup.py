@@ -1,0 +1,329 @@
+"""Near-duplicate detection by b-bit MinHash, confirmed on the full shingle sets.
+
+1.  Every text becomes its set of word shingles, ``perms`` minima, ``bands``
+    band keys and a signature of the low ``bits`` bits of each minimum.
+2.  Texts with equal sets form one class; only its least id goes on.
+3.  Classes that share a band key are candidates.  Their connected components
+    are the areas in which links can lie.
+4.  Inside an area all signatures are compared by bit counts, corrected for
+    chance collisions; pairs whose estimate is at most six deviations below
+    the threshold are confirmed by exact set sizes.  A union-find skips pairs
+    that are connected already, so a group of many copies costs one confirmed
+    link for each text, and only those links leave the task.
+5.  Areas of more than ``block`` classes are cut into blocks.  First every
+    block meets block 0; then all classes outside the area's largest
+    component meet every block.  That is exact: two classes that both belong
+    to the largest component need no link.
+
+With 32 bands of 5 a pair at similarity 0.85 lacks a common band with
+probability 7e-9, at 0.8 with 3e-6.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from quillmark.llm import kernels as K
+from quillmark.llm.components import components
+from quillmark.llm.store import bound_batches, materialize
+
+_U32 = np.uint32
+
+
+class MinHash:
+    """Minima, band keys and b-bit signatures of many sets at once."""
+
+    def __init__(self, bands: int = 32, rows: int = 5, bits: int = 2, seed: int = 11) -> None:
+        rng = np.random.default_rng(seed)
+        self.bands, self.rows, self.bits = bands, rows, bits
+        self.n = bands * rows
+        self.mask = rng.integers(0, 2**32, self.n, dtype=np.uint32)
+        self.mult = rng.integers(0, 2**32, self.n, dtype=np.uint32) | _U32(1)
+        self.words = -(-self.n * bits // 64)
+
+    def minima(self, values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """uint32, sets x perms; every set must have a member."""
+        sizes = np.diff(begin)
+        out = np.empty((len(sizes), self.n), np.uint32)
+        small = (values >> K.U64(32)).astype(np.uint32)
+        for i, j in K.slabs(sizes, 32_768):
+            part, at = small[begin[i] : begin[j]], begin[i:j] - begin[i]
+            for p in range(self.n):
+                out[i:j, p] = np.minimum.reduceat((part ^ self.mask[p]) * self.mult[p], at)
+        return out
+
+    def keys(self, minima: np.ndarray) -> np.ndarray:
+        """int64, sets x bands; the number of the band is part of its key."""
+        m = minima.astype(np.uint64).reshape(len(minima), self.bands, self.rows)
+        key = np.broadcast_to(np.arange(1, self.bands + 1, dtype=np.uint64), m.shape[:2]).copy()
+        for r in range(self.rows):
+            key = K.mix(key * K.U64(0x9E3779B97F4A7C15) + m[:, :, r])
+        return key.view(np.int64)
+
+    def signatures(self, minima: np.ndarray) -> np.ndarray:
+        """uint64, sets x words: the low bits of each minimum, packed."""
+        low = (K.mix(minima.astype(np.uint64)) & K.U64((1 << self.bits) - 1)).astype(np.uint64)
+        out = np.zeros((len(minima), self.words), np.uint64)
+        each = 64 // self.bits
+        for p in range(self.n):
+            out[:, p // each] |= low[:, p] << K.U64(self.bits * (p % each))
+        return out
+
+    def estimate(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Similarity of all pairs of two signature arrays, corrected for chance collisions."""
+        each = 64 // self.bits
+        field = sum(1 << (self.bits * i) for i in range(each))
+        differ = np.zeros((len(a), len(b)), np.int64)
+        for w in range(self.words):
+            x = a[:, None, w] ^ b[None, :, w]
+            for s in range(1, self.bits):
+                x = x | (x >> K.U64(s))  # the lowest bit of a field gathers all its bits
+            differ += np.bitwise_count(x & K.U64(field))
+        chance = 0.5**self.bits
+        return ((1 - differ / self.n) - chance) / (1 - chance)
+
+    def floor(self, threshold: float) -> float:
+        """Six deviations of the estimate below the threshold."""
+        chance = 0.5**self.bits
+        p = threshold + (1 - threshold) * chance
+        return threshold - 6 * math.sqrt(p * (1 - p) / self.n) / (1 - chance)
+
+
+class Forest:
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        path = []
+        while (y := self.up.get(x, x)) != x:
+            path.append(x)
+            x = y
+        for p in path:
+            self.up[p] = x
+        return x
+
+    def link(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, of sorted distinct values."""
+    if len(a) > len(b):
+        a, b = b, a
+    if 100 * len(a) < percent * len(b):
+        return False
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    both = int((b[at] == a).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+Block = tuple[np.ndarray, list[np.ndarray], np.ndarray]  # ids, sets, signatures
+
+
+def links_between(hasher: MinHash, left: Block, right: Block, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the confirmed links between two blocks (or inside one)."""
+    forest, out = Forest(), []
+    same = left is right
+    estimate = hasher.estimate(left[2], right[2])
+    i, j = np.nonzero(estimate >= hasher.floor(percent / 100))
+    keep = i < j if same else left[0][i] != right[0][j]
+    i, j = i[keep], j[keep]
+    order = np.argsort(-estimate[i, j], kind="stable")
+    for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        a, b = int(left[0][x]), int(right[0][y])
+        if forest.find(a) != forest.find(b) and alike(left[1][x], right[1][y], percent):
+            forest.link(a, b)
+            out.append((min(a, b), max(a, b)))
+    return out
+
+
+def _sets(column: pa.Array, k: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct shingles of each text, and their numbers."""
+    words, first = K.hashed(column, K.BLANK)
+    values, begin = K.shingles(words, first, k)
+    sets = [K.unique_sorted(values[begin[i] : begin[i + 1]]) for i in range(len(column))]
+    return sets, np.fromiter(map(len, sets), np.int64, len(sets))
+
+
+def _sketch(hasher: MinHash, sets: list[np.ndarray], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the non-empty sets, their band keys and signatures."""
+    some = np.flatnonzero(sizes)
+    if not len(some):
+        return some, np.zeros((0, hasher.bands), np.int64), np.zeros((0, hasher.words), np.uint64)
+    minima = hasher.minima(np.concatenate([sets[i] for i in some]), np.concatenate([[0], np.cumsum(sizes[some])]))
+    return some, hasher.keys(minima), hasher.signatures(minima)
+
+
+def _lists(rows: list[bytes]) -> pa.Array:
+    return pa.array(rows, pa.binary())
+
+
+def near_duplicates(docs: DataFrame, doc_id: Column, text: Column, words: int = 5, percent: int = 80, block: int = 256, broadcast_ids: int = 2_000_000) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row.
+
+    Words are what blanks separate, A-Z read as a-z.  A text with fewer words
+    than a shingle has its whole sequence as one; null, empty and blank texts
+    have no shingle and stay alone.  component_id is the least doc_id that
+    links reach; kept marks that document.  Rows with a null doc_id take no
+    part: their component_id is null and they are kept.  Rows with the same
+    doc_id count as one document, of which the links of all rows hold.
+    """
+    spark = docs.sparkSession
+    bound_batches(spark, 8)
+    hasher = MinHash()
+    rows = docs.select(doc_id.cast("long").alias("doc_id"), text.alias("text"))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets, sizes = _sets(batch.column(1), words)
+            some, keys, _ = _sketch(hasher, sets, sizes)
+            with np.errstate(over="ignore"):
+                one = np.array([s.sum() ^ K.U64(len(s)) for s in sets], np.uint64).view(np.int64)
+                two = np.array([K.mix(s).sum() for s in sets], np.uint64).view(np.int64)
+            bands: list = [None] * len(sets)
+            for i, k in zip(some.tolist(), keys, strict=True):
+                bands[i] = k.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(one), pa.array(two), _lists(bands)], ["doc_id", "n_shingles", "k1", "k2", "bands"])
+
+    sketches = materialize(rows.mapInArrow(sketch, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, bands binary"), "sketches")
+    classes = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"))
+    classes = materialize(classes, "classes")
+    found = _class_components(rows, sketches, classes, hasher, words, percent, block, broadcast_ids)
+    named = materialize(classes.join(found, "class_id", "left").select("k1", "k2", F.coalesce("component_id", "class_id").alias("component_id")), "named")
+    # an empty text has no class: a key of its own keeps such rows apart
+    empty = F.col("n_shingles") == 0
+    keyed = sketches.select("doc_id", "n_shingles", F.when(empty, F.xxhash64("doc_id")).otherwise(F.col("k1")).alias("k1"), F.when(empty, F.lit(None).cast("long")).otherwise(F.col("k2")).alias("k2"))
+    out = keyed.join(named, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
+
+
+def _class_components(rows: DataFrame, sketches: DataFrame, classes: DataFrame, hasher: MinHash, words: int, percent: int, block: int, broadcast_ids: int) -> DataFrame:
+    """(class_id, component_id) of all classes that could have a link."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), hasher.bands)), pa.array(keys)], ["class_id", "band"]) if n else pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64())], ["class_id", "band"])
+
+    first = sketches.where("n_shingles > 0").select(F.col("doc_id").alias("class_id"), "bands").join(classes.select("class_id"), "class_id", "left_semi")
+    bands = materialize(first.mapInArrow(explode, "class_id bigint, band bigint"), "bands")
+    heads = materialize(bands.groupBy("band").agg(F.min("class_id").alias("a"), F.max("class_id").alias("z")).where("a != z").select("band", "a"), "heads")
+    areas = components(bands.join(heads, "band").where("a != class_id").select("a", F.col("class_id").alias("b")).distinct())
+    areas = materialize(areas.select(F.col("node").alias("class_id"), F.col("component").alias("area")), "areas")
+    sizes = materialize(areas.groupBy("area").agg(F.ceil(F.count("*") / block).alias("blocks")), "sizes")
+
+    # whole sets, of candidates only; at most broadcast_ids ids are broadcast, more are joined by a shuffle
+    placed = areas.join(sizes, "area").select(F.col("class_id").alias("doc_id"), "area", "blocks", F.pmod(F.xxhash64("class_id"), F.col("blocks")).alias("block"))
+    placed = materialize(placed, "placed")
+    n = placed.count()
+    cand = rows.join(F.broadcast(placed) if n <= broadcast_ids else placed, "doc_id")
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets, size = _sets(batch.column(1), words)
+            some, _, signatures = _sketch(hasher, sets, size)
+            at = pa.array(some)
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(at) for i in (0, 2, 3, 4)] + [_lists([sets[i].tobytes() for i in some]), _lists([s.tobytes() for s in signatures])], ["id", "area", "blocks", "block", "members", "signature"])
+
+    schema = "id bigint, area bigint, blocks bigint, block bigint, members binary, signature binary"
+    sets = cand.select("doc_id", "text", "area", "blocks", "block").mapInArrow(members, schema)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, Block]]:
+        """(area, blocks, block, members) from rows sorted by area and block."""
+        key, ids, each, sigs = None, [], [], []
+        for batch in batches:
+            cols = [batch.column(i).to_pylist() for i in range(6)]
+            for id_, area, blocks, number, members_, sig in zip(*cols, strict=True):
+                if (area, blocks, number) != key:
+                    if key:
+                        yield *key, (np.array(ids, np.int64), each, np.array(sigs))
+                    key, ids, each, sigs = (area, blocks, number), [], [], []
+                ids.append(id_)
+                each.append(np.frombuffer(members_, np.uint64))
+                sigs.append(np.frombuffer(sig, np.uint64))
+        if key:
+            yield *key, (np.array(ids, np.int64), each, np.array(sigs))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Areas of one block give links at once; blocks of the others go on as one row each."""
+        for area, blocks, number, part in packed(batches):
+            found = links_between(hasher, part, part, percent) if blocks == 1 or number == 0 else []
+            a, b = ([x[0] for x in found], [x[1] for x in found])
+            rest = None if blocks == 1 else _dump(part)
+            yield pa.RecordBatch.from_arrays([pa.array([area]), pa.array([number]), pa.array([a], pa.list_(pa.int64())), pa.array([b], pa.list_(pa.int64())), pa.array([rest], pa.binary())], ["area", "block", "a", "b", "data"])
+
+    # a block is about ``block`` rows: every key is small
+    solved = sets.repartition("area", "block").sortWithinPartitions("area", "block").mapInArrow(solve, "area bigint, block bigint, a array<bigint>, b array<bigint>, data binary")
+    solved = materialize(solved, "solved")
+    links = solved.select(F.explode(F.arrays_zip("a", "b")).alias("e")).select("e.a", "e.b")
+    big = solved.where(F.col("data").isNotNull()).select("area", "block", "data")
+    if not big.isEmpty():
+        links = links.unionByName(_between_blocks(big, links, areas, hasher, percent, block))
+    found = components(links)
+    return found.select(F.col("node").alias("class_id"), F.col("component").alias("component_id"))
+
+
+def _dump(part: Block) -> bytes:
+    ids, sets, sigs = part
+    head = np.array([len(ids), sigs.shape[1] if len(ids) else 0], np.int64)
+    return b"".join([head.tobytes(), ids.tobytes(), np.array([len(s) for s in sets], np.int64).tobytes(), np.ascontiguousarray(sigs).tobytes(), *(s.tobytes() for s in sets)])
+
+
+def _load(data: bytes) -> Block:
+    n, words = np.frombuffer(data, np.int64, 2)
+    ids = np.frombuffer(data, np.int64, n, 16)
+    sizes = np.frombuffer(data, np.int64, n, 16 + 8 * n)
+    sigs = np.frombuffer(data, np.uint64, n * words, 16 + 16 * n).reshape(n, words)
+    flat = np.frombuffer(data, np.uint64, int(sizes.sum()), 16 + 16 * n + 8 * n * words)
+    return ids, np.split(flat, np.cumsum(sizes)[:-1]), sigs
+
+
+def _pick(part: Block, ids: set[int]) -> Block:
+    at = [i for i, x in enumerate(part[0].tolist()) if x in ids]
+    return part[0][at], [part[1][i] for i in at], part[2][at]
+
+
+def _between_blocks(big: DataFrame, links: DataFrame, areas: DataFrame, hasher: MinHash, percent: int, block: int) -> DataFrame:
+    """Links between the blocks of large areas, as steps 4 and 5 above say."""
+    pair = "a bigint, b bigint"
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                left, right = _load(x), _load(y)
+                if ids is not None:
+                    left = _pick(left, set(ids))
+                found = links_between(hasher, left, right, percent)
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
+
+    def joined(jobs: DataFrame) -> DataFrame:
+        left = jobs.join(big.select("area", F.col("block").alias("i"), F.col("data").alias("x")), ["area", "i"])
+        both = left.join(big.select("area", F.col("block").alias("j"), F.col("data").alias("y")), ["area", "j"])
+        return both.select("x", "y", "ids").mapInArrow(meet, pair)
+
+    none = F.lit(None).cast("array<bigint>").alias("ids")
+    spread = materialize(joined(big.where("block > 0").select("area", F.lit(0).cast("long").alias("i"), F.col("block").alias("j"), none)), "spread")
+    large = big.select("area").distinct()
+    inside = areas.join(F.broadcast(large), "area", "left_semi") if large.count() <= 100_000 else areas.join(large, "area", "left_semi")
+    blocks = big.groupBy("area").agg(F.count("*").alias("blocks"))
+    found = components(links.unionByName(spread)).select(F.col("node").alias("class_id"), "component")
+    state = inside.join(found, "class_id", "left").select("area", "class_id", F.coalesce("component", "class_id").alias("component"))
+    state = materialize(state, "state")
+    most = state.groupBy("area", "component").count().groupBy("area").agg(F.max_by("component", F.struct("count", "component")).alias("most"))
+    rest = state.join(materialize(most, "most"), "area").where("component != most")
+    rest = rest.join(blocks, "area").select("area", "class_id", F.pmod(F.xxhash64("class_id"), F.col("blocks")).alias("i"), "blocks")
+    # as many ids as a block has at most, so the list of a job is bounded
+    jobs = rest.groupBy("area", "i", "blocks").agg(F.collect_list("class_id").alias("ids"))
+    jobs = materialize(jobs.select("area", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"), "ids"), "jobs")
+    return materialize(spread.unionByName(joined(jobs.select("area", "i", "j", "ids"))), "between")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import decontam, langid, packing
+from quillmark.llm import decontam, langid, neardup, packing, suffix
 from quillmark.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,19 @@ def op5_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(docs, F.col("doc_id"), F.col("text"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op3_suffix_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = remainder(F.col("doc_id"), 7) == 2
+    tree, counts, buckets = suffix.fit(docs.where(~held), F.col("text"))
+    out = suffix.score(docs.select("doc_id", held.alias("held_out"), "text"), F.col("text"), ["doc_id", "held_out"], tree, counts, buckets)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tree.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def op6_bbit_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return neardup.near_duplicates(docs, F.col("doc_id"), F.col("text"), words=3, percent=85)
+
+
 def op9_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = remainder(F.col("doc_id"), 4) == 2
@@ -39,11 +52,29 @@ def op10_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_power_of_two_packing, op9_hyperdimensional_langid, op10_winnowing_decontamination)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_suffix_tree_scoring, op5_power_of_two_packing, op6_bbit_minhash_neardup, op9_hyperdimensional_langid, op10_winnowing_decontamination)}
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_bbit_minhash_neardup": rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+  WHERE 100 * k >= 85 * (na.n + nb.n - k)),
+r(doc_id, seen) AS (
+  SELECT doc_id, doc_id FROM d
+  UNION
+  SELECT r.doc_id, e.b FROM r JOIN e ON r.seen = e.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, d.doc_id = c AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(seen) AS c FROM r GROUP BY doc_id) USING (doc_id)
+""",
     "op10_winnowing_decontamination": rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id,
