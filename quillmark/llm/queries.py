@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import decontam, langid, neardup, packing, suffix
+from quillmark.llm import decontam, langid, neardup, packing, quality, suffix, topk, urls
 from quillmark.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,11 @@ def remainder(key: Column, n: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % n, F.lit(0))
 
 
+def op4_norm_bucketed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, F.col("vec_id"), F.col("embedding"), F.col("vec_id") % 20 == 0)
+
+
 def op5_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -25,6 +30,25 @@ def op5_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(docs, F.col("doc_id"), F.col("text"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+#: Rules of the registered url query.
+URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+
+
+def op1_host_segmentation_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    words = urls.lexicon(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1), pages)
+    out = urls.judge(pages, F.col("url"), ["page_id"], URL_RULES, words)
+    return out.select("page_id", "host", "path", "rule", "verdict", F.array_join("tokens", " ").alias("words"), "block_odds")
+
+
+def op2_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learned = labels.where(remainder(F.col("doc_id"), 4) != 2)
+    model = quality.fit(docs, F.col("doc_id"), F.col("text"), learned, F.col("doc_id"), F.col("quality"))
+    rows = docs.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "text")
+    return quality.classify(rows, F.col("text"), ["doc_id", "held_out"], model)
+
+
 def op3_suffix_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = remainder(F.col("doc_id"), 7) == 2
@@ -52,11 +76,22 @@ def op10_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_suffix_tree_scoring, op5_power_of_two_packing, op6_bbit_minhash_neardup, op9_hyperdimensional_langid, op10_winnowing_decontamination)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_host_segmentation_filter, op2_rule_ensemble_quality, op3_suffix_tree_scoring, op4_norm_bucketed_topk, op5_power_of_two_packing, op6_bbit_minhash_neardup, op9_hyperdimensional_langid, op10_winnowing_decontamination)}
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_norm_bucketed_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+""",
     "op6_bbit_minhash_neardup": rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x20\x09-\x0D]+') AS w FROM documents),

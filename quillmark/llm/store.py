@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillmark.session import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset."""
@@ -30,7 +32,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession, mb: int = 16) -> None:
-    """Keep Arrow batches small in bytes, so that very long texts do not pile up in one batch."""
+    """Make the session fit for Python stages.
+
+    Executors get this package, and Arrow batches stay small in bytes, so that
+    very long texts do not pile up in one batch.
+    """
+    ship(spark)
     for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20), ("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)):
         now = int(spark.conf.get(key).rstrip("b"))
         if not 0 < now <= most:
