@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm import kernels as K
-from quillmark.llm.store import bound_batches, materialize
+from quillmark.llm.store import apart, bound_batches, materialize
 
 K_WORDS = 5
 _SPAN = "n long, hash long"
@@ -110,6 +110,7 @@ def scan(docs: DataFrame, text: Column, bench: DataFrame, item_id: Column, item_
     hold any columns, also null or repeated ones: each row is judged alone.
     """
     spark = docs.sparkSession
+    keep = apart(keep, ["n_words", "n_hit", "n_items", "items"])
     bound_batches(spark, 8)
     wins = materialize(windows(bench, item_id, item_text, window), "windows")
     rows = docs.select(*[F.col(c) for c in keep], text.alias("__text"))

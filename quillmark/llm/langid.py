@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.store import bound_batches
+from quillmark.llm.store import apart, bound_batches
 
 LETTERS = 40
 UNDETERMINED = "und"
@@ -149,8 +149,10 @@ def identify(docs: DataFrame, text: Column, profiles: dict[str, np.ndarray], kee
 
     Null texts, texts without any letter and, if no language was learned, all
     texts get ``und`` and 0.  Ties go to the language that sorts first.
-    Rows are only mapped: no shuffle.  Other columns may have any name.
+    Rows are only mapped: no shuffle.  A kept column with the name of an output
+    gives way to it.
     """
+    keep = apart(keep, ["lang_pred", "score"])
     names = list(profiles)
     matrix = np.array([profiles[n] for n in names]).T.reshape(dims, len(names))
     bound = docs.sparkSession.sparkContext.broadcast((names, matrix))

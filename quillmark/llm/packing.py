@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quillmark.llm.store import bound_batches
 
-_CHUNKS, _PIECES = 300_000, 500_000  # entries that the caches may hold
+_CHUNKS, _PIECES = 600_000, 600_000  # entries that the caches may hold
 _ODD = regex.compile("[\x1c-\x1f]")  # str.split() splits here, tokenizers do not
 _PLAIN = regex.compile("[\x21-\x7e\xa1-\xac\xae-įĲ-ɏ]+")  # stable under NFC, lower case by character
 
@@ -79,27 +79,31 @@ class WordBpe:
         for m in model["merges"]:
             ranks.setdefault(raw("".join(m if isinstance(m, list) else m.split(" "))), len(ranks))
         ids = {raw(t): i for t, i in model["vocab"].items() if t not in self.special}
-        self.id_of = np.full(len(ranks) + 1, -1, np.int64)
+        self.id_of = np.full(len(ranks) + 1, -1, np.int32)
         for t, k in ranks.items():
             self.id_of[k] = ids.get(t, -1)
         self.merge = _tiktoken.CoreBPE(ranks, {}, "(?s).+").encode_single_piece
 
     def reset(self) -> None:
-        self.chunks, self.pieces = _Table(), {}
+        self.chunks: _Table = _Table()
+        self.pieces: dict[str, bytes] = {}
         self.flat, self.begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def _new(self, chunk: str) -> list[int]:
-        if not _PLAIN.fullmatch(chunk) or any(s in chunk for s in self.special):
-            return self.full.encode(chunk, add_special_tokens=False).ids
-        out: list[int] = []
-        for word in self.words.findall(chunk.lower()):
-            ids = self.pieces.get(word)
-            if ids is None:
-                if len(self.pieces) >= _PIECES:
-                    self.pieces.clear()
-                ids = self.pieces[word] = self.id_of[self.merge(word.encode() + b"\xff")].tolist()
-            out += ids
-        return out
+    def _new(self, chunk: str) -> bytes:
+        """Ids of a chunk that isn't in the cache, as int32."""
+        if not _PLAIN.fullmatch(chunk) or ("<" in chunk and any(s in chunk for s in self.special)):
+            return np.array(self.full.encode(chunk, add_special_tokens=False).ids, np.int32).tobytes()
+        words = self.words.findall(chunk.lower())
+        try:
+            return b"".join([self.pieces[w] for w in words])
+        except KeyError:
+            pass
+        if len(self.pieces) >= _PIECES:
+            self.pieces.clear()
+        for w in words:
+            if w not in self.pieces:
+                self.pieces[w] = self.id_of[self.merge(w.encode() + b"\xff")].tobytes()
+        return b"".join([self.pieces[w] for w in words])
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, ``end`` after each, and where each text's begin (n + 1 values)."""
@@ -117,8 +121,8 @@ class WordBpe:
         if self.chunks.new:
             fresh = [self._new(c) for c in self.chunks.new]
             self.chunks.new.clear()
-            sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
-            self.flat = np.concatenate([self.flat, np.fromiter((x for f in fresh for x in f), np.int32, int(sizes.sum()))])
+            sizes = np.fromiter(map(len, fresh), np.int64, len(fresh)) // 4
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(fresh), np.int32)])
             self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
         size = np.diff(self.begin)
         out = []

@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.llm.store import apart
+
 Bound = tuple[str, bool, float]  # statistic, above (else at most), value
 
 
@@ -183,6 +185,7 @@ def classify(docs: DataFrame, text: Column, keep: list[str], model: RuleModel, t
 
     Null and empty texts are scored like any other.  ``keep`` may hold any columns.
     """
+    keep = apart(keep, ["score", "predicted"])
     stats = docs.select(*[F.col(c) for c in keep], *[c.cast("double").alias(f"__{n}") for n, c in statistics(text).items()])
     score = 1 / (1 + F.exp(-model.logit({n: F.col(f"__{n}") for n in STATISTICS})))
     scored = stats.select(*[F.col(c) for c in keep], score.alias("score"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import decontam, langid, neardup, packing, quality, suffix, topk, urls
+from quillmark.llm import chat, decontam, langid, neardup, packing, quality, suffix, topk, urls, warc
 from quillmark.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,24 @@ def op6_bbit_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(docs, F.col("doc_id"), F.col("text"), words=3, percent=85)
 
 
+def op7_token_level_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    text = "\\### Assistant: </turn> ok"
+    planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    chats = chat.format_chats(rows, F.col("conv_id"), F.col("turn"), F.col("role"), F.col("text"), path, pattern)
+    return chat.digests(chats, path, pattern)
+
+
+def op8_zip_warc_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    manifest = warc.write_archives(pages, F.col("page_id"), F.col("url"), payload, warc.archive_folder(pages))
+    return warc.read_archives(manifest, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = remainder(F.col("doc_id"), 4) == 2
@@ -76,11 +94,20 @@ def op10_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_host_segmentation_filter, op2_rule_ensemble_quality, op3_suffix_tree_scoring, op4_norm_bucketed_topk, op5_power_of_two_packing, op6_bbit_minhash_neardup, op9_hyperdimensional_langid, op10_winnowing_decontamination)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_host_segmentation_filter, op2_rule_ensemble_quality, op3_suffix_tree_scoring, op4_norm_bucketed_topk, op5_power_of_two_packing, op6_bbit_minhash_neardup, op7_token_level_chat, op8_zip_warc_reader, op9_hyperdimensional_langid, op10_winnowing_decontamination)}
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_zip_warc_reader": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+s AS (SELECT page_id, octet_length(b) AS payload_bytes, sha256(b) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM s)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM f
+""",
     "op4_norm_bucketed_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings

@@ -16,7 +16,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not got:
         got = "file://" + tempfile.mkdtemp(prefix="quillmark-")
         spark.sparkContext.setCheckpointDir(got)
-    return got.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(got)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(path).toString().rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -46,3 +48,9 @@ def bound_batches(spark: SparkSession, mb: int = 16) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def apart(keep: list[str], outputs: list[str]) -> list[str]:
+    """The kept columns without those that an output column of the same name replaces."""
+    taken = {c.lower() for c in outputs}
+    return [c for c in keep if c.lower() not in taken]

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm import kernels as K
-from quillmark.llm.store import bound_batches, materialize
+from quillmark.llm.store import apart, bound_batches, materialize
 
 RARE, END, START = 0, 1, 2  # symbols; words are numbered from 3 on
 _END_HASH = K.U64(0x5EED0FE4D0000001)
@@ -332,6 +332,7 @@ def score(docs: DataFrame, text: Column, keep: list[str], tree: Tree, table: Dat
     ``keep`` may hold any columns, also null or repeated ones.
     """
     spark = docs.sparkSession
+    keep = apart(keep, ["n_tokens", "n_known", "base_score", "score"])
     bound_batches(spark, 8)
     rows = docs.select(*[F.col(c) for c in keep], text.alias("__text"))
     kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)

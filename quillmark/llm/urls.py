@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.store import bound_batches
+from quillmark.llm.store import apart, bound_batches
 
 CELLS = 1 << 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -152,6 +152,7 @@ def judge(pages: DataFrame, url: Column, keep: list[str], rules: list[Rule], wor
     word and get the verdict of the prior.  Ties are allowed.  Without weights
     the model is learned from the rows that a rule judges.  Rows are only mapped.
     """
+    keep = apart(keep, ["host", "path", "rule", "verdict", "tokens", "block_odds"])
     bound_batches(pages.sparkSession)
     rows = pages.select(*[F.col(c) for c in keep], url.alias("__url")).select(*[F.col(c) for c in keep], host(F.col("__url")).alias("__host"), path(F.col("__url")).alias("__path"))
     rule, verdict = match(F.col("__host"), F.col("__path"), rules)
