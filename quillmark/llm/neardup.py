@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm import kernels as K
-from quillmark.llm.components import components
+from quillmark.llm.components import Forest, components
 from quillmark.llm.store import bound_batches, materialize
 
 _U32 = np.uint32
@@ -95,26 +95,6 @@ class MinHash:
         return threshold - 6 * math.sqrt(p * (1 - p) / self.n) / (1 - chance)
 
 
-class Forest:
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        path = []
-        while (y := self.up.get(x, x)) != x:
-            path.append(x)
-            x = y
-        for p in path:
-            self.up[p] = x
-        return x
-
-    def link(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
 def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """100 * intersection >= percent * union, of sorted distinct values."""
     if len(a) > len(b):
@@ -196,10 +176,10 @@ def near_duplicates(docs: DataFrame, doc_id: Column, text: Column, words: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(one), pa.array(two), _lists(bands)], ["doc_id", "n_shingles", "k1", "k2", "bands"])
 
     sketches = materialize(rows.mapInArrow(sketch, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, bands binary"), "sketches")
-    classes = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"))
+    classes = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"), F.min_by("bands", "doc_id").alias("bands"))
     classes = materialize(classes, "classes")
-    found = _class_components(rows, sketches, classes, hasher, words, percent, block, broadcast_ids)
-    named = materialize(classes.join(found, "class_id", "left").select("k1", "k2", F.coalesce("component_id", "class_id").alias("component_id")), "named")
+    found = _class_components(rows, classes, hasher, words, percent, block, broadcast_ids)
+    named = materialize(classes.drop("bands").join(found, "class_id", "left").select("k1", "k2", F.coalesce("component_id", "class_id").alias("component_id")), "named")
     # an empty text has no class: a key of its own keeps such rows apart
     empty = F.col("n_shingles") == 0
     keyed = sketches.select("doc_id", "n_shingles", F.when(empty, F.xxhash64("doc_id")).otherwise(F.col("k1")).alias("k1"), F.when(empty, F.lit(None).cast("long")).otherwise(F.col("k2")).alias("k2"))
@@ -207,7 +187,7 @@ def near_duplicates(docs: DataFrame, doc_id: Column, text: Column, words: int =
     return out.withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
 
-def _class_components(rows: DataFrame, sketches: DataFrame, classes: DataFrame, hasher: MinHash, words: int, percent: int, block: int, broadcast_ids: int) -> DataFrame:
+def _class_components(rows: DataFrame, classes: DataFrame, hasher: MinHash, words: int, percent: int, block: int, broadcast_ids: int) -> DataFrame:
     """(class_id, component_id) of all classes that could have a link."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,11 +196,10 @@ def _class_components(rows: DataFrame, sketches: DataFrame, classes: DataFrame,
             keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), hasher.bands)), pa.array(keys)], ["class_id", "band"]) if n else pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64())], ["class_id", "band"])
 
-    first = sketches.where("n_shingles > 0").select(F.col("doc_id").alias("class_id"), "bands").join(classes.select("class_id"), "class_id", "left_semi")
-    bands = materialize(first.mapInArrow(explode, "class_id bigint, band bigint"), "bands")
+    bands = materialize(classes.select("class_id", "bands").mapInArrow(explode, "class_id bigint, band bigint"), "bands")
     heads = materialize(bands.groupBy("band").agg(F.min("class_id").alias("a"), F.max("class_id").alias("z")).where("a != z").select("band", "a"), "heads")
     areas = components(bands.join(heads, "band").where("a != class_id").select("a", F.col("class_id").alias("b")).distinct())
-    areas = materialize(areas.select(F.col("node").alias("class_id"), F.col("component").alias("area")), "areas")
+    areas = areas.select(F.col("node").alias("class_id"), F.col("component").alias("area"))
     sizes = materialize(areas.groupBy("area").agg(F.ceil(F.count("*") / block).alias("blocks")), "sizes")
 
     # whole sets, of candidates only; at most broadcast_ids ids are broadcast, more are joined by a shuffle
