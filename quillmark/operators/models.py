@@ -8,7 +8,6 @@ run in Arrow batches with one engine per Python worker.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from typing import Protocol
 
 import pandas as pd
@@ -33,6 +32,16 @@ class Engine(Protocol):
     def generate(self, prompts: list[str]) -> list[str]: ...
 
 
+_ENGINES: dict[tuple[str, str, str], Engine] = {}  # of this worker
+
+
+def _engine(make: Callable[[ModelConfig], Engine], config: ModelConfig) -> Engine:
+    key = (make.__module__, make.__qualname__, config.name)
+    if key not in _ENGINES:
+        _ENGINES[key] = make(config)
+    return _ENGINES[key]
+
+
 def chat_prompt(system: Column, user: Column) -> Column:
     """"role: content" lines, for models without a chat template; an empty system part is left out."""
     return F.concat(F.when(F.coalesce(system, F.lit("")) != "", F.concat(F.lit("system: "), system, F.lit("\n"))).otherwise(""), F.lit("user: "), user)
@@ -61,17 +70,14 @@ def rewrite_prompt(style: Column, x: Column) -> Column:
 def generator(make: Callable[[ModelConfig], Engine], config: ModelConfig = ModelConfig()) -> Callable[[Column], Column]:
     """A text column to the model's answers, ``batch_size`` prompts a call; ``make`` runs once in each worker."""
 
-    @lru_cache(maxsize=1)
-    def engine() -> Engine:
-        return make(config)
-
     @F.pandas_udf(S.StringType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        engine = _engine(make, config)
         for prompts in batches:
             out: list[str] = []
             rows = prompts.fillna("").tolist()
             for i in range(0, len(rows), config.batch_size):
-                out += [t.strip() for t in engine().generate(rows[i : i + config.batch_size])]
+                out += [t.strip() for t in engine.generate(rows[i : i + config.batch_size])]
             yield pd.Series(out, dtype=object)
 
     return run
