@@ -92,7 +92,7 @@ def soft_wrap(x: Column, max_chars: int = 220, fix_spacing: bool = False) -> Col
         joined = F.concat(state["cur"], part) if fix_spacing else strip(F.concat(state["cur"], part))
         fits = F.length(strip(joined)) <= max_chars
         out = F.when(fits | (state["cur"] == ""), state["out"]).otherwise(F.concat(state["out"], F.array(state["cur"])))
-        return F.struct(out.alias("out"), F.when(fits, joined).otherwise(strip(part)).alias("cur"))
+        return F.struct(out.alias("out"), F.when(fits, joined).otherwise(part if fix_spacing else strip(part)).alias("cur"))
 
     def done(state: Column) -> Column:
         every = F.concat(state["out"], F.array(state["cur"]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -69,7 +70,7 @@ def read_jsonl_all_or_nothing(spark: SparkSession, path: str, schema: str) -> Da
     rows = lines.select(F.from_json("value", f"struct<{_ddl(schema)}>", {"mode": "FAILFAST"}).alias("r"))
     try:
         rows.agg(F.count("r"), F.max(F.hash("r"))).collect()  # one row; reads every field
-    except PySparkException:
+    except (PySparkException, Py4JJavaError):
         return spark.createDataFrame([], schema)
     return rows.select("r.*")
 
