@@ -306,7 +306,7 @@ def _test(tree: Tree, level: Level, totals: np.ndarray, prior: float) -> None:
     rest, rest_q = totals - inside, np.maximum(1 - np.bincount(context, q, n), 1e-12)
     with np.errstate(divide="ignore", invalid="ignore"):
         g = np.bincount(context, level.counts * np.log(level.counts / (totals[context] * q)), n)
-        g += np.where(rest > 0, rest * np.log(rest / (totals * rest_q)), 0.0)
+        g = g + np.where(rest > 0, rest * np.log(rest / (totals * rest_q)), 0.0)
     level.retained = (kinds > 0) & (2 * g > kinds + 4 * np.sqrt(2 * kinds) + 8)
     passed = (rest + prior) / (totals + prior)
     level.back = np.log10(passed)
