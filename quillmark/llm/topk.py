@@ -175,9 +175,9 @@ def top_k(rows: DataFrame, vec_id: Column, vector: Column, is_query: Column, k:
 
     blocks = asks.select("dim", F.col("block").alias("q_block"), F.col("data").alias("q")).join(head, "dim", "left").select("dim", "q_block", "q", "c")
     blocks = materialize(blocks.mapInArrow(first, "dim bigint, q_block bigint, q binary, bounds binary, need double"), "bounds")
-    ranked = packed.select("dim", "block", "norm", (F.row_number().over(Window.partitionBy("dim").orderBy(F.desc("norm"), "block")) - 1).alias("place"))
-    jobs = blocks.select("dim", "q_block", "need").join(ranked, "dim").where("norm >= need")
-    jobs = jobs.select("dim", "q_block", "block", "place", F.floor(F.col("place") / strip).alias("strip"))
+    # block numbers follow the range partitions, so they are in order of length already
+    jobs = blocks.select("dim", "q_block", "need").join(packed.select("dim", "block", "norm"), "dim").where("norm >= need")
+    jobs = jobs.select("dim", "q_block", "block", F.floor(F.shiftright("block", 24) / strip).alias("strip"))
     pairs = jobs.join(packed.select("dim", "block", F.col("data").alias("c")), ["dim", "block"]).join(blocks.select("dim", "q_block", "q", "bounds"), ["dim", "q_block"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +202,7 @@ def top_k(rows: DataFrame, vec_id: Column, vector: Column, is_query: Column, k:
             yield out()
 
     spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), per)
-    found = pairs.repartition(spread, "dim", "q_block", "strip").sortWithinPartitions("dim", "q_block", "strip", "place")
+    found = pairs.repartition(spread, "dim", "q_block", "strip").sortWithinPartitions("dim", "q_block", "strip", "block")
     found = found.select("dim", "q_block", "strip", "q", "bounds", "c").mapInArrow(meet, "key bigint, query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
