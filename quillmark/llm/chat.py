@@ -18,7 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm.store import bound_batches
@@ -69,20 +69,15 @@ def codec(path: str, pattern: str, names: int) -> Codec:
     return Codec(path, pattern, names)
 
 
-def assemble(c: Codec, turns: list[tuple[str, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of a conversation, and its loss mask by prefix sums."""
-    parts, at, marks = [], 0, []
-    for role, text in turns:
-        head = np.array(c.head(role), np.int64)
-        parts += [head, text, np.array([c.close], np.int64)]
-        if role == "assistant":
-            marks += [(at + len(head), 1), (at + len(head) + len(text), -1)]
-        at += len(head) + len(text) + 1
-    step = np.zeros(at + 1, np.int64)
-    for i, d in marks:
-        step[i] += d
-    ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    return ids, np.cumsum(step)[:at].astype(np.uint8)
+def assemble(c: Codec, role: str, text: list[int]) -> tuple[list[int], bytes]:
+    """Ids of a turn, and its loss mask by prefix sums."""
+    head = c.head(role)
+    ids = [*head, *text, c.close]
+    step = np.zeros(len(ids) + 1, np.int8)
+    if role == "assistant":
+        step[len(head)] += 1
+        step[len(head) + len(text)] -= 1
+    return ids, np.cumsum(step, dtype=np.int8)[: len(ids)].tobytes()
 
 
 def render(c: Codec, ids: np.ndarray) -> str:
@@ -115,76 +110,84 @@ def loss_texts(c: Codec, ids: np.ndarray, mask: np.ndarray) -> list[str]:
 
 
 def format_chats(rows: DataFrame, conv: Column, turn: Column, role: Column, text: Column, tokenizer: str, pattern: str, names: int = 50_257) -> DataFrame:
-    """One row for each conversation: conv_id, n_turns, ids (array<int>) and loss_mask (binary, one byte for each id).
-
-    Turns are ordered by turn (null first), then role and a hash of the text, so
-    repeated turn numbers have one order.  Null texts are empty; a null role is the
-    empty role; any other role than system, user and assistant is written out.
-    Rows with a null conv_id form one conversation.  Texts are encoded where
-    they are read; conversations are then put together from sorted rows one
-    after another, so memory holds one conversation's ids at a time.
+    """One row for each turn: conv_id, place (from 0), start, ids (binary, little-endian uint32), loss_mask (binary, a byte for each id).
+
+    A conversation is its turns' ids in order of place; start counts the ids
+    before a turn.  Turns are ordered by turn (null first), then role and a
+    hash of the text, so repeated turn numbers have one order.  Null texts are
+    empty; a null role is the empty role; any other role than system, user and
+    assistant is written out.  Rows with a null conv_id form one conversation.
+
+    Turns are encoded where they are read.  Only places and starts need a
+    conversation's rows together, and those are running sums over a sort that
+    spills: memory does not grow with the length of a conversation.
     """
     spark = rows.sparkSession
     bound_batches(spark, 8)
     got = rows.select(conv.cast("long").alias("conv_id"), turn.cast("long").alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+    got = got.withColumn("tie", F.xxhash64("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer, pattern, names)
         for batch in batches:
-            ids = [np.array(c.encode(escape(t)), "<u4").tobytes() for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ids, pa.binary())], ["conv_id", "turn", "role", "text", "ids"])
+            turns = [assemble(c, r, c.encode(escape(t))) for r, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            ids = pa.array([np.array(i, "<u4").tobytes() for i, _ in turns], pa.binary())
+            size = pa.array([len(i) for i, _ in turns], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], batch.column(4), size, ids, pa.array([m for _, m in turns], pa.binary())], ["conv_id", "turn", "role", "tie", "size", "ids", "loss_mask"])
 
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(tokenizer, pattern, names)
-        now, turns, out = None, [], []
+    coded = got.mapInArrow(encode, "conv_id bigint, turn bigint, role string, tie bigint, size bigint, ids binary, loss_mask binary")
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "tie")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    coded = coded.repartition("conv_id")
+    return coded.select("conv_id", (F.row_number().over(order) - 1).cast("long").alias("place"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"), "ids", "loss_mask")
 
-        def done() -> None:
-            ids, mask = assemble(c, turns)
-            out.append((now[0], len(turns), ids.astype(np.int32), mask.tobytes()))
 
-        def flush() -> pa.RecordBatch:
-            got = pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.int32())), pa.array([o[3] for o in out], pa.binary())], ["conv_id", "n_turns", "ids", "loss_mask"])
-            out.clear()
-            return got
+class _Reader:
+    """What a reader of one conversation has seen so far."""
 
-        for batch in batches:
-            for conv_, role_, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if now != (conv_,):
-                    if now:
-                        done()
-                    now, turns = (conv_,), []
-                turns.append((role_, np.frombuffer(ids, "<u4").astype(np.int64)))
-            if out:
-                yield flush()
-        if now:
-            done()
-            yield flush()
+    def __init__(self) -> None:
+        self.turns = self.loss_chars = self.chars = 0
+        self.whole, self.loss = hashlib.sha256(), hashlib.sha256()
 
-    coded = got.mapInArrow(encode, "conv_id bigint, turn bigint, role string, text string, ids binary")
-    # the text itself stays behind but for its place in the order of equal turns
-    coded = coded.select("conv_id", "turn", "role", F.xxhash64("text").alias("tie"), "ids")
-    order = ["conv_id", "turn", "role", "tie"]
-    return coded.repartition("conv_id").sortWithinPartitions(*order).select("conv_id", "role", "ids").mapInArrow(put, "conv_id bigint, n_turns bigint, ids array<int>, loss_mask binary")
+    def read(self, c: Codec, ids: np.ndarray, mask: np.ndarray) -> None:
+        for role, text in parse(c, ids):
+            self.turns += 1
+            self.whole.update(f"{role}\n{text}\n".encode())
+        for text in loss_texts(c, ids, mask):
+            self.loss_chars += len(text)
+            self.loss.update(text.encode())
+        self.chars += len(render(c, ids))
 
 
 def digests(chats: DataFrame, tokenizer: str, pattern: str, names: int = 50_257) -> DataFrame:
-    """What a reader of the ids and masks sees, as digests."""
+    """One row for each conversation: what a reader of ``format_chats``' ids and masks sees, as digests.
+
+    Rows must lie by conv_id, as ``format_chats`` leaves them.  They are read
+    in order with running digests, so a conversation's length costs no memory.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer, pattern, names)
+        now, reader, done = None, _Reader(), []
+
+        def flush() -> pa.RecordBatch:
+            rows = [(k, r.turns, r.whole.hexdigest(), r.loss_chars, r.loss.hexdigest(), r.chars) for k, r in done]
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
         for batch in batches:
-            rows = []
-            for ids, mask in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
-                ids = ids.values.to_numpy()
-                whole, loss = hashlib.sha256(), hashlib.sha256()
-                turns = parse(c, ids)
-                for role, text in turns:
-                    whole.update(f"{role}\n{text}\n".encode())
-                texts = loss_texts(c, ids, np.frombuffer(mask, np.uint8))
-                for t in texts:
-                    loss.update(t.encode())
-                rows.append((len(turns), whole.hexdigest(), sum(map(len, texts)), loss.hexdigest(), len(render(c, ids))))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(x), t) for x, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True))], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-
-    return chats.mapInArrow(read, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+            for conv, ids, mask in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if now != (conv,):
+                    if now:
+                        done.append((now[0], reader))
+                    now, reader = (conv,), _Reader()
+                reader.read(c, np.frombuffer(ids, "<u4").astype(np.int64), np.frombuffer(mask, np.uint8))
+            if done:
+                yield flush()
+        if now:
+            done.append((now[0], reader))
+            yield flush()
+
+    rows = chats.sortWithinPartitions("conv_id", "place").select("conv_id", "ids", "loss_mask")
+    return rows.mapInArrow(read, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")

@@ -179,8 +179,10 @@ def test_chat_round_trip(spark, tok):
         g = got[c]
         assert (g.n_turns, g.turns_sha256, g.loss_chars, g.loss_sha256) == want and g.formatted_chars > g.loss_chars
     assert chat.format_chats(frame.limit(0), *(F.col(c) for c in frame.columns), *tok).count() == 0
-    masks = chats.where("conv_id = 0").first()
-    assert len(masks.loss_mask) == len(masks.ids)
+    for r in chats.where("conv_id = 0").orderBy("place").collect():
+        assert len(r.loss_mask) * 4 == len(r.ids)
+    starts = chats.where("conv_id = 0").orderBy("place").collect()
+    assert [r.start for r in starts] == np.concatenate([[0], np.cumsum([len(r.loss_mask) for r in starts])[:-1]]).tolist()
 
 
 @pytest.mark.parametrize("text", ["", "\\", "</turn>", "\\</turn>", "\\\\### User:x</turn>", "### Users:", "a\\b### System:"])
