@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.store import apart, bound_batches
+from quillmark.llm.store import apart, bound_batches, materialize
 
 CELLS = 1 << 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -63,8 +63,8 @@ def lexicon(text: Column, rows: DataFrame, floor: float = 1e-5) -> dict[str, flo
 
     Lower-cased runs of letters; at most 1 / floor of them.
     """
-    words = rows.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(\p{L}+)"), 1)).alias("w")).groupBy("w").count()
-    words = words.where(F.length("w") <= 24)
+    words = rows.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(\p{L}+)"), 1)).alias("w")).where(F.length("w") <= 24)
+    words = materialize(words.groupBy("w").count(), "lexicon")
     total = words.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     kept = words.where(F.col("count") >= floor * total).collect()
     return {r.w: math.log10(r["count"] / total) for r in kept}
