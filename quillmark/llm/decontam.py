@@ -102,7 +102,7 @@ def _digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(items).encode()).hexdigest()
 
 
-def scan(docs: DataFrame, text: Column, bench: DataFrame, item_id: Column, item_text: Column, keep: list[str], window: int = 10, broadcast_windows: int = 1_000_000) -> DataFrame:
+def scan(docs: DataFrame, text: Column, bench: DataFrame, item_id: Column, item_text: Column, keep: list[str], window: int = 10, broadcast_windows: int = 500_000) -> DataFrame:
     """Columns ``keep`` with n_words, n_hit, n_items and items (sorted item ids found).
 
     A null text has no words; an empty benchmark hits nothing; items with null
