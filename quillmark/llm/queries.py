@@ -99,6 +99,21 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_host_segmentation_filte
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_token_level_chat": r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '### (?:System|User|Assistant|Other):|</turn>')) AS escaped,
+         CASE WHEN role IN ('system', 'user', 'assistant') THEN length(role) ELSE 6 + length(role) + len(regexp_extract_all(role, '### (?:System|User|Assistant|Other):|</turn>')) END AS head
+  FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(4 + head + 2 + escaped + 1 + 7 + 1) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+""",
     "op8_zip_warc_reader": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 s AS (SELECT page_id, octet_length(b) AS payload_bytes, sha256(b) AS payload_digest FROM p),
