@@ -158,3 +158,22 @@ def test_stream(spark, tmp_path):
     q = E.run_batches(E.segment_stream(rows, SegmentConfig(min_chars=1)), lambda b: b, f"{tmp_path}/out", f"{tmp_path}/c")
     q.awaitTermination(120)
     assert spark.read.json(f"{tmp_path}/out/*").count() == 1
+
+
+def test_evaluation(spark, tmp_path):
+    from quillmark.operators.evaluation import evaluate
+
+    units = lambda *t: [(i, "text", x, 0) for i, x in enumerate(t)]
+    rows = [(1, "p", "a", 5.0, units("one two", "one two", "three")), (2, "q", "b", 8.0, units("alone")), (3, "r", None, 5.0, [])]
+    problems = spark.createDataFrame(rows, "id long, problem string, answer string, difficulty double, segments array<struct<id:int,type:string,content:string,paragraph_index:int>>")
+    echo = lambda prompt: F.concat(F.element_at(F.split(prompt, "\n"), -1), F.lit("<<<END>>> more"))
+    got = evaluate(problems, echo)
+    cases = {r.id: r for r in got.cases.collect()}
+    assert [(s["index"], s["score"], s["hallucination"]) for s in cases[1].steps] == [(1, 1.0, 0), (2, 0.0, 1)]
+    assert cases[1].score == pytest.approx(0.5) and (cases[2].score, cases[3].score, cases[3].num_steps) == (0.0, 0.0, 0)
+    logs = {r.id: r for r in got.generations.collect()}
+    assert logs[1].gen_output == ["one two", "one two", "three"] and logs[3].gen_output == []
+    assert (got.summary.first().num, got.summary.first().avg_score) == (3, pytest.approx(5 / 3))
+    log = K.case_log(F.col("id"), F.col("difficulty"), F.col("score"), F.col("num_steps"), F.col("problem"), F.col("answer"), F.col("steps"), F.col("gen_output"))
+    K.write_run(K.run_path(str(tmp_path), "m/x", "j", 7), got.cases, got.generations, got.summary, log)
+    assert sorted(p.name for p in (tmp_path / "m/x_j_000007").iterdir()) == ["case.log", "case_results.jsonl", "case_results_pretty.json", "gen_and_scores.jsonl", "summary.json"]
