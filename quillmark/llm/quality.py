@@ -25,7 +25,7 @@ def statistics(text: Column) -> dict[str, Column]:
     """Statistics of a text by name; null reads as empty, and shares of nothing are 0."""
     t = F.coalesce(text, F.lit(""))
     chars = F.length(t)
-    words = F.filter(F.split(t, "[ \\t-\\r]+"), lambda w: w != "")
+    words = F.array_remove(F.split(t, "[ \\t-\\r]+"), "")
     lines = F.split(t, "\n")
 
     def share(part: Column, of: Column) -> Column:
@@ -186,7 +186,10 @@ def classify(docs: DataFrame, text: Column, keep: list[str], model: RuleModel, t
     Null and empty texts are scored like any other.  ``keep`` may hold any columns.
     """
     keep = apart(keep, ["score", "predicted"])
-    stats = docs.select(*[F.col(c) for c in keep], *[c.cast("double").alias(f"__{n}") for n, c in statistics(text).items()])
+    stats = {n: c.cast("double") for n, c in statistics(text).items()}
+    # a term that is 0 but not deterministic keeps the optimizer from copying the statistics into every rule
+    stats["log_words"] = stats["log_words"] + F.spark_partition_id() * 0.0
+    stats = docs.select(*[F.col(c) for c in keep], *[c.alias(f"__{n}") for n, c in stats.items()])
     score = 1 / (1 + F.exp(-model.logit({n: F.col(f"__{n}") for n in STATISTICS})))
     scored = stats.select(*[F.col(c) for c in keep], score.alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
