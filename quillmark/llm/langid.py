@@ -132,6 +132,7 @@ def fit(docs: DataFrame, text: Column, lang: Column, dims: int = 1024, seed: int
             for lo in range(0, len(at), 4096):
                 part = at[lo : lo + 4096]
                 sums[lang_] += np.rint(c[part].astype(np.float64) @ memory[part].astype(np.float64)).astype(np.int64)
+        item_memory.cache_clear()  # 64 MB that other stages' tasks in this worker have better use for
         for lang_, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang_] * dims), pa.array(np.arange(dims, dtype=np.int32)), pa.array(v)], ["lang", "dim", "value"])
 
@@ -165,7 +166,6 @@ def identify(docs: DataFrame, text: Column, profiles: dict[str, np.ndarray], kee
             column = batch.column(len(keep))
             n = len(column)
             best, cos = np.full(n, -1), np.zeros(n)
-            lengths = np.zeros(n, np.int64)
             texts = column.to_pylist()
             for i, j in _groups(texts) if names else ():
                 v = bundles(texts[i:j], dims, seed)
@@ -175,8 +175,8 @@ def identify(docs: DataFrame, text: Column, profiles: dict[str, np.ndarray], kee
                 c[some] = (v[some] @ matrix) / norm[some, None]
                 best[i:j] = np.where(some, c.argmax(axis=1), -1)
                 cos[i:j] = np.where(some, c.max(axis=1), 0)
-                lengths[i:j] = norm
             pred = pa.array([names[b] if b >= 0 else UNDETERMINED for b in best], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pred, pa.array(np.clip(cos, 0.0, 1.0))], [*keep, "lang_pred", "score"])
+        item_memory.cache_clear()
 
     return kept.mapInArrow(score, schema)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quillmark.llm.store import bound_batches
 
-_CHUNKS, _PIECES = 600_000, 600_000  # entries that the caches may hold
+_CHUNKS, _PIECES = 300_000, 400_000  # entries that the caches may hold
 _ODD = regex.compile("[\x1c-\x1f]")  # str.split() splits here, tokenizers do not
 _PLAIN = regex.compile("[\x21-\x7e\xa1-\xac\xae-įĲ-ɏ]+")  # stable under NFC, lower case by character
 
@@ -58,6 +58,7 @@ class WordBpe:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
         self._ranks(spec)
+        self.pieces: dict[str, bytes] = {}
         self.reset()
 
     def _ranks(self, spec: dict) -> None:
@@ -86,7 +87,6 @@ class WordBpe:
 
     def reset(self) -> None:
         self.chunks: _Table = _Table()
-        self.pieces: dict[str, bytes] = {}
         self.flat, self.begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _new(self, chunk: str) -> bytes:
