@@ -1,38 +1,46 @@
 """Probabilistic suffix tree over words, learned from and applied to whole tables.
 
-Symbols are the words that make up at least ``floor`` of all training tokens
-(and occur ``support`` times); all other words are one symbol, inside which a
-word has its share of the add-one unigram model.  A context is a run of one to
-``depth`` symbols before a token; contexts and the words after them enter the
-tree under the same floor, so each level has at most 1 / floor entries however
-large the corpus is.  A context is retained if the distribution after it
+Symbols are the words that occur ``support`` times; all other words are one
+symbol, inside which a word has its share of the add-one unigram model.  A
+context is a run of one to ``depth`` symbols before a token; contexts and the
+words after them enter the tree if they occur ``support`` times, so the tree
+grows with the corpus.  A context is retained if the distribution after it
 diverges from that after its longest retained suffix by more than chance
 allows (a likelihood-ratio test).  Each retained context smooths into that
 suffix; at the root stands the add-one unigram model over all words seen.
 
-The counts of all words have no such bound.  They stay in a table, cut into
-buckets by hash, and the rare words of the texts travel to them: every task
-sends one packed row for each bucket and gets back sums, not words.
+Nothing that grows with the corpus is collected or broadcast.  A run of words
+is known by a 64-bit id, made of the ids of its first and its last words but
+one: those are the context and the entry one level below that smooths it.
+Counts and levels stay in tables, cut into buckets by hash; runs travel to them
+in packed rows, one for each task and bucket.  Sieves of bounded size hold back
+most of the runs that are in no table; what passes by chance is sorted out there.
 """
 
 from __future__ import annotations
 
+import gc
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import kernels as K
 from quillmark.llm.store import apart, bound_batches, materialize
 
 RARE, END, START = 0, 1, 2  # symbols; words are numbered from 3 on
-_END_HASH = K.U64(0x5EED0FE4D0000001)
-_FLUSH = 4_000_000
+_RARE_HASH, _END_HASH, _START_HASH = K.U64(0x5EED0FE4D0000003), K.U64(0x5EED0FE4D0000001), K.U64(0x5EED0FE4D0000005)
+_ENTRY, _CONTEXT = K.U64(0x3C6EF372FE94F82B), K.U64(0xA54FF53A5F1D36F1)  # tell the keys of one lookup table apart
+_WAITING, _FLUSH = 1_000_000, 4_000_000
+_SIEVE_BITS = 28
+_COMMON = 1_000_000
+_PACKED = "bucket int, keys binary, counts binary"
 
 
 @dataclass
@@ -47,24 +55,85 @@ class Level:
     back: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
 
+class Sieve:
+    """A set of 64-bit ids that may hold more than was put in, of at most 2 ** _SIEVE_BITS bits."""
+
+    def __init__(self, bits: int, data: np.ndarray) -> None:
+        self.bits, self.data = bits, data
+
+    def maybe(self, ids: np.ndarray) -> np.ndarray:
+        per = K.U64((self.bits >> 6) - 1)
+        at = (ids >> K.U64(58)) * K.U64(self.bits >> 6) + (ids & per)
+        return (self.data[(at >> K.U64(3)).astype(np.int64)] >> (7 - (at & K.U64(7)).astype(np.uint8))) & 1 > 0
+
+
 @dataclass
 class Tree:
     tokens: int  # N
     types: int  # V
-    words: np.ndarray  # hashes of the symbols from 3 on, sorted
-    counts: np.ndarray  # of all symbols
-    levels: list[Level]
-    log_root: np.ndarray  # log10 probability of each symbol at the root
-
-    def symbols(self, words: np.ndarray, prober: K.Prober) -> np.ndarray:
-        at = prober.find(words)
-        return np.where(at >= 0, at + 3, RARE)
+    ends: int  # texts
+    rare: float  # log10 probability of the symbol of rare words at the root
+    least: float  # count of a symbol or entry
+    symbols: DataFrame  # id, n, lp
+    entries: list[DataFrame]  # of each level: id, ctx, sfx, n, lp, retained
+    contexts: list[DataFrame]  # of each level: ctx, total, retained, back
+    common: np.ndarray  # hashes of the most frequent symbols, sorted
 
     @property
     def log_unit(self) -> float:
         """log10 of one count in the unigram model."""
         return -math.log10(self.tokens + self.types + 1)
 
+    # A small tree as arrays, to look into; learning and scoring do not use these.
+
+    @cached_property
+    def _words(self) -> tuple[np.ndarray, np.ndarray]:
+        rows = self.symbols.where("NOT special").select("id", "n").toPandas()
+        ids = rows["id"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(ids)
+        return ids[order], rows["n"].to_numpy(np.int64)[order]
+
+    @property
+    def counts(self) -> np.ndarray:
+        """Of all symbols."""
+        return np.concatenate([[0, self.ends, self.ends], self._words[1]])
+
+    @property
+    def log_root(self) -> np.ndarray:
+        out = np.log10(self.counts + 1) + self.log_unit
+        out[RARE], out[START] = self.rare, -np.inf
+        return out
+
+    @cached_property
+    def levels(self) -> list[Level]:
+        special = np.array([_RARE_HASH, _END_HASH, _START_HASH])
+        ids = np.concatenate([special, self._words[0]])
+        symbol = np.arange(len(ids))
+        out = []
+        for entries, contexts in zip(self.entries, self.contexts, strict=True):
+            order = np.argsort(ids)
+            number = lambda x, o=order, i=ids: o[np.searchsorted(i[o], x.to_numpy(np.int64).view(np.uint64))]
+            e, c = entries.toPandas(), contexts.toPandas()
+            n = len(ids)
+            last = symbol[number(e["sfx"])]
+            keys = _key(number(e["ctx"]), last)
+            at = np.argsort(keys)
+            level = Level(keys[at], e["n"].to_numpy(np.int64)[at], e["lp"].to_numpy(float)[at], np.zeros(n, bool), np.zeros(n))
+            level.retained[number(c["ctx"])] = c["retained"].to_numpy(bool)
+            level.back[number(c["ctx"])] = c["back"].to_numpy(float)
+            out.append(level)
+            ids, symbol = e["id"].to_numpy(np.int64).view(np.uint64)[at], last[at]
+        return out
+
+
+def _key(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    return (context.astype(np.uint64) << K.U64(32)) | symbol.astype(np.uint64)
+
+
+def _id(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Of a run: from the runs without its last and without its first word."""
+    return K.mix(context * K._MULT + suffix)
+
 
 def _split(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """An order that groups hashes by bucket, and where each bucket begins (buckets + 1 values)."""
@@ -73,188 +142,270 @@ def _split(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(number[order], np.arange(buckets + 1))
 
 
-def _count(texts: DataFrame, emit: Callable[[np.ndarray, np.ndarray], np.ndarray], buckets: int, name: str) -> DataFrame:
-    """Sum the keys that ``emit(words, first)`` gives for all texts: (bucket, keys, counts) in packed rows."""
+class _Runs:
+    """Sums of runs in one task, packed by bucket: keys are one column (words) or two (context, suffix)."""
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, waiting, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+    def __init__(self, width: int, buckets: int) -> None:
+        self.width, self.buckets, self.waiting, self.size = width, buckets, [], 0
+        self.sums = np.zeros((width, 0), np.uint64), np.zeros(0, np.int64)
 
-        def fold() -> None:
-            nonlocal keys, counts, waiting, size
-            k, c = K.tally(np.concatenate(waiting)) if waiting else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            keys, counts = K.tally(np.concatenate([keys, k]), np.concatenate([counts, c]))
-            waiting, size = [], 0
+    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        self.waiting.append((keys, np.ones(keys.shape[1], np.int64) if counts is None else counts))
+        self.size += keys.shape[1]
+        if self.size > _WAITING:
+            self.fold()
+            if len(self.sums[1]) > _FLUSH:
+                yield from self.out()
 
-        def out() -> Iterator[pa.RecordBatch]:
-            order, begin = _split(K.mix(keys), buckets)
-            k, c = keys[order], counts[order]
-            full = [b for b in range(buckets) if begin[b + 1] > begin[b]]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([k[begin[b] : begin[b + 1]].tobytes() for b in full], pa.binary()), pa.array([c[begin[b] : begin[b + 1]].astype(np.uint32).tobytes() for b in full], pa.binary())], ["bucket", "keys", "counts"])
+    def fold(self) -> None:
+        parts = [self.sums, *self.waiting]
+        self.sums = _tally(np.concatenate([k for k, _ in parts], 1), np.concatenate([c for _, c in parts]))
+        self.waiting, self.size = [], 0
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        self.fold()
+        keys, counts = self.sums
+        order, begin = _split(K.mix(_whole(keys)), self.buckets)
+        keys, counts = keys[:, order], counts[order].astype(np.uint32)
+        full = [b for b in range(self.buckets) if begin[b + 1] > begin[b]]
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([keys[:, begin[b] : begin[b + 1]].tobytes() for b in full], pa.binary()), pa.array([counts[begin[b] : begin[b + 1]].tobytes() for b in full], pa.binary())], ["bucket", "keys", "counts"])
+        self.sums = np.zeros((self.width, 0), np.uint64), np.zeros(0, np.int64)
 
-        for batch in batches:
-            words, first = K.hashed(batch.column(0), K.BLANK)
-            new = emit(words, first)
-            waiting.append(new)
-            size += len(new)
-            if size > _FLUSH:
-                fold()
-                if len(keys) > _FLUSH:
-                    yield from out()
-                    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        fold()
-        yield from out()
+
+def _whole(keys: np.ndarray) -> np.ndarray:
+    return keys[0] if len(keys) == 1 else _id(keys[0], keys[1])
+
+
+def _tally(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(counts):
+        return keys, counts
+    whole = _whole(keys)
+    order = np.argsort(whole)
+    whole = whole[order]
+    head = np.flatnonzero(np.concatenate([[True], whole[1:] != whole[:-1]]))
+    return keys[:, order[head]], np.add.reduceat(counts[order], head)
+
+
+def _merged(packed: DataFrame, width: int, buckets: int, least: float = 1) -> DataFrame:
+    """Sums of packed runs that reach ``least``: (bucket, keys, counts, types, tokens)."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, counts = None, [], []
+        now, parts, size = None, [], 0
+
+        def fold() -> tuple[np.ndarray, np.ndarray]:
+            return _tally(np.concatenate([k for k, _ in parts], 1), np.concatenate([c for _, c in parts]))
 
         def out() -> pa.RecordBatch:
-            k, c = K.tally(np.concatenate(keys), np.concatenate(counts))
+            k, c = fold()
+            k, c = k[:, c >= least], c[c >= least]
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([k.tobytes()], pa.binary()), pa.array([c.tobytes()], pa.binary()), pa.array([len(c)], pa.int64()), pa.array([int(c.sum())], pa.int64())], ["bucket", "keys", "counts", "types", "tokens"])
 
         for batch in batches:
             for b, k, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if b != now and now is not None:
                     yield out()
-                    keys, counts = [], []
+                    parts, size = [], 0
                 now = b
-                keys.append(np.frombuffer(k, np.uint64))
-                counts.append(np.frombuffer(c, np.uint32).astype(np.int64))
-                if len(keys) > 64:
-                    merged = K.tally(np.concatenate(keys), np.concatenate(counts))
-                    keys, counts = [merged[0]], [merged[1]]
+                parts.append((np.frombuffer(k, np.uint64).reshape(width, -1), np.frombuffer(c, np.uint32).astype(np.int64)))
+                size += len(parts[-1][1])
+                if size > _WAITING and len(parts) > 64:
+                    parts, size = [fold()], 0
         if now is not None:
             yield out()
 
-    packed = texts.mapInArrow(partial, "bucket int, keys binary, counts binary")
-    sorted_ = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return materialize(sorted_.mapInArrow(merge, "bucket int, keys binary, counts binary, types bigint, tokens bigint"), name)
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, f"{_PACKED}, types bigint, tokens bigint")
 
 
-def _frequent(table: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys with at least so many counts, sorted, on the driver; the floor bounds their number."""
+def _sieve(ids: DataFrame, n: int) -> Sieve:
+    """Of a column of ids; each of 64 parts is made in one task."""
+    bits = 1 << max(12, min(_SIEVE_BITS, (16 * n).bit_length()))
+    per = bits >> 6
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                counts = np.frombuffer(c, np.int64)
-                at = counts >= least
-                yield pa.RecordBatch.from_arrays([pa.array([np.frombuffer(k, np.uint64)[at].tobytes()], pa.binary()), pa.array([counts[at].tobytes()], pa.binary())], ["keys", "counts"])
-
-    rows = table.mapInArrow(run, "keys binary, counts binary").collect()
-    keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r[0], np.uint64) for r in rows)])
-    counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r[1], np.int64) for r in rows)])
-    order = np.argsort(keys)
-    return keys[order], counts[order]
-
-
-def _with_ends(symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts, each with START before and END after it; and the places that are predicted."""
+            k = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            part, at = (k >> K.U64(58)).astype(np.int64), (k & K.U64(per - 1)).astype(np.int64)
+            for p in np.unique(part).tolist():
+                got.setdefault(p, np.zeros(per, bool))[at[part == p]] = True
+        for p, x in got.items():
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(x).tobytes()], pa.binary())], ["part", "data"])
+
+    data = np.zeros(bits >> 3, np.uint8)
+    only = ids.toDF("id")
+    for p, x in only.repartition(64, F.shiftrightunsigned("id", 58)).mapInArrow(run, "part int, data binary").collect():
+        data[p * (per >> 3) : (p + 1) * (per >> 3)] |= np.frombuffer(x, np.uint8)
+    return Sieve(bits, data)
+
+
+def _with_ends(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of all texts, each with START before and END after it; and the place of each in its text."""
     n = len(first) - 1
-    out = np.full(len(symbols) + 2 * n, END, np.int64)
+    out = np.full(len(words) + 2 * n, _END_HASH, np.uint64)
     begin = first[:-1] + 2 * np.arange(n)
-    out[begin] = START
-    at = np.arange(len(symbols)) + 2 * np.repeat(np.arange(n), np.diff(first)) + 1
-    out[at] = symbols
-    predicted = np.ones(len(out), bool)
-    predicted[begin] = False
-    return out, predicted
-
-
-def _states(tree: Tree, stream: np.ndarray, predicted: np.ndarray, probers: list[K.Prober]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each level: the number of the context before each place (-1: none), and of the entry it makes with it (-1: none)."""
-    out = []
-    here = np.where(stream == RARE, -1, stream)  # the run that ends at each place, as a context of the next level
-    here[stream == END] = -1
-    for prober in probers:
-        before = np.full(len(stream), -1, np.int64)
-        before[1:] = here[:-1]
-        before[~predicted] = -1
-        at = np.flatnonzero(before >= 0)
-        entry = np.full(len(stream), -1, np.int64)
-        entry[at] = prober.find(_key(before[at], stream[at]))
-        out.append((before, entry))
-        here = np.where((stream == RARE) | (stream == END), -1, entry)
-    return out
-
-
-def _key(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    return (context.astype(np.uint64) << K.U64(32)) | symbol.astype(np.uint64)
-
+    out[begin] = _START_HASH
+    at = np.arange(len(words)) + 2 * np.repeat(np.arange(n), np.diff(first)) + 1
+    out[at] = words
+    return out, np.arange(len(out)) - np.repeat(begin, np.diff(first) + 2)
 
-class _Spread(K.Prober):
-    """A prober for keys that are not hashes."""
 
-    def __init__(self, keys: np.ndarray) -> None:
-        mixed = K.mix(keys)
-        self.order = np.argsort(mixed)
-        super().__init__(mixed[self.order])
+def _windows(stream: np.ndarray, depth: int, rare: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each level: context and suffix of the run that ends at each place, as it is or (``rare``) with a rare last word."""
+    whole, last = stream, np.full(len(stream), _RARE_HASH) if rare else stream
+    for _ in range(depth):
+        context = np.concatenate([whole[:1], whole[:-1]])  # the first place of a text has none
+        yield context, last
+        whole, last = _id(context, whole), _id(context, last)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        at = super().find(K.mix(keys))
-        return np.where(at >= 0, self.order[at], -1) if len(self.order) else at
 
-
-def fit(texts: DataFrame, text: Column, depth: int = 2, floor: float = 1e-6, support: int = 5, prior: float = 2.0) -> tuple[Tree, DataFrame, int]:
+def fit(texts: DataFrame, text: Column, depth: int = 2, floor: float = 0.0, support: int = 5, prior: float = 2.0) -> tuple[Tree, DataFrame, int]:
     """The tree, the table of all word counts and its number of buckets.
 
     Null texts are empty: they hold one end token.  With no row at all the
-    tree is a bare root over an unknown word.
+    tree is a bare root over an unknown word.  A ``floor`` above 0 also asks
+    for that share of all tokens; it makes a smaller tree than the corpus gives.
     """
     spark = texts.sparkSession
-    bound_batches(spark, 8)
+    bound_batches(spark, 4)
     rows = texts.select(text.alias("text"))
-    buckets = max(64, 8 * math.isqrt(rows.rdd.getNumPartitions()))
+    buckets = max(64, 32 * math.isqrt(rows.rdd.getNumPartitions()))
 
-    def unigrams(words: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return np.concatenate([words, np.full(len(first) - 1, _END_HASH)])
+    def unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = _Runs(1, buckets)
+        for batch in batches:
+            words, first = K.hashed(batch.column(0), K.BLANK)
+            yield from runs.add(np.concatenate([words, np.full(len(first) - 1, _END_HASH)])[None])
+        yield from runs.out()
 
-    table = _count(rows, unigrams, buckets, "words")
+    table = materialize(_merged(rows.mapInArrow(unigrams, _PACKED), 1, buckets), "words")
     total = table.agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     types, tokens = int(total[0]), int(total[1])
     least = max(support, floor * tokens)
-    words, counts = _frequent(table, least)
-    end = words == _END_HASH
-    ends = int(counts[end].sum()) if end.any() else 0
-    if not end.any() and tokens:  # few texts: the end is a symbol all the same
-        k, c = _frequent(table, 1)
-        ends = int(c[k == _END_HASH].sum())
-    words, counts = words[~end], counts[~end]
-    all_counts = np.concatenate([[0, ends, ends], counts])
     unit = 1 / (tokens + types + 1)
-    root = (all_counts + 1) * unit
-    root[START] = 0
-    root[RARE] = 1 - root[END] - root[3:].sum() if len(words) else 1 - root[END]
-    root[RARE] = max(root[RARE], unit)
-    if tokens == 0:
-        root[:] = [1.0, unit, 0.0]
-    with np.errstate(divide="ignore"):
-        tree = Tree(tokens, types, words, all_counts, [], np.log10(root))
-    totals = all_counts  # occurrences of each context of the level before
-    for d in range(depth):
-        bound = spark.sparkContext.broadcast(tree)
-        ready: list = []  # of one task
-
-        def runs(words: np.ndarray, first: np.ndarray) -> np.ndarray:
-            t = bound.value
-            if not ready:
-                ready.extend([K.Prober(t.words), [_Spread(x.keys) for x in t.levels]])
-            stream, predicted = _with_ends(t.symbols(words, ready[0]), first)
-            here = np.where((stream == RARE) | (stream == END), -1, stream)
-            for _, entry in _states(t, stream, predicted, ready[1]):
-                here = np.where((stream == RARE) | (stream == END), -1, entry)
-            before = np.concatenate([[-1], here[:-1]])
-            at = np.flatnonzero((before >= 0) & predicted)
-            return _key(before[at], stream[at])
-
-        keys, counts = _frequent(_count(rows, runs, buckets, f"runs{d + 1}"), least) if tokens else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        level = Level(keys, counts)
-        _test(tree, level, totals, prior)
-        tree.levels.append(level)
-        totals = counts
+    counted = materialize(_rows(table, 1).select(F.col("ctx").alias("id"), "n").where((F.col("n") >= least) | (F.col("id") == _signed(_END_HASH))), "symbols")
+    is_end = F.col("id") == _signed(_END_HASH)
+    ends, kinds, mass = counted.agg(F.coalesce(F.sum(F.when(is_end, F.col("n"))), F.lit(0)), F.count(F.when(~is_end, 1)), F.coalesce(F.sum(F.when(~is_end, F.col("n"))), F.lit(0))).first()
+    rare = max(1 - (ends + 1) * unit - (mass + kinds) * unit, unit) if tokens else 1.0
+    lp = F.log10(F.col("n") + 1) + math.log10(unit)
+    special = spark.createDataFrame([(_signed(_RARE_HASH), 0, math.log10(rare)), (_signed(_END_HASH), ends, math.log10((ends + 1) * unit)), (_signed(_START_HASH), ends, 0.0)], "id long, n long, lp double")
+    symbols = counted.where(~is_end).select("id", "n", lp.alias("lp"), F.lit(False).alias("special")).unionAll(special.select("*", F.lit(True)))
+    common = counted.where(~is_end & (F.col("n") >= max(least, tokens / _COMMON))).select("id").toPandas()["id"].to_numpy(np.int64).view(np.uint64)  # at most _COMMON
+    tree = Tree(tokens, types, ends, math.log10(rare), least, symbols, [], [], np.sort(common))
+    before, size = symbols.select("id", "n", "lp"), kinds + 3
+    sieve0 = sieve = _sieve(before.select("id"), size)
+    for d in range(1, depth + 1):
+        bound = spark.sparkContext.broadcast((tree.common, sieve0, sieve))
+        counted = materialize(_level(rows, table, bound, d, buckets, least), f"runs{d}")
+        a = _rows(counted, 2).select("id", "ctx", "sfx", "n").join(before.select(F.col("id").alias("sfx"), F.col("lp").alias("lq")), "sfx").withColumn("q", F.pow(F.lit(10.0), "lq"))
+        a = materialize(a, f"below{d}")
+        sums = a.groupBy("ctx").agg(F.sum("n").alias("inside"), F.count("*").alias("kinds"), F.sum("q").alias("qs"), F.sum(F.col("n") * F.log(F.col("n") / F.col("q"))).alias("s"))
+        sums = sums.join(before.select(F.col("id").alias("ctx"), F.col("n").alias("total")), "ctx").withColumn("rest", F.col("total") - F.col("inside"))
+        g = F.col("s") - F.col("inside") * F.log("total") + F.when(F.col("rest") > 0, F.col("rest") * F.log(F.col("rest") / (F.col("total") * F.greatest(1 - F.col("qs"), F.lit(1e-12))))).otherwise(0.0)
+        retained = 2 * g > F.col("kinds") + 4 * F.sqrt(2 * F.col("kinds")) + 8
+        contexts = materialize(sums.select("ctx", "total", "rest", retained.alias("retained"), F.log10((F.col("rest") + prior) / (F.col("total") + prior)).alias("back")), f"contexts{d}")
+        own = F.log10((F.col("n") + (F.col("rest") + prior) * F.col("q")) / (F.col("total") + prior))
+        entries = a.join(contexts, "ctx").select("id", "ctx", "sfx", "n", F.when(F.col("retained"), own).otherwise(F.col("lq")).alias("lp"), "retained")
+        entries = materialize(entries, f"level{d}")
+        tree.entries.append(entries)
+        tree.contexts.append(contexts.select("ctx", "total", "retained", "back"))
+        before = entries.select("id", "n", "lp")
+        if d < depth:
+            sieve = _sieve(before.select("id"), before.count())
         bound.unpersist()
+        _release(spark)
     return tree, table, buckets
 
 
+def _release(spark: SparkSession) -> None:
+    """Shuffle files of tables that are stored by now go when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _signed(x: np.uint64) -> int:
+    return int(np.array([x]).view(np.int64)[0])
+
+
+def _rows(table: DataFrame, width: int) -> DataFrame:
+    """Packed runs as rows: id, ctx, sfx, n (of words, all three are the word)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                keys, counts = np.frombuffer(k, np.uint64).reshape(width, -1), np.frombuffer(c, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (_whole(keys), keys[0], keys[-1])] + [pa.array(counts)], ["id", "ctx", "sfx", "n"])
+
+    return table.select("bucket", "keys", "counts").mapInArrow(run, "id long, ctx long, sfx long, n long")
+
+
+def _level(rows: DataFrame, table: DataFrame, bound, d: int, buckets: int, least: float) -> DataFrame:
+    """Counts of the runs of d + 1 symbols that reach ``least``.
+
+    A run is counted with its last word as it is, and with the symbol of rare
+    words if that word is rare.  Words that may be either ask the count table.
+    """
+
+    def places(batch: pa.RecordBatch) -> tuple:
+        common, sieve0, sieve = bound.value
+        stream, place = _with_ends(*K.hashed(batch.column(0), K.BLANK))
+        *_, (context, suffix) = _windows(stream, d)
+        *_, (_, other) = _windows(stream, d, rare=True)
+        at = np.flatnonzero(place >= d)
+        at = at[sieve.maybe(context[at])]
+        word = stream[at]
+        plain = sieve.maybe(suffix[at])
+        sure = word == _END_HASH
+        return common, sieve0, sieve, context[at], suffix[at], other[at], word, plain, sure
+
+    def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = _Runs(2, buckets)
+        for batch in batches:
+            _, sieve0, sieve, context, suffix, other, word, plain, sure = places(batch)
+            yield from runs.add(np.stack([context[plain], suffix[plain]]))
+            rare = ~sure & ~sieve0.maybe(word) & sieve.maybe(other)
+            yield from runs.add(np.stack([context[rare], other[rare]]))
+        yield from runs.out()
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prober = K.Prober(bound.value[0])
+        for batch in batches:
+            _, sieve0, sieve, context, _, other, word, _, sure = places(batch)
+            at = np.flatnonzero(~sure & sieve0.maybe(word) & sieve.maybe(other))
+            at = at[prober.find(word[at]) < 0]
+            order, begin = _split(K.mix(word[at]), buckets)
+            at = at[order]
+            full = [b for b in range(buckets) if begin[b + 1] > begin[b]]
+            data = [np.stack([x[at[begin[b] : begin[b + 1]]] for x in (word, context, other)]).tobytes() for b in full]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([1] * len(full), pa.int32()), pa.array(data, pa.binary())], ["bucket", "kind", "data"])
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = []
+            for k, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                data.append(np.frombuffer(k, np.uint64)[np.frombuffer(c, np.int64) < least].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([0] * len(data), pa.int32()), pa.array(data, pa.binary())], ["bucket", "kind", "data"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, prober, runs = None, K.Prober(np.zeros(0, np.uint64)), _Runs(2, buckets)
+        for batch in batches:
+            for bucket, kind, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if bucket != now:
+                    now, prober = bucket, K.Prober(np.zeros(0, np.uint64))
+                x = np.frombuffer(data, np.uint64)
+                if kind == 0:
+                    prober = K.Prober(np.sort(x))
+                    continue
+                word, context, other = x.reshape(3, -1)
+                rare = prober.find(word) >= 0
+                yield from runs.add(np.stack([context[rare], other[rare]]))
+        yield from runs.out()
+
+    wire = "bucket int, kind int, data binary"
+    asked = rows.mapInArrow(ask, wire).unionAll(table.select("bucket", "keys", "counts").mapInArrow(known, wire))
+    answered = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answer, _PACKED)
+    return _merged(rows.mapInArrow(direct, _PACKED).unionAll(answered), 2, buckets, least)
+
+
 def _suffix_log(tree: Tree, context: np.ndarray, symbol: np.ndarray, depth: int) -> np.ndarray:
     """log10 probability of symbols after the longest retained proper suffix of contexts of ``depth`` symbols.
 
@@ -294,38 +445,88 @@ def _log(tree: Tree, context: np.ndarray, symbol: np.ndarray, depth: int) -> np.
     return out
 
 
-def _test(tree: Tree, level: Level, totals: np.ndarray, prior: float) -> None:
-    """Probabilities of a new level, and which of its contexts the divergence test retains."""
-    depth, n = len(tree.levels) + 1, len(totals)
-    context = (level.keys >> K.U64(32)).astype(np.int64)
-    symbol = (level.keys & K.U64(0xFFFFFFFF)).astype(np.int64)
-    inside = np.bincount(context, level.counts, n)  # occurrences with a kept symbol
-    kinds = np.bincount(context, minlength=n)
-    below = _suffix_log(tree, context, symbol, depth)
-    q = 10.0**below
-    rest, rest_q = totals - inside, np.maximum(1 - np.bincount(context, q, n), 1e-12)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        g = np.bincount(context, level.counts * np.log(level.counts / (totals[context] * q)), n)
-        g = g + np.where(rest > 0, rest * np.log(rest / (totals * rest_q)), 0.0)
-    level.retained = (kinds > 0) & (2 * g > kinds + 4 * np.sqrt(2 * kinds) + 8)
-    passed = (rest + prior) / (totals + prior)
-    level.back = np.log10(passed)
-    level.log_p = np.log10((level.counts + (rest + prior)[context] * q) / (totals[context] + prior))
-
-
-def _log_stream(tree: Tree, stream: np.ndarray, states: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """log10 probability of every place from its longest retained suffix."""
-    out = tree.log_root[stream]
-    for level, (before, entry) in zip(tree.levels, states, strict=True):
-        at = np.flatnonzero(before >= 0)
-        if not len(level.retained):
-            continue
-        at = at[level.retained[before[at]]]
-        e = entry[at]
-        out[at] = np.where(e >= 0, level.log_p[np.maximum(e, 0)] if len(level.log_p) else 0.0, out[at] + level.back[before[at]])
+class _Questions:
+    """What the texts of one batch ask of the lookup table: distinct keys in order of their buckets."""
+
+    def __init__(self, words: np.ndarray, first: np.ndarray, model: tuple, near: tuple, buckets: int) -> None:
+        _, _, _, depth, _, sieve = model
+        common, kept, values = near  # answers at hand: they are not asked for
+        self.stream, self.place = _with_ends(words, first)
+        self.word = np.flatnonzero((self.place > 0) & (self.stream != _END_HASH))
+        may = np.zeros(len(self.stream), bool)  # be rare
+        may[self.word] = common.find(self.stream[self.word]) < 0
+        parts, self.levels, open_ = [self.stream[self.word]], [], np.ones(len(self.stream), bool)
+        windows = list(zip(_windows(self.stream, depth), _windows(self.stream, depth, rare=True), strict=True))
+        for d in range(depth, 0, -1):
+            (context, suffix), (_, other) = windows.pop()
+            at = np.flatnonzero((self.place >= d) & open_)
+            at = at[sieve.maybe(context[at] ^ _CONTEXT)]
+            plain = _id(context[at], suffix[at]) ^ _ENTRY
+            hit = kept.find(plain)
+            done = at[hit >= 0], values[hit[hit >= 0]]  # shorter contexts do not matter there
+            open_[done[0]] = False
+            at, plain = at[hit < 0], plain[hit < 0]
+            key = context[at] ^ _CONTEXT
+            hit = kept.find(key)
+            back = at[hit >= 0], values[hit[hit >= 0]]
+            rare = _id(context[at], other[at]) ^ _ENTRY
+            has, has_rare = sieve.maybe(plain), may[at] & sieve.maybe(rare)
+            self.levels.append((done, back, at[hit < 0], at[has], at[has_rare]))
+            parts += [key[hit < 0], plain[has], rare[has_rare]]
+        self.sizes = [len(p) for p in parts]
+        keys, self.inverse = np.unique(np.concatenate(parts), return_inverse=True)
+        self.order, self.begin = _split(K.mix(keys), buckets)
+        self.keys = keys[self.order]
+        self.full = [b for b in range(buckets) if self.begin[b + 1] > self.begin[b]]
+
+    def evaluate(self, answers: np.ndarray, model: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """At each place: log10 probability by the tree and by the unigram model, and whether the word is known."""
+        unit, log_rare, least, _, ends, _ = model
+        values = np.empty(len(answers))
+        values[self.order] = answers
+        got = np.split(values[self.inverse], np.cumsum(self.sizes)[:-1])
+        n = len(self.stream)
+        counts = np.full(n, float(ends))
+        counts[self.word] = np.nan_to_num(got[0])
+        base = np.log10(counts + 1) + unit
+        is_rare = np.zeros(n, bool)
+        is_rare[self.word] = counts[self.word] < least
+        log = np.where(is_rare, log_rare, base)
+        for i in reversed(range(len(self.levels))):  # the longest contexts come last
+            done, known, at, has, has_rare = self.levels[i]
+            asked, plain, rare = got[1 + 3 * i : 4 + 3 * i]
+            back, entry = np.full(n, np.nan), np.full(n, np.nan)
+            back[at], back[known[0]] = asked, known[1]
+            entry[has] = np.where(is_rare[has], np.nan, plain)
+            entry[has_rare] = np.where(is_rare[has_rare], rare, entry[has_rare])
+            entry[done[0]] = done[1]
+            log = np.where(np.isnan(entry), log + np.nan_to_num(back), entry)
+        log += np.where(is_rare, base - log_rare, 0.0)
+        return log, base, counts > 0
+
+
+def _lookup(tree: Tree) -> DataFrame:
+    """Retained entries with their log probability and retained contexts with what they pass on: (key, value, n)."""
+    spark = tree.symbols.sparkSession
+    out = spark.createDataFrame([], "key long, value double, n long")
+    for entries, contexts in zip(tree.entries, tree.contexts, strict=True):
+        out = out.unionAll(entries.where("retained").select(F.col("id").bitwiseXOR(F.lit(_signed(_ENTRY))), "lp", "n"))
+        out = out.unionAll(contexts.where("retained").select(F.col("ctx").bitwiseXOR(F.lit(_signed(_CONTEXT))), "back", "total"))
     return out
 
 
+def _frequent(tree: Tree, lookup: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The part of the table that most texts ask for, sorted: of each level at most _COMMON entries and contexts."""
+    rows = lookup.where(F.col("n") >= tree.tokens / _COMMON).select("key", "value").toPandas()
+    keys = rows["key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], rows["value"].to_numpy(float)[order]
+
+
+def _near(common: np.ndarray, keys: np.ndarray, values: np.ndarray) -> tuple[K.Prober, K.Prober, np.ndarray]:
+    return K.Prober(common), K.Prober(keys), values
+
+
 def score(docs: DataFrame, text: Column, keep: list[str], tree: Tree, table: DataFrame, buckets: int) -> DataFrame:
     """Columns ``keep`` with n_tokens, n_known, base_score and score for every row.
 
@@ -333,96 +534,107 @@ def score(docs: DataFrame, text: Column, keep: list[str], tree: Tree, table: Dat
     """
     spark = docs.sparkSession
     keep = apart(keep, ["n_tokens", "n_known", "base_score", "score"])
-    bound_batches(spark, 8)
+    bound_batches(spark, 4)
     rows = docs.select(*[F.col(c) for c in keep], text.alias("__text"))
     kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    bound = spark.sparkContext.broadcast(tree)
+    lookup = _lookup(tree)
+    sieve = _sieve(lookup.select("key"), lookup.count())
+    bound = spark.sparkContext.broadcast(((tree.log_unit, tree.rare, tree.least, len(tree.entries), tree.ends, sieve), tree.common, *_frequent(tree, lookup)))
     names = ["bucket", "kind", "block", "data"]
     wire = "bucket int, kind int, block bigint, data binary"
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = bound.value
-        prober, probers = K.Prober(t.words), [_Spread(x.keys) for x in t.levels]
+        model, near = bound.value[0], _near(*bound.value[1:])
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             words, first = K.hashed(batch.column(len(keep)), K.BLANK)
-            symbols = t.symbols(words, prober)
-            stream, predicted = _with_ends(symbols, first)
-            log = _log_stream(t, stream, _states(t, stream, predicted, probers))
-            log[stream == RARE] -= t.log_root[RARE]
-            base = np.log10(t.counts + 1) + t.log_unit
-            base[RARE] = 0.0
-            begin = first[:-1] + 2 * np.arange(batch.num_rows) + 1
-            cuts = np.stack([begin, np.append(begin[1:] - 1, len(stream))], 1).ravel()[:-1] if batch.num_rows else np.zeros(0, np.int64)
-            known = (stream != RARE) & ((stream != END) | (t.counts[END] > 0))
-            sums = [np.add.reduceat(x, cuts)[::2] if len(cuts) else np.zeros(0) for x in (log, base[stream], known.astype(np.int64))]
-            own = pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.diff(first) + 1), *(pa.array(s) for s in sums)], [*keep, "n_tokens", "score", "base", "known"])
+            q = _Questions(words, first, model, near, buckets)
+            distinct, index = np.unique(words, return_inverse=True)
+            own = pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.diff(first))], [*keep, "n"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, own.schema) as w:
                 w.write_batch(own)
-            rare = np.flatnonzero(symbols == RARE)
-            row = np.repeat(np.arange(batch.num_rows, dtype=np.int32), np.diff(first))[rare]
-            hashes = words[rare]
-            order, cut = _split(K.mix(hashes), buckets)
-            hashes, row = hashes[order], row[order]
-            full = [b for b in range(buckets) if cut[b + 1] > cut[b]]
-            data = [hashes[cut[b] : cut[b + 1]].tobytes() + row[cut[b] : cut[b + 1]].tobytes() for b in full]
+            head = len(distinct).to_bytes(8, "little") + len(words).to_bytes(8, "little") + distinct.tobytes() + index.astype(np.int32).tobytes()
+            data = [q.keys[q.begin[b] : q.begin[b + 1]].tobytes() for b in q.full]
             home = block * 7919 % buckets
-            yield pa.RecordBatch.from_arrays([pa.array([*full, home], pa.int32()), pa.array([1] * len(full) + [2], pa.int32()), pa.array([block] * (len(full) + 1), pa.int64()), pa.array([*data, sink.getvalue().to_pybytes()], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([*q.full, home], pa.int32()), pa.array([1] * len(q.full) + [2], pa.int32()), pa.array([block] * (len(q.full) + 1), pa.int64()), pa.array([*data, head + sink.getvalue().to_pybytes()], pa.binary())], names)
             block += 1
 
+    def packed(bucket: list[int], data: list[bytes]) -> pa.RecordBatch:
+        n = len(data)
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array([0] * n, pa.int32()), pa.array([0] * n, pa.int64()), pa.array(data, pa.binary())], names)
+
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The table as rows of kind 0."""
+        """The counts as rows of kind 0: keys, then values."""
         for batch in batches:
-            data = [len(k).to_bytes(8, "little") + k + c for k, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            n = len(data)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([0] * n, pa.int32()), pa.array([0] * n, pa.int64()), pa.array(data, pa.binary())], names)
+            yield packed(batch.column(0).to_pylist(), [k + np.frombuffer(c, np.int64).astype(float).tobytes() for k, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)])
+
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Entries and contexts as rows of kind 0."""
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            keys, values = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            order, begin = _split(K.mix(keys), buckets)
+            keys, values = keys[order], values[order]
+            full = [b for b in range(buckets) if begin[b + 1] > begin[b]]
+            return packed(full, [keys[begin[b] : begin[b + 1]].tobytes() + values[begin[b] : begin[b + 1]].tobytes() for b in full])
+
+        for batch in batches:
+            waiting.append((batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(1).to_numpy(zero_copy_only=False)))
+            if sum(len(k) for k, _ in waiting) > _WAITING:
+                yield out()
+                waiting.clear()
+        if waiting:
+            yield out()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit = bound.value.log_unit
-        now, keys, counts = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        prober = K.Prober(keys)
+        now, parts, prober, values = None, [], None, np.zeros(0)
         for batch in batches:
             for bucket, kind, block, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if bucket != now:
-                    now, keys, counts = bucket, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-                    prober = K.Prober(keys)
+                    now, parts, prober = bucket, [], None
                 if kind == 0:
-                    n = int.from_bytes(data[:8], "little") // 8
-                    keys, counts = np.frombuffer(data, np.uint64, n, 8), np.frombuffer(data, np.int64, n, 8 + 8 * n)
-                    prober = K.Prober(keys)
+                    n = len(data) // 16
+                    parts.append((np.frombuffer(data, np.uint64, n), np.frombuffer(data, np.float64, n, 8 * n)))
                     continue
                 if kind == 1:
-                    n = len(data) // 12
-                    at = prober.find(np.frombuffer(data, np.uint64, n))
-                    row = np.frombuffer(data, np.int32, n, 8 * n)
-                    c = np.where(at >= 0, counts[np.maximum(at, 0)] if len(counts) else 0, 0)
-                    ids, inverse = np.unique(row, return_inverse=True)
-                    data = ids.astype(np.int64).tobytes() + np.bincount(inverse, np.log10(c + 1) + unit).tobytes() + np.bincount(inverse, c > 0).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([kind], pa.int32()), pa.array([block], pa.int64()), pa.array([data], pa.binary())], names)
+                    if prober is None:
+                        keys = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in parts)])
+                        order = np.argsort(keys)
+                        prober, values, parts = K.Prober(keys[order]), np.concatenate([np.zeros(0), *(v for _, v in parts)])[order], []
+                    at = prober.find(np.frombuffer(data, np.uint64))
+                    data = np.where(at >= 0, values[at] if len(values) else np.nan, np.nan).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([block], pa.int64()), pa.array([data], pa.binary())], names)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, add, more = None, None, None
+        model, near = bound.value[0], _near(*bound.value[1:])
+        own, got = None, {}
 
         def out() -> pa.RecordBatch:
-            n = len(keep)
-            return pa.RecordBatch.from_arrays([*own.columns[:n], own.column(n), pa.array(own.column(n + 3).to_numpy() + more), pa.array(own.column(n + 2).to_numpy() + add), pa.array(own.column(n + 1).to_numpy() + add)], [*keep, "n_tokens", "n_known", "base_score", "score"])
+            a, n = (int.from_bytes(own[i : i + 8], "little") for i in (0, 8))
+            words = np.frombuffer(own, np.uint64, a, 16)[np.frombuffer(own, np.int32, n, 16 + 8 * a)]
+            rest = pa.ipc.open_stream(pa.py_buffer(own[16 + 8 * a + 4 * n :])).read_next_batch()
+            sizes = rest.column(len(keep)).to_numpy()
+            first = np.concatenate([[0], np.cumsum(sizes)])
+            q = _Questions(words, first, model, near, buckets)
+            log, base, is_known = q.evaluate(np.concatenate([np.zeros(0), *(np.frombuffer(got[b], np.float64) for b in q.full)]), model)
+            begin = first[:-1] + 2 * np.arange(len(sizes)) + 1
+            cuts = np.stack([begin, np.append(begin[1:] - 1, len(q.stream))], 1).ravel()[:-1]
+            sums = [np.add.reduceat(x, cuts)[::2] for x in (is_known.astype(np.int64), base, log)]
+            return pa.RecordBatch.from_arrays([*rest.columns[: len(keep)], pa.array(sizes + 1), *(pa.array(s) for s in sums)], [*keep, "n_tokens", "n_known", "base_score", "score"])
 
         for batch in batches:
-            for kind, data in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for bucket, kind, data in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
                 if kind == 2:
                     if own is not None:
                         yield out()
-                    own = pa.ipc.open_stream(data).read_next_batch()
-                    add, more = np.zeros(own.num_rows), np.zeros(own.num_rows, np.int64)
+                    own, got = data, {}
                 else:
-                    x = np.frombuffer(data, np.int64)
-                    n = len(x) // 3
-                    add[x[:n]] += np.frombuffer(data, np.float64, n, 8 * n)
-                    more[x[:n]] += np.frombuffer(data, np.float64, n, 16 * n).astype(np.int64)
+                    got[bucket] = data
         if own is not None:
             yield out()
 
-    asked = rows.mapInArrow(ask, wire).unionAll(table.mapInArrow(known, wire))
+    asked = rows.mapInArrow(ask, wire).unionAll(table.select("bucket", "keys", "counts").mapInArrow(known, wire)).unionAll(lookup.select("key", "value").mapInArrow(learned, wire))
     answered = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answer, wire)
     return answered.repartition("block").sortWithinPartitions("block", F.desc("kind")).mapInArrow(join, f"{kept}, n_tokens bigint, n_known bigint, base_score double, score double")

@@ -265,6 +265,17 @@ def test_suffix_distribution_sums_to_one(spark):
             assert p.sum() == pytest.approx(1, abs=1e-6)
 
 
+def test_suffix_tree_keeps_what_occurs_often_enough_in_a_large_corpus(spark):
+    """Eight occurrences in twelve million tokens make symbols and contexts all the same."""
+    filler = spark.range(0, 1200, 1, 8).select(F.expr("repeat('the of ', 5000)").alias("text"))
+    seldom = spark.createDataFrame([("zig zag zog",)] * 8, "text string")
+    tree, table, buckets = suffix.fit(filler.unionAll(seldom), F.col("text"))
+    assert tree.tokens > 12_000_000 and sorted(tree.counts[3:].tolist())[:3] == [8, 8, 8]
+    assert 8 in tree.levels[0].counts and 8 in tree.levels[1].counts
+    got = suffix.score(seldom.limit(1), F.col("text"), ["text"], tree, table, buckets).first()
+    assert got.score > got.base_score + 10
+
+
 def test_suffix_odd_rows(spark):
     docs = odd(spark)
     for train in (docs, docs.limit(0)):
