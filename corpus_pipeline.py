@@ -52,12 +52,28 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where("predicted = 1").select(*rows.columns).toDF(*docs.columns)
 
 
+def _row_ids(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows with a number ``__row``: the doc_id, or one for each doc_id and text, in order of doc_ids, if a doc_id has several texts."""
+    id_ = F.col(key).cast("long")
+    code = F.xxhash64(text)
+    several = rows.where(id_.isNotNull()).groupBy(id_.alias("id")).agg(F.min(code).alias("a"), F.max(code).alias("z")).where("a != z")
+    if several.isEmpty():
+        return rows.withColumn("__row", id_)
+    named = rows.withColumn("__id", id_).withColumn("__text", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    pairs = named.where("__id IS NOT NULL").select("__id", "__text").distinct().repartitionByRange("__id", "__text").sortWithinPartitions("__id", "__text")
+    pairs = materialize(pairs.withColumn("__row", F.monotonically_increasing_id()), "pairs")
+    return named.join(pairs, ["__id", "__text"], "left").select(*rows.columns, "__row")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8 or more.
 
-    Of rows with the same doc_id one stays; rows without a doc_id stay.
+    Of rows with the same doc_id and text one stays; different texts of one
+    doc_id count as documents of their own; rows without a doc_id stay.
     """
     rows, key, text, _ = _aside(docs)
+    columns = rows.columns
+    rows, key = _row_ids(rows, key, text), "__row"
     groups = neardup.near_duplicates(rows, F.col(key), F.col(text), words=5, percent=80)
     fate = materialize(groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept")).where("n > 1 OR NOT kept"), "fate")
     gone = fate.where("NOT kept").select(F.col("doc_id").alias("__gone"))
@@ -67,7 +83,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not twice.isEmpty():
         same = F.col(key).cast("long") == F.col("__twice")
         left = left.join(twice, same, "left_anti").unionAll(left.join(twice, same, "left_semi").dropDuplicates([key]))
-    return left.toDF(*docs.columns)
+    return left.select(*columns).toDF(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,3 +79,10 @@ def test_odd_documents(spark, lang):
     kept = cp.near_dedup(spark, docs, SMALL).collect()
     assert sum(r.doc_id == 5 for r in kept) == 1 and sum(r.doc_id is None for r in kept) == 2
     assert not [r for r in cp.language(spark, docs, SMALL).collect() if r.doc_id in (1, 2, 3, 8)]
+
+
+def test_near_dedup_judges_each_text_of_a_repeated_id(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    docs = spark.createDataFrame([(3, b), (5, a), (5, b), (7, c), (7, d), (2, d), (7, c)], "doc_id long, text string")
+    for rows in (docs, docs.orderBy(F.desc("text"))):
+        assert sorted(tuple(r) for r in cp.near_dedup(spark, rows, SMALL).collect()) == sorted([(3, b), (5, a), (7, c), (2, d)])
