@@ -5,15 +5,21 @@
 2.  Texts with equal sets form one class; only its least id goes on.
 3.  Classes that share a band key are candidates.  Their connected components
     are the areas in which links can lie.
-4.  Inside an area all signatures are compared by bit counts, corrected for
-    chance collisions; pairs whose estimate is at most six deviations below
-    the threshold are confirmed by exact set sizes.  A union-find skips pairs
-    that are connected already, so a group of many copies costs one confirmed
-    link for each text, and only those links leave the task.
-5.  Areas of more than ``block`` classes are cut into blocks.  First every
-    block meets block 0; then all classes outside the area's largest
-    component meet every block.  That is exact: two classes that both belong
-    to the largest component need no link.
+4.  Inside an area of at most ``block`` classes all signatures are compared by
+    bit counts, corrected for chance collisions; pairs whose estimate is at
+    most six deviations below the threshold are confirmed by exact set sizes.
+    A union-find skips pairs that are connected already, so a group of many
+    copies costs one confirmed link for each text, and only those leave the task.
+5.  Larger areas are cut into blocks.  First every block meets a hub of few
+    classes, which links a group of copies at once.  Two classes that both
+    belong to the area's largest component need no link.  So if at most
+    ``block`` classes are outside it, these meet every block.
+6.  If more are outside, the area is a chain of pages with much text in common
+    but no link, and pairs are looked up by shingles instead: shingles are put
+    in order of how many of these classes hold them, and two similar sets must
+    share one among the first few of each, at places that leave room for
+    enough others.  What pages have in common comes last in that order, so
+    such pairs never meet, and the cost follows the number of shingles.
 
 With 32 bands of 5 a pair at similarity 0.85 lacks a common band with
 probability 7e-9, at 0.8 with 3e-6.
@@ -26,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm import kernels as K
@@ -115,7 +121,9 @@ def links_between(hasher: MinHash, left: Block, right: Block, percent: int) -> l
     forest, out = Forest(), []
     same = left is right
     estimate = hasher.estimate(left[2], right[2])
-    i, j = np.nonzero(estimate >= hasher.floor(percent / 100))
+    n, m = (np.array([len(s) for s in part[1]])[:, None] for part in (left, right))
+    near = 100 * np.minimum(n, m.T) >= percent * np.maximum(n, m.T)  # sets of such sizes can be alike
+    i, j = np.nonzero(near & (estimate >= hasher.floor(percent / 100)))
     keep = i < j if same else left[0][i] != right[0][j]
     i, j = i[keep], j[keep]
     order = np.argsort(-estimate[i, j], kind="stable")
@@ -273,36 +281,129 @@ def _pick(part: Block, ids: set[int]) -> Block:
     return part[0][at], [part[1][i] for i in at], part[2][at]
 
 
-def _between_blocks(big: DataFrame, links: DataFrame, areas: DataFrame, hasher: MinHash, percent: int, block: int) -> DataFrame:
-    """Links between the blocks of large areas, as steps 4 and 5 above say."""
-    pair = "a bigint, b bigint"
+HUB, CHUNK, STARS = 32, 64, 8  # classes of a hub; blocks that meet one copy of it; hubs of a shingle
+_PAIR = "a bigint, b bigint"
+_MEMBER = "area bigint, id bigint, n bigint, members binary"
+
+
+def _links_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
+
+
+def _against_all(heads: DataFrame, big: DataFrame, hasher: MinHash, percent: int) -> DataFrame:
+    """Links between ``heads(area, data)``, one block for an area, and all blocks of the area.
+
+    A copy of the head goes to every CHUNK blocks, so no area is one key.
+    """
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                left, right = _load(x), _load(y)
-                if ids is not None:
-                    left = _pick(left, set(ids))
-                found = links_between(hasher, left, right, percent)
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
-
-    def joined(jobs: DataFrame) -> DataFrame:
-        left = jobs.join(big.select("area", F.col("block").alias("i"), F.col("data").alias("x")), ["area", "i"])
-        both = left.join(big.select("area", F.col("block").alias("j"), F.col("data").alias("y")), ["area", "j"])
-        return both.select("x", "y", "ids").mapInArrow(meet, pair)
-
-    none = F.lit(None).cast("array<bigint>").alias("ids")
-    spread = materialize(joined(big.where("block > 0").select("area", F.lit(0).cast("long").alias("i"), F.col("block").alias("j"), none)), "spread")
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield _links_batch(links_between(hasher, _load(x), _load(y), percent))
+
+    last = big.groupBy("area").agg(F.floor(F.max("block") / CHUNK).alias("last"))
+    left = heads.join(last, "area").select("area", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("chunk"), F.col("data").alias("x"))
+    both = big.select("area", F.floor(F.col("block") / CHUNK).alias("chunk"), F.col("data").alias("y")).join(left, ["area", "chunk"])
+    return materialize(both.select("x", "y").mapInArrow(meet, _PAIR), "spread")
+
+
+def _between_blocks(big: DataFrame, links: DataFrame, areas: DataFrame, hasher: MinHash, percent: int, block: int) -> DataFrame:
+    """Links between the blocks of large areas, as steps 5 and 6 above say."""
+
+    def hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [_load(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_dump((p[0][:HUB], p[1][:HUB], p[2][:HUB])) for p in parts], pa.binary())], ["area", "data"])
+
+    spread = _against_all(big.where("block = 0").select("area", "data").mapInArrow(hub, "area bigint, data binary"), big, hasher, percent)
     large = big.select("area").distinct()
     inside = areas.join(F.broadcast(large), "area", "left_semi") if large.count() <= 100_000 else areas.join(large, "area", "left_semi")
-    blocks = big.groupBy("area").agg(F.count("*").alias("blocks"))
     found = components(links.unionByName(spread)).select(F.col("node").alias("class_id"), "component")
     state = inside.join(found, "class_id", "left").select("area", "class_id", F.coalesce("component", "class_id").alias("component"))
     state = materialize(state, "state")
-    most = state.groupBy("area", "component").count().groupBy("area").agg(F.max_by("component", F.struct("count", "component")).alias("most"))
-    rest = state.join(materialize(most, "most"), "area").where("component != most")
-    rest = rest.join(blocks, "area").select("area", "class_id", F.pmod(F.xxhash64("class_id"), F.col("blocks")).alias("i"), "blocks")
-    # as many ids as a block has at most, so the list of a job is bounded
-    jobs = rest.groupBy("area", "i", "blocks").agg(F.collect_list("class_id").alias("ids"))
-    jobs = materialize(jobs.select("area", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"), "ids"), "jobs")
-    return materialize(spread.unionByName(joined(jobs.select("area", "i", "j", "ids"))), "between")
+    most = state.groupBy("area", "component").count().groupBy("area").agg(F.max_by("component", F.struct("count", "component")).alias("most"), F.sum("count").alias("size"), F.max("count").alias("largest"))
+    most = materialize(most.withColumn("outside", F.col("size") - F.col("largest")).where("outside > 0"), "most")
+    rest = materialize(state.join(most, "area").where("component != most").select("area", "class_id", "outside"), "rest")
+    few, many = rest.where(F.col("outside") <= block), most.where(F.col("outside") > block).select("area")
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for area, data, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                part = _pick(_load(data), set(ids))
+                n = len(part[0])
+                yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array([area] * n, pa.int64()), pa.array([_dump((part[0][i : i + 1], part[1][i : i + 1], part[2][i : i + 1])) for i in range(n)], pa.binary())], ["id", "area", "data"])
+
+    def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for each in batch.column(1).to_pylist():
+                parts = [_load(x) for x in each]
+                out.append(_dump((np.concatenate([p[0] for p in parts]), [s for p in parts for s in p[1]], np.concatenate([p[2] for p in parts]))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["area", "data"])
+
+    out = spread
+    if not few.isEmpty():
+        sizes = big.groupBy("area").agg(F.count("*").alias("blocks"))
+        # no more than ``block`` ids of an area, so both lists are bounded
+        ids = few.join(sizes, "area").groupBy("area", F.pmod(F.xxhash64("class_id"), F.col("blocks")).alias("block")).agg(F.collect_list("class_id").alias("ids"))
+        chosen = big.join(ids, ["area", "block"]).select("area", "data", "ids").mapInArrow(pick, "id bigint, area bigint, data binary")
+        heads = chosen.groupBy("area").agg(F.collect_list("data").alias("parts")).mapInArrow(join_up, "area bigint, data binary")
+        out = out.unionByName(_against_all(heads, big, hasher, percent))
+    if not many.isEmpty():
+        out = out.unionByName(_by_shingles(big.join(many, "area", "left_semi"), rest, links.unionByName(out), percent))
+    return out
+
+
+def _by_shingles(blocks: DataFrame, rest: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Links between classes of the areas in ``blocks`` that ``links`` do not connect, by rare shingles (step 6)."""
+    p = percent
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for area, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids, sets, _ = _load(data)
+                yield pa.RecordBatch.from_arrays([pa.array([area] * len(ids), pa.int64()), pa.array(ids), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["area", "id", "n", "members"])
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                g = np.frombuffer(batch.column(3)[row].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), batch.column(i)[row].as_py())) for i in range(3)] + [pa.array(g)], ["area", "id", "n", "g"])
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
+            yield _links_batch([(a, b) for a, b, x, y in rows if alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)])
+
+    sets = materialize(blocks.select("area", "data").mapInArrow(members, _MEMBER), "members")
+    tokens = sets.mapInArrow(explode, "area bigint, id bigint, n bigint, g bigint")
+    held = tokens.join(rest.select(F.col("class_id").alias("id")), "id", "left_semi").groupBy("area", "g").agg(F.count("*").alias("df"))
+    # rarest first; shingles of no class outside the largest component come before all, and never meet
+    order = Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(0)), "g")
+    placed = tokens.join(held, ["area", "g"], "left").withColumn("i", F.row_number().over(order))
+    # overlap of sets of n and m members must reach p (n + m) / (100 + p): so many first shingles must be looked at for any partner, and for one that is no shorter
+    probe, index = F.expr(f"n - ({p} * n + 99) div 100 + 1"), F.expr(f"n - (2 * {p} * n + {99 + p}) div {100 + p} + 1")
+    # if a shingle is the first that two sets share, what follows it limits the size of the partner
+    cap = F.expr(f"((n - i + 1) * {100 + p}) div {p} - n")
+    first = placed.where((F.col("i") <= probe) & F.col("df").isNotNull()).select("area", "g", "id", "n", cap.alias("cap"), (F.col("i") <= index).alias("idx")).where(100 * F.col("cap") >= p * F.col("n"))
+    first = materialize(first, "first")
+    found = None
+    for stars in (True, False):  # first each class against a few of those that hold its shingle, then all that are still apart
+        known = components(links if found is None else links.unionByName(found)).select(F.col("node").alias("id"), F.col("component").alias("c"))
+        now = first.join(known, "id", "left").withColumn("c", F.coalesce("c", "id"))
+        bounds = [F.min(F.when(F.col("idx"), F.col("n"))).alias("least"), F.max(F.when(F.col("idx"), F.col("cap"))).alias("room"), F.min("c").alias("lo"), F.max("c").alias("hi")]
+        hubs = [F.min_by(F.struct("id", "n", "cap", "c"), F.when(F.col("idx"), F.xxhash64("id", F.lit(k)))).alias(f"h{k}") for k in range(STARS if stars else 0)]
+        groups = materialize(now.groupBy("area", "g").agg(*bounds, *hubs).where("lo != hi AND least IS NOT NULL"), "groups")
+        if groups.isEmpty():
+            break
+        near = now.join(groups, ["area", "g"]).where((F.col("cap") >= F.col("least")) & (F.col("n") <= F.col("room")))
+        if stars:
+            short = near.select("id", "n", "cap", "c", F.explode(F.array(*[f"h{k}" for k in range(STARS)])).alias("x")).select("id", "n", "cap", "c", *[F.col(f"x.{n}").alias(f"x_{n}") for n in ("id", "n", "cap", "c")])
+        else:
+            near = materialize(near.select("area", "g", "id", "n", "cap", "c", "idx"), "near")
+            short = near.join(near.where("idx").select("area", "g", *[F.col(n).alias(f"x_{n}") for n in ("id", "n", "cap", "c")]), ["area", "g"])
+        pairs = short.where("x_c != c AND x_n <= n AND n <= x_cap AND x_n <= cap").select(F.least("id", "x_id").alias("a"), F.greatest("id", "x_id").alias("b")).distinct()
+        both = materialize(pairs, "candidates").join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
+        new = materialize(both.select("a", "b", "x", "y").mapInArrow(confirm, _PAIR), "confirmed")
+        found = new if found is None else found.unionByName(new)
+    return links.limit(0) if found is None else found

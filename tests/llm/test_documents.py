@@ -336,6 +336,33 @@ def test_neardup_is_the_plain_one(spark, monkeypatch, block, ids, links):
     assert len(set(want.values())) < len(want)
 
 
+def pages(seed: int, share: tuple[int, ...]) -> list[tuple[int, str]]:
+    """Pages of one template with own words, in groups of near copies of different sizes."""
+    rng = random.Random(seed)
+    template = [f"t{i}" for i in range(60)]
+    out = []
+    for group in range(70):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice(share))]
+        at = rng.randint(0, 60)
+        for copy in range(rng.choice([1, 1, 1, 2, 5])):
+            out.append((len(out), " ".join([*template[:at], *own, *template[at:], *["x"] * copy])))
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("share", [(14,), (2, 4, 6, 8), (1, 5, 10, 20, 40)])
+def test_neardup_of_templated_pages(spark, monkeypatch, share):
+    ran = []
+    plain = neardup._by_shingles
+    monkeypatch.setattr(neardup, "_by_shingles", lambda *a: ran.append(1) or plain(*a))
+    monkeypatch.setattr(neardup, "HUB", 3)
+    docs = pages(len(share), share)
+    want = plain_groups(docs, 3, 85)
+    got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id"), F.col("text"), 3, 85, block=8).collect()
+    assert {r.doc_id: r.component_id for r in got} == want and ran
+    assert 1 < len(set(want.values())) < len(want)
+
+
 def test_neardup_odd_rows(spark):
     got = neardup.near_duplicates(odd(spark), F.col("doc_id"), F.col("text")).collect()
     assert len(got) == len(ODD)
