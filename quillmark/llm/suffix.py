@@ -9,12 +9,19 @@ diverges from that after its longest retained suffix by more than chance
 allows (a likelihood-ratio test).  Each retained context smooths into that
 suffix; at the root stands the add-one unigram model over all words seen.
 
+A retained entry (context, word) adds to a token's score what it says beyond
+the next shorter context; a retained context without the word adds what it
+passes on.  So a text's score is its unigram score plus a sum over places and
+depths, and every term can be looked up on its own.
+
 Nothing that grows with the corpus is collected or broadcast.  A run of words
 is known by a 64-bit id, made of the ids of its first and its last words but
 one: those are the context and the entry one level below that smooths it.
-Counts and levels stay in tables, cut into buckets by hash; runs travel to them
-in packed rows, one for each task and bucket.  Sieves of bounded size hold back
-most of the runs that are in no table; what passes by chance is sorted out there.
+Counts and levels stay in tables, cut into buckets by hash, as many as the
+bytes of text ask for; runs travel to them in packed rows, one for each batch
+and bucket, and what comes back are sums for each text.  Sieves of bounded
+size hold back most of the runs that are in no table; what passes by chance is
+sorted out there.  Texts are read once for each count and once for scoring.
 """
 
 from __future__ import annotations
@@ -38,8 +45,9 @@ RARE, END, START = 0, 1, 2  # symbols; words are numbered from 3 on
 _RARE_HASH, _END_HASH, _START_HASH = K.U64(0x5EED0FE4D0000003), K.U64(0x5EED0FE4D0000001), K.U64(0x5EED0FE4D0000005)
 _ENTRY, _CONTEXT = K.U64(0x3C6EF372FE94F82B), K.U64(0xA54FF53A5F1D36F1)  # tell the keys of one lookup table apart
 _WAITING, _FLUSH = 1_000_000, 4_000_000
+_BUCKET_BYTES, _BUCKETS_A_TASK = 6 << 20, 4  # bytes of text that make a bucket; buckets of one task
 _SIEVE_BITS = 28
-_COMMON = 1_000_000
+_COMMON, _NEAR = 1_000_000, 500_000  # words, and entries or contexts of a level, that go to all tasks
 _PACKED = "bucket int, keys binary, counts binary"
 
 
@@ -75,9 +83,11 @@ class Tree:
     rare: float  # log10 probability of the symbol of rare words at the root
     least: float  # count of a symbol or entry
     symbols: DataFrame  # id, n, lp
-    entries: list[DataFrame]  # of each level: id, ctx, sfx, n, lp, retained
+    entries: list[DataFrame]  # of each level: id, ctx, sfx, n, lp, lq (one level below), root (at the root), retained
     contexts: list[DataFrame]  # of each level: ctx, total, retained, back
     common: np.ndarray  # hashes of the most frequent symbols, sorted
+    common_n: np.ndarray  # and their counts
+    sieve: Sieve  # of all symbols
 
     @property
     def log_unit(self) -> float:
@@ -166,6 +176,8 @@ class _Runs:
         self.fold()
         keys, counts = self.sums
         order, begin = _split(K.mix(_whole(keys)), self.buckets)
+        if counts.max(initial=0) >= 1 << 32:
+            raise OverflowError("a run occurs 2 ** 32 times in one task: use more partitions")
         keys, counts = keys[:, order], counts[order].astype(np.uint32)
         full = [b for b in range(self.buckets) if begin[b + 1] > begin[b]]
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([keys[:, begin[b] : begin[b + 1]].tobytes() for b in full], pa.binary()), pa.array([counts[begin[b] : begin[b + 1]].tobytes() for b in full], pa.binary())], ["bucket", "keys", "counts"])
@@ -213,7 +225,18 @@ def _merged(packed: DataFrame, width: int, buckets: int, least: float = 1) -> Da
         if now is not None:
             yield out()
 
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, f"{_PACKED}, types bigint, tokens bigint")
+    return packed.repartition(_tasks(buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(merge, f"{_PACKED}, types bigint, tokens bigint")
+
+
+def _tasks(buckets: int) -> int:
+    return max(1, buckets // _BUCKETS_A_TASK)
+
+
+def _at_most(rows: DataFrame, n: Column, most: int) -> DataFrame:
+    """The rows with the largest n, as many as can be told apart by a power of two without more than ``most``."""
+    cuts = [1 << k for k in range(48)]
+    counts = rows.agg(*[F.count(F.when(n >= c, 1)) for c in cuts]).first()
+    return rows.where(n >= next((c for c, m in zip(cuts, counts, strict=True) if m <= most), 1 << 48))
 
 
 def _sieve(ids: DataFrame, n: int) -> Sieve:
@@ -268,7 +291,8 @@ def fit(texts: DataFrame, text: Column, depth: int = 2, floor: float = 0.0, supp
     spark = texts.sparkSession
     bound_batches(spark, 4)
     rows = texts.select(text.alias("text"))
-    buckets = max(64, 32 * math.isqrt(rows.rdd.getNumPartitions()))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(64, -(-size // _BUCKET_BYTES))
 
     def unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = _Runs(1, buckets)
@@ -289,14 +313,16 @@ def fit(texts: DataFrame, text: Column, depth: int = 2, floor: float = 0.0, supp
     lp = F.log10(F.col("n") + 1) + math.log10(unit)
     special = spark.createDataFrame([(_signed(_RARE_HASH), 0, math.log10(rare)), (_signed(_END_HASH), ends, math.log10((ends + 1) * unit)), (_signed(_START_HASH), ends, 0.0)], "id long, n long, lp double")
     symbols = counted.where(~is_end).select("id", "n", lp.alias("lp"), F.lit(False).alias("special")).unionAll(special.select("*", F.lit(True)))
-    common = counted.where(~is_end & (F.col("n") >= max(least, tokens / _COMMON))).select("id").toPandas()["id"].to_numpy(np.int64).view(np.uint64)  # at most _COMMON
-    tree = Tree(tokens, types, ends, math.log10(rare), least, symbols, [], [], np.sort(common))
-    before, size = symbols.select("id", "n", "lp"), kinds + 3
+    common = _at_most(counted.where(~is_end), F.col("n"), _COMMON).select("id", "n").toPandas()
+    ids = common["id"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(ids)
+    before, size = symbols.select("id", "n", "lp", F.col("lp").alias("root")), kinds + 3
     sieve0 = sieve = _sieve(before.select("id"), size)
+    tree = Tree(tokens, types, ends, math.log10(rare), least, symbols, [], [], ids[order], common["n"].to_numpy(np.int64)[order], sieve0)
     for d in range(1, depth + 1):
         bound = spark.sparkContext.broadcast((tree.common, sieve0, sieve))
         counted = materialize(_level(rows, table, bound, d, buckets, least), f"runs{d}")
-        a = _rows(counted, 2).select("id", "ctx", "sfx", "n").join(before.select(F.col("id").alias("sfx"), F.col("lp").alias("lq")), "sfx").withColumn("q", F.pow(F.lit(10.0), "lq"))
+        a = _rows(counted, 2).select("id", "ctx", "sfx", "n").join(before.select(F.col("id").alias("sfx"), F.col("lp").alias("lq"), "root"), "sfx").withColumn("q", F.pow(F.lit(10.0), "lq"))
         a = materialize(a, f"below{d}")
         sums = a.groupBy("ctx").agg(F.sum("n").alias("inside"), F.count("*").alias("kinds"), F.sum("q").alias("qs"), F.sum(F.col("n") * F.log(F.col("n") / F.col("q"))).alias("s"))
         sums = sums.join(before.select(F.col("id").alias("ctx"), F.col("n").alias("total")), "ctx").withColumn("rest", F.col("total") - F.col("inside"))
@@ -304,11 +330,11 @@ def fit(texts: DataFrame, text: Column, depth: int = 2, floor: float = 0.0, supp
         retained = 2 * g > F.col("kinds") + 4 * F.sqrt(2 * F.col("kinds")) + 8
         contexts = materialize(sums.select("ctx", "total", "rest", retained.alias("retained"), F.log10((F.col("rest") + prior) / (F.col("total") + prior)).alias("back")), f"contexts{d}")
         own = F.log10((F.col("n") + (F.col("rest") + prior) * F.col("q")) / (F.col("total") + prior))
-        entries = a.join(contexts, "ctx").select("id", "ctx", "sfx", "n", F.when(F.col("retained"), own).otherwise(F.col("lq")).alias("lp"), "retained")
+        entries = a.join(contexts, "ctx").select("id", "ctx", "sfx", "n", F.when(F.col("retained"), own).otherwise(F.col("lq")).alias("lp"), "lq", "root", "retained")
         entries = materialize(entries, f"level{d}")
         tree.entries.append(entries)
         tree.contexts.append(contexts.select("ctx", "total", "retained", "back"))
-        before = entries.select("id", "n", "lp")
+        before = entries.select("id", "n", "lp", "root")
         if d < depth:
             sieve = _sieve(before.select("id"), before.count())
         bound.unpersist()
@@ -402,7 +428,7 @@ def _level(rows: DataFrame, table: DataFrame, bound, d: int, buckets: int, least
 
     wire = "bucket int, kind int, data binary"
     asked = rows.mapInArrow(ask, wire).unionAll(table.select("bucket", "keys", "counts").mapInArrow(known, wire))
-    answered = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answer, _PACKED)
+    answered = asked.repartition(_tasks(buckets), "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answer, _PACKED)
     return _merged(rows.mapInArrow(direct, _PACKED).unionAll(answered), 2, buckets, least)
 
 
@@ -445,196 +471,267 @@ def _log(tree: Tree, context: np.ndarray, symbol: np.ndarray, depth: int) -> np.
     return out
 
 
-class _Questions:
-    """What the texts of one batch ask of the lookup table: distinct keys in order of their buckets."""
-
-    def __init__(self, words: np.ndarray, first: np.ndarray, model: tuple, near: tuple, buckets: int) -> None:
-        _, _, _, depth, _, sieve = model
-        common, kept, values = near  # answers at hand: they are not asked for
-        self.stream, self.place = _with_ends(words, first)
-        self.word = np.flatnonzero((self.place > 0) & (self.stream != _END_HASH))
-        may = np.zeros(len(self.stream), bool)  # be rare
-        may[self.word] = common.find(self.stream[self.word]) < 0
-        parts, self.levels, open_ = [self.stream[self.word]], [], np.ones(len(self.stream), bool)
-        windows = list(zip(_windows(self.stream, depth), _windows(self.stream, depth, rare=True), strict=True))
-        for d in range(depth, 0, -1):
-            (context, suffix), (_, other) = windows.pop()
-            at = np.flatnonzero((self.place >= d) & open_)
-            at = at[sieve.maybe(context[at] ^ _CONTEXT)]
-            plain = _id(context[at], suffix[at]) ^ _ENTRY
-            hit = kept.find(plain)
-            done = at[hit >= 0], values[hit[hit >= 0]]  # shorter contexts do not matter there
-            open_[done[0]] = False
-            at, plain = at[hit < 0], plain[hit < 0]
-            key = context[at] ^ _CONTEXT
-            hit = kept.find(key)
-            back = at[hit >= 0], values[hit[hit >= 0]]
-            rare = _id(context[at], other[at]) ^ _ENTRY
-            has, has_rare = sieve.maybe(plain), may[at] & sieve.maybe(rare)
-            self.levels.append((done, back, at[hit < 0], at[has], at[has_rare]))
-            parts += [key[hit < 0], plain[has], rare[has_rare]]
-        self.sizes = [len(p) for p in parts]
-        keys, self.inverse = np.unique(np.concatenate(parts), return_inverse=True)
-        self.order, self.begin = _split(K.mix(keys), buckets)
-        self.keys = keys[self.order]
-        self.full = [b for b in range(buckets) if self.begin[b + 1] > self.begin[b]]
-
-    def evaluate(self, answers: np.ndarray, model: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """At each place: log10 probability by the tree and by the unigram model, and whether the word is known."""
-        unit, log_rare, least, _, ends, _ = model
-        values = np.empty(len(answers))
-        values[self.order] = answers
-        got = np.split(values[self.inverse], np.cumsum(self.sizes)[:-1])
-        n = len(self.stream)
-        counts = np.full(n, float(ends))
-        counts[self.word] = np.nan_to_num(got[0])
-        base = np.log10(counts + 1) + unit
-        is_rare = np.zeros(n, bool)
-        is_rare[self.word] = counts[self.word] < least
-        log = np.where(is_rare, log_rare, base)
-        for i in reversed(range(len(self.levels))):  # the longest contexts come last
-            done, known, at, has, has_rare = self.levels[i]
-            asked, plain, rare = got[1 + 3 * i : 4 + 3 * i]
-            back, entry = np.full(n, np.nan), np.full(n, np.nan)
-            back[at], back[known[0]] = asked, known[1]
-            entry[has] = np.where(is_rare[has], np.nan, plain)
-            entry[has_rare] = np.where(is_rare[has_rare], rare, entry[has_rare])
-            entry[done[0]] = done[1]
-            log = np.where(np.isnan(entry), log + np.nan_to_num(back), entry)
-        log += np.where(is_rare, base - log_rare, 0.0)
-        return log, base, counts > 0
-
-
 def _lookup(tree: Tree) -> DataFrame:
-    """Retained entries with their log probability and retained contexts with what they pass on: (key, value, n)."""
-    spark = tree.symbols.sparkSession
-    out = spark.createDataFrame([], "key long, value double, n long")
-    for entries, contexts in zip(tree.entries, tree.contexts, strict=True):
-        out = out.unionAll(entries.where("retained").select(F.col("id").bitwiseXOR(F.lit(_signed(_ENTRY))), "lp", "n"))
-        out = out.unionAll(contexts.where("retained").select(F.col("ctx").bitwiseXOR(F.lit(_signed(_CONTEXT))), "back", "total"))
+    """Retained entries and contexts: (ctx, key, value, near, n); value is what they add, near what an entry adds to the root."""
+    out = tree.symbols.sparkSession.createDataFrame([], "ctx long, key long, value double, near double, n long, level int")
+    for d, (entries, contexts) in enumerate(zip(tree.entries, tree.contexts, strict=True)):
+        key = F.col("id").bitwiseXOR(F.lit(_signed(_ENTRY)))
+        out = out.unionAll(entries.where("retained").select("ctx", key, F.col("lp") - F.col("lq"), F.col("lp") - F.col("root"), "n", F.lit(2 * d)))
+        key = F.col("ctx").bitwiseXOR(F.lit(_signed(_CONTEXT)))
+        out = out.unionAll(contexts.where("retained").select("ctx", key, "back", "back", "total", F.lit(2 * d + 1)))
     return out
 
 
 def _frequent(tree: Tree, lookup: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The part of the table that most texts ask for, sorted: of each level at most _COMMON entries and contexts."""
-    rows = lookup.where(F.col("n") >= tree.tokens / _COMMON).select("key", "value").toPandas()
-    keys = rows["key"].to_numpy(np.int64).view(np.uint64)
+    """The part of the table that most texts ask for, sorted: of each level at most _NEAR entries and contexts."""
+    parts = [_at_most(lookup.where(F.col("level") == i), F.col("n"), _NEAR).select("key", "near").toPandas() for i in range(2 * len(tree.entries))]
+    keys = np.concatenate([np.zeros(0, np.int64), *(x["key"].to_numpy(np.int64) for x in parts)]).view(np.uint64)
+    values = np.concatenate([np.zeros(0), *(x["near"].to_numpy(float) for x in parts)])
     order = np.argsort(keys)
-    return keys[order], rows["value"].to_numpy(float)[order]
+    return keys[order], values[order]
+
+
+class _Scorer:
+    """What a task can add up by itself, and what it must ask for."""
+
+    def __init__(self, unit: float, depth: int, ends: int, symbols: Sieve, lookup: Sieve, common: np.ndarray, common_n: np.ndarray, near: np.ndarray, near_values: np.ndarray) -> None:
+        self.unit, self.depth, self.ends, self.symbols, self.lookup = unit, depth, ends, symbols, lookup
+        self.common, self.common_n = K.Prober(common), common_n
+        self.near, self.near_values = K.Prober(near), near_values
+
+    def batch(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, ...]]]:
+        """Sums (known, base, added) of each text, and by kind the questions: columns of numbers, the first of which gives the bucket."""
+        n = len(first) - 1
+        stream, place = _with_ends(words, first)
+        text = np.repeat(np.arange(n, dtype=np.int32), np.diff(first) + 2)
+        is_word = (place > 0) & (stream != _END_HASH)
+        at = np.flatnonzero(is_word)
+        found = self.common.find(stream[at])
+        hit, miss = at[found >= 0], at[found < 0]
+        base = np.log10(self.common_n[found[found >= 0]] + 1.0) + self.unit if len(hit) else np.zeros(0)
+        sums = np.zeros((3, n))
+        sums[0] = np.bincount(text[hit], minlength=n) + (self.ends > 0)
+        sums[1] = np.bincount(text[hit], base, n) + math.log10(self.ends + 1) + self.unit
+        maybe = self.symbols.maybe(stream[miss])
+        rare, unsure = np.zeros(len(stream), bool), np.zeros(len(stream), bool)
+        rare[miss[~maybe]] = unsure[miss[maybe]] = True
+        asked = {1: (stream[miss], text[miss])}
+
+        contexts, runs, run = [], [], stream
+        for _ in range(self.depth):
+            context = np.concatenate([run[:1], run[:-1]])  # the first place of a text has none
+            run = _id(context, run)
+            contexts.append(context)
+            runs.append(run)
+        other = np.full(len(miss), _RARE_HASH)  # the same runs with the symbol of rare words at the end
+        others = []
+        for context in contexts:
+            other = _id(context[miss], other)
+            others.append(other)
+        number = np.full(len(stream), -1)
+        number[miss] = np.arange(len(miss))
+
+        open_ = place > 0
+        plain, double = [], []
+        for d in range(self.depth, 0, -1):
+            context, run, other = contexts[d - 1], runs[d - 1], others[d - 1]
+            at = np.flatnonzero(open_ & (place >= d))
+            at = at[self.lookup.maybe(context[at] ^ _CONTEXT)]
+            key = run[at]
+            key[rare[at]] = other[number[at[rare[at]]]]
+            found = self.near.find(key ^ _ENTRY)
+            hit = found >= 0
+            sums[2] += np.bincount(text[at[hit]], self.near_values[found[hit]] if hit.any() else None, n)
+            open_[at[hit]] = False  # shorter contexts are in that value
+            at, key = at[~hit], key[~hit]
+            both = np.zeros(len(at), bool)
+            u = np.flatnonzero(unsure[at])
+            both[u] = self.lookup.maybe(other[number[at[u]]] ^ _ENTRY)
+            double.append((context[at[both]], run[at[both]], other[number[at[both]]], text[at[both]], at[both].astype(np.int32)))
+            at, key = at[~both], key[~both]
+            has = self.lookup.maybe(key ^ _ENTRY)
+            found = self.near.find(context[at] ^ _CONTEXT)
+            alone = ~has & (found >= 0)
+            sums[2] += np.bincount(text[at[alone]], self.near_values[found[alone]] if alone.any() else None, n)
+            at, key, has = at[~alone], key[~alone], has[~alone]
+            plain.append((context[at], np.where(has, key, K.U64(0)), text[at]))
+        asked[2] = tuple(np.concatenate(x) for x in zip(*plain, strict=True)) if plain else (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int32),)
+        if any(len(x[0]) for x in double):
+            asked[4] = tuple(np.concatenate(x) for x in zip(*double, strict=True))
+            which = np.unique(asked[4][4])
+            asked[3] = (stream[which], which)
+        return sums, asked
+
+
+def _pack_columns(columns: tuple[np.ndarray, ...]) -> bytes:
+    return len(columns[0]).to_bytes(8, "little") + b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+
+
+def _columns(data: bytes, kinds: tuple) -> list[np.ndarray]:
+    n, at, out = int.from_bytes(data[:8], "little"), 8, []
+    for kind in kinds:
+        out.append(np.frombuffer(data, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return out
 
 
-def _near(common: np.ndarray, keys: np.ndarray, values: np.ndarray) -> tuple[K.Prober, K.Prober, np.ndarray]:
-    return K.Prober(common), K.Prober(keys), values
+_U, _I, _D = np.uint64, np.int32, np.float64
+_ASKED = {1: (_U, _I), 2: (_U, _U, _I), 3: (_U, _I), 4: (_U, _U, _U, _I, _I)}  # words and texts; runs and texts; words and places; runs that are one of two
+_SAID = {1: (_I, _D, _D), 2: (_I, _D), 3: (_I, np.int8), 4: (_I, _I, _D, _D)}  # texts, known, base; texts, sums; places, rare; texts, places, either value
+
+
+def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[head], *(np.add.reduceat(v[order], head) if len(head) else v for v in values)
 
 
 def score(docs: DataFrame, text: Column, keep: list[str], tree: Tree, table: DataFrame, buckets: int) -> DataFrame:
     """Columns ``keep`` with n_tokens, n_known, base_score and score for every row.
 
-    ``keep`` may hold any columns, also null or repeated ones.
+    Null and empty texts hold one end token; rows may repeat, and ``keep`` may
+    hold any columns, also null ones.  Texts of any length are scored whole.
     """
     spark = docs.sparkSession
     keep = apart(keep, ["n_tokens", "n_known", "base_score", "score"])
     bound_batches(spark, 4)
     rows = docs.select(*[F.col(c) for c in keep], text.alias("__text"))
     kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    lookup = _lookup(tree)
+    lookup = materialize(_lookup(tree), "lookup")
     sieve = _sieve(lookup.select("key"), lookup.count())
-    bound = spark.sparkContext.broadcast(((tree.log_unit, tree.rare, tree.least, len(tree.entries), tree.ends, sieve), tree.common, *_frequent(tree, lookup)))
+    bound = spark.sparkContext.broadcast((tree.log_unit, len(tree.entries), tree.ends, tree.sieve, sieve, tree.common, tree.common_n, *_frequent(tree, lookup)))
+    unit, least = tree.log_unit, tree.least
     names = ["bucket", "kind", "block", "data"]
     wire = "bucket int, kind int, block bigint, data binary"
 
+    def packed(bucket: list[int], kind: list[int], block: list[int], data: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), pa.array(block, pa.int64()), pa.array(data, pa.binary())], names)
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, near = bound.value[0], _near(*bound.value[1:])
+        scorer = _Scorer(*bound.value)
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
+            if not batch.num_rows:
+                continue
             words, first = K.hashed(batch.column(len(keep)), K.BLANK)
-            q = _Questions(words, first, model, near, buckets)
-            distinct, index = np.unique(words, return_inverse=True)
-            own = pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.diff(first))], [*keep, "n"])
+            sums, asked = scorer.batch(words, first)
+            own = pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.diff(first) + 1), *(pa.array(x) for x in sums)], [*keep, "n", "known", "base", "added"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, own.schema) as w:
                 w.write_batch(own)
-            head = len(distinct).to_bytes(8, "little") + len(words).to_bytes(8, "little") + distinct.tobytes() + index.astype(np.int32).tobytes()
-            data = [q.keys[q.begin[b] : q.begin[b + 1]].tobytes() for b in q.full]
-            home = block * 7919 % buckets
-            yield pa.RecordBatch.from_arrays([pa.array([*q.full, home], pa.int32()), pa.array([1] * len(q.full) + [2], pa.int32()), pa.array([block] * (len(q.full) + 1), pa.int64()), pa.array([*data, head + sink.getvalue().to_pybytes()], pa.binary())], names)
+            bucket, kind, data = [block * 7919 % buckets], [9], [sink.getvalue().to_pybytes()]
+            for k, columns in asked.items():
+                order, begin = _split(K.mix(columns[0]), buckets)
+                columns = [c[order] if c.dtype.itemsize == 8 else c[order].astype(_I) for c in columns]
+                for b in np.flatnonzero(np.diff(begin)).tolist():
+                    bucket.append(b)
+                    kind.append(k)
+                    data.append(_pack_columns(tuple(c[begin[b] : begin[b + 1]] for c in columns)))
+            yield packed(bucket, kind, [block] * len(bucket), data)
             block += 1
 
-    def packed(bucket: list[int], data: list[bytes]) -> pa.RecordBatch:
-        n = len(data)
-        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array([0] * n, pa.int32()), pa.array([0] * n, pa.int64()), pa.array(data, pa.binary())], names)
-
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The counts as rows of kind 0: keys, then values."""
+        """Word counts as rows of kind -1."""
         for batch in batches:
-            yield packed(batch.column(0).to_pylist(), [k + np.frombuffer(c, np.int64).astype(float).tobytes() for k, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)])
+            data = [_pack_columns((np.frombuffer(k, _U), np.frombuffer(c, np.int64).astype(float))) for k, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield packed(batch.column(0).to_pylist(), [-1] * len(data), [0] * len(data), data)
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Entries and contexts as rows of kind 0."""
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        """Entries and contexts, in the bucket of the context, as rows of kind 0."""
+        waiting: list[tuple[np.ndarray, ...]] = []
 
         def out() -> pa.RecordBatch:
-            keys, values = (np.concatenate(x) for x in zip(*waiting, strict=True))
-            order, begin = _split(K.mix(keys), buckets)
+            context, keys, values = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            order, begin = _split(K.mix(context), buckets)
             keys, values = keys[order], values[order]
-            full = [b for b in range(buckets) if begin[b + 1] > begin[b]]
-            return packed(full, [keys[begin[b] : begin[b + 1]].tobytes() + values[begin[b] : begin[b + 1]].tobytes() for b in full])
+            full = np.flatnonzero(np.diff(begin)).tolist()
+            return packed(full, [0] * len(full), [0] * len(full), [_pack_columns((keys[begin[b] : begin[b + 1]], values[begin[b] : begin[b + 1]])) for b in full])
 
         for batch in batches:
-            waiting.append((batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(1).to_numpy(zero_copy_only=False)))
-            if sum(len(k) for k, _ in waiting) > _WAITING:
+            waiting.append(tuple(batch.column(i).to_numpy(zero_copy_only=False).view(t) for i, t in enumerate((_U, _U, _D))))
+            if sum(len(x[0]) for x in waiting) > _WAITING:
                 yield out()
                 waiting.clear()
         if waiting:
             yield out()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts, prober, values = None, [], None, np.zeros(0)
+        now, parts, tables = None, {}, {}
+
+        def find(kind: int, keys: np.ndarray) -> np.ndarray:
+            """Values of the bucket's words (-1) or runs (0); nan where there is none."""
+            if kind not in tables:
+                got = parts.pop(kind, [])
+                own = np.concatenate([np.zeros(0, _U), *(k for k, _ in got)])
+                order = np.argsort(own)
+                tables[kind] = K.Prober(own[order]), np.concatenate([np.zeros(0), *(v for _, v in got)])[order]
+            prober, values = tables[kind]
+            at = prober.find(keys)
+            return np.where(at >= 0, values[at], np.nan) if len(values) else np.full(len(keys), np.nan)
+
+        def runs(context: np.ndarray, run: np.ndarray) -> np.ndarray:
+            back = np.nan_to_num(find(0, context ^ _CONTEXT))
+            own = find(0, run ^ _ENTRY)
+            return np.where(np.isnan(own), back, own)
+
         for batch in batches:
+            out = []
             for bucket, kind, block, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if bucket != now:
-                    now, parts, prober = bucket, [], None
-                if kind == 0:
-                    n = len(data) // 16
-                    parts.append((np.frombuffer(data, np.uint64, n), np.frombuffer(data, np.float64, n, 8 * n)))
+                    now, parts, tables = bucket, {}, {}
+                if kind <= 0:
+                    parts.setdefault(kind, []).append(_columns(data, (_U, _D)))
                     continue
                 if kind == 1:
-                    if prober is None:
-                        keys = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in parts)])
-                        order = np.argsort(keys)
-                        prober, values, parts = K.Prober(keys[order]), np.concatenate([np.zeros(0), *(v for _, v in parts)])[order], []
-                    at = prober.find(np.frombuffer(data, np.uint64))
-                    data = np.where(at >= 0, values[at] if len(values) else np.nan, np.nan).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([block], pa.int64()), pa.array([data], pa.binary())], names)
+                    word, where = _columns(data, _ASKED[1])
+                    n = np.nan_to_num(find(-1, word))
+                    data = _pack_columns(_sum_by(where, (n > 0).astype(_D), np.log10(n + 1) + unit))
+                elif kind == 2:
+                    context, run, where = _columns(data, _ASKED[2])
+                    data = _pack_columns(_sum_by(where, runs(context, run)))
+                elif kind == 3:
+                    word, where = _columns(data, _ASKED[3])
+                    data = _pack_columns((where, (np.nan_to_num(find(-1, word)) < least).astype(np.int8)))
+                elif kind == 4:
+                    context, run, other, where, place = _columns(data, _ASKED[4])
+                    data = _pack_columns((where, place, runs(context, run), runs(context, other)))
+                out.append((bucket, kind, block, data))
+            if out:
+                yield packed(*(list(x) for x in zip(*out, strict=True)))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, near = bound.value[0], _near(*bound.value[1:])
-        own, got = None, {}
+        now, own, sums, seldom, two = None, None, None, [], []
 
         def out() -> pa.RecordBatch:
-            a, n = (int.from_bytes(own[i : i + 8], "little") for i in (0, 8))
-            words = np.frombuffer(own, np.uint64, a, 16)[np.frombuffer(own, np.int32, n, 16 + 8 * a)]
-            rest = pa.ipc.open_stream(pa.py_buffer(own[16 + 8 * a + 4 * n :])).read_next_batch()
-            sizes = rest.column(len(keep)).to_numpy()
-            first = np.concatenate([[0], np.cumsum(sizes)])
-            q = _Questions(words, first, model, near, buckets)
-            log, base, is_known = q.evaluate(np.concatenate([np.zeros(0), *(np.frombuffer(got[b], np.float64) for b in q.full)]), model)
-            begin = first[:-1] + 2 * np.arange(len(sizes)) + 1
-            cuts = np.stack([begin, np.append(begin[1:] - 1, len(q.stream))], 1).ravel()[:-1]
-            sums = [np.add.reduceat(x, cuts)[::2] for x in (is_known.astype(np.int64), base, log)]
-            return pa.RecordBatch.from_arrays([*rest.columns[: len(keep)], pa.array(sizes + 1), *(pa.array(s) for s in sums)], [*keep, "n_tokens", "n_known", "base_score", "score"])
+            known, base, added = sums
+            if two:
+                place, rare = (np.concatenate(x) for x in zip(*seldom, strict=True))
+                is_rare = np.zeros(int(place.max()) + 1, bool)
+                is_rare[place] = rare > 0
+                for where, at, plain, other in two:
+                    np.add.at(added, where, np.where(is_rare[at], other, plain))
+            return pa.RecordBatch.from_arrays([*own.columns[: len(keep) + 1], pa.array(known.astype(np.int64)), pa.array(base), pa.array(base + added)], [*keep, "n_tokens", "n_known", "base_score", "score"])
 
         for batch in batches:
-            for bucket, kind, data in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
-                if kind == 2:
+            for block, kind, data in zip(*(batch.column(i).to_pylist() for i in (2, 1, 3)), strict=True):
+                if block != now:
                     if own is not None:
                         yield out()
-                    own, got = data, {}
+                    now, seldom, two = block, [], []
+                    own = pa.ipc.open_stream(pa.py_buffer(data)).read_next_batch()  # kind 9 comes first
+                    sums = [own.column(len(keep) + i).to_numpy().copy() for i in (1, 2, 3)]
+                elif kind == 3:
+                    seldom.append(_columns(data, _SAID[3]))
+                elif kind == 4:
+                    two.append(_columns(data, _SAID[4]))
                 else:
-                    got[bucket] = data
+                    where, *values = _columns(data, _SAID[kind])
+                    for total, v in zip(sums[:2] if kind == 1 else sums[2:], values, strict=True):
+                        total[where] += v  # no text twice in one answer
         if own is not None:
             yield out()
 
-    asked = rows.mapInArrow(ask, wire).unionAll(table.select("bucket", "keys", "counts").mapInArrow(known, wire)).unionAll(lookup.select("key", "value").mapInArrow(learned, wire))
-    answered = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answer, wire)
+    asked = rows.mapInArrow(ask, wire).unionAll(table.select("bucket", "keys", "counts").mapInArrow(known, wire)).unionAll(lookup.select("ctx", "key", "value").mapInArrow(learned, wire))
+    answered = asked.repartition(_tasks(buckets), "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answer, wire)
     return answered.repartition("block").sortWithinPartitions("block", F.desc("kind")).mapInArrow(join, f"{kept}, n_tokens bigint, n_known bigint, base_score double, score double")
