@@ -232,6 +232,21 @@ def _tasks(buckets: int) -> int:
     return max(1, buckets // _BUCKETS_A_TASK)
 
 
+def _gather(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (long, sorted) and values (double) of a table of bounded size, packed by its tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, values = (np.ascontiguousarray(batch.column(i).to_numpy(zero_copy_only=False)).tobytes() for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array([keys], pa.binary()), pa.array([values], pa.binary())], ["keys", "values"])
+
+    got = rows.mapInArrow(run, "keys binary, values binary").collect()
+    keys = np.frombuffer(b"".join(bytes(r[0]) for r in got), np.uint64)
+    values = np.frombuffer(b"".join(bytes(r[1]) for r in got), np.float64)
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
 def _at_most(rows: DataFrame, n: Column, most: int) -> DataFrame:
     """The rows with the largest n, as many as can be told apart by a power of two without more than ``most``."""
     cuts = [1 << k for k in range(48)]
@@ -313,12 +328,10 @@ def fit(texts: DataFrame, text: Column, depth: int = 2, floor: float = 0.0, supp
     lp = F.log10(F.col("n") + 1) + math.log10(unit)
     special = spark.createDataFrame([(_signed(_RARE_HASH), 0, math.log10(rare)), (_signed(_END_HASH), ends, math.log10((ends + 1) * unit)), (_signed(_START_HASH), ends, 0.0)], "id long, n long, lp double")
     symbols = counted.where(~is_end).select("id", "n", lp.alias("lp"), F.lit(False).alias("special")).unionAll(special.select("*", F.lit(True)))
-    common = _at_most(counted.where(~is_end), F.col("n"), _COMMON).select("id", "n").toPandas()
-    ids = common["id"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(ids)
+    common, common_n = _gather(_at_most(counted.where(~is_end), F.col("n"), _COMMON).select("id", F.col("n").cast("double")))
     before, size = symbols.select("id", "n", "lp", F.col("lp").alias("root")), kinds + 3
     sieve0 = sieve = _sieve(before.select("id"), size)
-    tree = Tree(tokens, types, ends, math.log10(rare), least, symbols, [], [], ids[order], common["n"].to_numpy(np.int64)[order], sieve0)
+    tree = Tree(tokens, types, ends, math.log10(rare), least, symbols, [], [], common, common_n, sieve0)
     for d in range(1, depth + 1):
         bound = spark.sparkContext.broadcast((tree.common, sieve0, sieve))
         counted = materialize(_level(rows, table, bound, d, buckets, least), f"runs{d}")
@@ -484,9 +497,8 @@ def _lookup(tree: Tree) -> DataFrame:
 
 def _frequent(tree: Tree, lookup: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The part of the table that most texts ask for, sorted: of each level at most _NEAR entries and contexts."""
-    parts = [_at_most(lookup.where(F.col("level") == i), F.col("n"), _NEAR).select("key", "near").toPandas() for i in range(2 * len(tree.entries))]
-    keys = np.concatenate([np.zeros(0, np.int64), *(x["key"].to_numpy(np.int64) for x in parts)]).view(np.uint64)
-    values = np.concatenate([np.zeros(0), *(x["near"].to_numpy(float) for x in parts)])
+    parts = [_gather(_at_most(lookup.where(F.col("level") == i), F.col("n"), _NEAR).select("key", "near")) for i in range(2 * len(tree.entries))]
+    keys, values = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0))
     order = np.argsort(keys)
     return keys[order], values[order]
 
