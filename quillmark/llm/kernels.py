@@ -212,18 +212,34 @@ def lookup(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 class Prober:
-    """Membership lookups of many unsorted keys: a table on the top bits narrows the search first."""
+    """Membership lookups of many unsorted keys in sorted ones that are spread evenly, as hashes are.
+
+    A table on the top bits tells where keys that begin so lie: a run of one or
+    two, which is walked along.  Keys that crowd together are searched by halves.
+    """
 
     def __init__(self, sorted_keys: np.ndarray) -> None:
         self.keys = sorted_keys
-        bits = max(8, min(24, int(len(sorted_keys)).bit_length() + 3))
+        bits = max(8, min(24, int(len(sorted_keys)).bit_length() + 1))
         self.shift = U64(64 - bits)
-        self.seen = np.zeros(1 << bits, bool)
-        self.seen[(sorted_keys >> self.shift).astype(np.int64)] = True
+        heads = np.bincount((sorted_keys >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.longest = int(heads.max(initial=0))
+        self.begin = np.concatenate([[0], np.cumsum(heads)]).astype(np.int32)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
+        """Position of each key, or -1."""
         out = np.full(len(keys), -1, np.int64)
-        maybe = np.flatnonzero(self.seen[(keys >> self.shift).astype(np.int64)])
-        if len(maybe):
-            out[maybe] = lookup(self.keys, keys[maybe])
+        head = (keys >> self.shift).astype(np.int64)
+        at, end = self.begin[head], self.begin[head + 1]
+        left = np.flatnonzero(at < end)
+        if self.longest > 64:
+            out[left] = lookup(self.keys, keys[left])
+            return out
+        at, end, wanted = at[left], end[left], keys[left]
+        while len(left):
+            hit = self.keys[at] == wanted
+            out[left[hit]] = at[hit]
+            at = at + 1
+            go = np.flatnonzero(~hit & (at < end))
+            left, at, end, wanted = left[go], at[go], end[go], wanted[go]
         return out

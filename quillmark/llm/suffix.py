@@ -87,7 +87,8 @@ class Tree:
     contexts: list[DataFrame]  # of each level: ctx, total, retained, back
     common: np.ndarray  # hashes of the most frequent symbols, sorted
     common_n: np.ndarray  # and their counts
-    sieve: Sieve  # of all symbols
+    kinds: int  # how many symbols there are
+    sieve: Sieve  # of all of them
 
     @property
     def log_unit(self) -> float:
@@ -304,7 +305,7 @@ def fit(texts: DataFrame, text: Column, depth: int = 2, floor: float = 0.0, supp
     for that share of all tokens; it makes a smaller tree than the corpus gives.
     """
     spark = texts.sparkSession
-    bound_batches(spark, 4)
+    bound_batches(spark, 2)
     rows = texts.select(text.alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(64, -(-size // _BUCKET_BYTES))
@@ -331,9 +332,9 @@ def fit(texts: DataFrame, text: Column, depth: int = 2, floor: float = 0.0, supp
     common, common_n = _gather(_at_most(counted.where(~is_end), F.col("n"), _COMMON).select("id", F.col("n").cast("double")))
     before, size = symbols.select("id", "n", "lp", F.col("lp").alias("root")), kinds + 3
     sieve0 = sieve = _sieve(before.select("id"), size)
-    tree = Tree(tokens, types, ends, math.log10(rare), least, symbols, [], [], common, common_n, sieve0)
+    tree = Tree(tokens, types, ends, math.log10(rare), least, symbols, [], [], common, common_n, kinds, sieve0)
     for d in range(1, depth + 1):
-        bound = spark.sparkContext.broadcast((tree.common, sieve0, sieve))
+        bound = spark.sparkContext.broadcast((tree.common, len(tree.common) == kinds, sieve0, sieve))
         counted = materialize(_level(rows, table, bound, d, buckets, least), f"runs{d}")
         a = _rows(counted, 2).select("id", "ctx", "sfx", "n").join(before.select(F.col("id").alias("sfx"), F.col("lp").alias("lq"), "root"), "sfx").withColumn("q", F.pow(F.lit(10.0), "lq"))
         a = materialize(a, f"below{d}")
@@ -385,7 +386,7 @@ def _level(rows: DataFrame, table: DataFrame, bound, d: int, buckets: int, least
     """
 
     def places(batch: pa.RecordBatch) -> tuple:
-        common, sieve0, sieve = bound.value
+        common, all_, sieve0, sieve = bound.value
         stream, place = _with_ends(*K.hashed(batch.column(0), K.BLANK))
         *_, (context, suffix) = _windows(stream, d)
         *_, (_, other) = _windows(stream, d, rare=True)
@@ -394,21 +395,21 @@ def _level(rows: DataFrame, table: DataFrame, bound, d: int, buckets: int, least
         word = stream[at]
         plain = sieve.maybe(suffix[at])
         sure = word == _END_HASH
-        return common, sieve0, sieve, context[at], suffix[at], other[at], word, plain, sure
+        return common, all_, sieve0, sieve, context[at], suffix[at], other[at], word, plain, sure
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = _Runs(2, buckets)
+        runs, prober = _Runs(2, buckets), K.Prober(bound.value[0])
         for batch in batches:
-            _, sieve0, sieve, context, suffix, other, word, plain, sure = places(batch)
+            _, all_, sieve0, sieve, context, suffix, other, word, plain, sure = places(batch)
             yield from runs.add(np.stack([context[plain], suffix[plain]]))
-            rare = ~sure & ~sieve0.maybe(word) & sieve.maybe(other)
+            rare = ~sure & (prober.find(word) < 0 if all_ else ~sieve0.maybe(word)) & sieve.maybe(other)
             yield from runs.add(np.stack([context[rare], other[rare]]))
         yield from runs.out()
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prober = K.Prober(bound.value[0])
         for batch in batches:
-            _, sieve0, sieve, context, _, other, word, _, sure = places(batch)
+            _, _, sieve0, sieve, context, _, other, word, _, sure = places(batch)
             at = np.flatnonzero(~sure & sieve0.maybe(word) & sieve.maybe(other))
             at = at[prober.find(word[at]) < 0]
             order, begin = _split(K.mix(word[at]), buckets)
@@ -439,6 +440,8 @@ def _level(rows: DataFrame, table: DataFrame, bound, d: int, buckets: int, least
                 yield from runs.add(np.stack([context[rare], other[rare]]))
         yield from runs.out()
 
+    if bound.value[1]:  # all symbols are at hand: no word may be either
+        return _merged(rows.mapInArrow(direct, _PACKED), 2, buckets, least)
     wire = "bucket int, kind int, data binary"
     asked = rows.mapInArrow(ask, wire).unionAll(table.select("bucket", "keys", "counts").mapInArrow(known, wire))
     answered = asked.repartition(_tasks(buckets), "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answer, _PACKED)
@@ -506,8 +509,9 @@ def _frequent(tree: Tree, lookup: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 class _Scorer:
     """What a task can add up by itself, and what it must ask for."""
 
-    def __init__(self, unit: float, depth: int, ends: int, symbols: Sieve, lookup: Sieve, common: np.ndarray, common_n: np.ndarray, near: np.ndarray, near_values: np.ndarray) -> None:
+    def __init__(self, unit: float, depth: int, ends: int, complete: bool, symbols: Sieve, lookup: Sieve, common: np.ndarray, common_n: np.ndarray, near: np.ndarray, near_values: np.ndarray) -> None:
         self.unit, self.depth, self.ends, self.symbols, self.lookup = unit, depth, ends, symbols, lookup
+        self.complete = complete  # all symbols are among the common ones
         self.common, self.common_n = K.Prober(common), common_n
         self.near, self.near_values = K.Prober(near), near_values
 
@@ -524,7 +528,7 @@ class _Scorer:
         sums = np.zeros((3, n))
         sums[0] = np.bincount(text[hit], minlength=n) + (self.ends > 0)
         sums[1] = np.bincount(text[hit], base, n) + math.log10(self.ends + 1) + self.unit
-        maybe = self.symbols.maybe(stream[miss])
+        maybe = np.zeros(len(miss), bool) if self.complete else self.symbols.maybe(stream[miss])
         rare, unsure = np.zeros(len(stream), bool), np.zeros(len(stream), bool)
         rare[miss[~maybe]] = unsure[miss[maybe]] = True
         asked = {1: (stream[miss], text[miss])}
@@ -607,12 +611,12 @@ def score(docs: DataFrame, text: Column, keep: list[str], tree: Tree, table: Dat
     """
     spark = docs.sparkSession
     keep = apart(keep, ["n_tokens", "n_known", "base_score", "score"])
-    bound_batches(spark, 4)
+    bound_batches(spark, 2)
     rows = docs.select(*[F.col(c) for c in keep], text.alias("__text"))
     kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
     lookup = materialize(_lookup(tree), "lookup")
     sieve = _sieve(lookup.select("key"), lookup.count())
-    bound = spark.sparkContext.broadcast((tree.log_unit, len(tree.entries), tree.ends, tree.sieve, sieve, tree.common, tree.common_n, *_frequent(tree, lookup)))
+    bound = spark.sparkContext.broadcast((tree.log_unit, len(tree.entries), tree.ends, len(tree.common) == tree.kinds, tree.sieve, sieve, tree.common, tree.common_n, *_frequent(tree, lookup)))
     unit, least = tree.log_unit, tree.least
     names = ["bucket", "kind", "block", "data"]
     wire = "bucket int, kind int, block bigint, data binary"
