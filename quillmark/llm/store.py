@@ -11,9 +11,11 @@ from quillmark.session import ship
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset."""
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset and all tasks run on this machine."""
     got = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         got = "file://" + tempfile.mkdtemp(prefix="quillmark-")
         spark.sparkContext.setCheckpointDir(got)
     path = spark._jvm.org.apache.hadoop.fs.Path(got)
@@ -33,11 +35,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        folders, base = {f.rpartition("/")[0] for f in t.inputFiles()}, shared_dir(spark)
+        for folder in folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+            whole = system.makeQualified(path)
+            if whole.getParent().toString().rstrip("/") == base:  # nothing but our own tables
+                system.delete(whole, True)
+
+
 def bound_batches(spark: SparkSession, mb: int = 16) -> None:
     """Make the session fit for Python stages.
 
     Executors get this package, and Arrow batches stay small in bytes, so that
-    very long texts do not pile up in one batch.
+    very long texts do not pile up in one batch.  Plans are run after the
+    operator returns, so the session keeps these two settings; a caller who
+    wants larger batches again sets them again.
     """
     ship(spark)
     for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20), ("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)):

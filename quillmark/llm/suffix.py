@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import kernels as K
-from quillmark.llm.store import apart, bound_batches, materialize
+from quillmark.llm.store import apart, bound_batches, discard, materialize
 
 RARE, END, START = 0, 1, 2  # symbols; words are numbered from 3 on
 _RARE_HASH, _END_HASH, _START_HASH = K.U64(0x5EED0FE4D0000003), K.U64(0x5EED0FE4D0000001), K.U64(0x5EED0FE4D0000005)
@@ -146,10 +146,13 @@ def _id(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
     return K.mix(context * K._MULT + suffix)
 
 
-def _split(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order that groups hashes by bucket, and where each bucket begins (buckets + 1 values)."""
-    number = ((hashes >> K.U64(32)) % K.U64(buckets)).astype(np.int64)
-    order = np.argsort(number, kind="stable")
+def _split(hashes: np.ndarray, buckets: int, then: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """An order that groups hashes by bucket, and where each bucket begins (buckets + 1 values).
+
+    Inside a bucket rows follow ``then``, so that equal values lie together and shrink when compressed.
+    """
+    number = ((hashes >> K.U64(32)) % K.U64(buckets)).astype(np.uint32)
+    order = np.argsort(number, kind="stable") if then is None else np.lexsort((then, number))
     return order, np.searchsorted(number[order], np.arange(buckets + 1))
 
 
@@ -176,7 +179,7 @@ class _Runs:
     def out(self) -> Iterator[pa.RecordBatch]:
         self.fold()
         keys, counts = self.sums
-        order, begin = _split(K.mix(_whole(keys)), self.buckets)
+        order, begin = _split(K.mix(_whole(keys)), self.buckets, keys[0] if self.width > 1 else None)
         if counts.max(initial=0) >= 1 << 32:
             raise OverflowError("a run occurs 2 ** 32 times in one task: use more partitions")
         keys, counts = keys[:, order], counts[order].astype(np.uint32)
@@ -346,6 +349,7 @@ def fit(texts: DataFrame, text: Column, depth: int = 2, floor: float = 0.0, supp
         own = F.log10((F.col("n") + (F.col("rest") + prior) * F.col("q")) / (F.col("total") + prior))
         entries = a.join(contexts, "ctx").select("id", "ctx", "sfx", "n", F.when(F.col("retained"), own).otherwise(F.col("lq")).alias("lp"), "lq", "root", "retained")
         entries = materialize(entries, f"level{d}")
+        discard(counted, a)
         tree.entries.append(entries)
         tree.contexts.append(contexts.select("ctx", "total", "retained", "back"))
         before = entries.select("id", "n", "lp", "root")
@@ -614,7 +618,7 @@ def score(docs: DataFrame, text: Column, keep: list[str], tree: Tree, table: Dat
     bound_batches(spark, 2)
     rows = docs.select(*[F.col(c) for c in keep], text.alias("__text"))
     kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    lookup = materialize(_lookup(tree), "lookup")
+    lookup = _lookup(tree)
     sieve = _sieve(lookup.select("key"), lookup.count())
     bound = spark.sparkContext.broadcast((tree.log_unit, len(tree.entries), tree.ends, len(tree.common) == tree.kinds, tree.sieve, sieve, tree.common, tree.common_n, *_frequent(tree, lookup)))
     unit, least = tree.log_unit, tree.least
@@ -638,7 +642,7 @@ def score(docs: DataFrame, text: Column, keep: list[str], tree: Tree, table: Dat
                 w.write_batch(own)
             bucket, kind, data = [block * 7919 % buckets], [9], [sink.getvalue().to_pybytes()]
             for k, columns in asked.items():
-                order, begin = _split(K.mix(columns[0]), buckets)
+                order, begin = _split(K.mix(columns[0]), buckets, columns[0])
                 columns = [c[order] if c.dtype.itemsize == 8 else c[order].astype(_I) for c in columns]
                 for b in np.flatnonzero(np.diff(begin)).tolist():
                     bucket.append(b)
