@@ -1,15 +1,15 @@
 """Language identification by hyperdimensional profiles.
 
-Every letter owns a random vector of +1/-1.  A letter trigram is the product
-(binding) of its letters' vectors, each rotated (permuted) by its distance
-from the end; a text is the sum (bundling) of its trigrams; a language is the
-sum over its training texts.  A text is compared with every language by
-cosine.
-
-The item memory is a pure function of the seed, so workers build it locally
-and nothing but the language vectors (languages x dimensions numbers) is
-broadcast.  Training adds vectors up inside each task first and sums them with
-one aggregation on (language, component).
+Every letter owns a random vector of +1/-1, drawn from a hash of its code
+point.  A letter trigram is the product (binding) of its letters' vectors,
+each rotated (permuted) by its distance from the end; a text is the sum
+(bundling) of its trigrams; a language is the sum over its training texts.  A
+text is compared with every language by cosine.
+
+Letter vectors are a pure function of seed and letter, so workers make those
+they meet, and nothing but the language vectors (languages x dimensions
+numbers) is broadcast.  Training adds vectors up inside each task first and
+sums them with one aggregation on (language, component).
 """
 
 from __future__ import annotations
@@ -22,44 +22,59 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.llm import kernels as K
 from quillmark.llm.store import apart, bound_batches
 
-LETTERS = 40
 UNDETERMINED = "und"
-_SLAB = 400_000
+MOST_LANGUAGES = 2_000  # prototypes that may be collected and broadcast
+_TABLE = 0x3000
+_BITS = 21  # of a code point in a trigram's code
+_PIECE = 2048  # trigrams bound at once
 
 
-@lru_cache(maxsize=1)
-def alphabet() -> np.ndarray:
-    """Letter class of every code point below 0x3000: 0 for what is no letter, a-z 1 to 26, others hashed to 27 to 39."""
-    table = np.zeros(0x3000, np.uint8)
-    for cp in range(len(table)):
-        c = chr(cp)
-        if c.isalpha():
-            low = c.lower()[0]
-            table[cp] = ord(low) - 96 if "a" <= low <= "z" else 27 + (ord(low) * 2654435761 >> 8) % (LETTERS - 27)
-    return table
+def _letter(cp: int) -> int:
+    """The lower case of a letter, as a code point; 0 for what is no letter."""
+    c = chr(cp)
+    return ord(c.lower()[0]) if c.isalpha() else 0
 
 
 @lru_cache(maxsize=1)
-def item_memory(dims: int, seed: int) -> np.ndarray:
-    """Vectors of all letter trigrams, int8, indexed by (a * LETTERS + b) * LETTERS + c."""
-    letters = np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (LETTERS, dims))
-    pairs = np.roll(letters, 2, axis=1)[:, None, :] * np.roll(letters, 1, axis=1)[None, :, :]
-    return (pairs[:, :, None, :] * letters[None, None, :, :]).reshape(-1, dims)
+def alphabet() -> np.ndarray:
+    """``_letter`` of every code point below 0x3000."""
+    return np.array([_letter(cp) for cp in range(_TABLE)], np.int64)
+
+
+def letter_vectors(letters: np.ndarray, dims: int, seed: int) -> np.ndarray:
+    """int8, letters x dims: each letter's own vector of +1/-1 (0, the gap between words, has one too)."""
+    words = -(-dims // 64)
+    with np.errstate(over="ignore"):
+        at = letters.astype(np.uint64)[:, None] * K.U64(words) + np.arange(words, dtype=np.uint64)
+        bits = K.mix(K.mix(at + K.U64(seed) * K._MULT) + K._MULT)
+    return (np.unpackbits(bits.view(np.uint8), axis=1)[:, :dims].astype(np.int8) << 1) - np.int8(1)
+
+
+def bind(codes: np.ndarray, dims: int, seed: int) -> np.ndarray:
+    """int8, trigrams x dims: the product of the rotated letter vectors."""
+    mask = (1 << _BITS) - 1
+    places = [codes >> (2 * _BITS), (codes >> _BITS) & mask, codes & mask]
+    letters = np.unique(np.concatenate(places))
+    vectors = letter_vectors(letters, dims, seed)
+    out = np.ones((len(codes), dims), np.int8)
+    for turn, at in zip((2, 1, 0), places, strict=True):
+        out *= np.roll(vectors, turn, axis=1)[np.searchsorted(letters, at)]
+    return out
 
 
-def _classes(text: str) -> np.ndarray:
-    """Letter classes of a text, runs of non-letters as one 0, a 0 at both ends."""
+def _letters(text: str) -> np.ndarray:
+    """Letters of a text in lower case, runs of non-letters as one 0, a 0 at both ends."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     table = alphabet()
-    far = codes >= len(table)
-    out = np.zeros(len(codes) + 2, np.uint8)
+    out = np.zeros(len(codes) + 2, np.int64)
+    far = codes >= _TABLE
     if far.any():
-        near = table[np.where(far, 0, codes)]
-        spots = np.flatnonzero(far)
-        near[spots] = [27 + (ord(c.lower()[0]) * 2654435761 >> 8) % (LETTERS - 27) if (c := chr(codes[i])).isalpha() else 0 for i in spots]
-        out[1:-1] = near
+        out[1:-1] = table[np.where(far, 0, codes)]
+        distinct, index = np.unique(codes[far], return_inverse=True)
+        out[1:-1][far] = np.array([_letter(int(c)) for c in distinct], np.int64)[index]
     else:
         out[1:-1] = table[codes]
     keep = np.ones(len(out), bool)
@@ -69,34 +84,24 @@ def _classes(text: str) -> np.ndarray:
 
 def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct trigram codes of a text and their counts; none if it has no letter."""
-    if not text:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    c = _classes(text).astype(np.int32)
+    c = _letters(text) if text else np.zeros(0, np.int64)
     if not c.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    codes = (c[:-2] * LETTERS + c[1:-1]) * LETTERS + c[2:]
-    if len(codes) > 20_000:
-        counts = np.bincount(codes, minlength=LETTERS**3)
-        at = np.flatnonzero(counts)
-        return at, counts[at]
-    codes = np.sort(codes)
-    head = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-    return codes[head].astype(np.int64), np.diff(np.concatenate([head, [len(codes)]]))
+    return K.tally((c[:-2] << (2 * _BITS)) | (c[1:-1] << _BITS) | c[2:])
 
 
 def bundles(texts: list[str | None], dims: int, seed: int) -> np.ndarray:
     """One vector for each text (rows of zeros where there is no letter)."""
-    memory = item_memory(dims, seed)
     grams = [trigrams(t) for t in texts]
     used = np.unique(np.concatenate([g for g, _ in grams])) if grams else np.zeros(0, np.int64)
     out = np.zeros((len(texts), dims), np.float64)
-    for lo in range(0, len(used), 4096):  # bounded pieces of the item memory as floats
-        part = used[lo : lo + 4096]
+    for lo in range(0, len(used), _PIECE):
+        part = used[lo : lo + _PIECE]
         weights = np.zeros((len(texts), len(part)), np.float32)
         for i, (g, n) in enumerate(grams):
-            a, b = np.searchsorted(g, [part[0], part[-1] + 1])
+            a, b = np.searchsorted(g, part[0]), np.searchsorted(g, part[-1], side="right")
             weights[i, np.searchsorted(part, g[a:b])] = n[a:b]
-        out += weights @ memory[part].astype(np.float32)
+        out += weights @ bind(part, dims, seed).astype(np.float32)
     return out
 
 
@@ -114,33 +119,38 @@ def _groups(texts: list[str | None], most: int = 96, chars: int = 1_000_000) ->
 def fit(docs: DataFrame, text: Column, lang: Column, dims: int = 1024, seed: int = 7) -> dict[str, np.ndarray]:
     """Language vectors from all rows with a text and a language; unit length.
 
-    Each text counts with its own length, so long and short ones weigh by their letters.
+    Each text counts with its own length, so long and short ones weigh by their
+    letters; repeated rows count each.  Without rows there is no language.
+    More than MOST_LANGUAGES names raise an error, as prototypes are collected.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
-        counts: dict[str, np.ndarray] = {}
+        counts: dict[str, tuple[list, list]] = {}
         for batch in batches:
-            for t, lang_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for t, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 g, n = trigrams(t)
                 if len(g):
-                    counts.setdefault(lang_, np.zeros(LETTERS**3, np.int64))[g] += n
-        memory = item_memory(dims, seed)
-        for lang_, c in counts.items():
-            at = np.flatnonzero(c)
-            sums[lang_] = np.zeros(dims, np.int64)
-            for lo in range(0, len(at), 4096):
-                part = at[lo : lo + 4096]
-                sums[lang_] += np.rint(c[part].astype(np.float64) @ memory[part].astype(np.float64)).astype(np.int64)
-        item_memory.cache_clear()  # 64 MB that other stages' tasks in this worker have better use for
-        for lang_, v in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang_] * dims), pa.array(np.arange(dims, dtype=np.int32)), pa.array(v)], ["lang", "dim", "value"])
+                    keys, sizes = counts.setdefault(name, ([], []))
+                    keys.append(g)
+                    sizes.append(n)
+                    if len(keys) >= 256:
+                        k, c = K.tally(np.concatenate(keys), np.concatenate(sizes))
+                        counts[name] = ([k], [c])
+        for name, (keys, sizes) in counts.items():
+            k, c = K.tally(np.concatenate(keys), np.concatenate(sizes))
+            total = np.zeros(dims, np.int64)
+            for lo in range(0, len(k), _PIECE):
+                total += np.rint(c[lo : lo + _PIECE].astype(np.float64) @ bind(k[lo : lo + _PIECE], dims, seed).astype(np.float64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * dims), pa.array(np.arange(dims, dtype=np.int32)), pa.array(total)], ["lang", "dim", "value"])
 
     bound_batches(docs.sparkSession)
     rows = docs.select(text.alias("text"), lang.alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    parts = rows.mapInArrow(partial, "lang string, dim int, value bigint")
+    sums = rows.mapInArrow(partial, "lang string, dim int, value bigint").groupBy("lang", "dim").agg(F.sum("value").alias("value"))
+    got = sums.limit(MOST_LANGUAGES * dims + 1).collect()
+    if len(got) > MOST_LANGUAGES * dims:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     out: dict[str, np.ndarray] = {}
-    for r in parts.groupBy("lang", "dim").agg(F.sum("value").alias("value")).collect():  # languages x dims numbers
+    for r in got:
         out.setdefault(r.lang, np.zeros(dims))[r.dim] = r.value
     return {k: v / np.linalg.norm(v) for k, v in sorted(out.items()) if np.linalg.norm(v)}
 
@@ -154,6 +164,7 @@ def identify(docs: DataFrame, text: Column, profiles: dict[str, np.ndarray], kee
     gives way to it.
     """
     keep = apart(keep, ["lang_pred", "score"])
+    bound_batches(docs.sparkSession)
     names = list(profiles)
     matrix = np.array([profiles[n] for n in names]).T.reshape(dims, len(names))
     bound = docs.sparkSession.sparkContext.broadcast((names, matrix))
@@ -177,6 +188,5 @@ def identify(docs: DataFrame, text: Column, profiles: dict[str, np.ndarray], kee
                 cos[i:j] = np.where(some, c.max(axis=1), 0)
             pred = pa.array([names[b] if b >= 0 else UNDETERMINED for b in best], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pred, pa.array(np.clip(cos, 0.0, 1.0))], [*keep, "lang_pred", "score"])
-        item_memory.cache_clear()
 
     return kept.mapInArrow(score, schema)
