@@ -168,15 +168,21 @@ def learn(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 40, depth
 
 
 def fit(docs: DataFrame, doc_id: Column, text: Column, labels: DataFrame, label_id: Column, label: Column, sample: int = 20_000) -> RuleModel:
-    """A model from at most ``sample`` labelled rows, those with the least hash of their id.
+    """A model from at most ``sample`` labelled ids, those with the least hash of their id.
 
-    Labels other than 0 and 1, null ids and ids without a document are passed
-    over.  ``sample`` bounds what is broadcast and what reaches the driver.
+    Labels other than 0 and 1, null ids, ids without a document and ids with
+    both labels are passed over; an id counts once however often its label is
+    repeated.  If several documents have one id, that with the least statistics
+    stands for it.  So the model depends on the rows alone, not on their order
+    or partitions.  ``sample`` bounds what is broadcast and what reaches the driver.
     """
-    chosen = labels.select(label_id.cast("long").alias("__id"), label.cast("int").alias("__y")).where("__id IS NOT NULL AND __y IN (0, 1)")
-    chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "__y").limit(sample)
-    rows = docs.select(doc_id.cast("long").alias("__id"), text.alias("__text")).join(F.broadcast(chosen), "__id")
-    got = rows.select("__y", *[c.cast("double").alias(n) for n, c in statistics(F.col("__text")).items()]).limit(2 * sample).toPandas()
+    rows = labels.select(label_id.cast("long").alias("__id"), label.cast("int").alias("__y")).where("__id IS NOT NULL AND __y IN (0, 1)")
+    each = rows.groupBy("__id").agg(F.min("__y").alias("__y"), F.max("__y").alias("__most")).where("__y = __most").select("__id", "__y")
+    chosen = each.orderBy(F.xxhash64("__id"), "__id").limit(sample)
+    found = docs.select(doc_id.cast("long").alias("__id"), text.alias("__text")).join(F.broadcast(chosen), "__id")
+    stats = F.struct(*[c.cast("double").alias(n) for n, c in statistics(F.col("__text")).items()])
+    got = found.select("__id", "__y", stats.alias("s")).groupBy("__id").agg(F.first("__y").alias("__y"), F.min("s").alias("s")).select("__id", "__y", "s.*").toPandas()
+    got = got.sort_values("__id")
     return learn(got[STATISTICS].to_numpy(np.float64), got["__y"].to_numpy(), STATISTICS)
 
 
@@ -186,10 +192,9 @@ def classify(docs: DataFrame, text: Column, keep: list[str], model: RuleModel, t
     Null and empty texts are scored like any other.  ``keep`` may hold any columns.
     """
     keep = apart(keep, ["score", "predicted"])
-    stats = {n: c.cast("double") for n, c in statistics(text).items()}
-    # a term that is 0 but not deterministic keeps the optimizer from copying the statistics into every rule
-    stats["log_words"] = stats["log_words"] + F.spark_partition_id() * 0.0
-    stats = docs.select(*[F.col(c) for c in keep], *[c.alias(f"__{n}") for n, c in stats.items()])
+    stats = F.struct(*[c.cast("double").alias(f"__{n}") for n, c in statistics(text).items()])
+    # a generated row is a step of its own: filters on the score can't copy the statistics into every rule
+    rows = docs.select(*[F.col(c) for c in keep], F.inline(F.array(stats)))
     score = 1 / (1 + F.exp(-model.logit({n: F.col(f"__{n}") for n in STATISTICS})))
-    scored = stats.select(*[F.col(c) for c in keep], score.alias("score"))
+    scored = rows.select(*[F.col(c) for c in keep], score.alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
