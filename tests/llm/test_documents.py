@@ -97,17 +97,61 @@ def test_langid_held_out(spark):
     assert got.score.between(0, 1).all() and len(got) == len(docs)
 
 
+def plain_vector(text, dims, seed):
+    """The sum of a text's trigrams' bound and permuted letters."""
+    spaced = re.sub(r"[^\W\d_]+", lambda m: m.group(), text or "")
+    letters, gap = [0], True
+    for ch in spaced:
+        if ch.isalpha():
+            letters.append(ord(ch.lower()[0]))
+            gap = False
+        elif not gap:
+            letters.append(0)
+            gap = True
+    if not gap:
+        letters.append(0)
+    own = {x: langid.letter_vectors(np.array([x]), dims, seed)[0].astype(int) for x in set(letters)}
+    out = np.zeros(dims, int)
+    for a, b, c in zip(letters, letters[1:], letters[2:], strict=False):
+        out += np.roll(own[a], 2) * np.roll(own[b], 1) * own[c]
+    return out
+
+
 def test_langid_is_the_bundle():
-    """A text's vector is the sum of its trigrams' bound and permuted letters."""
-    m = langid.item_memory(256, 7)
-    letters = np.random.default_rng(7).choice(np.array([-1, 1], np.int8), (langid.LETTERS, 256))
-    a, b, c = 3, 20, 9
-    assert (m[(a * langid.LETTERS + b) * langid.LETTERS + c] == np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]).all()
-    text = "Ab, c!"
-    classes = [0, 1, 2, 0, 3, 0]
-    want = sum(m[(x * langid.LETTERS + y) * langid.LETTERS + z].astype(int) for x, y, z in zip(classes, classes[1:], classes[2:], strict=False))
-    assert (langid.bundles([text, None], 256, 7)[0] == want).all()
-    assert (langid.bundles([text, None], 256, 7)[1] == 0).all()
+    texts = ["Ab, c!", "Ünïcödé wörter", "漢字かな 한국어", "\U0001f600 x \U00020000\U00020001", None, "12"]
+    got = langid.bundles(texts, 256, 7)
+    for t, v in zip(texts, got, strict=True):
+        assert (v == plain_vector(t, 256, 7)).all(), t
+    assert (got[4:] == 0).all()
+    each = langid.letter_vectors(np.arange(97, 97 + 2000), 1024, 7).astype(int)
+    cos = each @ each.T / 1024
+    np.fill_diagonal(cos, 0)
+    assert abs(cos).max() < 0.2  # every letter has a vector of its own
+
+
+def test_langid_is_the_plain_one(spark):
+    """Prototypes are sums over texts; the prediction is the greatest cosine, the first by name if equal."""
+    docs = pd.read_parquet(f"{SMALL}/documents.parquet").head(60)
+    docs.loc[docs.index[:3], "lang"] = ["el", "zh", "zz"]
+    docs.loc[docs.index[:3], "text"] = ["αβγδ εζηθ ικλμ", "漢字文本 內容", "αβγδ εζηθ ικλμ"]
+    frame = spark.createDataFrame(docs[["doc_id", "text", "lang"]]).repartition(3)
+    profiles = langid.fit(frame, F.col("text"), F.col("lang"), dims=256)
+    vectors = {i: plain_vector(t, 256, 7) for i, t in zip(docs.doc_id, docs.text, strict=True)}
+    sums = {n: sum(vectors[i] for i in g.doc_id) for n, g in docs.groupby("lang")}
+    want = {n: v / np.linalg.norm(v) for n, v in sums.items()}
+    assert sorted(profiles) == sorted(want) and all(np.allclose(profiles[n], want[n]) for n in want)
+    for r in langid.identify(frame, F.col("text"), profiles, ["doc_id"], dims=256).collect():
+        v = vectors[r.doc_id]
+        cos = {n: v @ w / np.linalg.norm(v) for n, w in want.items()}
+        best = max(cos.values())
+        assert r.lang_pred == min(n for n in cos if cos[n] > best - 1e-9) and r.score == pytest.approx(max(best, 0), abs=1e-6)
+    assert {r.lang_pred for r in langid.identify(frame.where("lang IN ('el', 'zh')"), F.col("text"), profiles, ["doc_id"], dims=256).collect()} == {"el", "zh"}
+
+
+def test_langid_refuses_very_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 3)
+    with pytest.raises(ValueError, match="languages"):
+        langid.fit(spark.createDataFrame([("abc", f"l{i}") for i in range(4)], "t string, l string"), F.col("t"), F.col("l"))
 
 
 def test_langid_odd_rows(spark):
@@ -152,6 +196,81 @@ def test_quality_rules_equal_expressions(spark):
     assert 0 < len(model.rules) < 200 and any(len(b) > 1 for b, _ in model.rules)
 
 
+def plain_statistics(text):
+    t = text or ""
+    words = [w for w in re.split("[ \\t-\\r]+", t) if w]
+    lines = t.split("\n")
+    share = lambda a, b: a / b if b else 0.0
+    import unicodedata
+
+    kind = [unicodedata.category(c) for c in t]
+    plain = sum(k[0] in "LN" or c in " \t\n\x0b\f\r.," for c, k in zip(t, kind, strict=True))
+    return [
+        math.log1p(len(words)), share(len(t), len(words)), share(len(set(words)), len(words)), share(len(set(lines)), len(lines)), share(len(words), len(lines)),
+        share(kind.count("Lu"), len(t)), share(sum(c in "0123456789" for c in t), len(t)), share(len(t) - plain, len(t)),
+        share(t.count("."), len(words)), share(t.count(","), len(words)), share(t.count("|"), len(words)),
+    ]
+
+
+def test_quality_statistics_are_the_plain_ones(spark):
+    texts = [None, "", " \n", "One two two.\nOne, TWO | 3%\n\nx", "É ß 漢字 _ a.b", "a\tb\x0bc\r\nd"] + [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").limit(40).collect()]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", *[c.cast("double").alias(n) for n, c in quality.statistics(F.col("t")).items()])
+    for r in rows.collect():
+        assert [r[n] for n in quality.STATISTICS] == pytest.approx(plain_statistics(texts[r.i]))
+
+
+def test_quality_tree_takes_the_best_split():
+    """Each path's last bound is the split of greatest gain, found here by trying all."""
+    rng = np.random.default_rng(4)
+    x = rng.random((120, 3))
+    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, 9)[1:-1])) for f in range(3)]
+    codes = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], axis=1)
+    g, h = rng.normal(size=120), rng.random(120) * 0.25
+    paths, values = quality._tree(codes, edges, g, h, 2, 5)
+
+    def gain(at, f, b):
+        low = at & (codes[:, f] <= b)
+        if low.sum() < 5 or (at & ~low).sum() < 5:
+            return -1
+        part = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+        return part(low) + part(at & ~low) - part(at)
+
+    assert paths
+    for path in paths:
+        at = np.ones(120, bool)
+        for f, above, b in path[:-1]:
+            at &= (codes[:, f] > b) == above
+        f, _, b = path[-1]
+        assert gain(at, f, b) == pytest.approx(max(gain(at, k, c) for k in range(3) for c in range(len(edges[k]))))
+    for path in (p for p in paths if len(p) == 2):
+        leaf = np.ones(120, bool)
+        for f, above, b in path:
+            leaf &= (codes[:, f] > b) == above
+        assert np.allclose(values[leaf], g[leaf].sum() / (h[leaf].sum() + 1))
+
+
+def test_quality_lasso_is_optimal():
+    """No weight can be moved for the better: the gradient balances the penalty exactly."""
+    rng = np.random.default_rng(5)
+    x = (rng.random((400, 12)) < 0.4).astype(float)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(2 * x[:, 0] - 1.5 * x[:, 1] - 0.5)))).astype(float)
+    b, w = quality._lasso(x, y, 0.02, rounds=4000)
+    sd = np.maximum(x.std(axis=0), 1e-3)
+    grad = (x / sd).T @ (1 / (1 + np.exp(-(x @ w + b))) - y) / 400
+    assert (np.abs(grad) <= 0.02 + 1e-4).all() and 0 < (w != 0).sum() < 12
+    assert np.allclose(grad[w != 0], -0.02 * np.sign(w[w != 0]), atol=1e-4) and abs((1 / (1 + np.exp(-(x @ w + b))) - y).mean()) < 1e-4
+
+
+def test_quality_does_not_depend_on_order(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    fit = lambda a, b: quality.fit(a, F.col("doc_id"), F.col("text"), b, F.col("doc_id"), F.col("quality"), sample=300)
+    one = fit(docs, labels)
+    twice = docs.unionAll(docs.limit(5)).repartition(7), labels.orderBy(F.rand(3)).unionAll(labels.limit(9))
+    other = fit(*twice)
+    assert one.rules and one.intercept == other.intercept and one.rules == other.rules
+
+
 def test_quality_odd_rows(spark):
     docs = odd(spark)
     model = quality.fit(docs, F.col("doc_id"), F.col("text"), docs.limit(0), F.col("doc_id"), F.col("component_id"))

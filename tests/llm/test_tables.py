@@ -42,60 +42,103 @@ def plain_rule(host, path):
 ODD_URLS = [None, "", "no scheme", "http://", "https://A.Example.COM/en/7?x=/#y", "ftp://example.com#/en/", "x://net/de/", "x://notcom/en/1", "http://example.net/de/81", "http://a.example.net/de/9", "http://É.org/es/x", "a://b\nc/d\ne?f", "http://u:p@h.com:80/en/1://z", "http://example.com/EN/7"]
 
 
-def test_urls(spark):
-    pages = spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "url").unionByName(spark.createDataFrame([(10_000 + i, u) for i, u in enumerate(ODD_URLS)], "page_id long, url string"))
-    words = {"good": -1.0, "food": -1.2, "go": -3.0}
-    got = {r.page_id: r for r in urls.judge(pages, F.col("url"), ["page_id"], queries.URL_RULES, words).collect()}
-    assert len(got) == pages.count()
-    for r in pages.collect():
-        host, path = plain_host_path(r.url)
-        want = plain_rule(host, path)
-        g = got[r.page_id]
-        assert (g.host, g.path, g.rule) == (host, path, want and want[0])
-        assert g.verdict == want[1] if want else g.verdict == ("block" if g.block_odds > 0 else "allow")
+def plain_judge(rows, titles, least_odds=0.0):
+    """Verdict and odds of every (id, url): counts over all title words, every split tried, multinomial Bayes by hand."""
+    import collections
+    import math
+    import re
+
+    lexicon = collections.Counter(w for t in titles for w in re.findall(r"[^\W\d_]+", (t or "").lower()))
+    total = sum(lexicon.values())
+    rare = math.log10(min(lexicon.values()) / total) if lexicon else 0.0
+    memo = {}
+
+    def split(name):
+        if not name:
+            return 0.0, ()
+        if name not in memo:
+            def piece(w):
+                return math.log10(lexicon[w] / total) if w in lexicon else rare - len(w) - 1
+
+            memo[name] = max(((split(name[:b])[0] + piece(name[b:])), b, (*split(name[:b])[1], name[b:])) for b in range(len(name)))[::2]
+        return memo[name]
+
+    def tokens(host, path):
+        host, dot, last = host.rpartition(".")
+        out = [f"h:{last}"] if dot else []
+        for mark, part in (("h:", host if dot else last), ("p:", path.lower())):
+            for name in re.findall("[a-z\u0080-\U0010ffff]+|[0-9]+", part):
+                out += [f"{mark}#{len(name)}"] if name.isascii() and name.isdigit() else [mark + w for w in split(name)[1]]
+        return out
+
+    seen, urls_ = {"allow": collections.Counter(), "block": collections.Counter()}, collections.Counter()
+    for _, u in rows:
+        h, p = plain_host_path(u)
+        if rule := plain_rule(h, p):
+            seen[rule[1]].update(tokens(h, p))
+            urls_[rule[1]] += 1
+    kinds = len(seen["allow"].keys() | seen["block"].keys())
+    out = {}
+    for i, u in rows:
+        h, p = plain_host_path(u)
+        odds = math.log((urls_["block"] + 1) / (urls_["allow"] + 1))
+        for t in tokens(h, p):
+            odds += math.log((seen["block"][t] + 1) / (sum(seen["block"].values()) + kinds + 1)) - math.log((seen["allow"][t] + 1) / (sum(seen["allow"].values()) + kinds + 1))
+        rule = plain_rule(h, p)
+        out[i] = (h, p, rule and rule[0], rule[1] if rule else "block" if odds > 0 else "allow", tuple(tokens(h, p)), odds)
+    return out
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_urls_are_the_plain_ones(spark, most):
+    """With the lexicon and the counts at hand, and with both joined."""
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "url", F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1).alias("t"))
+    more = [(10_000 + i, u, "Good food; foo bar") for i, u in enumerate(ODD_URLS)] + [(20_000, "http://goodfood.org/es/" + "foobarx" * 12, None), (20_001, "http://goodfood.org/es/x", None), (20_001, "http://goodfood.org/es/x", None)]
+    pages = pages.unionByName(spark.createDataFrame(more, "page_id long, url string, t string"))
+    words = urls.lexicon(F.col("t"), pages)
+    got = urls.judge(pages, F.col("url"), ["page_id"], queries.URL_RULES, words, broadcast_words=most).collect()
+    rows = [(r.page_id, r.url) for r in pages.collect()]
+    want = plain_judge(rows, [r.t for r in pages.collect()])
+    assert sorted(r.page_id for r in got) == sorted(i for i, _ in rows)
+    for r in got:
+        h, p, rule, verdict, words_, odds = want[r.page_id]
+        assert (r.host, r.path, r.rule, tuple(r.tokens)) == (h, p, rule, words_)
+        assert r.block_odds == pytest.approx(odds, abs=1e-9)
+        assert r.verdict == verdict or abs(odds) < 1e-9
+    assert {r.verdict for r in got if r.rule is None} == {"allow", "block"} or most == 0
 
 
 def test_segmentation_is_the_best_split():
     rng = random.Random(1)
     words = {"".join(rng.choice("ab") for _ in range(rng.randint(1, 3))): -rng.random() * 3 for _ in range(8)}
-    seg = urls.Segmenter(words)
+    unknown = min(words.values())
+    seg = urls.Segmenter(words, unknown, sorted({len(w) for w in words}))
+
+    def cost(w):
+        return words.get(w, unknown - len(w) - 1)
 
     def best(name):
-        if not name:
-            return 0.0, []
-        out = []
-        for n in range(1, min(len(name), seg.longest) + 1):
-            p, rest = best(name[n:])
-            out.append((p + words.get(name[:n], seg.unknown - n - 1), [name[:n], *rest]))
-        return max(out)
+        return max((cost(name[:n]) + best(name[n:]) for n in range(1, len(name) + 1)), default=0.0)
 
     for _ in range(200):
         name = "".join(rng.choice("abc") for _ in range(rng.randint(0, 9)))
         got = seg.split(name)
         assert "".join(got) == name
-        assert sum(words.get(w, seg.unknown - len(w) - 1) for w in got) == pytest.approx(best(name)[0])
-    assert urls.Segmenter({"good": -1.0, "food": -1.0}).split("goodfood") == ["good", "food"]
-
-
-def test_bayes_is_counting(spark):
-    rows = spark.createDataFrame([("x.com", "/a", "block"), ("y.com", "/b", "allow"), ("x.net", "/a", "block"), ("z", "", None)], "h string, p string, v string")
-    seg = urls.Segmenter({})
-    w = urls.fit(rows, F.col("h"), F.col("p"), F.col("v"), {})
-    counts = np.ones((2, urls.CELLS))
-    for h, p, v in (("x.com", "/a", 1), ("y.com", "/b", 0), ("x.net", "/a", 1)):
-        for c in urls._cells(seg.tokens(h, p)):
-            counts[v, c] += 1
-    want = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    assert np.allclose(w[:-1], want) and w[-1] == pytest.approx(np.log(3 / 2))
+        assert sum(map(cost, got)) == pytest.approx(best(name))
+    assert urls.Segmenter({"good": -1.0, "food": -1.0}, -1.0, [4]).split("goodfood") == ["good", "food"]
+    long = urls.Segmenter({"pneumonoultramicroscopic": -2.0, "x": -5.0}, -5.0, [1, 24])
+    assert long.split("xpneumonoultramicroscopic" + "q" * 5000) == ["x", "pneumonoultramicroscopic", "q" * 5000]
 
 
 def test_urls_of_nothing(spark):
     none = spark.createDataFrame([], "page_id long, url string, host string")
-    assert urls.judge(none, F.col("url"), none.columns, queries.URL_RULES, {}).count() == 0
-    assert urls.lexicon(F.col("url"), none) == {}
-    one = spark.createDataFrame([(None, None, "clash")], "page_id long, url string, host string")
-    r = urls.judge(one, F.col("url"), one.columns, queries.URL_RULES, {}).first()
-    assert (r.page_id, r.host, r.verdict) == (None, "", "allow")
+    words = urls.lexicon(F.col("url"), none)
+    assert (words.total, words.types) == (0, 0)
+    for most in (10, 0):
+        assert urls.judge(none, F.col("url"), none.columns, queries.URL_RULES, words, broadcast_words=most).count() == 0
+        one = spark.createDataFrame([(None, None, "clash")], "page_id long, url string, host string")
+        r = urls.judge(one, F.col("url"), one.columns, queries.URL_RULES, words, broadcast_words=most).first()
+        assert (r.page_id, r.host, r.verdict) == (None, "", "allow")
 
 
 # top k
