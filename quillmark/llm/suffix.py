@@ -44,7 +44,7 @@ from quillmark.llm.store import apart, bound_batches, discard, materialize
 RARE, END, START = 0, 1, 2  # symbols; words are numbered from 3 on
 _RARE_HASH, _END_HASH, _START_HASH = K.U64(0x5EED0FE4D0000003), K.U64(0x5EED0FE4D0000001), K.U64(0x5EED0FE4D0000005)
 _ENTRY, _CONTEXT = K.U64(0x3C6EF372FE94F82B), K.U64(0xA54FF53A5F1D36F1)  # tell the keys of one lookup table apart
-_WAITING, _FLUSH = 1_000_000, 4_000_000
+_WAITING, _FLUSH = 500_000, 3_000_000
 _BUCKET_BYTES, _BUCKETS_A_TASK = 6 << 20, 4  # bytes of text that make a bucket; buckets of one task
 _SIEVE_BITS = 28
 _COMMON, _NEAR = 1_000_000, 500_000  # words, and entries or contexts of a level, that go to all tasks
@@ -337,29 +337,36 @@ def fit(texts: DataFrame, text: Column, depth: int = 2, floor: float = 0.0, supp
     sieve0 = sieve = _sieve(before.select("id"), size)
     tree = Tree(tokens, types, ends, math.log10(rare), least, symbols, [], [], common, common_n, kinds, sieve0)
     for d in range(1, depth + 1):
-        bound = spark.sparkContext.broadcast((tree.common, len(tree.common) == kinds, sieve0, sieve))
-        counted = materialize(_level(rows, table, bound, d, buckets, least), f"runs{d}")
-        a = _rows(counted, 2).select("id", "ctx", "sfx", "n").join(before.select(F.col("id").alias("sfx"), F.col("lp").alias("lq"), "root"), "sfx").withColumn("q", F.pow(F.lit(10.0), "lq"))
-        a = materialize(a, f"below{d}")
-        sums = a.groupBy("ctx").agg(F.sum("n").alias("inside"), F.count("*").alias("kinds"), F.sum("q").alias("qs"), F.sum(F.col("n") * F.log(F.col("n") / F.col("q"))).alias("s"))
-        sums = sums.join(before.select(F.col("id").alias("ctx"), F.col("n").alias("total")), "ctx").withColumn("rest", F.col("total") - F.col("inside"))
-        g = F.col("s") - F.col("inside") * F.log("total") + F.when(F.col("rest") > 0, F.col("rest") * F.log(F.col("rest") / (F.col("total") * F.greatest(1 - F.col("qs"), F.lit(1e-12))))).otherwise(0.0)
-        retained = 2 * g > F.col("kinds") + 4 * F.sqrt(2 * F.col("kinds")) + 8
-        contexts = materialize(sums.select("ctx", "total", "rest", retained.alias("retained"), F.log10((F.col("rest") + prior) / (F.col("total") + prior)).alias("back")), f"contexts{d}")
-        own = F.log10((F.col("n") + (F.col("rest") + prior) * F.col("q")) / (F.col("total") + prior))
-        entries = a.join(contexts, "ctx").select("id", "ctx", "sfx", "n", F.when(F.col("retained"), own).otherwise(F.col("lq")).alias("lp"), "lq", "root", "retained")
-        entries = materialize(entries, f"level{d}")
-        discard(counted, a)
-        tree.entries.append(entries)
-        tree.contexts.append(contexts.select("ctx", "total", "retained", "back"))
-        before = entries.select("id", "n", "lp", "root")
-        if d < depth:
-            sieve = _sieve(before.select("id"), before.count())
-        bound.unpersist()
         _release(spark)
+        before, sieve = _grow(tree, rows, table, before, sieve0, sieve, d, buckets, prior, d < depth)
+    _release(spark)
     return tree, table, buckets
 
 
+def _grow(tree: Tree, rows: DataFrame, table: DataFrame, before: DataFrame, sieve0: Sieve, sieve: Sieve, d: int, buckets: int, prior: float, more: bool) -> tuple[DataFrame, Sieve | None]:
+    """Add level ``d`` to the tree; returns its runs, and the sieve of them if ``more`` levels follow."""
+    spark = rows.sparkSession
+    bound = spark.sparkContext.broadcast((tree.common, len(tree.common) == tree.kinds, sieve0, sieve))
+    counted = materialize(_level(rows, table, bound, d, buckets, tree.least), f"runs{d}")
+    _release(spark)
+    a = _rows(counted, 2).select("id", "ctx", "sfx", "n").join(before.select(F.col("id").alias("sfx"), F.col("lp").alias("lq"), "root"), "sfx").withColumn("q", F.pow(F.lit(10.0), "lq"))
+    a = materialize(a, f"below{d}")
+    sums = a.groupBy("ctx").agg(F.sum("n").alias("inside"), F.count("*").alias("kinds"), F.sum("q").alias("qs"), F.sum(F.col("n") * F.log(F.col("n") / F.col("q"))).alias("s"))
+    sums = sums.join(before.select(F.col("id").alias("ctx"), F.col("n").alias("total")), "ctx").withColumn("rest", F.col("total") - F.col("inside"))
+    g = F.col("s") - F.col("inside") * F.log("total") + F.when(F.col("rest") > 0, F.col("rest") * F.log(F.col("rest") / (F.col("total") * F.greatest(1 - F.col("qs"), F.lit(1e-12))))).otherwise(0.0)
+    retained = 2 * g > F.col("kinds") + 4 * F.sqrt(2 * F.col("kinds")) + 8
+    contexts = materialize(sums.select("ctx", "total", "rest", retained.alias("retained"), F.log10((F.col("rest") + prior) / (F.col("total") + prior)).alias("back")), f"contexts{d}")
+    own = F.log10((F.col("n") + (F.col("rest") + prior) * F.col("q")) / (F.col("total") + prior))
+    entries = a.join(contexts, "ctx").select("id", "ctx", "sfx", "n", F.when(F.col("retained"), own).otherwise(F.col("lq")).alias("lp"), "lq", "root", "retained")
+    entries = materialize(entries, f"level{d}")
+    discard(counted, a)
+    tree.entries.append(entries)
+    tree.contexts.append(contexts.select("ctx", "total", "retained", "back"))
+    before = entries.select("id", "n", "lp", "root")
+    bound.unpersist()
+    return before, _sieve(before.select("id"), before.count()) if more else None
+
+
 def _release(spark: SparkSession) -> None:
     """Shuffle files of tables that are stored by now go when the driver collects its garbage."""
     gc.collect()
