@@ -22,6 +22,8 @@ import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
@@ -34,6 +36,7 @@ DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ID = "urn:page:"
+_SIEVE_BITS = 28
 # fixed values of the ZIP format: signatures and the id of the ZIP64 extra field
 _END, _END64, _LOCATOR, _CENTRAL, _LOCAL, _EXTRA64 = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04", 1
 
@@ -43,14 +46,17 @@ def _clean(url: str) -> str:
     return "".join(f"%{ord(c):02X}" if ord(c) < 0x21 or ord(c) == 0x7F else c for c in url)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None) -> bytes:
-    """One WARC record, not compressed.  A revisit has the HTTP header alone, with the length of the full payload."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None, serial: str = "0") -> bytes:
+    """One WARC record, not compressed.  A revisit has the HTTP header alone, with the length of the full payload.
+
+    ``serial`` tells records without a page_id apart.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <{_ID}{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <{_ID}{f':{serial}' if page_id is None else page_id}>",
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha256:{digest}",
         "Content-Type: application/http; msgtype=response",
@@ -83,7 +89,7 @@ def parse_record(data: bytes) -> Record:
     lengths = [int(line.partition(b":")[2]) for line in http.split(b"\r\n") if line.lower().startswith(b"content-length:")]
 
     def number(name: str) -> int | None:
-        text = fields.get(name, "").strip("<>").removeprefix(_ID)
+        text = fields.get(name, "").strip("<>").removeprefix(_ID).partition(":")[0]
         return int(text) if text else None
 
     kind = fields["warc-type"]
@@ -140,33 +146,43 @@ class ArchiveWriter:
 def write_archives(pages: DataFrame, page_id: Column, url: Column, payload: Column, folder: str, least: int = 100, most_records: int = 20_000, most_bytes: int = 1 << 28, broadcast_digests: int = 200_000) -> DataFrame:
     """Write one record per row under ``folder``; returns the manifest (path, records, bytes).
 
-    ``payload`` is binary; null is empty.  Of rows with equal payloads of at
-    least ``least`` bytes that with the least page_id becomes the response and
-    the others revisits of it; rows without an id that have no such response
-    are responses.  Digests that occur once are not looked at again; those of
-    copies are broadcast while there are at most ``broadcast_digests``.
+    ``payload`` is binary; null is empty, and payloads of any length are written
+    whole.  Of rows with equal payloads of at least ``least`` bytes that with the
+    least page_id becomes the response and the others revisits of it; rows
+    without an id that have no such response are responses.  Repeated rows of
+    that page_id are responses each, under the one record id of their page;
+    records without a page_id have numbers of their own.
+
+    Digests that occur once are not looked at again.  Those of copies are
+    broadcast while there are at most ``broadcast_digests``; beyond that
+    bounded sieves tell which rows may have copies, and only those rows are
+    shuffled, revisits without their payloads.
     """
     spark = pages.sparkSession
     bound_batches(spark, 8)
     body = F.coalesce(payload, F.lit(b""))
     rows = pages.select(page_id.cast("long").alias("page_id"), url.alias("url"), body.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    large = rows.where(F.octet_length("payload") >= least)
+    rows = rows.withColumn("size", F.octet_length("payload").cast("long"))
+    large = rows.where(F.col("size") >= least).select("digest", "page_id")
     copies = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").select("digest", "first")
     copies = materialize(copies, "copies")
-    few = copies.count() <= broadcast_digests
-    rows = rows.join(F.broadcast(copies) if few else copies, "digest", "left")
+    n = copies.count()
+    if n <= broadcast_digests:
+        marked = rows.join(F.broadcast(copies), "digest", "left")  # payloads of small sizes are not among them
+    else:
+        marked = _by_sieves(rows, copies, least, broadcast_digests)
     revisit = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    rows = rows.select("page_id", "url", "payload", "digest", revisit.alias("refers_to"))
+    rows = marked.select("page_id", "url", "payload", "digest", "size", revisit.alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         writer, number, done = None, 0, []
         for batch in batches:
-            for page, url_, data, digest, refers in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for page, url_, data, digest, size, refers in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if writer is None:
                     writer = ArchiveWriter(f"{folder}/part-{context.partitionId():06d}-{context.taskAttemptId()}-{number}.zip")
                     number += 1
-                writer.add(str(page), url_, record(page, url_, data, digest, len(data), refers), digest)
+                writer.add(str(page), url_, record(page, url_, data, digest, size, refers, f"{context.partitionId()}.{number}.{len(writer.lines)}"), digest)
                 if len(writer.lines) >= most_records or writer.offset >= most_bytes:
                     done.append(writer.close())
                     writer = None
@@ -178,6 +194,60 @@ def write_archives(pages: DataFrame, page_id: Column, url: Column, payload: Colu
     return materialize(rows.mapInArrow(run, "path string, records bigint, bytes bigint"), "manifest")
 
 
+def _by_sieves(rows: DataFrame, copies: DataFrame, least: int, broadcast_digests: int) -> DataFrame:
+    """Rows with ``first``, the least page_id of their digest among ``copies``; payloads of revisits are left out.
+
+    One sieve holds the copied digests, one those with their first page.  What
+    is in neither has no copy.  What is in both is most likely a first page and
+    joins with its payload; there is one for each copied digest.  What is in
+    the first alone is a revisit, or there by chance: such rows join without
+    their payloads, and those found to have no copy are taken from the pages.
+    """
+    spark = rows.sparkSession
+    n = copies.count()
+    bits = 1 << min(_SIEVE_BITS, max(12, (16 * n).bit_length()))
+
+    def sieve(key: Column) -> np.ndarray:
+        at = F.pmod(key, F.lit(bits))
+        parts = copies.select(F.floor(at / (bits >> 6)).cast("int").alias("part"), at.alias("at")).groupBy("part").agg(F.collect_set("at").alias("at"))  # a 64th of the bits each
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for p, spots in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    part = np.zeros(bits >> 6, bool)
+                    part[spots.values.to_numpy() % (bits >> 6)] = True
+                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(part).tobytes()], pa.binary())], ["part", "data"])
+
+        out = np.zeros(bits >> 3, np.uint8)
+        for r in parts.mapInArrow(pack, "part int, data binary").collect():
+            out[r.part * (bits >> 9) : (r.part + 1) * (bits >> 9)] = np.frombuffer(bytes(r.data), np.uint8)
+        return out
+
+    bound = spark.sparkContext.broadcast((sieve(F.xxhash64("digest")), sieve(F.xxhash64("digest", "first"))))
+
+    @F.pandas_udf("int")
+    def kind(size: pd.Series, digest: pd.Series, page: pd.Series) -> pd.Series:
+        def inside(data: np.ndarray, key: pd.Series) -> np.ndarray:
+            at = np.mod(key.to_numpy(np.int64), bits)
+            return (data[at >> 3] >> (7 - (at & 7))) & 1 > 0
+
+        copied = (size.to_numpy() >= least) & inside(bound.value[0], digest)
+        return pd.Series(np.where(copied, np.where(inside(bound.value[1], page), 1, 2), 0))
+
+    names = ["page_id", "url", "payload", "digest", "size"]
+    told = rows.select(*names, kind("size", F.xxhash64("digest"), F.xxhash64("digest", "page_id")).alias("kind"))
+    none = F.lit(None).cast("long").alias("first")
+    alone = told.where("kind = 0").select(*names, none)
+    firsts = told.where("kind = 1").join(copies, "digest", "left").select(*names, "first")
+    asked = rows.select("page_id", "url", "digest", "size", kind("size", F.xxhash64("digest"), F.xxhash64("digest", "page_id")).alias("kind")).where("kind = 2")
+    found = materialize(asked.join(copies, "digest", "left").select("page_id", "url", "digest", "size", "first"), "revisits")
+    revisits = found.where("first IS NOT NULL").select("page_id", "url", F.lit(b"").alias("payload"), "digest", "size", "first")
+    chance = found.where("first IS NULL").select("digest").distinct()
+    few = chance.count() <= broadcast_digests
+    others = told.where("kind = 2").join(F.broadcast(chance) if few else chance, "digest", "left_semi").select(*names, none)
+    return alone.unionByName(firsts).unionByName(revisits).unionByName(others)
+
+
 @dataclass
 class Member:
     name: str

@@ -264,6 +264,26 @@ def test_archives(spark):
     assert warc.read_archives(none).count() == 0
 
 
+def test_archives_of_many_copies(spark, monkeypatch):
+    """Sieves so small that they let much pass by chance, long payloads, repeated rows and rows without an id."""
+    monkeypatch.setattr(warc, "_SIEVE_BITS", 9)
+    rng = random.Random(6)
+    rows = [(i, f"u{i}", f"{rng.randrange(400)} " + "y" * 120) for i in range(900)] + [(3000, "l", "z" * 3_000_000), (3001, "l", "z" * 3_000_000)] + [(None, "n", "alone" * 40), (None, "n", "alone" * 40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    first = {}
+    for i, _, h in rows:
+        if i is not None:
+            first[h] = min(first.get(h, i), i)
+    m = warc.write_archives(pages, F.col("page_id"), F.col("url"), F.encode("html", "UTF-8"), warc.archive_folder(pages), broadcast_digests=0)
+    got = warc.read_archives(m).collect()
+    html = {i: h for i, _, h in rows}
+    assert len(got) == len(rows)
+    for r in got:
+        want = first.get(html[r.page_id])
+        assert (r.record_type, r.refers_to) == (("response", None) if want in (None, r.page_id) else ("revisit", want))
+        assert r.payload is None if r.record_type == "revisit" else bytes(r.payload).decode() == html[r.page_id]
+
+
 def test_archive_is_a_zip(tmp_path):
     w = warc.ArchiveWriter(f"file://{tmp_path}/a.zip")
     for i in range(5):
