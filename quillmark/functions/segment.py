@@ -1,15 +1,12 @@
-"""Segmentation of worked solutions into ordered text and display-math units."""
+"""Segmentation of worked solutions into ordered text and display-math units, as columns."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-from quillmark.functions import text as T
+from quillmark.functions import units as U
 
-UNIT = "struct<id:int,type:string,content:string,paragraph_index:int>"
-_CUT, _MATH, _OPEN, _SHUT = "\x04", "\x06", "\x01", "\x02"
-_ENVIRONMENT = r"(?s)(?:\\begin\{([a-zA-Z*]+)\}.*?\\end\{\1\})+"
+UNIT = U.UNIT
 
 
 def split_math_blocks(x: Column, compat: bool = False) -> Column:
@@ -19,88 +16,24 @@ def split_math_blocks(x: Column, compat: bool = False) -> Column:
     Inside display math an environment is restored, or with ``compat`` left as
     a numbered mark.
     """
-    norm = F.regexp_replace(F.coalesce(x, F.lit("")), r"(?s)\\\[(.+?)\\\]", r"\$\$$1\$\$")
-    outer = F.split(norm, _ENVIRONMENT)
-    inner = F.regexp_extract_all(norm, F.lit(_ENVIRONMENT), F.lit(0))
-    mark = F.transform(outer, lambda o, i: F.when(i < F.size(inner), F.concat(o, F.lit(_OPEN), i.cast("string"), F.lit(_SHUT))).otherwise(o))
-    marked = F.regexp_replace(F.array_join(mark, ""), r"(?s)\$\$(.+?)\$\$", f"{_CUT}{_MATH}\\$\\$$1\\$\\${_CUT}")
-
-    def back(token: Column) -> Column:
-        return F.when(F.size(inner) == 0, token).otherwise(
-            F.aggregate(F.transform(inner, lambda e, i: F.struct(e.alias("e"), i.alias("i"))), token, lambda t, e: F.replace(t, F.concat(F.lit(_OPEN), e["i"].cast("string"), F.lit(_SHUT)), e["e"]))
-        )
-
-    def block(token: Column) -> Column:
-        math = token.startswith(_MATH)
-        left = F.regexp_replace(token, f"{_OPEN}(\\d+){_SHUT}", "@@LATEXENV$1@@") if compat else back(token)
-        content = F.when(math, F.substring(left, 2, 1 << 30)).otherwise(back(token))
-        return F.struct(F.when(math, "math").otherwise("text").alias("type"), T.strip(content).alias("content"))
-
-    return F.filter(F.transform(F.split(marked, _CUT), block), lambda b: b["content"] != "")
-
-
-def unit(kind: Column, content: Column, paragraph: Column) -> Column:
-    return F.struct(F.lit(0).alias("id"), kind.alias("type"), content.alias("content"), paragraph.cast("int").alias("paragraph_index"))
+    return U.blocks_of(x, compat)
 
 
 def raw_units(x: Column, max_chars: int = 220, keep_math: bool = True, compat: bool = False) -> Column:
     """Units before short ones are merged."""
-
-    def of_block(b: Column, p: Column) -> Column:
-        pieces = F.flatten(F.transform(T.sentence_split_reference(b["content"]), lambda s: T.soft_wrap(s, max_chars)))
-        text = F.transform(F.filter(pieces, lambda s: s != ""), lambda s: unit(F.lit("text"), s, p))
-        if not keep_math:
-            return text
-        return F.when(b["type"] == "math", F.array(unit(F.lit("math"), b["content"], p))).otherwise(text)
-
-    paragraphs = T.split_paragraphs(T.normalize_text(x))
-    return F.flatten(F.transform(paragraphs, lambda p, i: F.flatten(F.transform(split_math_blocks(p, compat), lambda b: of_block(b, i)))))
+    return U.units_of(lambda t: U.raw(t, max_chars, keep_math, compat), x)
 
 
 def merge_short_units(units: Column, min_chars: int = 60) -> Column:
-    """Every text unit shorter than ``min_chars`` joins the shorter text neighbour of its paragraph, on a tie the next one.
-
-    One pass from left to right with the unit in hand and those that are done
-    gives the same as merging until nothing changes.
-    """
-    end = F.struct(F.lit(0).alias("id"), F.lit("end").alias("type"), F.lit("").alias("content"), F.lit(-1).alias("paragraph_index"))
-    none = F.lit(None).cast(UNIT)
-    start = F.struct(F.array().cast(f"array<{UNIT}>").alias("out"), none.alias("cur"))
-
-    def grown(u: Column, content: Column) -> Column:
-        return F.struct(u["id"].alias("id"), u["type"].alias("type"), content.alias("content"), u["paragraph_index"].alias("paragraph_index"))
-
-    def joined(a: Column, b: Column) -> Column:
-        return T.strip(F.concat(a["content"], F.lit(" "), b["content"]))
-
-    def add(state: Column, new: Column) -> Column:
-        out, cur = state["out"], state["cur"]
-        last = F.try_element_at(out, F.lit(-1))
-        short = (cur["type"] == "text") & (F.length(cur["content"]) < min_chars)
-        right = (new["type"] == "text") & (new["paragraph_index"] == cur["paragraph_index"])
-        left = F.coalesce((last["type"] == "text") & (last["paragraph_index"] == cur["paragraph_index"]), F.lit(False))
-        take_right = short & right & (~left | (F.length(new["content"]) <= F.length(last["content"])))
-        take_left = short & left & ~take_right
-        push = F.struct(F.concat(out, F.array(cur)).alias("out"), new.alias("cur"))
-        into_new = F.struct(out.alias("out"), grown(cur, joined(cur, new)).alias("cur"))
-        into_last = F.struct(F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(grown(last, joined(last, cur)))).alias("out"), new.alias("cur"))
-        first = F.struct(out.alias("out"), new.alias("cur"))
-        return F.when(cur.isNull(), first).when(take_right, into_new).when(take_left, into_last).otherwise(push)
-
-    merged = F.aggregate(F.concat(units, F.array(end)), start, add, lambda s: s["out"])
-    return F.transform(merged, lambda u, i: F.struct(i.cast("int").alias("id"), u["type"].alias("type"), u["content"].alias("content"), u["paragraph_index"].alias("paragraph_index")))
+    """Every text unit shorter than ``min_chars`` joins the shorter text neighbour of its paragraph, on a tie the next one."""
+    return U.merge_units(units, min_chars)
 
 
 def fine_segment(x: Column, max_chars: int = 220, keep_math: bool = True, min_chars: int = 60, compat: bool = False) -> Column:
     """Ordered units of one solution."""
-    return merge_short_units(raw_units(x, max_chars, keep_math, compat), min_chars)
+    return U.units_of(lambda t: U.merged(U.raw(t, max_chars, keep_math, compat), min_chars), x)
 
 
 def sentence_count(x: Column, count_math: bool = False) -> Column:
     """Sentences of the text blocks of all paragraphs; display math counts one each with ``count_math``."""
-
-    def of_block(b: Column) -> Column:
-        return F.when(b["type"] == "text", F.size(T.sentence_split_reference(b["content"]))).otherwise(int(count_math))
-
-    blocks = F.flatten(F.transform(T.split_paragraphs(T.normalize_text(x)), lambda p: split_math_blocks(p)))
-    return F.aggregate(F.transform(blocks, of_block), F.lit(0), lambda a, n: a + n)
+    return U.count_of(x, count_math)

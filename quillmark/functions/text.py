@@ -1,4 +1,4 @@
-"""Text functions, Column to Column, built from JVM expressions alone.
+"""Text functions, Column to Column: JVM expressions, and Arrow kernels where sentences are cut.
 
 Java and Python differ in white space, line ends and vertical tabs; the
 patterns below name their classes so that results equal Python's.
@@ -6,21 +6,15 @@ patterns below name their classes so that results equal Python's.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPACE = r"[\s\x1C-\x1F]"  # with (?U): what Python's \s and strip() take
-_HOLD, _CUT, _EDGE = "\x03", "\x04", "\x05"  # stand for a protected dot, a boundary, the edge of a separator
+from quillmark.functions import units as U
+from quillmark.functions.units import EVALUATION_ABBREVIATIONS, REFERENCE_ABBREVIATIONS  # noqa: F401
 
-# Abbreviations whose dots are no sentence ends.
-REFERENCE_ABBREVIATIONS = ["e.g.", "i.e.", "etc.", "Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "vs.", "Fig.", "Eq.", "Prop.", "Thm.", "Cor.", "No."]
-EVALUATION_ABBREVIATIONS = [
-    "Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "Sr.", "Jr.", "St.", "Co.", "Inc.", "Ltd.", "vs.", "etc.", "e.g.", "i.e.", "cf.", "Fig.", "Eq.", "Sec.", "No.", "pp.", "Ch.",
-    "et al.", "al.",
-    "U.S.", "U.K.", "U.N.",
-]
+_SPACE = r"[\s\x1C-\x1F]"  # with (?U): what Python's \s and strip() take
 
 # Characters that JSON text should not hold, and what they become.
 DELETED = "\ufeff\u200b\u200c\u200d\u2060"
@@ -56,27 +50,14 @@ def approx_token_count(x: Column) -> Column:
     return F.regexp_count(F.coalesce(x, F.lit("")), F.lit(rf"(?U)[A-Za-z0-9_]+|[^\s\x1C-\x1FA-Za-z0-9_]"))
 
 
-def _protect(x: Column, abbreviations: list[str]) -> Column:
-    longest_first = sorted(abbreviations, key=len, reverse=True)
-    return reduce(lambda t, a: F.replace(t, F.lit(a), F.lit(a.replace(".", _HOLD))), longest_first, x)
-
-
-def _sentences(marked: Column, clean) -> Column:
-    parts = F.transform(F.split(marked, _CUT), lambda s: clean(F.replace(s, F.lit(_HOLD), F.lit("."))))
-    return F.filter(parts, lambda s: s != "")
-
-
 def sentence_split_reference(x: Column) -> Column:
     """Sentences of a reference text: runs of . ! ? ; before white space or the end."""
-    held = _protect(F.coalesce(x, F.lit("")), REFERENCE_ABBREVIATIONS)
-    return _sentences(F.regexp_replace(held, rf"(?U)([.!?;]+)({_SPACE}+|\z)", f"$1{_CUT}"), strip)
+    return U.strings_of(U.reference_sentences)(x)
 
 
 def sentence_split_evaluation(x: Column) -> Column:
     """Sentences of a generated text: one ender before closing marks and white space, no dot beside a digit; white space collapsed."""
-    held = _protect(F.coalesce(x, F.lit("")), EVALUATION_ABBREVIATIONS)
-    marked = F.regexp_replace(held, rf"""(?U)((?:(?<!\d)\.(?!\d)|[!?;]))(?=[)"'\]\}}]*{_SPACE}+|\z)""", f"$1{_CUT}")
-    return _sentences(marked, lambda s: strip(F.regexp_replace(s, rf"(?U){_SPACE}+", " ")))
+    return U.strings_of(U.evaluation_sentences)(x)
 
 
 def soft_wrap(x: Column, max_chars: int = 220, fix_spacing: bool = False) -> Column:
@@ -84,22 +65,12 @@ def soft_wrap(x: Column, max_chars: int = 220, fix_spacing: bool = False) -> Col
 
     The blank before a coordinator is lost on repacking unless ``fix_spacing``.
     """
-    s = strip(x)
-    parts = F.split(F.regexp_replace(s, r"(?U)(,|;|:|\band\b|\bor\b|\bthen\b|\bwhich\b)", f"{_EDGE}$1{_EDGE}"), _EDGE)
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
-
-    def add(state: Column, part: Column) -> Column:
-        joined = F.concat(state["cur"], part) if fix_spacing else strip(F.concat(state["cur"], part))
-        fits = F.length(strip(joined)) <= max_chars
-        out = F.when(fits | (state["cur"] == ""), state["out"]).otherwise(F.concat(state["out"], F.array(state["cur"])))
-        return F.struct(out.alias("out"), F.when(fits, joined).otherwise(part if fix_spacing else strip(part)).alias("cur"))
+    return U.strings_of(lambda t: U.wrapped(t, max_chars, fix_spacing))(x)
 
-    def done(state: Column) -> Column:
-        every = F.concat(state["out"], F.array(state["cur"]))
-        return F.filter(F.transform(every, lambda p: F.btrim(p, F.lit(" ,;:"))), lambda p: p != "")
 
-    wrapped = F.aggregate(parts, start, add, done)
-    return F.when(F.length(s) <= max_chars, F.array(s)).otherwise(F.when(F.size(wrapped) > 0, wrapped).otherwise(F.array(s)))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _word_set(x: Column) -> Column:
@@ -108,9 +79,12 @@ def _word_set(x: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Shared words over all words of two texts; 0 if either has none."""
-    x, y = _word_set(a), _word_set(b)
-    both = F.size(F.array_intersect(x, y))
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(both / (F.size(x) + F.size(y) - both))
+
+    def share(w: Column) -> Column:
+        n = F.size(w["x"]) + F.size(w["y"])
+        return F.when((F.size(w["x"]) == 0) | (F.size(w["y"]) == 0), 0.0).otherwise(let(F.size(F.array_intersect(w["x"], w["y"])), lambda both: both / (n - both)))
+
+    return let(F.struct(_word_set(a).alias("x"), _word_set(b).alias("y")), share)
 
 
 def extract_floats(x: Column) -> Column:

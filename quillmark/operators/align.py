@@ -17,22 +17,24 @@ ENTAILED = ("entailed", "incomplete")
 def pair_matches(generated: Column, reference: Column, pair=M.jaccard_pair, c: EvaluationConfig = EvaluationConfig()) -> Column:
     """Matches of the first sentences with a reference step, in sentence order."""
     head = F.slice(T.sentence_split_evaluation(generated), 1, c.max_sentences)
+    pairs = M.words_pair(head, reference) if pair is M.jaccard_pair else F.transform(head, lambda s: pair(s, reference))
 
-    def match(s: Column, i: Column) -> Column:
-        p = pair(s, reference)
-        score = (p["forward"] + p["backward"]) / 2.0
-        return F.struct(reference.alias("ref"), i.alias("gen_index"), p["forward"].alias("forward"), p["backward"].alias("backward"), score.alias("score"), (score < c.threshold).alias("is_hallucination"))
+    def match(p: Column, i: Column) -> Column:
+        return T.let((p["forward"] + p["backward"]) / 2.0, lambda score: F.struct(reference.alias("ref"), i.alias("gen_index"), p["forward"].alias("forward"), p["backward"].alias("backward"), score.alias("score"), (score < c.threshold).alias("is_hallucination")))
 
-    return F.filter(F.transform(head, match), lambda m: m["score"] >= PAIR_FLOOR)
+    return F.filter(F.transform(pairs, match), lambda m: m["score"] >= PAIR_FLOOR)
 
 
 def align_pairs(generated: Column, reference: Column, pair=M.jaccard_pair, c: EvaluationConfig = EvaluationConfig(), top3_by_score: bool = False) -> Column:
     """struct<score, hallucination, n_matches>: the first three matches over three; with ``top3_by_score`` the best three."""
-    scores = F.transform(pair_matches(generated, reference, pair, c), lambda m: m["score"])
-    chosen = F.slice(F.reverse(F.array_sort(scores)) if top3_by_score else scores, 1, 3)
-    total = F.aggregate(chosen, F.lit(0.0), lambda a, s: a + s) / 3.0
-    score = F.when((T.to_atom(generated) == "") | (T.to_atom(reference) == ""), 0.0).otherwise(total)
-    return F.struct(score.alias("score"), (score < c.overall_threshold).alias("hallucination"), F.size(scores).alias("n_matches"))
+    empty = (T.to_atom(generated) == "") | (T.to_atom(reference) == "")
+
+    def result(scores: Column) -> Column:
+        chosen = F.slice(F.reverse(F.array_sort(scores)) if top3_by_score else scores, 1, 3)
+        mean = F.aggregate(chosen, F.lit(0.0), lambda a, s: a + s) / 3.0
+        return T.let(F.when(empty, 0.0).otherwise(mean), lambda score: F.struct(score.alias("score"), (score < c.overall_threshold).alias("hallucination"), F.size(scores).alias("n_matches")))
+
+    return T.let(F.transform(pair_matches(generated, reference, pair, c), lambda m: m["score"]), result)
 
 
 def align_prefix(generated: Column, reference: Column, scorer: M.Scorer = M.jaccard_scorer, c: EvaluationConfig = EvaluationConfig()) -> Column:
@@ -40,7 +42,7 @@ def align_prefix(generated: Column, reference: Column, scorer: M.Scorer = M.jacc
     gen, ref = T.to_atom(generated), T.to_atom(reference)
     head = T.sentence_head(T.sentence_split_evaluation(gen), c.max_sentences)
     score = F.when((head == "") | (ref == ""), 0.0).otherwise(scorer(head, ref))
-    return F.struct(score.alias("score"), (score < c.overall_threshold).alias("hallucination"))
+    return T.let(score, lambda s: F.struct(s.alias("score"), (s < c.overall_threshold).alias("hallucination")))
 
 
 def claim_matches(rows: DataFrame, key: str, generated: str, reference: str, judge, claims=M.sentence_claims, c: EvaluationConfig = EvaluationConfig()) -> DataFrame:
@@ -51,7 +53,7 @@ def claim_matches(rows: DataFrame, key: str, generated: str, reference: str, jud
     and a claim without a winner has score -1 and an empty text.
     """
     own = rows.select(key, F.posexplode(claims(F.col(reference))).alias("ref_pos", "ref"))
-    gen = rows.select(key, F.posexplode(F.slice(claims(F.array_join(F.slice(T.sentence_split_evaluation(F.col(generated)), 1, c.max_sentences), "")), 1, 1 << 20)).alias("gen_pos", "gen"))
+    gen = rows.select(key, F.posexplode(claims(F.array_join(F.slice(T.sentence_split_evaluation(F.col(generated)), 1, c.max_sentences), ""))).alias("gen_pos", "gen"))
     judged = own.join(gen, key).withColumn("j", judge(F.col("gen"), F.col("ref"))).where(F.col("j.label").isin(*ENTAILED) & (F.col("j.score") > -1.0))
     order = Window.partitionBy(key, "ref_pos").orderBy(F.desc("j.score"), "gen_pos")
     best = judged.withColumn("n", F.row_number().over(order)).where("n = 1").select(key, "ref_pos", F.col("gen").alias("best_gen"), "j.score", "j.justification")

@@ -89,10 +89,23 @@ def jaccard_scorer(generated: Column, reference: Column) -> Column:
 
 def jaccard_pair(a: Column, b: Column) -> Column:
     """Share of b's words that a holds, and of a's words that b holds."""
-    x, y = T._word_set(a), T._word_set(b)
-    both = F.size(F.array_intersect(x, y))
-    empty = (F.size(x) == 0) | (F.size(y) == 0)
-    return F.struct(F.when(empty, 0.0).otherwise(both / F.size(y)).alias("forward"), F.when(empty, 0.0).otherwise(both / F.size(x)).alias("backward"))
+
+    def shares(w: Column) -> Column:
+        empty = (F.size(w["x"]) == 0) | (F.size(w["y"]) == 0)
+        return T.let(F.size(F.array_intersect(w["x"], w["y"])), lambda both: F.struct(*[F.when(empty, 0.0).otherwise(both / F.size(w[k])).alias(n) for k, n in (("y", "forward"), ("x", "backward"))]))
+
+    return T.let(F.struct(T._word_set(a).alias("x"), T._word_set(b).alias("y")), shares)
+
+
+def words_pair(sentences: Column, reference: Column) -> Column:
+    """``jaccard_pair`` of many sentences with one reference, whose words are taken once: array<struct<forward, backward>>."""
+    words = F.struct(F.transform(sentences, T._word_set).alias("s"), T._word_set(reference).alias("y"))
+
+    def each(x: Column, y: Column) -> Column:
+        empty = (F.size(x) == 0) | (F.size(y) == 0)
+        return T.let(F.size(F.array_intersect(x, y)), lambda both: F.struct(F.when(empty, 0.0).otherwise(both / F.size(y)).alias("forward"), F.when(empty, 0.0).otherwise(both / F.size(x)).alias("backward")))
+
+    return T.let(words, lambda w: F.transform(w["s"], lambda x: each(x, w["y"])))
 
 
 def model_scorer(generate: Callable[[Column], Column]) -> Scorer:
