@@ -24,6 +24,8 @@ EVALUATION_ABBREVIATIONS = [
     "U.S.", "U.K.", "U.N.",
 ]
 
+_REFERENCE_LONGEST_FIRST, _EVALUATION_LONGEST_FIRST = (sorted(a, key=len, reverse=True) for a in (REFERENCE_ABBREVIATIONS, EVALUATION_ABBREVIATIONS))
+
 # What ends a sentence of a reference and of a generation, what a long sentence may be cut at, and LaTeX environments.
 REFERENCE_END = re.compile(r"[.!?;]+(?:\s+|\Z)")
 EVALUATION_END = re.compile(r"""(?:(?<!\d)\.(?!\d)|[!?;])(?=[)"'\]}]*\s+|\Z)""")
@@ -45,22 +47,23 @@ def free(text: str) -> str:
 
 
 def _cut(text: str, abbreviations: list[str], end: re.Pattern, clean: Callable[[str], str]) -> list[str]:
-    dot = free(text)
-    for a in sorted(abbreviations, key=len, reverse=True):
-        text = text.replace(a, a.replace(".", dot))
+    dot, held = free(text), False
+    for a in abbreviations:
+        if a in text:
+            held, text = True, text.replace(a, a.replace(".", dot))
     edges = [0, *(m.end() for m in end.finditer(text)), len(text)]
-    pieces = (clean(text[a:b].replace(dot, ".")) for a, b in zip(edges, edges[1:], strict=False))
-    return [p for p in pieces if p]
+    pieces = [clean(text[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+    return [p.replace(dot, ".") if held else p for p in pieces if p]
 
 
 def reference_sentences(text: str) -> list[str]:
     """Runs of . ! ? ; before white space or the end close a sentence."""
-    return _cut(text, REFERENCE_ABBREVIATIONS, REFERENCE_END, str.strip)
+    return _cut(text, _REFERENCE_LONGEST_FIRST, REFERENCE_END, str.strip)
 
 
 def evaluation_sentences(text: str) -> list[str]:
     """One ender before closing marks and white space closes a sentence, but no dot beside a digit; white space is collapsed."""
-    return _cut(text, EVALUATION_ABBREVIATIONS, EVALUATION_END, lambda s: " ".join(s.split()))
+    return _cut(text, _EVALUATION_LONGEST_FIRST, EVALUATION_END, lambda s: " ".join(s.split()))
 
 
 def wrapped(sentence: str, most: int, fix_spacing: bool = False) -> list[str]:
@@ -84,7 +87,10 @@ def wrapped(sentence: str, most: int, fix_spacing: bool = False) -> list[str]:
 
 def math_blocks(text: str, compat: bool = False) -> list[tuple[str, str]]:
     """Display math and the text around it, in order; environments outside of it hide what they contain."""
-    text = BRACKETS.sub(lambda m: f"$${m.group(1)}$$", text)
+    if "\\[" in text:
+        text = BRACKETS.sub(lambda m: f"$${m.group(1)}$$", text)
+    if "$$" not in text:  # environments stay in the text as they are
+        return [("text", whole)] if (whole := text.strip()) else []
     hidden = [m.group() for m in ENVIRONMENTS.finditer(text)]
     mark = free(text)
     shown = ENVIRONMENTS.sub(mark, text)

@@ -22,9 +22,10 @@ def long_solution(x: Column, c: SegmentConfig = SegmentConfig()) -> Column:
         tests.append(T.approx_token_count(norm) >= c.min_tokens)
     if c.use_paragraphs and c.min_paragraphs is not None:
         tests.append(F.size(T.split_paragraphs(norm)) >= c.min_paragraphs)
-    if c.min_sentences is not None:
-        tests.append(G.sentence_count(norm, c.count_math_as_sentence) >= c.min_sentences)
-    return ~T.is_blank(x) & reduce(lambda a, b: a | b, tests, F.lit(False))
+    long = reduce(lambda a, b: a | b, tests, F.lit(False))
+    if c.min_sentences is not None:  # sentences of the texts that are still open alone
+        long = long | (G.sentence_count(F.when(~long, norm), c.count_math_as_sentence) >= c.min_sentences)
+    return ~T.is_blank(x) & long
 
 
 def filter_long(rows: DataFrame, c: SegmentConfig = SegmentConfig()) -> DataFrame:
@@ -44,7 +45,20 @@ def explode_segments(rows: DataFrame, keys: list[str], segments: str = "segments
     return rows.select(*keys, F.posexplode(segments).alias("pos", "segment")).select(*keys, (F.col("pos") + 1).alias("index"), "segment.*")
 
 
-def tag_role(x: Column, hints: dict[str, list[str]]) -> Column:
+# Words that hint at the role of a step, in order of precedence.
+ROLE_HINTS = {
+    "LowerBound": ["lower bound", "at least", "necessary", "must be ≥", "cannot be less"],
+    "UpperBound/Construction": ["upper bound", "construction", "we can achieve", "it suffices to construct"],
+    "Conclusion/Answer": ["therefore", "thus", "hence", "in conclusion", "we conclude", "\\boxed"],
+    "CaseSplit": ["case", "otherwise", "when", "if", "suppose that"],
+    "Claim": ["claim", "lemma", "proposition"],
+    "Observation": ["observe that", "note that", "we note"],
+    "Verification": ["verify", "check", "it remains to show", "it remains to verify"],
+    "Inequality/Algebra": ["inequality", "rearranging", "algebraically", "by AM-GM", "by Cauchy"],
+}
+
+
+def tag_role(x: Column, hints: dict[str, list[str]] = ROLE_HINTS) -> Column:
     """The first role of which a keyword occurs in the text; null if none does."""
     low = F.lower(x)
     found = F.lit(None).cast("string")

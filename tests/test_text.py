@@ -28,6 +28,9 @@ ALPHA = "alpha beta and gamma delta, epsilon or zeta"
         (lambda x: T.soft_wrap(x, 30), ALPHA, ["alpha betaand gamma delta", "epsilonor zeta"]),
         (lambda x: T.soft_wrap(x, 30, fix_spacing=True), ALPHA, ["alpha beta and gamma delta", "epsilon or zeta"]),
         (lambda x: T.soft_wrap(x, 5), " ,;: ,;:", [",;: ,;:"]),
+        (T.sentence_split_reference, "a\x03b c. D\x04e f. \x05\ue000 e.g. g. h", ["a\x03b c.", "D\x04e f.", "\x05\ue000 e.g. g.", "h"]),
+        (T.sentence_split_evaluation, "a\x03b c. D\x04e\ue000 f! g", ["a\x03b c.", "D\x04e\ue000 f!", "g"]),
+        (lambda x: T.soft_wrap(x, 8), "ab\x05cd, efghi", ["ab\x05cd", "efghi"]),
         (T.extract_floats, "-5", [5.0]),
         (T.extract_floats, "-.5", [-0.5]),
         (T.extract_floats, "1e-3", [1.0, 3.0]),
@@ -63,6 +66,8 @@ def test_vectors(one, function, given_, want):
         ("open $$x", False, [("text", "open $$x")]),
         ("p $q$ r", False, [("text", "p $q$ r")]),
         (r"\begin{a}x", False, [("text", r"\begin{a}x")]),
+        ("x\x04y z $$\x06\x01\x02$$ \ue000", False, [("text", "x\x04y z"), ("math", "$$\x06\x01\x02$$"), ("text", "\ue000")]),
+        (r"\begin{a}$$\end{a} \ue000 $$\begin{b}1\end{b}\begin{b}2\end{b}$$".replace("\\ue000", "\ue000"), False, [("text", r"\begin{a}$$\end{a} " + "\ue000"), ("math", r"$$\begin{b}1\end{b}\begin{b}2\end{b}$$")]),
     ],
 )
 def test_math_blocks(one, text, compat, want):
@@ -76,7 +81,8 @@ def test_first_chunk(text, want):
 
 @pytest.mark.parametrize(
     ("text", "want"),
-    [('x {"a": 1} y', '{"a": 1}'), ("{'a': True, b: None,}", '{"a": true, "b": null}'), ("(1, 2)", "[1, 2]"), ("nothing", None), (None, None), ("[1, 2", None)],
+    [('x {"a": 1} y', '{"a": 1}'), ("{'a': True, b: None,}", '{"a": true, "b": null}'), ("(1, 2)", "[1, 2]"), ("nothing", None), (None, None), ("[1, 2", None),
+     ("so {'a': (1, 2)} ok", '{"a": [1, 2]}'), ("x {'a': (1,2),} y", '{"a": [1, 2]}'), ("{1: 'a', 2: (3,)}", '{"1": "a", "2": [3]}'), ("null", None), ("[" * 100_000, None), ("{'a': {1, 2}}", None), ("a {b} [1, 2]", None)],
 )
 def test_repair(text, want):
     assert J.repair(text) == want
