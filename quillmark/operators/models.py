@@ -7,11 +7,13 @@ run in Arrow batches with one engine per Python worker.
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
@@ -28,8 +30,36 @@ CLAIMS = 'List the propositions of the text, at most 80 characters each. Answer
 REWRITE = "Rewrite the text in this style without a change of content."
 
 
+PROBE = "Describe the style in which you write mathematics: tone, length of sentences, notation, order of the argument, rigour. Three to six points in one paragraph, separated by semicolons, and nothing else."
+
+# What guided output must look like, as JSON schemas.  Fixed values: names and bounds that the readers of answers expect.
+_SHARE = {"type": "number", "minimum": 0.0, "maximum": 1.0}
+SCORE_SCHEMA = {"type": "object", "properties": {"score": _SHARE}, "required": ["score"], "additionalProperties": False}
+PAIR_SCHEMA = {"type": "array", "items": _SHARE, "minItems": 2, "maxItems": 2}
+_CLAIM = {"type": "object", "properties": {"id": {"type": "integer", "minimum": 0}, "text": {"type": "string", "minLength": 1, "maxLength": 80}}, "required": ["id", "text"], "additionalProperties": False}
+CLAIMS_SCHEMA = {"type": "object", "properties": {"segments": {"type": "array", "items": _CLAIM, "minItems": 1}}, "required": ["segments"], "additionalProperties": False}
+
+
 class Engine(Protocol):
-    def generate(self, prompts: list[str]) -> list[str]: ...
+    """``schema`` is a JSON schema that the answers must follow, or None for free text."""
+
+    def generate(self, prompts: list[str], schema: dict | None = None) -> list[str]: ...
+
+
+class EchoEngine:
+    """A stand-in: the last line of a prompt, the sentinel and a remark; with a schema, an answer that fits it."""
+
+    def __init__(self, config: ModelConfig) -> None:
+        self.stop = config.stop
+
+    def generate(self, prompts: list[str], schema: dict | None = None) -> list[str]:
+        if schema is None:
+            return [p.rpartition("\n")[2] + f" {self.stop} and more" for p in prompts]
+        if schema.get("type") == "array":
+            return ["[0.25, 0.75]" for _ in prompts]
+        if "score" in schema["properties"]:
+            return [f'{{"score": {len(p) % 101 / 100:.2f}}}' for p in prompts]
+        return [json.dumps({"segments": [{"id": 1, "text": p.rpartition(" ")[2][:80] or "."}]}) for p in prompts]
 
 
 _ENGINES: dict[tuple[str, str, str], Engine] = {}  # of this worker
@@ -67,20 +97,63 @@ def rewrite_prompt(style: Column, x: Column) -> Column:
     return chat_prompt(F.concat(F.lit(REWRITE + "\n"), style), x)
 
 
-def generator(make: Callable[[ModelConfig], Engine], config: ModelConfig = ModelConfig()) -> Callable[[Column], Column]:
-    """A text column to the model's answers, ``batch_size`` prompts a call; ``make`` runs once in each worker."""
+def generator(make: Callable[[ModelConfig], Engine], config: ModelConfig = ModelConfig()) -> Callable[..., Column]:
+    """A text column (and a schema) to the model's answers, ``batch_size`` prompts a call; ``make`` runs once in each worker."""
+
+    def call(prompt: Column, schema: dict | None = None) -> Column:
+        @F.pandas_udf(S.StringType())
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            engine = _engine(make, config)
+            guided = {} if schema is None else {"schema": schema}
+            for prompts in batches:
+                out: list[str] = []
+                rows = prompts.fillna("").tolist()
+                for i in range(0, len(rows), config.batch_size):
+                    out += [t.strip() for t in engine.generate(rows[i : i + config.batch_size], **guided)]
+                yield pd.Series(out, dtype=object)
+
+        return run(prompt)
+
+    return call
+
+
+def templated_prompt(make: Callable[[ModelConfig], object], config: ModelConfig = ModelConfig()) -> Callable[[Column, Column], Column]:
+    """(system, user) to the prompt of the model's own chat template, with the turn of the model opened.
+
+    ``make`` gives a tokenizer; one without a template falls back to the lines of ``chat_prompt``.
+    """
+
+    def call(system: Column, user: Column) -> Column:
+        @F.pandas_udf(S.StringType())
+        def run(systems: pd.Series, users: pd.Series) -> pd.Series:
+            tokenizer = _engine(make, config)
+            out = []
+            for s, u in zip(systems.fillna(""), users.fillna(""), strict=True):
+                turns = ([{"role": "system", "content": s}] if s else []) + [{"role": "user", "content": u}]
+                if getattr(tokenizer, "chat_template", None):
+                    out.append(tokenizer.apply_chat_template(turns, tokenize=False, add_generation_prompt=True))
+                else:
+                    out.append("\n".join(f"{t['role']}: {t['content']}" for t in turns))
+            return pd.Series(out, dtype=object)
+
+        return run(system, user)
+
+    return call
+
+
+def probe_style(spark: SparkSession, generate: Callable[[Column], Column], path: str | None = None) -> str:
+    """The model's own words about its style, asked for once; kept in ``path`` if that file exists."""
+    asked = spark.range(1).select(generate(chat_prompt(F.lit(PROBE), F.lit("Your style, please."))).alias("s"))
+    style = (asked.first().s or "").strip()
+    if path and style and os.path.exists(path):
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(style)
+    return style
 
-    @F.pandas_udf(S.StringType())
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        engine = _engine(make, config)
-        for prompts in batches:
-            out: list[str] = []
-            rows = prompts.fillna("").tolist()
-            for i in range(0, len(rows), config.batch_size):
-                out += [t.strip() for t in engine.generate(rows[i : i + config.batch_size])]
-            yield pd.Series(out, dtype=object)
 
-    return run
+def rewriter(generate: Callable[[Column], Column], style: str) -> Callable[[Column], Column]:
+    """Texts in the style that ``probe_style`` gave."""
+    return lambda x: T.truncate_at_sentinel(generate(rewrite_prompt(F.lit(style), x)))
 
 
 def jaccard_scorer(generated: Column, reference: Column) -> Column:
@@ -110,12 +183,12 @@ def words_pair(sentences: Column, reference: Column) -> Column:
 
 def model_scorer(generate: Callable[[Column], Column]) -> Scorer:
     """Scores from a judge model's answers; what can't be read is 0."""
-    return lambda generated, reference: J.last_score(generate(judge_prompt(generated, reference)))
+    return lambda generated, reference: J.last_score(generate(judge_prompt(generated, reference), SCORE_SCHEMA))
 
 
 def model_pair(generate: Callable[[Column], Column]) -> Scorer:
     def score(a: Column, b: Column) -> Column:
-        got = J.score_pair(J.safe_json(generate(pair_prompt(a, b)))["json"])
+        got = J.score_pair(J.safe_json(generate(pair_prompt(a, b), PAIR_SCHEMA))["json"])
         return F.struct(F.try_element_at(got, F.lit(1)).alias("forward"), F.try_element_at(got, F.lit(2)).alias("backward"))
 
     return score
@@ -127,7 +200,7 @@ def sentence_claims(x: Column) -> Column:
 
 
 def model_claims(generate: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    return lambda x: J.claim_texts(generate(claims_prompt(x)))
+    return lambda x: J.claim_texts(generate(claims_prompt(x), CLAIMS_SCHEMA))
 
 
 def claim_judgement(score: Column, label: Column | None = None, justification: Column | None = None) -> Column:

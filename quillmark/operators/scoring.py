@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillmark.config import EvaluationConfig
 from quillmark.operators import align as A
 from quillmark.operators import models as M
+from quillmark.sources.readers import before_parts, in_order
 
 
 def prefixes(rows: DataFrame, key: str, order: str, content: str, out: str = "prefix") -> DataFrame:
@@ -76,17 +77,14 @@ def model_summary(scores: DataFrame, score: str = "score") -> DataFrame:
     return scores.agg(F.count("*").alias("num"), F.try_divide(F.sum(score) * 10, F.count("*")).alias("avg_score"))
 
 
-def running_average(scores: DataFrame, order: str, score: str = "score", every: int = 50, bucket: int = 100_000) -> DataFrame:
+def running_average(scores: DataFrame, order: str, score: str = "score", every: int = 50) -> DataFrame:
     """The mean so far at every ``every``-th case in order.
 
-    Sums over blocks of the order column come first, so that no task sorts the
-    whole table; ``order`` must be a whole number, like a case id.
+    Ranges of the order column are added up first, so no task sorts the whole table.
     """
-    blocks = scores.select(F.floor(F.col(order) / bucket).alias("__b"), order, score)
-    sums = blocks.groupBy("__b").agg(F.sum(score).alias("s"), F.count("*").alias("n"))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
-    heads = sums.select("__b", F.coalesce(F.sum("s").over(before), F.lit(0.0)).alias("s0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
-    inside = Window.partitionBy("__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = blocks.select("__b", order, F.sum(score).over(inside).alias("s"), F.count("*").over(inside).alias("n")).join(heads, "__b")
-    num = F.col("n0") + F.col("n")
+    placed = in_order(scores.select(order, score), [order])
+    before = before_parts(placed, s0=F.sum(score), n0=F.count("*"))
+    inside = Window.partitionBy("__part").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
+    rows = placed.select("__part", "__place", F.sum(score).over(inside).alias("s")).join(F.broadcast(before), "__part")
+    num = F.col("n0") + F.col("__place") + 1
     return rows.select(num.alias("num"), ((F.col("s0") + F.col("s")) / num).alias("running_avg")).where(F.col("num") % every == 0)

@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.session import ship
+from quillmark.sources.readers import before_parts, in_order
+
 
 def distribution(rows: DataFrame, key: str, by: str = "key", digits: int | None = None) -> DataFrame:
     """(key, count, percentage), ordered by key (null first) or by count descending and key.
@@ -21,10 +27,27 @@ def distribution(rows: DataFrame, key: str, by: str = "key", digits: int | None
 
 
 def five_numbers(rows: DataFrame, x: str) -> DataFrame:
-    """Count, least, quartiles, greatest, mean and both deviations."""
-    q = F.percentile(x, F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    agg = rows.agg(F.count(x).alias("n"), q.alias("q"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.stddev_pop(x).alias("sd_pop"))
-    return agg.select("n", *[F.col("q")[i].alias(n) for i, n in enumerate(("min", "q1", "median", "q3", "max"))], "mean", "sd", "sd_pop")
+    """Count, least, quartiles, greatest, mean and both deviations; nulls do not count.
+
+    Distinct values are counted and put in ranges; each range knows how many
+    values lie before it, so the quartiles are looked up and no task holds all values.
+    """
+    values = rows.where(F.col(x).isNotNull()).groupBy(F.col(x).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    placed = in_order(values, ["v"])
+    before = before_parts(placed, __before=F.sum("n"))
+    total = placed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    inside = Window.partitionBy("__part").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = placed.withColumn("upto", F.sum("n").over(inside)).join(F.broadcast(before), "__part").crossJoin(F.broadcast(total))  # one row
+    last = F.col("__before") + F.col("upto")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((last - F.col("n") <= rank) & (rank < last), F.col("v")))
+
+    parts = {n: F.lit(p) * (F.col("total") - 1) for n, p in zip(("min", "q1", "median", "q3", "max"), (0.0, 0.25, 0.5, 0.75, 1.0), strict=True)}
+    found = ranked.agg(F.max("total").alias("total"), *[at(f(k)).alias(f"{n}_{s}") for n, k in parts.items() for s, f in (("low", F.floor), ("high", F.ceil))])
+    agg = rows.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.stddev_pop(x).alias("sd_pop"))
+    both = agg.crossJoin(F.broadcast(found))  # one row each
+    return both.select("n", *[(F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * (k - F.floor(k))).alias(n) for n, k in parts.items()], "mean", "sd", "sd_pop")
 
 
 def head_stats(rows: DataFrame, order: str, score: str, difficulty: str, n: int = 25) -> DataFrame:
@@ -38,30 +61,46 @@ def regression(rows: DataFrame, x: str, y: str) -> DataFrame:
     return rows.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.regr_count(y, x).alias("n"))
 
 
-def regression_band(rows: DataFrame, x: str, y: str, points: int = 100, resamples: int = 200, seed: int = 1, level: float = 0.95) -> DataFrame:
+MODULUS = (1 << 31) - 1
+#: u below the k-th cut means a weight of at most k - 1: Poisson(1), to the last step that a u of 31 bits can tell.
+POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(13)]
+
+
+def regression_band(rows: DataFrame, x: str, y: str, points: int = 100, resamples: int = 200, seed: int = 1, level: float = 0.95, key: Column | None = None) -> DataFrame:
     """(x, fit, low, high): the line and its bootstrap band on a grid.
 
-    Every row takes a Poisson(1) weight for each resample, from hashes; the
-    weighted sums are one aggregation, and resamples times points rows follow.
+    Every row takes a Poisson(1) weight for each resample, drawn from a hash of
+    ``key`` (a whole number that tells rows apart; else of x and y, so that
+    equal rows weigh alike), so the band does not depend on partitions.  Each
+    task adds up the weighted sums of all resamples; resamples times points
+    rows follow.
     """
-    ids = spark_range(rows, resamples, "b")
-    pairs = rows.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.xxhash64(F.monotonically_increasing_id()).alias("h")).where("x IS NOT NULL AND y IS NOT NULL")
-    u = F.pmod(F.xxhash64("h", "b", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    cuts, total = [], 0.0
-    for k in range(7):
-        total += math.exp(-1) / math.factorial(k)
-        cuts.append(total)
-    weight = F.lit(len(cuts))
-    for k in reversed(range(len(cuts))):
-        weight = F.when(u < cuts[k], k).otherwise(weight)
-    drawn = pairs.crossJoin(F.broadcast(ids)).withColumn("w", weight.cast("double"))  # a fixed number of resamples
-    s = drawn.groupBy("b").agg(*[F.sum(e).alias(n) for n, e in {"w": F.col("w"), "sx": F.col("w") * F.col("x"), "sy": F.col("w") * F.col("y"), "sxx": F.col("w") * F.col("x") ** 2, "sxy": F.col("w") * F.col("x") * F.col("y")}.items()])
+    ship(rows.sparkSession)
+    x_, y_ = F.col(x).cast("double"), F.col(y).cast("double")
+    h = F.pmod((F.xxhash64(x_, y_) if key is None else key).cast("long"), F.lit(MODULUS))
+    pairs = rows.select(x_.alias("x"), y_.alias("y"), h.alias("h")).where("x IS NOT NULL AND y IS NOT NULL")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = np.arange(resamples, dtype=np.int64)[None, :]
+        total = np.zeros((resamples, 5))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2048):
+                u, v, key_ = (batch.column(i).slice(lo, 2048).to_numpy(zero_copy_only=False) for i in range(3))
+                r = (key_[:, None] * 48_271 + b * 40_692 + seed * 69_621) % MODULUS
+                for add in (key_[:, None], 12_345):
+                    r = (r * r + add) % MODULUS
+                w = np.searchsorted(POISSON, r / MODULUS, side="right").astype(float)
+                total += w.T @ np.stack([np.ones(len(u)), u, v, u * u, u * v], 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), *(pa.array(total[:, i]) for i in range(5))], ["b", "w", "sx", "sy", "sxx", "sxy"])
+
+    names = ("w", "sx", "sy", "sxx", "sxy")
+    s = pairs.mapInArrow(sums, "b bigint, w double, sx double, sy double, sxx double, sxy double").groupBy("b").agg(*[F.sum(n).alias(n) for n in names])
     slope = F.try_divide(F.expr("w * sxy - sx * sy"), F.expr("w * sxx - sx * sx"))
     lines = s.select(slope.alias("m"), F.try_divide(F.col("sy") - slope * F.col("sx"), F.col("w")).alias("c"))
     span = pairs.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.regr_slope("y", "x").alias("m0"), F.regr_intercept("y", "x").alias("c0"))
     grid = spark_range(rows, points, "i").crossJoin(F.broadcast(span)).select("i", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / max(1, points - 1)).alias("x"), "m0", "c0")
     tail = (1 - level) / 2
-    each = grid.crossJoin(F.broadcast(lines)).withColumn("f", F.col("m") * F.col("x") + F.col("c"))
+    each = grid.crossJoin(F.broadcast(lines)).withColumn("f", F.col("m") * F.col("x") + F.col("c"))  # points x resamples
     out = each.groupBy("i", "x", "m0", "c0").agg(F.percentile("f", F.array(F.lit(tail), F.lit(1 - tail))).alias("q"))
     return out.select("x", (F.col("m0") * F.col("x") + F.col("c0")).alias("fit"), F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 

@@ -376,7 +376,7 @@ def model_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT num, round(a, 6) AS running_avg FROM (SELECT row_number() OVER (ORDER BY l_orderkey) AS num, avg(total * exp((difficulty - 5) / 10)) OVER (ORDER BY l_orderkey ROWS UNBOUNDED PRECEDING) AS a FROM ({_ORDERS})) WHERE num % 50 = 0")
 def running_average(spark: SparkSession, d: str) -> DataFrame:
-    out = W.running_average(_order_scores(spark, d), "l_orderkey", bucket=2_000)
+    out = W.running_average(_order_scores(spark, d), "l_orderkey")
     return out.select("num", F.round("running_avg", 6).alias("running_avg"))
 
 
