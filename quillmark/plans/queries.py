@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,12 +13,15 @@ from quillmark.functions import jsonrepair as J
 from quillmark.functions import segment as G
 from quillmark.functions import text as T
 from quillmark.operators import align as A
+from quillmark.operators import evaluation as E
 from quillmark.operators import models as M
 from quillmark.operators import scoring as W
 from quillmark.operators import solutions as P
 from quillmark.operators import stats as D
 from quillmark.plans import sql as Q
-from quillmark.session import ship
+from quillmark.schemas import CASE, GENERATION_LOG, SEGMENTS, SUMMARY
+from quillmark.session import materialize, new_path, ship
+from quillmark.sources import readers as R
 from quillmark.sources import writers as K
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -207,8 +211,8 @@ def replace_py_literals(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT event_id, CASE WHEN event_id % 5 = 4 THEN NULL ELSE '{"k": ' || regexp_extract(props, '[0-9]+') || ', "t": "' || event_type || '"' || CASE WHEN event_id % 5 = 3 THEN ', "ok": true' ELSE '' END || '}' END AS json,
-    event_id % 5 = 4 AS parse_error FROM events"""
+    """SELECT event_id, CASE WHEN event_id % 7 = 6 THEN '{"k": [' || regexp_extract(props, '[0-9]+') || ', 2], "e": [1]}' WHEN event_id % 5 = 4 THEN NULL ELSE '{"k": ' || regexp_extract(props, '[0-9]+') || ', "t": "' || event_type || '"' || CASE WHEN event_id % 5 = 3 THEN ', "ok": true' ELSE '' END || '}' END AS json,
+    event_id % 5 = 4 AND event_id % 7 <> 6 AS parse_error FROM events"""
 )
 def safe_json(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
@@ -223,6 +227,7 @@ def safe_json(spark: SparkSession, d: str) -> DataFrame:
     raw = forms[4]
     for i in range(4):
         raw = F.when(F.col("event_id") % 5 == i, forms[i]).otherwise(raw)
+    raw = F.when(F.col("event_id") % 7 == 6, F.concat(F.lit("so {'k': ("), n, F.lit(", 2,), 'e': (1,),} ok"))).otherwise(raw)
     return _t(spark, d, "events").select("event_id", J.safe_json(raw).alias("j")).select("event_id", "j.json", "j.parse_error")
 
 
@@ -480,15 +485,271 @@ def cosine_alignment(spark: SparkSession, d: str) -> DataFrame:
     return both.select("vec_id", F.round(M.cosine(F.col("x"), F.col("y")), 6).alias("cosine"))
 
 
+# readers: each query writes files of lines, in several parts, and reads them back
+def _event_lines(spark: SparkSession, d: str, line: Column, name: str) -> str:
+    path = new_path(spark, name)
+    rows = _t(spark, d, "events").withColumn("k", F.regexp_extract("props", "[0-9]+", 0))
+    rows.repartitionByRange(5, "event_id").sortWithinPartitions("event_id").select(line.alias("value")).write.text(path)
+    return path
+
+
+def _event() -> Column:
+    return F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"), F.lit(', "k": '), F.col("k"), F.lit("}"))
+
+
 @query("SELECT row_number() OVER (ORDER BY event_id) AS id, event_id, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k FROM events WHERE event_id % 7 <> 3")
 def jsonl_tolerant(spark: SparkSession, d: str) -> DataFrame:
-    from quillmark.sources.readers import numbered
+    line = F.when(F.col("event_id") % 7 == 3, F.concat(_event(), F.lit(" thanks"))).otherwise(F.concat(F.lit(" "), _event(), F.lit(" \n")))
+    path = _event_lines(spark, d, line, "tolerant")
+    return R.read_jsonl(spark, path, "event_id bigint, k bigint").select(_big(F.col("id")).alias("id"), "event_id", "k")
+
+
+@query("SELECT event_id, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k FROM events")
+def jsonl_strict(spark: SparkSession, d: str) -> DataFrame:
+    path = _event_lines(spark, d, F.concat(_event(), F.lit("\n")), "strict")
+    return R.read_jsonl_strict(spark, path, "event_id bigint, k bigint")
+
+
+@query("SELECT event_id, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k FROM events")
+def jsonl_all_or_nothing(spark: SparkSession, d: str) -> DataFrame:
+    """A file of single-quoted keys, and the same with one bad line, which gives no row."""
+    single = F.replace(_event(), F.lit('"'), F.lit("'"))
+    good = _event_lines(spark, d, single, "quoted")
+    bad = _event_lines(spark, d, F.when(F.col("event_id") == 5, "{'event_id': ").otherwise(single), "damaged")
+    schema = "event_id bigint, k bigint"
+    return R.read_jsonl_all_or_nothing(spark, good, schema).unionByName(R.read_jsonl_all_or_nothing(spark, bad, schema))
+
+
+@query("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")
+def hub_copy(spark: SparkSession, d: str) -> DataFrame:
+    return R.read_hub_copy(spark, f"{d}/orders.parquet").select("o_orderkey", "o_totalprice", "o_orderstatus")
+
+
+@query("""SELECT event_id, '{"a": ' || event_id || ', "b": ''x''}' AS fixed FROM events""")
+def fix_json_format(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.concat(F.lit("{'a': "), F.col("event_id").cast("string"), F.lit(", 'b': 'x'}"))
+    return _t(spark, d, "events").select("event_id", J.fix_json_format(raw).alias("fixed"))
+
+
+# thresholds on odd rows
+_ODD_SOLUTION = "CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN ' ' || chr(10) || chr(9) ELSE replace(text, chr(10), chr(10) || ' ' || chr(10)) END"
+
+
+def _odd_solutions(spark: SparkSession, d: str) -> DataFrame:
+    text = F.when(F.col("doc_id") % 4 == 0, F.lit(None)).when(F.col("doc_id") % 4 == 1, " \n\t").otherwise(F.replace("text", F.lit("\n"), F.lit("\n \n")))
+    return _t(spark, d, "documents").select("doc_id", text.alias("solution"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 4 > 1 AND regexp_matches(text, '\\S')")
+def blank_reject(spark: SparkSession, d: str) -> DataFrame:
+    return P.filter_long(_odd_solutions(spark, d), SegmentConfig(min_chars=0)).select("doc_id")
+
+
+@query(f"SELECT doc_id FROM (SELECT doc_id, {Q.paragraphs(Q.normalize(_ODD_SOLUTION))} AS p FROM documents) WHERE len(p) >= 3")
+def paragraph_threshold(spark: SparkSession, d: str) -> DataFrame:
+    return P.filter_long(_odd_solutions(spark, d), SegmentConfig(min_chars=None, use_paragraphs=True, min_paragraphs=3)).select("doc_id")
+
 
+@query("SELECT conv_id, turn, trim(text) AS plain, role || ' ' || trim(text) AS one, trim(text) || ' ' || role AS two FROM conversations")
+def normalize_generation(spark: SparkSession, d: str) -> DataFrame:
+    padded = F.concat(F.lit(" \n"), "text", F.lit("\t"))
+    none = F.lit(None).cast("string")
+    forms = [T.normalize_generation(padded), T.normalize_generation(F.array(F.col("role"), none, padded), 1), T.normalize_generation(F.array(F.array(padded, F.lit(" ")), F.array(F.col("role"), none)), 2)]
+    return _t(spark, d, "conversations").select("conv_id", "turn", *[f.alias(n) for f, n in zip(forms, ("plain", "one", "two"), strict=True)])
+
+
+# prompts, engines, the whole evaluation
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _prompt_sql(system: str, user: str) -> str:
+    return f"{_quoted(f'system: {system}')} || chr(10) || 'user: ' || {user}"
+
+
+@query(f"""SELECT conv_id, turn, {_prompt_sql(M.CONTINUE, "'Problem:' || chr(10) || role || chr(10) || 'Solution so far:' || chr(10) || trim(text)")} AS next,
+{_prompt_sql(M.JUDGE, "'Candidate:' || chr(10) || text || chr(10) || 'Reference:' || chr(10) || role")} AS judge,
+{_prompt_sql(M.PAIR, "'First:' || chr(10) || text || chr(10) || 'Second:' || chr(10) || role")} AS pair,
+{_prompt_sql(M.CLAIMS, "text")} AS claims, {_quoted("system: " + M.REWRITE + chr(10))} || role || chr(10) || 'user: ' || text AS rewrite, 'user: ' || text AS bare FROM conversations""")
+def prompts(spark: SparkSession, d: str) -> DataFrame:
+    text, role = F.col("text"), F.col("role")
+    each = {
+        "next": M.continue_prompt(role, F.concat(F.lit("\n"), text)), "judge": M.judge_prompt(text, role), "pair": M.pair_prompt(text, role),
+        "claims": M.claims_prompt(text), "rewrite": M.rewrite_prompt(role, text), "bare": M.chat_prompt(F.lit(""), text),
+    }
+    return _t(spark, d, "conversations").select("conv_id", "turn", *[c.alias(n) for n, c in each.items()])
+
+
+def _no_template(config) -> None:
+    """A tokenizer that has no chat template."""
+
+
+def _judge_length() -> str:
+    prompt = _prompt_sql(M.JUDGE, "'Candidate:' || chr(10) || text || chr(10) || 'Reference:' || chr(10) || role")
+    return f"length({prompt})"
+
+
+@query(f"SELECT conv_id, turn, ({_judge_length()} % 101) / 100.0 AS score, CAST(0.25 AS DOUBLE) AS forward, CAST(0.75 AS DOUBLE) AS backward, regexp_extract('user: ' || text, '[^ ]*$')[1:80] AS claim, 'user: x' AS chat FROM conversations")
+def guided_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Judge, pair and claims models with their schemas, and a chat template, through an engine in each worker."""
+    ship(spark)
+    call = M.generator(M.EchoEngine)
+    rows = _t(spark, d, "conversations").select("conv_id", "turn", M.model_scorer(call)(F.col("text"), F.col("role")).alias("score"), M.model_pair(call)(F.col("text"), F.col("role")).alias("p"), M.model_claims(call)(F.col("text")).alias("c"), M.templated_prompt(_no_template)(F.lit(""), F.lit("x")).alias("chat"))
+    return rows.select("conv_id", "turn", "score", "p.forward", "p.backward", F.coalesce(F.col("c")[0], F.lit("")).alias("claim"), "chat")
+
+
+def _problems(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as segmented problems: each turn is a segment, its line ends as blanks."""
+    segment = F.struct(F.col("turn").cast("int").alias("id"), F.lit("text").alias("type"), F.translate("text", "\n", " ").alias("content"), F.lit(0).alias("paragraph_index"))
+    rows = _t(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", segment.alias("s")))), lambda x: x["s"]).alias("segments"))
+    return rows.select(F.col("conv_id").alias("id"), F.concat(F.lit("p"), F.col("conv_id").cast("string")).alias("problem"), F.concat(F.lit("a"), F.col("conv_id").cast("string")).alias("answer"), (1 + (F.col("conv_id") % 17) / 2.0).alias("difficulty"), "segments")
+
+
+def _evaluated(spark: SparkSession, d: str) -> E.Evaluation:
     ship(spark)
-    line = F.when(F.col("event_id") % 7 == 3, F.concat("props", F.lit(" thanks"))).otherwise(F.concat(F.lit(" "), "props", F.lit(" ")))
-    rows = _t(spark, d, "events").select("event_id", T.strip(line).alias("value")).where("value <> ''").where(J.is_json("value"))
-    rows = numbered(rows.withColumn("part", F.floor(F.col("event_id") / 1000)), ["part", "event_id"])
-    return rows.select(_big(F.col("id")).alias("id"), "event_id", F.from_json("value", "k bigint")["k"].alias("k"))
+    return E.evaluate(_problems(spark, d), M.generator(M.EchoEngine), store=lambda x: materialize(x, "evaluation"))
+
+
+# the echo gives back the last line of the prefix, so a step scores its overlap with the next one
+_LINES_ = "(SELECT conv_id, turn, translate(text, chr(10), ' ') AS text FROM conversations)"
+_ECHO = f"(SELECT conv_id, turn, trim(text) AS gen, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS ref FROM {_LINES_})"
+_ECHO_STEPS = f"(SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n, coalesce({_PREFIX_SCORE}, 0.0) AS v FROM {_ECHO})"
+
+
+@query(f"SELECT conv_id AS id, i AS index, n AS num_steps, round(v, 9) AS score, CAST(v < 0.6 AS INTEGER) AS hallucination FROM {_ECHO_STEPS} WHERE i < n")
+def evaluation_steps(spark: SparkSession, d: str) -> DataFrame:
+    return _evaluated(spark, d).steps.select("id", _big(F.col("index")).alias("index"), _big(F.col("num_steps")).alias("num_steps"), F.round("score", 9).alias("score"), "hallucination")
+
+
+@query(f"SELECT conv_id AS id, 'p' || conv_id AS problem, 'a' || conv_id AS answer, num_steps, num_steps - 1 AS scored, difficulty, round(total * exp((difficulty - 5) / 10), 6) AS score FROM ({_case_sql(_ECHO_STEPS, 'conv_id')})")
+def evaluation_cases(spark: SparkSession, d: str) -> DataFrame:
+    cases = _evaluated(spark, d).cases
+    return cases.select("id", "problem", "answer", _big(F.col("num_steps")).alias("num_steps"), _big(F.size("steps")).alias("scored"), "difficulty", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT conv_id AS id, string_agg(trim(text), '{BAR}' ORDER BY turn) AS generated FROM {_LINES_} GROUP BY conv_id")
+def evaluation_generations(spark: SparkSession, d: str) -> DataFrame:
+    return _evaluated(spark, d).generations.select("id", F.array_join("gen_output", BAR).alias("generated"))
+
+
+@query("SELECT conv_id, turn, upper(role) || '!' AS said FROM conversations")
+def memo(spark: SparkSession, d: str) -> DataFrame:
+    return M.once_per_text(_t(spark, d, "conversations"), "role", lambda x: F.concat(F.upper(x), F.lit("!")), "said").select("conv_id", "turn", "said")
+
+
+# writers: round trips through files
+_CASES = _case_sql(_TURNS, "conv_id")
+
+
+def _case_rows(spark: SparkSession, d: str) -> DataFrame:
+    turns = _t(spark, d, "conversations").select("conv_id", "turn", "text")
+    steps = W.score_steps(turns, "conv_id", "turn", "text")
+    scores = W.case_scores(steps, _cases(turns, "conv_id"), "conv_id").withColumn("score", F.round("score", 6))
+    records = W.case_records(scores, steps, "conv_id").withColumnRenamed("conv_id", "id")
+    return records.select("id", "difficulty", "score", F.col("num_steps").cast("int").alias("num_steps"), "steps", F.when(F.col("id") % 2 == 0, F.lit("é \"q\"\nx")).alias("problem"), F.lit("a").alias("answer"))
+
+
+_ROUND = f"SELECT conv_id AS id, difficulty, round(total * exp((difficulty - 5) / 10), 6) AS score, num_steps, num_steps - 1 AS scored, CASE WHEN conv_id % 2 = 0 THEN 'é \"q\"' || chr(10) || 'x' END AS problem FROM ({_CASES})"
+
+
+def _round(rows: DataFrame) -> DataFrame:
+    return rows.select("id", "difficulty", "score", _big(F.col("num_steps")).alias("num_steps"), _big(F.size("steps")).alias("scored"), "problem")
+
+
+@query(_ROUND)
+def sink_jsonl(spark: SparkSession, d: str) -> DataFrame:
+    path = new_path(spark, "cases")
+    K.write_jsonl(_case_rows(spark, d), path)
+    return _round(R.read_jsonl_strict(spark, path, CASE))
+
+
+@query(_ROUND)
+def sink_pretty_json(spark: SparkSession, d: str) -> DataFrame:
+    path = new_path(spark, "pretty")
+    K.write_pretty_json(_case_rows(spark, d), path)
+    return _round(K.read_pretty_json(spark, path, CASE))
+
+
+@query(f"SELECT 'cases' AS output, count(*) AS n, round(sum(s), 4) AS total FROM (SELECT round(total * exp((difficulty - 5) / 10), 6) AS s FROM ({_case_sql(_ECHO_STEPS, 'conv_id')})) UNION ALL SELECT 'pretty', count(*), NULL FROM (SELECT DISTINCT conv_id FROM conversations) UNION ALL SELECT 'generations', count(DISTINCT conv_id), NULL FROM conversations UNION ALL SELECT 'log', count(DISTINCT conv_id), NULL FROM conversations UNION ALL SELECT 'summary', count(*), round(sum(s) * 10 / count(*), 4) FROM (SELECT total * exp((difficulty - 5) / 10) AS s FROM ({_case_sql(_ECHO_STEPS, 'conv_id')}))")
+def sink_run(spark: SparkSession, d: str) -> DataFrame:
+    """The five outputs of a run, written and read back."""
+    e = _evaluated(spark, d)
+    base = K.run_path(new_path(spark, "runs"), "a/model", "judge", 7)
+    log = K.case_log(F.col("id"), F.col("difficulty"), F.col("score"), F.col("num_steps"), F.col("problem"), F.col("answer"), F.col("steps"), F.col("gen_output"))
+    K.write_run(base, e.cases, e.generations, e.summary, log)
+    cases = R.read_jsonl_strict(spark, f"{base}/case_results.jsonl", CASE)
+    pretty = K.read_pretty_json(spark, f"{base}/case_results_pretty.json", CASE)
+    logs = spark.read.text(f"{base}/case.log").where(F.col("value") == K.RULE)
+    none = F.lit(None).cast("double")
+    parts = [
+        cases.agg(F.lit("cases").alias("output"), F.count("*").alias("n"), F.round(F.sum(F.round("score", 6)), 4).alias("total")),
+        pretty.agg(F.lit("pretty").alias("output"), F.count("*").alias("n"), none.alias("total")),
+        R.read_jsonl_strict(spark, f"{base}/gen_and_scores.jsonl", GENERATION_LOG).agg(F.lit("generations").alias("output"), F.count("*").alias("n"), none.alias("total")),
+        logs.agg(F.lit("log").alias("output"), F.count("*").alias("n"), none.alias("total")),
+        R.read_jsonl_strict(spark, f"{base}/summary.json", SUMMARY).select(F.lit("summary").alias("output"), F.col("num").alias("n"), F.round("avg_score", 4).alias("total")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("SELECT p_size AS difficulty, count(*) AS count, round(count(*) * 100.0 / sum(count(*)) OVER (), 2) AS percentage FROM part GROUP BY p_size")
+def sink_distribution(spark: SparkSession, d: str) -> DataFrame:
+    """The table and the report, written and read back; the report must name every key of the table."""
+    base = new_path(spark, "distribution")
+    K.write_distribution(_t(spark, d, "part"), "p_size", f"{base}/text", f"{base}/csv")
+    rows = spark.read.schema("difficulty int, count bigint, percentage double").option("header", True).csv(f"{base}/csv")
+    lines = spark.read.text(f"{base}/text").select(F.regexp_extract("value", r"^(\d+)\t(\d+)\t\(.*%\)$", 1).try_cast("int").alias("difficulty"), F.regexp_extract("value", r"^(\d+)\t(\d+)\t", 2).try_cast("bigint").alias("count"))
+    return rows.join(lines, ["difficulty", "count"]).select("difficulty", "count", F.round("percentage", 2).alias("percentage"))
+
+
+@query("SELECT 'Average score' AS label, round(avg(s), 4) AS value FROM (SELECT o_totalprice AS s FROM orders ORDER BY o_orderkey LIMIT 25) UNION ALL SELECT 'Average difficulty', round(avg(f), 4) FROM (SELECT 1 + (o_orderkey % 17) / 2.0 AS f FROM orders ORDER BY o_orderkey LIMIT 25)")
+def sink_stats(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "orders").select("o_orderkey", "o_totalprice", (1 + (F.col("o_orderkey") % 17) / 2.0).alias("difficulty"))
+    path = new_path(spark, "stats")
+    K.stats_text(D.head_stats(rows, "o_orderkey", "o_totalprice", "difficulty")).write.text(path)
+    line = spark.read.text(path).select(F.regexp_extract("value", "^(Average \\w+) for the first 25 cases: (.*)$", 1).alias("label"), F.regexp_extract("value", "cases: (.*)$", 1).try_cast("double").alias("v"))
+    return line.where("label <> ''").select("label", F.round("v", 4).alias("value"))
+
+
+@query(
+    f"WITH {_units_sql(220)}, m AS (SELECT doc_id, {Q.merge('u', 60)} AS m FROM u) SELECT doc_id, CAST(len(m) AS BIGINT) AS segment_num, {_SHOWN} AS units FROM m JOIN documents USING (doc_id) WHERE length({Q.normalize(_SOLUTION_SQL)}) >= 800"
+)
+def sink_segmented(spark: SparkSession, d: str) -> DataFrame:
+    """The segmented dataset as JSON lines, read back."""
+    rows = _t(spark, d, "documents").select("doc_id", _solution().alias("solution"))
+    path = new_path(spark, "segmented")
+    K.write_jsonl(P.process_solutions(rows).drop("solution"), path)
+    back = R.read_jsonl_strict(spark, path, f"doc_id bigint, segment_num int, segments {SEGMENTS}")
+    return back.select("doc_id", _big(F.col("segment_num")).alias("segment_num"), _show("segments").alias("units"))
+
+
+_DRAW = "SELECT b, k, x, y, CAST((k * 48271 + b * 40692 + 69621) % 2147483647 AS BIGINT) AS r FROM (SELECT (l_orderkey * 8 + l_linenumber) % 2147483647 AS k, l_quantity AS x, l_extendedprice AS y FROM lineitem) CROSS JOIN (SELECT range AS b FROM range(40))"
+
+
+@query(f"""WITH r1 AS (SELECT b, k, x, y, (r * r + k) % 2147483647 AS r FROM ({_DRAW})),
+r2 AS (SELECT b, x, y, ((r * r + 12345) % 2147483647) / 2147483647.0 AS u FROM r1),
+w AS (SELECT b, x, y, {' + '.join(f'CAST(u >= {c!r} AS INTEGER)' for c in D.POISSON)} AS w FROM r2),
+s AS (SELECT b, sum(w) AS w, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy FROM w GROUP BY b),
+l AS (SELECT (w * sxy - sx * sy) / (w * sxx - sx * sx) AS m, w, sx, sy FROM s),
+c AS (SELECT m, (sy - m * sx) / w AS c FROM l),
+a AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi, regr_slope(l_extendedprice, l_quantity) AS m0, regr_intercept(l_extendedprice, l_quantity) AS c0 FROM lineitem),
+g AS (SELECT lo + (hi - lo) * i / 9.0 AS x, m0, c0 FROM a CROSS JOIN (SELECT range AS i FROM range(10)))
+SELECT round(x, 6) AS x, round(any_value(m0 * x + c0), 3) AS fit, round(quantile_cont(m * x + c, 0.025), 3) AS low, round(quantile_cont(m * x + c, 0.975), 3) AS high FROM g CROSS JOIN c GROUP BY x""")
+def regression_band(spark: SparkSession, d: str) -> DataFrame:
+    out = D.regression_band(_t(spark, d, "lineitem"), "l_quantity", "l_extendedprice", points=10, resamples=40, key=F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    return out.select(F.round("x", 6).alias("x"), *[F.round(c, 3).alias(c) for c in ("fit", "low", "high")])
+
+
+def _roles_sql() -> str:
+    def any_of(words: list[str]) -> str:
+        return " OR ".join("contains(lower(text), " + _quoted(w.lower()) + ")" for w in words)
+
+    return "CASE " + " ".join(f"WHEN {any_of(words)} THEN '{role}'" for role, words in P.ROLE_HINTS.items()) + " END"
+
+
+@query(f"SELECT doc_id, sentence, {_roles_sql()} AS role FROM (SELECT doc_id, unnest(range(len(s))) AS sentence, unnest(s) AS text FROM (SELECT doc_id, {Q.sentences_reference(_SOLUTION_SQL)} AS s FROM documents))")
+def role_table(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "documents").select("doc_id", F.posexplode(T.sentence_split_reference(_solution())).alias("sentence", "text"))
+    return rows.select("doc_id", _big(F.col("sentence")).alias("sentence"), P.tag_role(F.col("text")).alias("role"))
 
 
 @query("SELECT doc_id, CASE WHEN contains(lower(text), 'that the') THEN 'Claim' WHEN contains(lower(text), 'of the') THEN 'CaseSplit' END AS role FROM documents")

@@ -177,3 +177,51 @@ def test_evaluation(spark, tmp_path):
     log = K.case_log(F.col("id"), F.col("difficulty"), F.col("score"), F.col("num_steps"), F.col("problem"), F.col("answer"), F.col("steps"), F.col("gen_output"))
     K.write_run(K.run_path(str(tmp_path), "m/x", "j", 7), got.cases, got.generations, got.summary, log)
     assert sorted(p.name for p in (tmp_path / "m/x_j_000007").iterdir()) == ["case.log", "case_results.jsonl", "case_results_pretty.json", "gen_and_scores.jsonl", "summary.json"]
+
+
+def test_schemas_templates_and_style(spark, tmp_path):
+    class Tokenizer:
+        chat_template = "x"
+
+        def apply_chat_template(self, turns, tokenize, add_generation_prompt):
+            return "".join(f"<{t['role']}>{t['content']}" for t in turns) + "<assistant>" * add_generation_prompt
+
+    rows = spark.createDataFrame([("s", "u"), ("", "u"), (None, None)], "s string, u string")
+    got = [r.p for r in rows.select(M.templated_prompt(lambda c: Tokenizer())(F.col("s"), F.col("u")).alias("p")).collect()]
+    assert got == ["<system>s<user>u<assistant>", "<user>u<assistant>", "<user><assistant>"]
+    call = M.generator(M.EchoEngine)
+    r = spark.range(1).select(M.model_scorer(call)(F.lit("a"), F.lit("b")).alias("s"), M.model_pair(call)(F.lit("a"), F.lit("b")).alias("p"), M.model_claims(call)(F.lit("one two")).alias("c")).first()
+    assert 0 <= r.s <= 1 and (r.p.forward, r.p.backward) == (0.25, 0.75) and r.c == ["two"]
+    note = tmp_path / "style.txt"
+    assert M.probe_style(spark, call, str(note)).startswith("user:") and not note.exists()
+    note.write_text("old")
+    style = M.probe_style(spark, call, str(note))
+    assert note.read_text() == style
+    assert spark.range(1).select(M.rewriter(call, style)(F.lit("same")).alias("r")).first().r == "user: same"
+
+
+def test_lines_follow_their_files(spark, tmp_path):
+    """Ids run through the files by name, and through lines as they stand, also when a file is cut into splits."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        n = 0
+        for name, size in (("a", 40), ("b", 900), ("c", 3)):
+            (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"n": {n + i}}}\n' + ("bad\n\n" if i % 5 == 0 else "") for i in range(size)))
+            n += size
+        got = R.read_jsonl(spark, str(tmp_path), "n int").orderBy("id").collect()
+        assert [(r.id, r.n) for r in got] == [(i + 1, i) for i in range(n)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_band_does_not_depend_on_partitions(spark):
+    rows = spark.range(0, 400).select(F.col("id").cast("double").alias("x"), (F.col("id") * 2 + F.col("id") % 7).cast("double").alias("y"), "id")
+    a, b = ([[round(v, 9) for v in r] for r in D.regression_band(d, "x", "y", points=5, resamples=30, key=F.col("id")).orderBy("x").collect()] for d in (rows, rows.repartition(7)))
+    assert a == b and all(r[2] < r[1] < r[3] for r in a)
+
+
+def test_quartiles_of_odd_columns(spark):
+    for values in ([], [None], [3.0], [1.0, 2.0], [5.0] * 9 + [None], [-1.0, 0.5, 0.5, 7.0, 9.25]):
+        rows = spark.createDataFrame([(v,) for v in values], "x double")
+        got, want = D.five_numbers(rows, "x").first(), rows.agg(F.percentile("x", F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("q"), F.count("x").alias("n")).first()
+        assert got.n == want.n and [got[k] for k in ("min", "q1", "median", "q3", "max")] == (want.q or [None] * 5)
