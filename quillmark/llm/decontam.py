@@ -7,8 +7,10 @@ span; each hit is then extended to the whole window and checked there.  Items
 shorter than a window are matched as a whole.
 
 The benchmark's fingerprints are broadcast only while their number is within
-``broadcast_windows``; beyond it the same fingerprints are joined by shuffles.
-Documents are only mapped in the first case.
+``broadcast_windows``; then documents are only mapped.  Beyond it the same
+fingerprints are joined by shuffles: a text sends each run of equal minima
+once, about a third as many as it has words, and only the places that hit are
+taken from the text again and extended.
 """
 
 from __future__ import annotations
@@ -105,9 +107,11 @@ def _digest(items: list[str]) -> str:
 def scan(docs: DataFrame, text: Column, bench: DataFrame, item_id: Column, item_text: Column, keep: list[str], window: int = 10, broadcast_windows: int = 500_000) -> DataFrame:
     """Columns ``keep`` with n_words, n_hit, n_items and items (sorted item ids found).
 
-    A null text has no words; an empty benchmark hits nothing; items with null
-    id or text take no part; items with equal windows all count.  ``keep`` may
-    hold any columns, also null or repeated ones: each row is judged alone.
+    A null, empty or wordless text has no words; texts of any length are read
+    whole; an empty table of documents gives an empty one; an empty benchmark
+    hits nothing; items with null id or text take no part; items with equal
+    windows all count.  ``keep`` may hold any columns, also null or repeated
+    ones: each row is judged alone, and repeated rows are judged alike.
     """
     spark = docs.sparkSession
     keep = apart(keep, ["n_words", "n_hit", "n_items", "items"])
@@ -140,17 +144,27 @@ def scan(docs: DataFrame, text: Column, bench: DataFrame, item_id: Column, item_
     return rows.mapInArrow(run, f"{kept}, n_words bigint, n_hit bigint, n_items bigint, items array<string>")
 
 
+def _turns(words: np.ndarray, n: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints of a text for items of n words: runs of equal minima as (fingerprint, first place, number of places)."""
+    if len(words) < n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low = winnow(K.ngrams(words, K_WORDS), n - K_WORDS + 1) if n == window else K.ngrams(words, n)
+    at = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+    return low[at], at, np.diff(np.concatenate([at, [len(low)]]))
+
+
 def _scan_by_join(rows: DataFrame, wins: DataFrame, keep: list[str], kept: str, window: int) -> DataFrame:
-    """The same for a benchmark of any size, by two joins.
+    """The same for a benchmark of any size, by joins of stored tables.
 
     Texts are named by a hash of their words, so equal texts are matched once.
-    First the documents' fingerprints (and, for the lengths of short items,
-    all spans) join with the benchmark's; then the windows at those places
-    join with the benchmark's windows.
+    A text sends (n, fingerprint) pairs without repeats; those that the
+    benchmark has come back as its list of fingerprints that hit.  The windows
+    of the text at these alone join with the benchmark's windows.
     """
     short = [r.n for r in wins.where(F.col("n") < window).select("n").distinct().collect()]  # below 10 values
+    lengths = sorted({*short, window})
 
-    def spans_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prints_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, first = K.hashed(batch.column(0), K.ALNUM)
             for i in range(batch.num_rows):
@@ -158,26 +172,43 @@ def _scan_by_join(rows: DataFrame, wins: DataFrame, keep: list[str], kept: str,
                 if not len(w):
                     continue
                 key = _signed(K.whole(w))[0]
-                for n in (*short, window):
-                    grams = K.ngrams(w, n)
-                    if len(grams):
-                        low = winnow(K.ngrams(w, K_WORDS), n - K_WORDS + 1) if n == window else grams
-                        size = len(grams)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(size, key)), pa.array(np.full(size, n)), pa.array(np.arange(size)), pa.array(_signed(low)), pa.array(_signed(grams))], ["key", "n", "at", "print", "hash"])
+                for n in lengths:
+                    low = np.unique(_turns(w, n, window)[0])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(low), key)), pa.array(np.full(len(low), n)), pa.array(_signed(low))], ["key", "n", "print"])
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, first = K.hashed(batch.column(0), K.ALNUM)
+            for i, (key, hits) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                w = words[first[i] : first[i + 1]]
+                by: dict[int, list[int]] = {}
+                for h in hits:
+                    by.setdefault(h["n"], []).append(h["print"])
+                for n, wanted in by.items():
+                    low, at, size = _turns(w, n, window)
+                    some = np.flatnonzero(np.isin(low, np.array(wanted, np.int64).view(np.uint64)))
+                    places = np.concatenate([np.zeros(0, np.int64), *(np.arange(at[j], at[j] + size[j]) for j in some)]).astype(np.int64)
+                    grams = K.ngrams(w, n)[places]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(places), key)), pa.array(np.full(len(places), n)), pa.array(places), pa.array(_signed(grams))], ["key", "n", "at", "hash"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, first = K.hashed(batch.column(len(keep)), K.ALNUM)
             keys = np.array([_signed(K.whole(words[first[i] : first[i + 1]]))[0] if first[i + 1] > first[i] else 0 for i in range(batch.num_rows)], np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.diff(first)), pa.array(keys)], [*keep, "n_words", "__key"])
-
-    spans = rows.select("__text").mapInArrow(spans_, "key bigint, n bigint, at bigint, print bigint, hash bigint")
-    found = spans.join(wins.select("n", "print").distinct(), ["n", "print"], "left_semi").join(wins.select("n", "hash", "item_id"), ["n", "hash"]).distinct()
-    found = materialize(found, "spans")
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.diff(first)), pa.array(keys), batch.column(len(keep))], [*keep, "n_words", "__key", "__text"])
+
+    prints = materialize(rows.select("__text").mapInArrow(prints_, "key bigint, n bigint, print bigint"), "prints")
+    common = prints.join(wins.select("n", "print").distinct(), ["n", "print"], "left_semi").distinct()
+    asked = common.groupBy("key").agg(F.collect_list(F.struct("n", "print")).alias("hits"))  # no more than a text has fingerprints
+    asked = materialize(asked.withColumnRenamed("key", "__key"), "asked")
+    named = rows.mapInArrow(count, f"{kept}, n_words bigint, __key bigint, __text string")
+    texts = named.join(asked, "__key").groupBy("__key").agg(F.first("__text").alias("__text"), F.first("hits").alias("hits"))  # equal words, whichever of the texts
+    spans = materialize(texts.select("__text", "__key", "hits").mapInArrow(extend, "key bigint, n bigint, at bigint, hash bigint"), "spans")
+    found = materialize(spans.join(wins.select("n", "hash", "item_id"), ["n", "hash"]).select("key", "n", "at", "item_id").distinct(), "found")
     before = Window.partitionBy("key").orderBy("at", "end").rowsBetween(Window.unboundedPreceding, -1)
     places = found.select("key", "at", (F.col("at") + F.col("n")).alias("end")).distinct()
     new = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("at"), F.coalesce(F.max("end").over(before), F.lit(0))))
     hits = places.select("key", new.alias("new")).groupBy("key").agg(F.sum("new").alias("n_hit"))
     items = found.groupBy("key").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    out = rows.mapInArrow(count, f"{kept}, n_words bigint, __key bigint").join(hits.join(items, "key").withColumnRenamed("key", "__key"), "__key", "left")
+    out = named.drop("__text").join(hits.join(items, "key").withColumnRenamed("key", "__key"), "__key", "left")
     return out.select(*[F.col(c) for c in keep], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.greatest(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))

@@ -2,37 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.session import ship
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset and all tasks run on this machine."""
-    got = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not got:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        got = "file://" + tempfile.mkdtemp(prefix="quillmark-")
-        spark.sparkContext.setCheckpointDir(got)
-    path = spark._jvm.org.apache.hadoop.fs.Path(got)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return system.makeQualified(path).toString().rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
+from quillmark.session import materialize, new_path, shared_dir, ship
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["apart", "bound_batches", "discard", "materialize", "new_path", "shared_dir", "table"]
 
 
 def discard(*tables: DataFrame) -> None:
