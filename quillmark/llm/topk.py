@@ -13,8 +13,12 @@ threshold that a vector in this bucket must reach:
 * else: length pruning; vectors shorter than the bound allows are cut off.
 
 What is left is verified by full integer products, and the bound rises as
-results come in.  Pairs of blocks and buckets that the bounds rule out are
-never joined.
+results come in.
+
+Blocks of queries and buckets lie in strips.  A job is a strip of queries
+against a strip of buckets; which jobs there are follows from the strips' norms
+and bounds alone, two short lists of numbers, so a bucket is sent once for each
+strip of queries that may need it, and nothing is joined on a constant key.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,38 +44,47 @@ def integers(vector: Column, scale: int) -> Column:
     return F.when(vector.isNotNull() & ~bad, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
 
 
-def _blob(ids: list[int], rows: list) -> bytes:
-    return np.array([len(ids)], np.int64).tobytes() + np.array(ids, np.int64).tobytes() + np.array(rows, np.int64).tobytes()
+def _blob(ids: np.ndarray, rows: np.ndarray) -> bytes:
+    """Ids and vectors, in the narrowest integers that hold them."""
+    top = int(np.abs(rows).max(initial=0))
+    kind = next(k for k in (np.int8, np.int16, np.int32, np.int64) if top <= np.iinfo(k).max)
+    return np.array([len(ids), np.dtype(kind).itemsize], np.int64).tobytes() + ids.tobytes() + np.ascontiguousarray(rows.astype(kind)).tobytes()
 
 
 def _unblob(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int.from_bytes(data[:8], "little")
-    return np.frombuffer(data, np.int64, n, 8), np.frombuffer(data, np.int64, -1, 8 + 8 * n).reshape(n, -1)
+    n, size = np.frombuffer(data, np.int64, 2).tolist()
+    kind = {1: np.int8, 2: np.int16, 4: np.int32, 8: np.int64}[size]
+    return np.frombuffer(data, np.int64, n, 16), np.frombuffer(data, kind, -1, 16 + 8 * n).reshape(n, -1).astype(np.int64)
 
 
 def _pack(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows (id, vector) in order to blocks of one dimension each: (dim, block, first_norm, data)."""
+    """Rows (id, vector, norm) in order to blocks of one dimension each: (dim, block, norm, data)."""
     number = TaskContext.get().partitionId() << 24
-    held: dict[int, tuple[list[int], list]] = {}
+    held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
 
-    def out(dim: int) -> pa.RecordBatch:
+    def out(dim: int, least: int) -> Iterator[pa.RecordBatch]:
         nonlocal number
-        ids, rows = held.pop(dim)
-        norms = [sum(x * x for x in r) for r in rows]
-        order = sorted(range(len(ids)), key=lambda i: (-norms[i], ids[i]))
-        got = pa.RecordBatch.from_arrays([pa.array([dim]), pa.array([number]), pa.array([float(max(norms)) ** 0.5]), pa.array([_blob([ids[i] for i in order], [rows[i] for i in order])], pa.binary())], ["dim", "block", "norm", "data"])
-        number += 1
-        return got
+        ids, rows, norms = (np.concatenate(x) for x in zip(*held.pop(dim), strict=True))
+        while len(ids) >= least:
+            part = np.lexsort((ids[:most], -norms[:most]))
+            yield pa.RecordBatch.from_arrays([pa.array([dim]), pa.array([number]), pa.array([float(norms[:most].max()) ** 0.5]), pa.array([_blob(ids[part], rows[part])], pa.binary())], ["dim", "block", "norm", "data"])
+            number += 1
+            ids, rows, norms = ids[most:], rows[most:], norms[most:]
+        if len(ids):
+            held[dim] = [(ids, rows, norms)]
 
     for batch in batches:
-        for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids, rows = held.setdefault(len(v), ([], []))
-            ids.append(i)
-            rows.append(v)
-            if len(ids) >= most:
-                yield out(len(v))
+        ids, norms = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+        sizes = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+        flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+        begin = np.concatenate([[0], np.cumsum(sizes)])
+        for dim in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == dim)
+            held.setdefault(dim, []).append((ids[at], flat[begin[at][:, None] + np.arange(dim)], norms[at]))
+            if sum(len(x[0]) for x in held[dim]) >= most:
+                yield from out(dim, most)
     for dim in list(held):
-        yield out(dim)
+        yield from out(dim, 1)
 
 
 _BLOCK = "dim bigint, block bigint, norm double, data binary"
@@ -93,12 +107,22 @@ class Best:
             self.bound[q] = max(self.bound[q], float(s[order[-1]]))
 
 
-def search(best: Best, q_ids: np.ndarray, queries: np.ndarray, c_ids: np.ndarray, vectors: np.ndarray) -> None:
-    """Meet one bucket, sorted by length descending; ``best`` is updated."""
-    exact = np.abs(queries).max(initial=0).astype(float) * np.abs(vectors).max(initial=0) * max(1, vectors.shape[1]) < 2.0**53
+class Bucket:
+    """Vectors sorted by length descending, ready for products."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        self.ids, self.vectors = ids, vectors
+        self.floats = vectors.astype(np.float64)
+        self.lengths = np.sqrt((self.floats**2).sum(axis=1))
+        self.top = float(np.abs(vectors).max(initial=0))
+
+
+def search(best: Best, q_ids: np.ndarray, queries: np.ndarray, bucket: Bucket) -> None:
+    """Meet one bucket; ``best`` is updated."""
+    c_ids, lengths = bucket.ids, bucket.lengths
+    exact = np.abs(queries).max(initial=0).astype(float) * bucket.top * max(1, queries.shape[1]) < 2.0**53
     kind = np.float64 if exact else np.int64
-    v = vectors.astype(kind)
-    lengths = np.sqrt((vectors.astype(float) ** 2).sum(axis=1))
+    v = bucket.floats if exact else bucket.vectors
     q_len = np.sqrt((queries.astype(float) ** 2).sum(axis=1))
     with np.errstate(divide="ignore", invalid="ignore"):
         need = np.where(best.bound > 0, best.bound / q_len, -np.inf) * (1 - 1e-9)  # shortest length that can reach the bound
@@ -114,7 +138,7 @@ def search(best: Best, q_ids: np.ndarray, queries: np.ndarray, c_ids: np.ndarray
             _take(best, q, q_ids[q], products[row, : prefix[q]], c_ids[: prefix[q]])
     by_coordinate = np.flatnonzero((prefix > 0) & (local >= _HIGH))
     if len(by_coordinate):
-        unit = v.astype(float) / np.maximum(lengths, 1e-300)[:, None]
+        unit = bucket.floats / np.maximum(lengths, 1e-300)[:, None]
         for q in by_coordinate.tolist():
             n = int(prefix[q])
             u = queries[q] / q_len[q]
@@ -137,72 +161,108 @@ def _take(best: Best, q: int, own: int, scores: np.ndarray, ids: np.ndarray) ->
         best.add(q, s.astype(np.int64), i)
 
 
-def top_k(rows: DataFrame, vec_id: Column, vector: Column, is_query: Column, k: int = 20, scale: int = 64, bucket_rows: int = 4096, query_rows: int = 512, strip: int = 16) -> DataFrame:
+def top_k(rows: DataFrame, vec_id: Column, vector: Column, is_query: Column, k: int = 20, scale: int = 64, bucket_rows: int = 4096, query_rows: int = 512, strip: int = 16, most_strips: int = 50_000) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best rows but its own.
 
     Vectors that are null or hold null or non-finite components, and rows
     without an id, take no part; only vectors of equal dimension meet.  A row
-    with the query's own id is left out; rows with a repeated id all count.
-    Scores must fit 64 bits.
+    with the query's own id is left out; rows with a repeated id all count, and
+    a query row that occurs twice is answered twice.  Ties go to the smaller id.
+    Scores must fit 64 bits.  Strips grow so that no more than ``most_strips``
+    of them are known to the driver.
     """
     spark = rows.sparkSession
     bound_batches(spark, 8)
     v = rows.select(vec_id.cast("long").alias("id"), integers(vector, scale).alias("v"), is_query.alias("q")).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
-    norm = F.aggregate("v", F.lit(0).cast("double"), lambda a, x: a + x * x)
+    norm = F.aggregate("v", F.lit(0).cast("double"), lambda a, x: a + x.cast("double") * x)
     v = materialize(v.withColumn("norm", norm), "vectors")
-    n = v.count()
+    n, asked = v.agg(F.count("*"), F.count(F.when(F.col("q"), 1))).first()
     buckets = max(1, -(-n // bucket_rows))
-    packed = v.repartitionByRange(buckets, F.desc("norm"), "id").sortWithinPartitions(F.desc("norm"), "id").select("id", "v").mapInArrow(lambda b: _pack(b, bucket_rows), _BLOCK)
-    packed = materialize(packed, "buckets")
-    asks = v.where("q").select("id", "v")
-    per = max(1, -(-asks.count() // query_rows))
-    asks = materialize(asks.repartition(per, F.xxhash64("id")).mapInArrow(lambda b: _pack(b, query_rows), _BLOCK), "queries")
-
-    # every query's first bound, from the bucket of the longest vectors of its dimension
-    head = packed.groupBy("dim").agg(F.max_by("block", F.struct("norm", -F.col("block"))).alias("block"))
+    packed = v.repartitionByRange(buckets, F.desc("norm"), "id").sortWithinPartitions(F.desc("norm"), "id").select("id", "v", "norm").mapInArrow(lambda b: _pack(b, bucket_rows), _BLOCK)
+    c_strip = max(strip, -(-buckets // most_strips))
+    # block numbers follow the range partitions, so strips are in order of length
+    packed = materialize(packed.withColumn("strip", F.floor(F.shiftright("block", 24) / c_strip)), "buckets")
+    per = max(1, -(-asked // query_rows))
+    q_strip = max(strip, -(-per // most_strips))
+    asks = v.where("q").select("id", "v", "norm").repartition(per, F.xxhash64("id")).mapInArrow(lambda b: _pack(b, query_rows), _BLOCK)
+    asks = materialize(asks.withColumn("strip", F.floor(F.shiftright("block", 24) / q_strip)), "queries")
+
+    # every query's first bound, from the bucket of the longest vectors of its dimension: one row for each dimension
+    head = packed.groupBy("dim").agg(F.min_by("block", F.struct(-F.col("norm"), "block")).alias("block"))
     head = packed.join(F.broadcast(head), ["dim", "block"]).select("dim", F.col("data").alias("c"))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for dim, block, q, c in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for dim, block, part, q, c in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 ids, queries = _unblob(q)
                 best = Best(len(ids), k)
                 if c is not None:
-                    search(best, ids, queries, *_unblob(c))
+                    search(best, ids, queries, Bucket(*_unblob(c)))
                 length = np.sqrt((queries.astype(float) ** 2).sum(axis=1))
                 need = np.where(best.bound > 0, best.bound / np.maximum(length, 1e-300), 0.0).min() * (1 - 1e-9)
-                yield pa.RecordBatch.from_arrays([pa.array([dim]), pa.array([block]), pa.array([q], pa.binary()), pa.array([best.bound.tobytes()], pa.binary()), pa.array([float(need)])], ["dim", "block", "q", "bounds", "need"])
-
-    blocks = asks.select("dim", F.col("block").alias("q_block"), F.col("data").alias("q")).join(head, "dim", "left").select("dim", "q_block", "q", "c")
-    blocks = materialize(blocks.mapInArrow(first, "dim bigint, q_block bigint, q binary, bounds binary, need double"), "bounds")
-    # block numbers follow the range partitions, so they are in order of length already
-    jobs = blocks.select("dim", "q_block", "need").join(packed.select("dim", "block", "norm"), "dim").where("norm >= need")
-    jobs = jobs.select("dim", "q_block", "block", F.floor(F.shiftright("block", 24) / strip).alias("strip"))
-    pairs = jobs.join(packed.select("dim", "block", F.col("data").alias("c")), ["dim", "block"]).join(blocks.select("dim", "q_block", "q", "bounds"), ["dim", "q_block"])
+                yield pa.RecordBatch.from_arrays([pa.array([dim]), pa.array([block]), pa.array([part]), pa.array([np.array([len(ids)], np.int64).tobytes() + best.bound.tobytes() + q], pa.binary()), pa.array([float(need)])], ["dim", "block", "strip", "data", "need"])
+
+    few = head.count() <= 64
+    blocks = asks.select("dim", "block", "strip", F.col("data").alias("q")).join(F.broadcast(head) if few else head, "dim", "left").select("dim", "block", "strip", "q", "c")
+    blocks = materialize(blocks.mapInArrow(first, "dim bigint, block bigint, strip bigint, data binary, need double"), "bounds")
+    longest: dict[int, dict[int, float]] = {}
+    for r in packed.groupBy("dim", "strip").agg(F.max("norm").alias("norm")).collect():  # at most most_strips numbers a dimension
+        longest.setdefault(r.dim, {})[r.strip] = r.norm
+    needed: dict[int, dict[int, float]] = {}
+    for r in blocks.groupBy("dim", "strip").agg(F.min("need").alias("need")).collect():
+        needed.setdefault(r.dim, {})[r.strip] = r.need
+    bound = spark.sparkContext.broadcast((longest, needed))
+
+    def jobs(side: int):
+        """Rows (dim, block, strip, data) once for every strip of the other side that may matter: (dim, q_strip, c_strip, side, block, data)."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            longest, needed = bound.value
+            for batch in batches:
+                for dim, block, part, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                    if side:
+                        others = [q for q, need in needed.get(dim, {}).items() if longest[dim][part] >= need]
+                    else:
+                        others = [c for c, norm in longest.get(dim, {}).items() if norm >= needed[dim][part]]
+                    own = [part] * len(others)
+                    for lo in range(0, len(others), 16):
+                        some, mine = others[lo : lo + 16], own[lo : lo + 16]
+                        q, c = (some, mine) if side else (mine, some)
+                        yield pa.RecordBatch.from_arrays([pa.array([dim] * len(some)), pa.array(q), pa.array(c), pa.array([side] * len(some), pa.int32()), pa.array([block] * len(some)), pa.array([data] * len(some), pa.binary())], ["dim", "q_strip", "c_strip", "side", "block", "data"])
+
+        return run
+
+    wire = "dim bigint, q_strip bigint, c_strip bigint, side int, block bigint, data binary"
+    both = blocks.select("dim", "block", "strip", "data").mapInArrow(jobs(0), wire).unionAll(packed.select("dim", "block", "strip", "data").mapInArrow(jobs(1), wire))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, best, ids, queries = None, None, None, None
+        now, held = None, []
 
-        def out() -> pa.RecordBatch:
-            size = [len(s) for s in best.scores]
-            keys = now[1] * (1 << 20) + np.arange(len(ids))
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, size)), pa.array(np.repeat(ids, size)), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.scores))], ["key", "query_id", "vec_id", "score"])
+        def out() -> Iterator[pa.RecordBatch]:
+            for block, ids, _, best in held:
+                size = [len(s) for s in best.scores]
+                place = np.repeat(np.arange(len(ids)), size)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), block)), pa.array(place), pa.array(ids[place]), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.scores))], ["block", "place", "query_id", "vec_id", "score"])
 
         for batch in batches:
-            for dim, block, part, q, bounds, c in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if (dim, block, part) != now:
-                    if now:
-                        yield out()
-                    now = (dim, block, part)
-                    ids, queries = _unblob(q)
+            for dim, q, c, side, block, data in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if (dim, q, c) != now:
+                    yield from out()
+                    now, held = (dim, q, c), []
+                if side == 0:
+                    size = int.from_bytes(data[:8], "little")
+                    ids, queries = _unblob(data[8 + 8 * size :])  # behind the bounds
                     best = Best(len(ids), k)
-                    best.bound = np.frombuffer(bounds, np.float64).copy()
-                search(best, ids, queries, *_unblob(c))
-        if now:
-            yield out()
-
-    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), per)
-    found = pairs.repartition(spread, "dim", "q_block", "strip").sortWithinPartitions("dim", "q_block", "strip", "block")
-    found = found.select("dim", "q_block", "strip", "q", "bounds", "c").mapInArrow(meet, "key bigint, query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
+                    best.bound = np.frombuffer(data, np.float64, size, 8).copy()
+                    held.append((block, ids, queries, best))
+                elif held:
+                    bucket = Bucket(*_unblob(data))
+                    for _, ids, queries, best in held:
+                        search(best, ids, queries, bucket)
+        yield from out()
+
+    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-per // q_strip) * min(64, -(-buckets // c_strip)))
+    found = both.repartition(spread, "dim", "q_strip", "c_strip").sortWithinPartitions("dim", "q_strip", "c_strip", "side", "block")
+    found = found.mapInArrow(meet, "block bigint, place bigint, query_id bigint, vec_id bigint, score bigint")
+    order = Window.partitionBy("block", "place").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -181,6 +181,35 @@ def test_top_k_of_nothing(spark):
     assert topk.top_k(frame, F.col("vec_id"), F.col("embedding"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_of_repeated_ids(spark):
+    """Every row with a repeated id counts, but none with the query's own; a query row that occurs twice is answered twice."""
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (1, [3.0, 1.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id"), F.col("embedding"), F.col("vec_id") % 20 == 0, k=3, most_strips=1).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted([(20, 1, 1, 64 * 192), (20, 2, 1, 64 * 128), (20, 3, 1, 64 * 128)] * 2)
+
+
+def test_coordinate_pruning_runs(monkeypatch):
+    """Near copies of the queries set bounds that leave only coordinate pruning for what follows."""
+    ran = []
+    plain = np.argsort
+    rng = np.random.default_rng(9)
+    q = rng.integers(-60, 60, (4, 16))
+    near = np.repeat(q, 12, axis=0)
+    far = rng.normal(size=(300, 16))
+    far[:40] = q[rng.integers(0, 4, 40)] + rng.normal(size=(40, 16)) * 15
+    far = np.rint(far / np.linalg.norm(far, axis=1, keepdims=True) * 1.1 * np.linalg.norm(q, axis=1).max()).astype(np.int64)
+    near, far = (x[np.argsort(-(x**2).sum(1), kind="stable")] for x in (near, far))
+    best = topk.Best(4, 10)
+    topk.search(best, np.arange(1000, 1004), q, topk.Bucket(np.arange(48), near))
+    monkeypatch.setattr(topk.np, "argsort", lambda *a, **b: ran.append(1) or plain(*a, **b))
+    topk.search(best, np.arange(1000, 1004), q, topk.Bucket(np.arange(48, 348), far))
+    assert ran
+    v = np.concatenate([near, far])
+    for i in range(4):
+        s = sorted((-int(v[j] @ q[i]), j) for j in range(len(v)))[:10]
+        assert list(zip((-best.scores[i]).tolist(), best.ids[i].tolist(), strict=True)) == s
+
+
 def test_pruning_loses_nothing():
     rng = np.random.default_rng(8)
     q = rng.integers(-60, 60, (5, 16))
@@ -188,7 +217,7 @@ def test_pruning_loses_nothing():
     v = v[np.argsort(-(v**2).sum(1), kind="stable")]
     best = topk.Best(5, 10)
     for lo in range(0, 400, 50):
-        topk.search(best, np.arange(1000, 1005), q, np.arange(lo, lo + 50), v[lo : lo + 50])
+        topk.search(best, np.arange(1000, 1005), q, topk.Bucket(np.arange(lo, lo + 50), v[lo : lo + 50]))
     for i in range(5):
         s = sorted((-int(v[j] @ q[i]), j) for j in range(400))[:10]
         assert list(zip((-best.scores[i]).tolist(), best.ids[i].tolist(), strict=True)) == s
