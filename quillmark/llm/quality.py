@@ -189,12 +189,13 @@ def fit(docs: DataFrame, doc_id: Column, text: Column, labels: DataFrame, label_
 def classify(docs: DataFrame, text: Column, keep: list[str], model: RuleModel, threshold: float = 0.7) -> DataFrame:
     """Columns ``keep`` with ``score`` (0 to 1) and ``predicted`` (1 if score >= threshold).
 
-    Null and empty texts are scored like any other.  ``keep`` may hold any columns.
+    Null and empty texts are scored like any other, very long ones whole;
+    ``keep`` may hold any columns, and rows may repeat.  To filter by the
+    outcome, store the result first: a filter on it would be pushed below and
+    take the statistics once for each rule.
     """
     keep = apart(keep, ["score", "predicted"])
-    stats = F.struct(*[c.cast("double").alias(f"__{n}") for n, c in statistics(text).items()])
-    # a generated row is a step of its own: filters on the score can't copy the statistics into every rule
-    rows = docs.select(*[F.col(c) for c in keep], F.inline(F.array(stats)))
+    rows = docs.select(*[F.col(c) for c in keep], *[c.cast("double").alias(f"__{n}") for n, c in statistics(text).items()])
     score = 1 / (1 + F.exp(-model.logit({n: F.col(f"__{n}") for n in STATISTICS})))
     scored = rows.select(*[F.col(c) for c in keep], score.alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
