@@ -44,11 +44,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that the rule ensemble, learned from the labels of these documents, finds good."""
+    """Texts that the rule ensemble, learned from the labels of these documents, finds good.
+
+    Null and empty texts are judged by their statistics like any other; long
+    ones are read whole, repeated rows judged alike.  Without labels all texts
+    have one score, and an empty table stays empty.
+    """
     rows, key, text, _ = _aside(docs)
     labels = table(spark, sf_dir, "labels")
     model = quality.fit(rows, F.col(key), F.col(text), labels, F.col("doc_id"), F.col("quality"))
-    judged = quality.classify(rows, F.col(text), rows.columns, model, QUALITY)
+    judged = materialize(quality.classify(rows, F.col(text), rows.columns, model, QUALITY), "judged")
     return judged.where("predicted = 1").select(*rows.columns).toDF(*docs.columns)
 
 
@@ -87,7 +92,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of ten words of a benchmark item."""
+    """Documents without any window of ten words of a benchmark item.
+
+    Null texts and texts without words stay, repeated rows are judged alike,
+    long texts are read whole; an empty benchmark lets all documents stay.
+    """
     rows, _, text, _ = _aside(docs)
     bench = table(spark, sf_dir, "benchmark")
     judged = decontam.scan(rows, F.col(text), bench, F.col("item_id"), F.col("text"), rows.columns)
