@@ -368,9 +368,14 @@ def _grow(tree: Tree, rows: DataFrame, table: DataFrame, before: DataFrame, siev
 
 
 def _release(spark: SparkSession) -> None:
-    """Shuffle files of tables that are stored by now go when the driver collects its garbage."""
+    """Shuffle files of tables that are stored by now go when the driver collects its garbage.
+
+    Python's references are given up with the next call to the driver's JVM, so one goes first.
+    """
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    system = spark.sparkContext._jvm.System
+    system.nanoTime()
+    system.gc()
 
 
 def _signed(x: np.uint64) -> int:
