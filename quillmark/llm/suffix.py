@@ -44,10 +44,10 @@ from quillmark.llm.store import apart, bound_batches, discard, materialize
 RARE, END, START = 0, 1, 2  # symbols; words are numbered from 3 on
 _RARE_HASH, _END_HASH, _START_HASH = K.U64(0x5EED0FE4D0000003), K.U64(0x5EED0FE4D0000001), K.U64(0x5EED0FE4D0000005)
 _ENTRY, _CONTEXT = K.U64(0x3C6EF372FE94F82B), K.U64(0xA54FF53A5F1D36F1)  # tell the keys of one lookup table apart
-_WAITING, _FLUSH = 500_000, 3_000_000
+_WAITING, _FLUSH = 500_000, 1_500_000
 _BUCKET_BYTES, _BUCKETS_A_TASK = 6 << 20, 4  # bytes of text that make a bucket; buckets of one task
 _SIEVE_BITS = 28
-_COMMON, _NEAR = 1_000_000, 500_000  # words, and entries or contexts of a level, that go to all tasks
+_COMMON, _NEAR = 1_000_000, 1_000_000  # words, and entries or contexts of a level, that go to all tasks
 _PACKED = "bucket int, keys binary, counts binary"
 
 
@@ -363,7 +363,7 @@ def _grow(tree: Tree, rows: DataFrame, table: DataFrame, before: DataFrame, siev
     tree.entries.append(entries)
     tree.contexts.append(contexts.select("ctx", "total", "retained", "back"))
     before = entries.select("id", "n", "lp", "root")
-    bound.unpersist()
+    bound.destroy()
     return before, _sieve(before.select("id"), before.count()) if more else None
 
 
