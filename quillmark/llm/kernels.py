@@ -7,6 +7,9 @@ always ASCII, hence byte-level splitting is exact for UTF-8.
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -243,3 +246,19 @@ class Prober:
             go = np.flatnonzero(~hit & (at < end))
             left, at, end, wanted = left[go], at[go], end[go], wanted[go]
         return out
+
+
+def tidy(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same function of batches; when it ends, the worker gives the memory it has freed back to the machine.
+
+    Workers wait for the next task with what their allocators hold, beside those that run.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; elsewhere there is nothing to do
+        if trim is not None:
+            trim(0)
+
+    return run

@@ -229,7 +229,7 @@ def _merged(packed: DataFrame, width: int, buckets: int, least: float = 1) -> Da
         if now is not None:
             yield out()
 
-    return packed.repartition(_tasks(buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(merge, f"{_PACKED}, types bigint, tokens bigint")
+    return packed.repartition(_tasks(buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(K.tidy(merge), f"{_PACKED}, types bigint, tokens bigint")
 
 
 def _tasks(buckets: int) -> int:
@@ -244,7 +244,7 @@ def _gather(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             keys, values = (np.ascontiguousarray(batch.column(i).to_numpy(zero_copy_only=False)).tobytes() for i in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array([keys], pa.binary()), pa.array([values], pa.binary())], ["keys", "values"])
 
-    got = rows.mapInArrow(run, "keys binary, values binary").collect()
+    got = rows.mapInArrow(K.tidy(run), "keys binary, values binary").collect()
     keys = np.frombuffer(b"".join(bytes(r[0]) for r in got), np.uint64)
     values = np.frombuffer(b"".join(bytes(r[1]) for r in got), np.float64)
     order = np.argsort(keys)
@@ -275,7 +275,7 @@ def _sieve(ids: DataFrame, n: int) -> Sieve:
 
     data = np.zeros(bits >> 3, np.uint8)
     only = ids.toDF("id")
-    for p, x in only.repartition(64, F.shiftrightunsigned("id", 58)).mapInArrow(run, "part int, data binary").collect():
+    for p, x in only.repartition(64, F.shiftrightunsigned("id", 58)).mapInArrow(K.tidy(run), "part int, data binary").collect():
         data[p * (per >> 3) : (p + 1) * (per >> 3)] |= np.frombuffer(x, np.uint8)
     return Sieve(bits, data)
 
@@ -320,7 +320,7 @@ def fit(texts: DataFrame, text: Column, depth: int = 2, floor: float = 0.0, supp
             yield from runs.add(np.concatenate([words, np.full(len(first) - 1, _END_HASH)])[None])
         yield from runs.out()
 
-    table = materialize(_merged(rows.mapInArrow(unigrams, _PACKED), 1, buckets), "words")
+    table = materialize(_merged(rows.mapInArrow(K.tidy(unigrams), _PACKED), 1, buckets), "words")
     total = table.agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     types, tokens = int(total[0]), int(total[1])
     least = max(support, floor * tokens)
@@ -391,7 +391,7 @@ def _rows(table: DataFrame, width: int) -> DataFrame:
                 keys, counts = np.frombuffer(k, np.uint64).reshape(width, -1), np.frombuffer(c, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (_whole(keys), keys[0], keys[-1])] + [pa.array(counts)], ["id", "ctx", "sfx", "n"])
 
-    return table.select("bucket", "keys", "counts").mapInArrow(run, "id long, ctx long, sfx long, n long")
+    return table.select("bucket", "keys", "counts").mapInArrow(K.tidy(run), "id long, ctx long, sfx long, n long")
 
 
 def _level(rows: DataFrame, table: DataFrame, bound, d: int, buckets: int, least: float) -> DataFrame:
@@ -457,11 +457,11 @@ def _level(rows: DataFrame, table: DataFrame, bound, d: int, buckets: int, least
         yield from runs.out()
 
     if bound.value[1]:  # all symbols are at hand: no word may be either
-        return _merged(rows.mapInArrow(direct, _PACKED), 2, buckets, least)
+        return _merged(rows.mapInArrow(K.tidy(direct), _PACKED), 2, buckets, least)
     wire = "bucket int, kind int, data binary"
-    asked = rows.mapInArrow(ask, wire).unionAll(table.select("bucket", "keys", "counts").mapInArrow(known, wire))
-    answered = asked.repartition(_tasks(buckets), "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answer, _PACKED)
-    return _merged(rows.mapInArrow(direct, _PACKED).unionAll(answered), 2, buckets, least)
+    asked = rows.mapInArrow(K.tidy(ask), wire).unionAll(table.select("bucket", "keys", "counts").mapInArrow(K.tidy(known), wire))
+    answered = asked.repartition(_tasks(buckets), "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(K.tidy(answer), _PACKED)
+    return _merged(rows.mapInArrow(K.tidy(direct), _PACKED).unionAll(answered), 2, buckets, least)
 
 
 def _suffix_log(tree: Tree, context: np.ndarray, symbol: np.ndarray, depth: int) -> np.ndarray:
@@ -764,6 +764,6 @@ def score(docs: DataFrame, text: Column, keep: list[str], tree: Tree, table: Dat
         if own is not None:
             yield out()
 
-    asked = rows.mapInArrow(ask, wire).unionAll(table.select("bucket", "keys", "counts").mapInArrow(known, wire)).unionAll(lookup.select("ctx", "key", "value").mapInArrow(learned, wire))
-    answered = asked.repartition(_tasks(buckets), "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answer, wire)
-    return answered.repartition("block").sortWithinPartitions("block", F.desc("kind")).mapInArrow(join, f"{kept}, n_tokens bigint, n_known bigint, base_score double, score double")
+    asked = rows.mapInArrow(K.tidy(ask), wire).unionAll(table.select("bucket", "keys", "counts").mapInArrow(K.tidy(known), wire)).unionAll(lookup.select("ctx", "key", "value").mapInArrow(K.tidy(learned), wire))
+    answered = asked.repartition(_tasks(buckets), "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(K.tidy(answer), wire)
+    return answered.repartition("block").sortWithinPartitions("block", F.desc("kind")).mapInArrow(K.tidy(join), f"{kept}, n_tokens bigint, n_known bigint, base_score double, score double")
