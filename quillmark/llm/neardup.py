@@ -183,7 +183,7 @@ def near_duplicates(docs: DataFrame, doc_id: Column, text: Column, words: int =
                 bands[i] = k.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(one), pa.array(two), _lists(bands)], ["doc_id", "n_shingles", "k1", "k2", "bands"])
 
-    sketches = materialize(rows.mapInArrow(sketch, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, bands binary"), "sketches")
+    sketches = materialize(rows.mapInArrow(K.tidy(sketch), "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, bands binary"), "sketches")
     classes = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"), F.min_by("bands", "doc_id").alias("bands"))
     classes = materialize(classes, "classes")
     found = _class_components(rows, classes, hasher, words, percent, block, broadcast_ids)
@@ -204,7 +204,7 @@ def _class_components(rows: DataFrame, classes: DataFrame, hasher: MinHash, word
             keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), hasher.bands)), pa.array(keys)], ["class_id", "band"]) if n else pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64())], ["class_id", "band"])
 
-    bands = materialize(classes.select("class_id", "bands").mapInArrow(explode, "class_id bigint, band bigint"), "bands")
+    bands = materialize(classes.select("class_id", "bands").mapInArrow(K.tidy(explode), "class_id bigint, band bigint"), "bands")
     heads = materialize(bands.groupBy("band").agg(F.min("class_id").alias("a"), F.max("class_id").alias("z")).where("a != z").select("band", "a"), "heads")
     areas = components(bands.join(heads, "band").where("a != class_id").select("a", F.col("class_id").alias("b")).distinct())
     areas = areas.select(F.col("node").alias("class_id"), F.col("component").alias("area"))
@@ -224,7 +224,7 @@ def _class_components(rows: DataFrame, classes: DataFrame, hasher: MinHash, word
             yield pa.RecordBatch.from_arrays([batch.column(i).take(at) for i in (0, 2, 3, 4)] + [_lists([sets[i].tobytes() for i in some]), _lists([s.tobytes() for s in signatures])], ["id", "area", "blocks", "block", "members", "signature"])
 
     schema = "id bigint, area bigint, blocks bigint, block bigint, members binary, signature binary"
-    sets = cand.select("doc_id", "text", "area", "blocks", "block").mapInArrow(members, schema)
+    sets = cand.select("doc_id", "text", "area", "blocks", "block").mapInArrow(K.tidy(members), schema)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, Block]]:
         """(area, blocks, block, members) from rows sorted by area and block."""
@@ -251,7 +251,7 @@ def _class_components(rows: DataFrame, classes: DataFrame, hasher: MinHash, word
             yield pa.RecordBatch.from_arrays([pa.array([area]), pa.array([number]), pa.array([a], pa.list_(pa.int64())), pa.array([b], pa.list_(pa.int64())), pa.array([rest], pa.binary())], ["area", "block", "a", "b", "data"])
 
     # a block is about ``block`` rows: every key is small
-    solved = sets.repartition("area", "block").sortWithinPartitions("area", "block").mapInArrow(solve, "area bigint, block bigint, a array<bigint>, b array<bigint>, data binary")
+    solved = sets.repartition("area", "block").sortWithinPartitions("area", "block").mapInArrow(K.tidy(solve), "area bigint, block bigint, a array<bigint>, b array<bigint>, data binary")
     solved = materialize(solved, "solved")
     links = solved.select(F.explode(F.arrays_zip("a", "b")).alias("e")).select("e.a", "e.b")
     big = solved.where(F.col("data").isNotNull()).select("area", "block", "data")
@@ -304,7 +304,7 @@ def _against_all(heads: DataFrame, big: DataFrame, hasher: MinHash, percent: int
     last = big.groupBy("area").agg(F.floor(F.max("block") / CHUNK).alias("last"))
     left = heads.join(last, "area").select("area", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("chunk"), F.col("data").alias("x"))
     both = big.select("area", F.floor(F.col("block") / CHUNK).alias("chunk"), F.col("data").alias("y")).join(left, ["area", "chunk"])
-    return materialize(both.select("x", "y").mapInArrow(meet, _PAIR), "spread")
+    return materialize(both.select("x", "y").mapInArrow(K.tidy(meet), _PAIR), "spread")
 
 
 def _between_blocks(big: DataFrame, links: DataFrame, areas: DataFrame, hasher: MinHash, percent: int, block: int) -> DataFrame:
@@ -315,7 +315,7 @@ def _between_blocks(big: DataFrame, links: DataFrame, areas: DataFrame, hasher:
             parts = [_load(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_dump((p[0][:HUB], p[1][:HUB], p[2][:HUB])) for p in parts], pa.binary())], ["area", "data"])
 
-    spread = _against_all(big.where("block = 0").select("area", "data").mapInArrow(hub, "area bigint, data binary"), big, hasher, percent)
+    spread = _against_all(big.where("block = 0").select("area", "data").mapInArrow(K.tidy(hub), "area bigint, data binary"), big, hasher, percent)
     large = big.select("area").distinct()
     inside = areas.join(F.broadcast(large), "area", "left_semi") if large.count() <= 100_000 else areas.join(large, "area", "left_semi")
     found = components(links.unionByName(spread)).select(F.col("node").alias("class_id"), "component")
@@ -346,8 +346,8 @@ def _between_blocks(big: DataFrame, links: DataFrame, areas: DataFrame, hasher:
         sizes = big.groupBy("area").agg(F.count("*").alias("blocks"))
         # no more than ``block`` ids of an area, so both lists are bounded
         ids = few.join(sizes, "area").groupBy("area", F.pmod(F.xxhash64("class_id"), F.col("blocks")).alias("block")).agg(F.collect_list("class_id").alias("ids"))
-        chosen = big.join(ids, ["area", "block"]).select("area", "data", "ids").mapInArrow(pick, "id bigint, area bigint, data binary")
-        heads = chosen.groupBy("area").agg(F.collect_list("data").alias("parts")).mapInArrow(join_up, "area bigint, data binary")
+        chosen = big.join(ids, ["area", "block"]).select("area", "data", "ids").mapInArrow(K.tidy(pick), "id bigint, area bigint, data binary")
+        heads = chosen.groupBy("area").agg(F.collect_list("data").alias("parts")).mapInArrow(K.tidy(join_up), "area bigint, data binary")
         out = out.unionByName(_against_all(heads, big, hasher, percent))
     if not many.isEmpty():
         out = out.unionByName(_by_shingles(big.join(many, "area", "left_semi"), rest, links.unionByName(out), percent))
@@ -375,8 +375,8 @@ def _by_shingles(blocks: DataFrame, rest: DataFrame, links: DataFrame, percent:
             rows = zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
             yield _links_batch([(a, b) for a, b, x, y in rows if alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)])
 
-    sets = materialize(blocks.select("area", "data").mapInArrow(members, _MEMBER), "members")
-    tokens = sets.mapInArrow(explode, "area bigint, id bigint, n bigint, g bigint")
+    sets = materialize(blocks.select("area", "data").mapInArrow(K.tidy(members), _MEMBER), "members")
+    tokens = sets.mapInArrow(K.tidy(explode), "area bigint, id bigint, n bigint, g bigint")
     held = tokens.join(rest.select(F.col("class_id").alias("id")), "id", "left_semi").groupBy("area", "g").agg(F.count("*").alias("df"))
     # rarest first; shingles of no class outside the largest component come before all, and never meet
     order = Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(0)), "g")
@@ -404,6 +404,6 @@ def _by_shingles(blocks: DataFrame, rest: DataFrame, links: DataFrame, percent:
             short = near.join(near.where("idx").select("area", "g", *[F.col(n).alias(f"x_{n}") for n in ("id", "n", "cap", "c")]), ["area", "g"])
         pairs = short.where("x_c != c AND x_n <= n AND n <= x_cap AND x_n <= cap").select(F.least("id", "x_id").alias("a"), F.greatest("id", "x_id").alias("b")).distinct()
         both = materialize(pairs, "candidates").join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
-        new = materialize(both.select("a", "b", "x", "y").mapInArrow(confirm, _PAIR), "confirmed")
+        new = materialize(both.select("a", "b", "x", "y").mapInArrow(K.tidy(confirm), _PAIR), "confirmed")
         found = new if found is None else found.unionByName(new)
     return links.limit(0) if found is None else found
