@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import chat, decontam, langid, neardup, packing, quality, suffix, topk, urls, warc
+from quillmark.llm import chat, clusters, decontam, langid, neardup, packing, quality, resample, simhash, suffix, topk, urls, warc
 from quillmark.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,11 +94,82 @@ def op10_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_host_segmentation_filter, op2_rule_ensemble_quality, op3_suffix_tree_scoring, op4_norm_bucketed_topk, op5_power_of_two_packing, op6_bbit_minhash_neardup, op7_token_level_chat, op8_zip_warc_reader, op9_hyperdimensional_langid, op10_winnowing_decontamination)}
+def op11_tiled_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return simhash.near_duplicates(docs, F.col("doc_id"), F.col("text")).select("doc_id", "fingerprint", "component_id")
+
+
+def op12_position_table_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return resample.resample(docs, F.col("doc_id"), F.col("text"), bench, F.col("text"))
+
+
+def op13_dual_tree_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return clusters.cluster(vectors, F.col("vec_id"), F.col("embedding"))[0]
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_host_segmentation_filter, op2_rule_ensemble_quality, op3_suffix_tree_scoring, op4_norm_bucketed_topk, op5_power_of_two_packing, op6_bbit_minhash_neardup, op7_token_level_chat, op8_zip_warc_reader, op9_hyperdimensional_langid, op10_winnowing_decontamination, op11_tiled_simhash_neardup, op12_position_table_resampling, op13_dual_tree_clustering)}
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+
+
+def _clustering_sql(k: int = 40, rounds: int = 5) -> str:
+    """Every round is two tables: who is nearest to whom, and the new centroids."""
+    parts = [f"""
+v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id), e) - 1 AS INTEGER) AS c, e FROM v QUALIFY c < {k})"""]
+    for r in range(rounds + 1):
+        parts.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT rid, vec_id, v.e, c, list_dot_product(v.e, v.e) + list_dot_product(x.e, x.e) - 2 * list_dot_product(v.e, x.e) AS d
+  FROM v, c{r} x QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, c) = 1)""")
+        if r < rounds:
+            parts.append(f"""
+c{r + 1} AS MATERIALIZED (
+  SELECT c, coalesce(n.e, o.e) AS e FROM c{r} o LEFT JOIN (
+    SELECT c, list(m ORDER BY i) AS e FROM (
+      SELECT c, i, floor(sum(x) / count(*)) AS m FROM (SELECT c, unnest(e) AS x, unnest(range(64)) AS i FROM a{r}) GROUP BY c, i) GROUP BY c) n USING (c))""")
+    return "WITH" + ",".join(parts) + f"""
+SELECT vec_id, c AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(x.e, lambda y: CAST(y AS BIGINT)), ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} x USING (c)
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_dual_tree_clustering": _clustering_sql(),
+    "op12_position_table_resampling": rf"""
+WITH t AS MATERIALIZED (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) AS c FROM range(256) r(i))),
+d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, false AS aim, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT -row_number() OVER (), true, NULL, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+f AS MATERIALIZED (
+  SELECT rid, aim, unnest(w) AS g FROM d
+  UNION ALL
+  SELECT rid, aim, array_to_string(w[i : i + 1], ' ') FROM (SELECT rid, aim, w, unnest(range(1, len(w))) AS i FROM d)),
+k AS MATERIALIZED (
+  SELECT g, xor(list_reduce(list_transform(range(1, length(x), 2), lambda i: CAST('0x' || x[i : i + 1] AS BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) % 10000 AS b
+  FROM (SELECT DISTINCT g, hex(encode(g)) AS x FROM f), t),
+n AS (SELECT b, count(*) FILTER (NOT aim) AS s, count(*) FILTER (aim) AS t FROM f JOIN k USING (g) GROUP BY b),
+q AS (
+  SELECT b, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * (sum(s) OVER () + 10000) / ((CAST(s AS DOUBLE) + 1) * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain FROM n),
+m AS (SELECT rid, CAST(sum(gain) AS BIGINT) AS total, count(*) AS n FROM f JOIN k USING (g) JOIN q USING (b) WHERE NOT aim GROUP BY rid),
+r AS (
+  SELECT doc_id, len(w) AS words, coalesce(n, 0) AS n_features, coalesce(CAST(floor(total / n) AS BIGINT), 0) AS weight,
+         CAST('0x' || sha256('7:' || doc_id)[1:8] AS BIGINT) AS h
+  FROM d LEFT JOIN m USING (rid) WHERE NOT aim),
+z AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score, words >= 20 AND doc_id IS NOT NULL AS fit FROM r),
+o AS (SELECT *, CASE WHEN fit THEN row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id, n_features) END AS p, count(*) FILTER (fit) OVER () AS n FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN p <= 25 * n // 100 THEN p END AS rank FROM o
+""",
     "op7_token_level_chat": r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
