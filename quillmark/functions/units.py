@@ -30,7 +30,7 @@ _REFERENCE_LONGEST_FIRST, _EVALUATION_LONGEST_FIRST = (sorted(a, key=len, revers
 REFERENCE_END = re.compile(r"[.!?;]+(?:\s+|\Z)")
 EVALUATION_END = re.compile(r"""(?:(?<!\d)\.(?!\d)|[!?;])(?=[)"'\]}]*\s+|\Z)""")
 SEPARATOR = re.compile(r"(,|;|:|\band\b|\bor\b|\bthen\b|\bwhich\b)")
-ENVIRONMENTS = re.compile(r"(?s)(?:\\begin\{([a-zA-Z*]+)\}.*?\\end\{\1\})+")
+BEGIN = re.compile(r"\\begin\{([a-zA-Z*]+)\}")
 BRACKETS, DOLLARS = re.compile(r"(?s)\\\[(.+?)\\\]"), re.compile(r"(?s)\$\$.+?\$\$")
 EDGES = " ,;:"
 
@@ -85,15 +85,33 @@ def wrapped(sentence: str, most: int, fix_spacing: bool = False) -> list[str]:
     return [line for line in kept if line] or [whole]
 
 
+def environments(text: str) -> list[tuple[int, int]]:
+    """Places of LaTeX environments: each from its begin to the first end of its name after it; those that overlap or touch are one."""
+    spans: list[tuple[int, int]] = []
+    ends: dict[str, int] = {}  # of each name, where its next end is; looked for again only once passed
+    for m in BEGIN.finditer(text):
+        mark = f"\\end{{{m.group(1)}}}"
+        at = ends.get(mark, 0)
+        if 0 <= at < m.end():
+            at = ends[mark] = text.find(mark, m.end())
+        if at < 0:
+            continue
+        start, stop = m.start(), at + len(mark)
+        if spans and start <= spans[-1][1]:
+            start, stop = spans[-1][0], max(spans.pop()[1], stop)
+        spans.append((start, stop))
+    return spans
+
+
 def math_blocks(text: str, compat: bool = False) -> list[tuple[str, str]]:
     """Display math and the text around it, in order; environments outside of it hide what they contain."""
     if "\\[" in text:
         text = BRACKETS.sub(lambda m: f"$${m.group(1)}$$", text)
     if "$$" not in text:  # environments stay in the text as they are
         return [("text", whole)] if (whole := text.strip()) else []
-    hidden = [m.group() for m in ENVIRONMENTS.finditer(text)]
-    mark = free(text)
-    shown = ENVIRONMENTS.sub(mark, text)
+    places = environments(text)
+    hidden, mark = [text[a:b] for a, b in places], free(text)
+    shown = mark.join(text[a:b] for a, b in zip([0, *(b for _, b in places)], [*(a for a, _ in places), len(text)], strict=True))
     out, at, seen = [], 0, 0
 
     def back(piece: str, numbered: bool) -> str:

@@ -23,19 +23,28 @@ def next_step(rows: DataFrame, key: str, order: str, content: str, out: str = "n
 
 
 def weight_total(n: Column, alpha: float = 1.0) -> Column:
-    """Sum of (n - i + 1) ** alpha over the steps; 0 without steps."""
+    """Sum of (n - i + 1) ** alpha over the steps; 0 without steps.  One number a case, to be taken once for it."""
+    if alpha in (0.0, 1.0):
+        n = F.greatest(n, F.lit(0)).cast("double")
+        return n if alpha == 0.0 else n * (n + 1) / 2
     steps = F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>"))
     return F.aggregate(steps, F.lit(0.0), lambda a, i: a + F.pow(i.cast("double"), F.lit(float(alpha))))
 
 
+def step_share(index: Column, n: Column, alpha: float = 1.0) -> Column:
+    """The weight of a step before it is divided by its case's ``weight_total``."""
+    return F.pow((n - index + 1).cast("double"), F.lit(float(alpha)))
+
+
 def step_weight(index: Column, n: Column, alpha: float = 1.0) -> Column:
-    return F.pow((n - index + 1).cast("double"), F.lit(float(alpha))) / weight_total(n, alpha)
+    return step_share(index, n, alpha) / weight_total(n, alpha)
 
 
 def weighted_score(steps: Column, n: Column, alpha: float = 1.0) -> Column:
-    """Weighted sum over array<struct<index, score>>; the last of n steps is never scored."""
+    """Weighted sum over array<struct<index, score>>; the last of n steps is never scored, and a case without steps has 0."""
     scored = F.filter(steps, lambda s: s["index"] < n)
-    return F.aggregate(scored, F.lit(0.0), lambda a, s: a + step_weight(s["index"], n, alpha) * s["score"])
+    total = F.aggregate(scored, F.lit(0.0), lambda a, s: a + step_share(s["index"], n, alpha) * s["score"])
+    return F.coalesce(F.try_divide(total, weight_total(n, alpha)), F.lit(0.0))
 
 
 def difficulty_factor(difficulty: Column, beta: float = 1.0) -> Column:
@@ -59,9 +68,9 @@ def score_steps(rows: DataFrame, key: str, order: str, content: str, scorer: M.S
 
 def case_scores(steps: DataFrame, cases: DataFrame, key: str, difficulty: str = "difficulty", c: EvaluationConfig = EvaluationConfig()) -> DataFrame:
     """One row per case of ``cases(key, difficulty, num_steps)``: weighted total and difficulty-adjusted score."""
-    part = step_weight(F.col("index"), F.col("num_steps"), c.alpha) * F.col("step_score")
+    part = step_share(F.col("index"), F.col("num_steps"), c.alpha) * F.col("step_score")
     totals = steps.groupBy(key).agg(F.sum(part).alias("total"))
-    total = F.coalesce("total", F.lit(0.0))
+    total = F.coalesce(F.try_divide(F.col("total"), weight_total(F.col("num_steps"), c.alpha)), F.lit(0.0))
     return cases.join(totals, key, "left").select(key, difficulty, "num_steps", total.alias("total_score"), (total * difficulty_factor(F.col(difficulty), c.beta)).alias("score"))
 
 

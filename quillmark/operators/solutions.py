@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -59,11 +60,11 @@ ROLE_HINTS = {
 
 
 def tag_role(x: Column, hints: dict[str, list[str]] = ROLE_HINTS) -> Column:
-    """The first role of which a keyword occurs in the text; null if none does."""
-    low = F.lower(x)
+    """The first role of which a keyword occurs in the text as whole words, in any case; null if none does."""
     found = F.lit(None).cast("string")
     for role, words in reversed(list(hints.items())):
-        found = F.when(reduce(lambda a, b: a | b, [low.contains(w.lower()) for w in words], F.lit(False)), role).otherwise(found)
+        some = "|".join(re.escape(w.lower()) for w in words)
+        found = F.when(F.lower(x).rlike(rf"(?<![\p{{L}}\p{{N}}_])(?:{some})(?![\p{{L}}\p{{N}}_])") if words else F.lit(False), role).otherwise(found)
     return found
 
 

@@ -66,18 +66,17 @@ MODULUS = (1 << 31) - 1
 POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(13)]
 
 
-def regression_band(rows: DataFrame, x: str, y: str, points: int = 100, resamples: int = 200, seed: int = 1, level: float = 0.95, key: Column | None = None) -> DataFrame:
+def regression_band(rows: DataFrame, x: str, y: str, key: Column, points: int = 100, resamples: int = 200, seed: int = 1, level: float = 0.95) -> DataFrame:
     """(x, fit, low, high): the line and its bootstrap band on a grid.
 
     Every row takes a Poisson(1) weight for each resample, drawn from a hash of
-    ``key`` (a whole number that tells rows apart; else of x and y, so that
-    equal rows weigh alike), so the band does not depend on partitions.  Each
-    task adds up the weighted sums of all resamples; resamples times points
-    rows follow.
+    ``key``, a whole number that tells rows apart, so equal pairs are drawn
+    apart and the band does not depend on partitions.  Each task adds up the
+    weighted sums of all resamples; resamples times points rows follow.
     """
     ship(rows.sparkSession)
     x_, y_ = F.col(x).cast("double"), F.col(y).cast("double")
-    h = F.pmod((F.xxhash64(x_, y_) if key is None else key).cast("long"), F.lit(MODULUS))
+    h = F.pmod(key.cast("long"), F.lit(MODULUS))
     pairs = rows.select(x_.alias("x"), y_.alias("y"), h.alias("h")).where("x IS NOT NULL AND y IS NOT NULL")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,13 +119,27 @@ def histogram(rows: DataFrame, x: str, bins: int = 10) -> DataFrame:
 
 
 def kde(rows: DataFrame, x: str, points: int = 50, cut: float = 3.0) -> DataFrame:
-    """(x, density): gaussian density with Scott's bandwidth on a grid of fixed size."""
+    """(x, density): gaussian density with Scott's bandwidth on a grid of fixed size.
+
+    A column with one value, or with one row, has no bandwidth: its grid is that
+    value and its density null.  Without values there is no row.  Every task
+    adds the kernels of its rows up, one sum for each point of the grid.
+    """
     v = rows.select(F.col(x).cast("double").alias("v")).where("v IS NOT NULL")
     span = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), (F.stddev_samp("v") * F.pow(F.count("*").cast("double"), F.lit(-0.2))).alias("h"))
-    at = (F.col("lo") - cut * F.col("h")) + (F.col("hi") - F.col("lo") + 2 * cut * F.col("h")) * F.col("i") / max(1, points - 1)
-    grid = spark_range(rows, points, "i").crossJoin(F.broadcast(span)).select("i", at.alias("x"), "h")
-    kernel = F.exp(-0.5 * F.pow((F.col("x") - F.col("v")) / F.col("h"), 2)) / (F.col("h") * math.sqrt(2 * math.pi))
-    return v.crossJoin(F.broadcast(grid)).groupBy("i", "x").agg(F.avg(kernel).alias("density")).select("x", "density")
+    span = span.select("lo", "hi", F.when(F.col("h") > 0, F.col("h")).alias("h"))
+    wide = F.coalesce("h", F.lit(0.0)) * cut
+
+    def at(i: int) -> Column:
+        return (F.col("lo") - wide) + (F.col("hi") - F.col("lo") + 2 * wide) * float(i) / float(max(1, points - 1))
+
+    def kernel(i: int) -> Column:
+        return F.exp(-0.5 * F.pow((at(i) - F.col("v")) / F.col("h"), 2)) / (F.col("h") * math.sqrt(2 * math.pi))
+
+    sums = [F.avg(kernel(i)).alias(f"d{i}") for i in range(points)]
+    one = v.crossJoin(F.broadcast(span)).agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.max("h").alias("h"), *sums)  # one row on each side
+    grid = F.array(*[F.struct(at(i).alias("x"), F.col(f"d{i}").alias("density")) for i in range(points)])
+    return one.where("lo IS NOT NULL").select(F.explode(grid).alias("p")).select("p.x", "p.density")
 
 
 def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:

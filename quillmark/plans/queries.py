@@ -87,6 +87,24 @@ def split_math_blocks(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", _big(F.size("b")).alias("n"), _joined(F.transform("b", lambda x: F.concat(x["type"], F.lit(":"), x["content"]))).alias("blocks"))
 
 
+# environments that cross, touch, nest, have no end, or lie inside display math; the first hides what the text holds, the others a formula
+_FORMS = {
+    0: (r"\begin{a} ", r" \begin{b} y \end{a} $$p$$ \end{b} t $$q$$ end", r"'text:\begin{a} ' || text || ' \begin{b} y \end{a} $$p$$ \end{b} t | math:$$q$$ | text:end'"),
+    1: (r"$$u \begin{a}$$\end{a}\begin{b*} ", r" \end{b*} v$$ w", r"'math:$$u \begin{a}$$\end{a}\begin{b*} ' || text || ' \end{b*} v$$ | text:w'"),
+    2: (r"\begin{a}\begin{a} ", r" \end{a}$$2$$\end{a} \begin{c} $$3$$", r"'text:\begin{a}\begin{a} ' || text || ' \end{a} | math:$$2$$ | text:\end{a} \begin{c} | math:$$3$$'"),
+}
+_FORM_SQL = "CASE doc_id % 3 " + " ".join(f"WHEN {k} THEN {want}" for k, (_, _, want) in _FORMS.items()) + " END"
+
+
+@query(f"SELECT doc_id, {_FORM_SQL} AS blocks FROM documents")
+def math_environments(spark: SparkSession, d: str) -> DataFrame:
+    x = F.lit(None).cast("string")
+    for k, (before, after, _) in _FORMS.items():
+        x = F.when(F.col("doc_id") % 3 == k, F.concat(F.lit(before), "text", F.lit(after))).otherwise(x)
+    rows = _t(spark, d, "documents").select("doc_id", G.split_math_blocks(x).alias("b"))
+    return rows.select("doc_id", _joined(F.transform("b", lambda x: F.concat(x["type"], F.lit(":"), x["content"]))).alias("blocks"))
+
+
 @query(f"SELECT doc_id, CAST(len(s) AS BIGINT) AS n, array_to_string(s, '{BAR}') AS sentences FROM (SELECT doc_id, {Q.sentences_reference(_SOLUTION_SQL)} AS s FROM documents)")
 def sentence_split_ref(spark: SparkSession, d: str) -> DataFrame:
     rows = _t(spark, d, "documents").select("doc_id", T.sentence_split_reference(_solution()).alias("s"))
@@ -159,11 +177,13 @@ def process_dataset(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "source", _big(F.col("segment_num")).alias("segment_num"), _show("segments").alias("units"))
 
 
-@query(f"SELECT doc_id, item_id, round({Q.jaccard('d.text', 'b.text')}, 9) AS jaccard FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40")
+@query(f"SELECT doc_id, item_id, round({Q.jaccard('d.text', 'b.text')}, 9) AS jaccard FROM documents d JOIN (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS n, count(*) OVER () AS items FROM benchmark) b ON b.n = d.doc_id % items")
 def jaccard(spark: SparkSession, d: str) -> DataFrame:
-    b = _t(spark, d, "benchmark").select("item_id", F.col("text").alias("ref"))
-    rows = _t(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
-    return rows.join(b, "item_id").select("doc_id", "item_id", F.round(T.jaccard(F.col("text"), F.col("ref")), 9).alias("jaccard"))
+    """Every document with one item; all items take part, dealt by their rank."""
+    b = R.numbered(_t(spark, d, "benchmark").select("item_id", F.col("text").alias("ref")), ["item_id"], "n").withColumn("n", F.col("n") - 1)
+    items = b.agg(F.count("*").alias("items"))
+    rows = _t(spark, d, "documents").select("doc_id", "text").crossJoin(F.broadcast(items)).withColumn("n", F.col("doc_id") % F.col("items"))  # one row
+    return rows.join(b, "n").select("doc_id", "item_id", F.round(T.jaccard(F.col("text"), F.col("ref")), 9).alias("jaccard"))
 
 
 @query(r"SELECT event_id, CAST(len(n) AS BIGINT) AS n, round(list_sum(n), 6) AS total FROM (SELECT event_id, list_transform(regexp_extract_all('-5 ' || props || ' -.5e' || event_id || ' a1.25', '[-+]?[0-9]*\.[0-9]+|[0-9]+'), lambda x: CAST(x AS DOUBLE)) AS n FROM events)")
@@ -363,8 +383,9 @@ def _order_scores(spark: SparkSession, d: str) -> DataFrame:
         (F.col("l_discount") * 10).alias("step_score"),
     )
     # cases come from the steps themselves: one aggregation on the same key, no join
-    part = F.when(F.col("index") < F.col("num_steps"), W.step_weight(F.col("index"), F.col("num_steps")) * F.col("step_score"))
-    totals = steps.groupBy("l_orderkey", "num_steps").agg(F.coalesce(F.sum(part), F.lit(0.0)).alias("total_score"))
+    part = F.when(F.col("index") < F.col("num_steps"), W.step_share(F.col("index"), F.col("num_steps")) * F.col("step_score"))
+    sums = steps.groupBy("l_orderkey", "num_steps").agg(F.coalesce(F.sum(part), F.lit(0.0)).alias("sum"))
+    totals = sums.withColumn("total_score", F.col("sum") / W.weight_total(F.col("num_steps")))
     difficulty = 1 + (F.col("l_orderkey") % 17) / 2.0
     return totals.select("l_orderkey", "num_steps", difficulty.alias("difficulty"), "total_score", (F.col("total_score") * W.difficulty_factor(difficulty)).alias("score"))
 
@@ -432,6 +453,15 @@ def kde_grid(spark: SparkSession, d: str) -> DataFrame:
     return D.kde(_t(spark, d, "customer"), "c_acctbal").select(F.round("x", 4).alias("x"), F.round("density", 12).alias("density"))
 
 
+@query("SELECT CAST(count(*) AS DOUBLE) AS x, CAST(NULL AS DOUBLE) AS density, r AS copy FROM customer, range(3) t(r) GROUP BY r")
+def kde_constant(spark: SparkSession, d: str) -> DataFrame:
+    """A column that has the number of rows in every row has no bandwidth: all points are its value, without a density."""
+    rows = _t(spark, d, "customer")
+    same = rows.crossJoin(F.broadcast(rows.agg(F.count("*").alias("n"))))  # one row
+    out = D.kde(same, "n", points=3)
+    return out.groupBy("x", "density").agg(F.count("*").alias("n")).select("x", "density", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy"))
+
+
 @query("""WITH e AS (SELECT user_id, epoch_us(ts) AS s, epoch_us(ts) + CAST(value * 600000000 AS BIGINT) AS t FROM events),
 f AS (SELECT *, CASE WHEN s > max(t) OVER (PARTITION BY user_id ORDER BY s, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM e),
 g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY s, t ROWS UNBOUNDED PRECEDING) AS grp FROM f)
@@ -567,10 +597,18 @@ def _prompt_sql(system: str, user: str) -> str:
     return f"{_quoted(f'system: {system}')} || chr(10) || 'user: ' || {user}"
 
 
-@query(f"""SELECT conv_id, turn, {_prompt_sql(M.CONTINUE, "'Problem:' || chr(10) || role || chr(10) || 'Solution so far:' || chr(10) || trim(text)")} AS next,
-{_prompt_sql(M.JUDGE, "'Candidate:' || chr(10) || text || chr(10) || 'Reference:' || chr(10) || role")} AS judge,
-{_prompt_sql(M.PAIR, "'First:' || chr(10) || text || chr(10) || 'Second:' || chr(10) || role")} AS pair,
-{_prompt_sql(M.CLAIMS, "text")} AS claims, {_quoted("system: " + M.REWRITE + chr(10))} || role || chr(10) || 'user: ' || text AS rewrite, 'user: ' || text AS bare FROM conversations""")
+# written out once more, so that a change of the library's texts is a difference
+_CONTINUE = "Continue the solution below with the next step only. At most 18 lines and 400 words. Write <<<END>>> when the step is complete."
+_JUDGE = 'Does the candidate step entail the reference step? Answer with {"score": x}, x from 0 to 1, and nothing after it.'
+_PAIR = "Score how far the first text entails the second and the second the first. Answer with [forward, backward], each from 0 to 1."
+_CLAIM_TEXT = 'List the propositions of the text, at most 80 characters each. Answer with {"segments": [{"id": 1, "text": "..."}]}.'
+_REWRITE = "Rewrite the text in this style without a change of content."
+
+
+@query(f"""SELECT conv_id, turn, {_prompt_sql(_CONTINUE, "'Problem:' || chr(10) || role || chr(10) || 'Solution so far:' || chr(10) || trim(text)")} AS next,
+{_prompt_sql(_JUDGE, "'Candidate:' || chr(10) || text || chr(10) || 'Reference:' || chr(10) || role")} AS judge,
+{_prompt_sql(_PAIR, "'First:' || chr(10) || text || chr(10) || 'Second:' || chr(10) || role")} AS pair,
+{_prompt_sql(_CLAIM_TEXT, "text")} AS claims, {_quoted("system: " + _REWRITE + chr(10))} || role || chr(10) || 'user: ' || text AS rewrite, 'user: ' || text AS bare FROM conversations""")
 def prompts(spark: SparkSession, d: str) -> DataFrame:
     text, role = F.col("text"), F.col("role")
     each = {
@@ -585,7 +623,7 @@ def _no_template(config) -> None:
 
 
 def _judge_length() -> str:
-    prompt = _prompt_sql(M.JUDGE, "'Candidate:' || chr(10) || text || chr(10) || 'Reference:' || chr(10) || role")
+    prompt = _prompt_sql(_JUDGE, "'Candidate:' || chr(10) || text || chr(10) || 'Reference:' || chr(10) || role")
     return f"length({prompt})"
 
 
@@ -727,7 +765,8 @@ _DRAW = "SELECT b, k, x, y, CAST((k * 48271 + b * 40692 + 69621) % 2147483647 AS
 
 @query(f"""WITH r1 AS (SELECT b, k, x, y, (r * r + k) % 2147483647 AS r FROM ({_DRAW})),
 r2 AS (SELECT b, x, y, ((r * r + 12345) % 2147483647) / 2147483647.0 AS u FROM r1),
-w AS (SELECT b, x, y, {' + '.join(f'CAST(u >= {c!r} AS INTEGER)' for c in D.POISSON)} AS w FROM r2),
+p AS (SELECT list(c) AS cuts FROM (SELECT exp(-1.0) * sum(1.0 / factorial(CAST(j AS INTEGER))) OVER (ORDER BY j) AS c FROM range(13) t(j))),
+w AS (SELECT b, x, y, len(list_filter(cuts, lambda c: u >= c)) AS w FROM r2, p),
 s AS (SELECT b, sum(w) AS w, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy FROM w GROUP BY b),
 l AS (SELECT (w * sxy - sx * sy) / (w * sxx - sx * sx) AS m, w, sx, sy FROM s),
 c AS (SELECT m, (sy - m * sx) / w AS c FROM l),
@@ -739,11 +778,21 @@ def regression_band(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.round("x", 6).alias("x"), *[F.round(c, 3).alias(c) for c in ("fit", "low", "high")])
 
 
-def _roles_sql() -> str:
-    def any_of(words: list[str]) -> str:
-        return " OR ".join("contains(lower(text), " + _quoted(w.lower()) + ")" for w in words)
+# written out once more, so that a change of the library's table is a difference; some of the words are common in these texts
+_ROLE_WORDS = {
+    "LowerBound": "lower bound|at least|necessary|must be ≥|cannot be less",
+    "UpperBound/Construction": "upper bound|construction|we can achieve|it suffices to construct",
+    "Conclusion/Answer": r"therefore|thus|hence|in conclusion|we conclude|\\boxed",
+    "CaseSplit": "case|otherwise|when|if|suppose that",
+    "Claim": "claim|lemma|proposition",
+    "Observation": "observe that|note that|we note",
+    "Verification": "verify|check|it remains to show|it remains to verify",
+    "Inequality/Algebra": "inequality|rearranging|algebraically|by am-gm|by cauchy",
+}
+
 
-    return "CASE " + " ".join(f"WHEN {any_of(words)} THEN '{role}'" for role, words in P.ROLE_HINTS.items()) + " END"
+def _roles_sql(roles: dict[str, str] = _ROLE_WORDS) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '(^|[^\\pL\\pN_])({words})([^\\pL\\pN_]|$)') THEN '{role}'" for role, words in roles.items()) + " END"
 
 
 @query(f"SELECT doc_id, sentence, {_roles_sql()} AS role FROM (SELECT doc_id, unnest(range(len(s))) AS sentence, unnest(s) AS text FROM (SELECT doc_id, {Q.sentences_reference(_SOLUTION_SQL)} AS s FROM documents))")
@@ -752,7 +801,7 @@ def role_table(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", _big(F.col("sentence")).alias("sentence"), P.tag_role(F.col("text")).alias("role"))
 
 
-@query("SELECT doc_id, CASE WHEN contains(lower(text), 'that the') THEN 'Claim' WHEN contains(lower(text), 'of the') THEN 'CaseSplit' END AS role FROM documents")
+@query(f"SELECT doc_id, {_roles_sql({'Claim': 'that the|se', 'CaseSplit': 'of the|la'})} AS role FROM documents")
 def role_hints(spark: SparkSession, d: str) -> DataFrame:
-    hints = {"Claim": ["that the"], "CaseSplit": ["of the"]}
+    hints = {"Claim": ["that the", "se"], "CaseSplit": ["of the", "la"]}
     return _t(spark, d, "documents").select("doc_id", P.tag_role(F.col("text"), hints).alias("role"))

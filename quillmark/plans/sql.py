@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from quillmark.functions.text import EVALUATION_ABBREVIATIONS, REFERENCE_ABBREVIATIONS
-
+# written out once more, so that a wrong entry of the library is a difference
+REFERENCE_ABBREVIATIONS = "e.g. i.e. etc. Mr. Mrs. Ms. Dr. Prof. vs. Fig. Eq. Prop. Thm. Cor. No.".split()
+EVALUATION_ABBREVIATIONS = [*"Mr. Mrs. Ms. Dr. Prof. Sr. Jr. St. Co. Inc. Ltd. vs. etc. e.g. i.e. cf. Fig. Eq. Sec. No. pp. Ch. U.S. U.K. U.N. al.".split(), "et al."]
 HOLD, CUT, EDGE, DIGIT, MATH = "chr(3)", "chr(4)", "chr(5)", "chr(7)", "chr(6)"
 
 

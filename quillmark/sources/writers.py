@@ -95,18 +95,20 @@ def distribution_csv(rows: DataFrame, key: str, by: str = "key") -> DataFrame:
 
 
 def distribution_text(rows: DataFrame, key: str, by: str = "key") -> DataFrame:
-    """The report as one text: a title, the total, and a line for each key."""
+    """The lines of the report in order: a title, the total, and a line for each key, however many there are."""
     d = distribution(rows, key, by)
     line = F.format_string("%s\t%d\t(%s%%)", F.col("key").cast("string"), "count", fixed(F.col("percentage"), 2))
-    order = F.struct(F.col("key")) if by == "key" else F.struct((-F.col("count")).alias("c"), "key")
-    lines = d.agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), line.alias("l")))).alias("a"), F.coalesce(F.sum("count"), F.lit(0)).alias("n"))
-    body = F.array_join(F.transform("a", lambda x: x["l"]), "\n")
-    return lines.select(F.concat(F.lit("Difficulty Distribution\n=======================\nTotal: "), F.col("n").cast("string"), F.lit("\n\n"), body).alias("value"))
+    first = -F.col("count") if by != "key" else F.lit(0).cast("long")
+    body = d.select(F.lit(1).alias("part"), first.alias("first"), F.col("key"), line.alias("value"))
+    total = F.concat(F.lit("Difficulty Distribution\n=======================\nTotal: "), F.coalesce(F.sum("count"), F.lit(0)).cast("string"), F.lit("\n"))
+    head = d.agg(total.alias("value")).select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("first"), F.lit(None).cast(d.schema["key"].dataType).alias("key"), "value")
+    return head.unionAll(body).orderBy("part", "first", "key").select("value")
 
 
 def write_distribution(rows: DataFrame, key: str, text_path: str, csv_path: str, by: str = "key") -> None:
+    """Both as folders of part files whose names follow the order of the rows."""
     distribution_text(rows, key, by).write.mode("overwrite").text(text_path)
-    distribution_csv(rows, key, by).coalesce(1).write.mode("overwrite").option("header", True).csv(csv_path)  # a row per key
+    distribution_csv(rows, key, by).write.mode("overwrite").option("header", True).csv(csv_path)
 
 
 def stats_text(stats: DataFrame) -> DataFrame:

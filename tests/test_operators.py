@@ -87,7 +87,21 @@ def test_distribution_nulls_first(spark):
     rows = spark.createDataFrame([(2,), (None,), (2,), (1,)], "k int")
     assert [(r.key, r["count"]) for r in D.distribution(rows, "k").collect()] == [(None, 1), (1, 1), (2, 2)]
     assert D.distribution(rows.limit(0), "k").count() == 0
-    assert K.distribution_text(rows.where("k > 0"), "k").first().value.endswith("1\t1\t(33.33%)\n2\t2\t(66.67%)")
+    for by, last in (("key", "1\t1\t(33.33%)\n2\t2\t(66.67%)"), ("count", "2\t2\t(66.67%)\n1\t1\t(33.33%)")):
+        text = "\n".join(r.value for r in K.distribution_text(rows.where("k > 0"), "k", by).collect())
+        assert text == f"Difficulty Distribution\n=======================\nTotal: 3\n\n{last}"
+    assert [r.value[-2:] for r in K.distribution_text(rows.limit(0), "k").collect()] == ["0\n"]
+
+
+def test_report_of_many_keys_is_in_order(spark, tmp_path):
+    rows = spark.range(20_000).select((F.col("id") % 9000).alias("k"))
+    K.write_distribution(rows, "k", str(tmp_path / "t"), str(tmp_path / "c"))
+    parts = sorted((tmp_path / "t").glob("part-*"))
+    lines = "".join(p.read_text() for p in parts).splitlines()
+    assert lines[:4] == ["Difficulty Distribution", "=======================", "Total: 20000", ""]
+    assert [int(x.split("\t")[0]) for x in lines[4:]] == list(range(9000))
+    csv = [x for p in sorted((tmp_path / "c").glob("part-*")) for x in p.read_text().splitlines() if x[0].isdigit()]
+    assert [int(x.split(",")[0]) for x in csv] == list(range(9000))
 
 
 def test_five_numbers_and_histogram(spark):
@@ -95,7 +109,7 @@ def test_five_numbers_and_histogram(spark):
     r = D.five_numbers(rows, "x").first()
     assert (r.min, r.q1, r.median, r.q3, r.max) == (0, 2.5, 5, 7.5, 10)
     assert [x["count"] for x in D.histogram(rows, "x").orderBy("bin").collect()] == [1] * 9 + [2]
-    assert D.regression_band(rows.select("x", (F.col("x") * 2).alias("y")), "x", "y", points=3, resamples=20).count() == 3
+    assert D.regression_band(rows.select("x", (F.col("x") * 2).alias("y")), "x", "y", F.col("x"), points=3, resamples=20).count() == 3
 
 
 def test_intervals(spark):
@@ -225,3 +239,42 @@ def test_quartiles_of_odd_columns(spark):
         rows = spark.createDataFrame([(v,) for v in values], "x double")
         got, want = D.five_numbers(rows, "x").first(), rows.agg(F.percentile("x", F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("q"), F.count("x").alias("n")).first()
         assert got.n == want.n and [got[k] for k in ("min", "q1", "median", "q3", "max")] == (want.q or [None] * 5)
+
+
+def test_band_of_repeated_pairs_draws_rows_apart(spark):
+    """Rows of few distinct pairs: the band is about as wide as the usual error of the fit, not as that of a few clusters."""
+    rows = spark.range(4000).select((F.col("id") % 2).cast("double").alias("x"), (F.floor(F.col("id") / 2) % 2).cast("double").alias("y"), "id")
+    out = D.regression_band(rows, "x", "y", F.col("id"), points=2, resamples=200).orderBy("x").collect()
+    error = 0.5 / 2000**0.5  # of a mean over the 2,000 rows of either x
+    assert all(2 * error < r.high - r.low < 6 * error for r in out)
+
+
+@pytest.mark.parametrize(("values", "want"), [([], []), ([None], []), ([3.0], [(3.0, None)] * 4), ([2.5, 2.5, None], [(2.5, None)] * 4)])
+def test_density_without_bandwidth(spark, values, want):
+    rows = spark.createDataFrame([(v,) for v in values], "x double")
+    assert [tuple(r) for r in D.kde(rows, "x", points=4).collect()] == want
+
+
+def test_density_sums_to_one(spark):
+    rows = spark.range(500).select((F.col("id") % 37).cast("double").alias("x"))
+    out = D.kde(rows.repartition(5), "x", points=200).orderBy("x").collect()
+    step = out[1].x - out[0].x
+    assert sum(r.density for r in out) * step == pytest.approx(1, abs=0.01)
+
+
+@pytest.mark.parametrize("alpha", [0.0, 0.5, 1.0, 2.0])
+def test_totals_of_weights_once_a_case(spark, alpha):
+    rows = spark.range(5).select(F.col("id").alias("n"), W.weight_total(F.col("id"), alpha).alias("w")).collect()
+    assert [r.w for r in rows] == [pytest.approx(sum((n - i + 1) ** alpha for i in range(1, n + 1))) for n in range(5)]
+    steps = spark.createDataFrame([(1, i, 4, i / 10) for i in (1, 2, 3)], "id long, index int, num_steps long, step_score double")
+    cases = spark.createDataFrame([(1, 4, 5.0), (2, 0, 5.0)], "id long, num_steps long, difficulty double")
+    got = {r.id: r.total_score for r in W.case_scores(steps, cases, "id", c=W.EvaluationConfig(alpha=alpha)).collect()}
+    want = sum((4 - i + 1) ** alpha * i / 10 for i in (1, 2, 3)) / sum(i**alpha for i in (1, 2, 3, 4))
+    assert got[1] == pytest.approx(want) and got[2] == 0.0
+    one = spark.range(1).select(W.weighted_score(F.array(*[F.struct(F.lit(i).alias("index"), F.lit(i / 10).alias("score")) for i in (1, 2, 3, 4)]), F.lit(4), alpha).alias("s")).first().s
+    assert one == pytest.approx(want)
+
+
+@pytest.mark.parametrize(("text", "role"), [("It is different because of that.", None), ("If so, done", "CaseSplit"), ("A lower bound, if any", "LowerBound"), ("so \\boxed{4}", "Conclusion/Answer"), ("must be ≥ 3", "LowerBound"), ("Lemma1 is no word", None), ("the lemma.", "Claim"), (None, None), ("", None), ("éif", None)])
+def test_roles_take_whole_words(spark, one, text, role):
+    assert one(P.tag_role, text) == role

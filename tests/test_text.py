@@ -66,6 +66,11 @@ def test_vectors(one, function, given_, want):
         ("open $$x", False, [("text", "open $$x")]),
         ("p $q$ r", False, [("text", "p $q$ r")]),
         (r"\begin{a}x", False, [("text", r"\begin{a}x")]),
+        (r"\begin{a} x \begin{b} y \end{a} $$p$$ \end{b} t $$q$$", False, [("text", r"\begin{a} x \begin{b} y \end{a} $$p$$ \end{b} t"), ("math", "$$q$$")]),
+        (r"\begin{a}\begin{a}$$1$$\end{a}$$2$$\end{a}", False, [("text", r"\begin{a}\begin{a}$$1$$\end{a}"), ("math", "$$2$$"), ("text", r"\end{a}")]),
+        (r"$$x \begin{a}1\end{a}\begin{b*}$$\end{b*} y$$", True, [("math", "$$x @@LATEXENV0@@ y$$")]),
+        (r"$$\begin{a}1\end{a} \begin{b}2\end{b}$$ z \begin{c}$$\end{c}", True, [("math", "$$@@LATEXENV0@@ @@LATEXENV1@@$$"), ("text", r"z \begin{c}$$\end{c}")]),
+        (r"\begin{a} \begin{b} $$x$$ \end{b} \begin{c} $$y$$", False, [("text", r"\begin{a} \begin{b} $$x$$ \end{b} \begin{c}"), ("math", "$$y$$")]),
         ("x\x04y z $$\x06\x01\x02$$ \ue000", False, [("text", "x\x04y z"), ("math", "$$\x06\x01\x02$$"), ("text", "\ue000")]),
         (r"\begin{a}$$\end{a} \ue000 $$\begin{b}1\end{b}\begin{b}2\end{b}$$".replace("\\ue000", "\ue000"), False, [("text", r"\begin{a}$$\end{a} " + "\ue000"), ("math", r"$$\begin{b}1\end{b}\begin{b}2\end{b}$$")]),
     ],
