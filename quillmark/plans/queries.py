@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillmark.config import SegmentConfig
 from quillmark.functions import jsonrepair as J
+from quillmark.functions import nested as N
 from quillmark.functions import segment as G
 from quillmark.functions import text as T
 from quillmark.operators import align as A
@@ -21,6 +22,7 @@ from quillmark.operators import stats as D
 from quillmark.plans import sql as Q
 from quillmark.schemas import CASE, GENERATION_LOG, SEGMENTS, SUMMARY
 from quillmark.session import materialize, new_path, ship
+from quillmark.sources import jsonlines as J_
 from quillmark.sources import readers as R
 from quillmark.sources import writers as K
 
@@ -561,6 +563,71 @@ def fix_json_format(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "events").select("event_id", J.fix_json_format(raw).alias("fixed"))
 
 
+# records of no fixed type
+_SHAPES = {
+    0: """'[1, [2.5, [true, null, " x ", []], ["é", ["' || role || '"]]], {"k":' || turn || ',"l":["z"]}, ' || conv_id || ']'""",
+    1: "to_json(text)",
+    2: "'[[[[[' || to_json(text) || ']]], \"\", 1e3], false]'",
+    3: """'{"turn":' || turn || ',"b":[1,null]}'""",
+    4: "CASE turn % 3 WHEN 0 THEN 'null' WHEN 1 THEN '[]' ELSE turn || '.50' END",
+}
+_SHAPE_SQL = "CASE (conv_id + turn) % 5 " + " ".join(f"WHEN {k} THEN {v}" for k, v in _SHAPES.items()) + " END"
+
+
+@query(f"""WITH RECURSIVE r AS (
+  SELECT conv_id, turn, CAST([] AS BIGINT[]) AS p, CAST({_SHAPE_SQL} AS JSON) AS j FROM conversations
+  UNION ALL
+  SELECT conv_id, turn, list_append(p, i), json_extract(j, '$[' || i || ']') FROM (SELECT *, unnest(range(CAST(json_array_length(j) AS BIGINT))) AS i FROM r WHERE json_type(j) = 'ARRAY')),
+a AS (
+  SELECT conv_id, turn, p, CASE json_type(j) WHEN 'NULL' THEN '' WHEN 'VARCHAR' THEN trim(j ->> '$', ' ' || chr(9) || chr(10) || chr(13)) WHEN 'BOOLEAN' THEN upper(CAST(j AS VARCHAR)[1]) || CAST(j AS VARCHAR)[2:]
+    WHEN 'OBJECT' THEN replace(replace(CAST(j AS VARCHAR), ':', ': '), ',', ', ') WHEN 'DOUBLE' THEN CAST(CAST(j AS DOUBLE) AS VARCHAR) ELSE CAST(j AS VARCHAR) END AS s
+  FROM r WHERE json_type(j) <> 'ARRAY')
+SELECT conv_id, turn, coalesce(flat, '') AS flat, coalesce(flat, '') AS from_text FROM conversations LEFT JOIN (SELECT conv_id, turn, string_agg(s, ' ' ORDER BY p) FILTER (s <> '') AS flat FROM a GROUP BY ALL) USING (conv_id, turn)""")
+def flatten_variant(spark: SparkSession, d: str) -> DataFrame:
+    """Strings, numbers, nulls, objects and lists nested to different depths in one column, as VARIANT and as JSON text."""
+    text = F.to_json(F.struct(F.col("text").alias("t")))
+    quoted = F.substring(text, F.lit(6), F.length(text) - 6)  # of {"t":"..."}
+    turn, conv = F.col("turn").cast("string"), F.col("conv_id").cast("string")
+    shapes = [
+        F.concat(F.lit('[1, [2.5, [true, null, " x ", []], ["é", ["'), "role", F.lit('"]]], {"k":'), turn, F.lit(',"l":["z"]}, '), conv, F.lit("]")),
+        quoted,
+        F.concat(F.lit("[[[[["), quoted, F.lit(']]], "", 1e3], false]')),
+        F.concat(F.lit('{"turn":'), turn, F.lit(',"b":[1,null]}')),
+        F.when(F.col("turn") % 3 == 0, "null").when(F.col("turn") % 3 == 1, "[]").otherwise(F.concat(turn, F.lit(".50"))),
+    ]
+    value = F.element_at(F.array(*shapes), ((F.col("conv_id") + F.col("turn")) % 5 + 1).cast("int"))
+    rows = _t(spark, d, "conversations").select("conv_id", "turn", value.alias("j"))
+    # a VARIANT sorts an object's keys, so the objects that have two go as text
+    sorted_keys = F.when(F.col("j").startswith('{"turn"'), N.flatten_nested(F.col("j"), variant=False)).otherwise(N.flatten_nested(F.parse_json("j")))
+    return rows.select("conv_id", "turn", sorted_keys.alias("flat"), N.flatten_nested(F.col("j"), variant=False).alias("from_text"))
+
+
+_EXTRA = "CASE event_id % 3 WHEN 0 THEN ', \"more\": {\"a\": [' || event_id || ', null]}' WHEN 1 THEN ', \"é x\": \"' || event_type || '\"' ELSE '' END"
+
+
+@query(f"SELECT row_number() OVER (ORDER BY event_id) AS id, event_id, k, '{{\"event_id\": ' || event_id || ', \"k\": ' || k || {_EXTRA} || ', \"seen\": true}}' AS record FROM (SELECT *, regexp_extract(props, '[0-9]+') AS k FROM events WHERE event_id % 7 <> 3)")
+def jsonl_records(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of different keys, some bad, cut into ranges of 4 kB: ordinals, and records that keep what no schema names."""
+    extra = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(', "more": {"a": ['), F.col("event_id").cast("string"), F.lit(", null]}"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit(', "é x": "'), "event_type", F.lit('"'))).otherwise("")
+    whole = F.concat(F.lit(' {"event_id": '), F.col("event_id").cast("string"), F.lit(', "k": '), "k", extra, F.lit("}"))
+    path = _event_lines(spark, d, F.when(F.col("event_id") % 7 == 3, F.concat(whole, F.lit(" thanks"))).otherwise(F.concat(whole, F.lit("\r\n"))), "records")
+    rows = J_.read_records(spark, path, split_bytes=4096)
+    record = N.with_fields(F.col("record"), F.lit('{"seen": true}'))
+    return rows.select("id", J_.field(F.col("value"), "event_id", "bigint").alias("event_id"), J_.field(F.col("value"), "k", "string").alias("k"), record.alias("record"))
+
+
+@query("SELECT row_number() OVER (ORDER BY event_id) AS id, event_id, (SELECT CAST(sum(length(line) + 1) AS BIGINT) FROM (SELECT event_id, '{''event_id'': ' || event_id || '}' AS line FROM events) l WHERE l.event_id < 5) AS bad_byte FROM events")
+def jsonl_records_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Single-quoted keys repaired, all or nothing: a damaged copy gives no row, and the strict read names the byte of its bad line."""
+    line = F.concat(F.lit("{'event_id': "), F.col("event_id").cast("string"), F.lit("}"))
+    good, bad = new_path(spark, "quoted"), new_path(spark, "damaged")
+    events = _t(spark, d, "events").repartitionByRange(1, "event_id").sortWithinPartitions("event_id")
+    events.select(line.alias("value")).write.text(good)
+    events.select(F.when(F.col("event_id") == 5, F.replace(line, F.lit("}"), F.lit(""))).otherwise(line).alias("value")).write.text(bad)
+    rows = J_.read_records_all_or_nothing(spark, good, split_bytes=2048).unionByName(J_.read_records_all_or_nothing(spark, bad, split_bytes=2048))
+    return rows.select("id", J_.field(F.col("value"), "event_id", "bigint").alias("event_id"), F.lit(J_.first_bad_byte(spark, bad, "repair")).cast("bigint").alias("bad_byte"))
+
+
 # thresholds on odd rows
 _ODD_SOLUTION = "CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN ' ' || chr(10) || chr(9) ELSE replace(text, chr(10), chr(10) || ' ' || chr(10)) END"
 
