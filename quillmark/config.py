@@ -38,4 +38,6 @@ class ModelConfig:
     max_tokens: int = 256
     stop: str = "<<<END>>>"
     batch_size: int = 16
+    devices: str = ""  # addresses of the devices of an engine, with commas; a task's own, where the cluster gives it some, come first
+    resource: str = "gpu"  # what the cluster calls them
     extra: dict = field(default_factory=dict)

@@ -10,9 +10,13 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.resource import ExecutorResourceRequests, ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -20,6 +24,7 @@ from pyspark.sql import types as S
 from quillmark.config import ModelConfig
 from quillmark.functions import jsonrepair as J
 from quillmark.functions import text as T
+from quillmark.session import ship
 
 Scorer = Callable[[Column, Column], Column]
 
@@ -62,16 +67,68 @@ class EchoEngine:
         return [json.dumps({"segments": [{"id": 1, "text": p.rpartition(" ")[2][:80] or "."}]}) for p in prompts]
 
 
-_ENGINES: dict[tuple[str, str, str], Engine] = {}  # of this worker
+_ENGINES: dict[tuple[str, str, str, str], Engine] = {}  # of this worker
+
+
+def devices(config: ModelConfig) -> str:
+    """Addresses of the devices that the cluster gave this task; else those that the configuration names."""
+    task = TaskContext.get()
+    own = task.resources().get(config.resource) if task is not None else None
+    return ",".join(own.addresses) if own is not None else config.devices
 
 
 def _engine(make: Callable[[ModelConfig], Engine], config: ModelConfig) -> Engine:
-    key = (make.__module__, make.__qualname__, config.name)
+    """The engine of this worker for a model on the task's devices.
+
+    A worker serves task after task, each perhaps with other devices, so an
+    engine stands for both.  It sees its devices in its configuration and in
+    CUDA_VISIBLE_DEVICES, as libraries read that when they are first used.
+    """
+    at = devices(config)
+    key = (make.__module__, make.__qualname__, config.name, at)
+    if at:
+        os.environ["CUDA_VISIBLE_DEVICES"] = at
     if key not in _ENGINES:
-        _ENGINES[key] = make(config)
+        _ENGINES[key] = make(replace(config, devices=at))
     return _ENGINES[key]
 
 
+def device_profile(amount: int = 1, resource: str = "gpu", cpus: int = 1, of_executor: int | None = None, script: str = "") -> ResourceProfile:
+    """What every task of a model stage asks for: ``amount`` devices and ``cpus`` cores.
+
+    With ``of_executor`` the stage gets executors of its own with so many
+    devices, found by ``script`` (this needs dynamic allocation); without, it
+    runs on executors that have devices already.
+    """
+    builder = ResourceProfileBuilder().require(TaskResourceRequests().cpus(cpus).resource(resource, amount))
+    if of_executor is not None:
+        builder = builder.require(ExecutorResourceRequests().resource(resource, of_executor, script))
+    return builder.build
+
+
+def answers(rows: DataFrame, prompt: Column, make: Callable[[ModelConfig], Engine], config: ModelConfig = ModelConfig(), out: str = "answer", schema: dict | None = None, profile: ResourceProfile | None = None) -> DataFrame:
+    """``rows`` with the model's answers in a stage that can have a profile of its own; else like ``generator``.
+
+    Without a profile, tasks run where all others do, with one engine in each worker.
+    """
+    ship(rows.sparkSession)
+    asked = rows.withColumn("__prompt", F.coalesce(prompt, F.lit("")))
+    columns = [c for c in rows.columns if c != out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        engine = _engine(make, config)
+        guided = {} if schema is None else {"schema": schema}
+        for batch in batches:
+            texts, said = batch.column(batch.num_columns - 1).to_pylist(), []
+            for i in range(0, len(texts), config.batch_size):
+                said += [t.strip() for t in engine.generate(texts[i : i + config.batch_size], **guided)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(columns))), pa.array(said, pa.string())], [*columns, out])
+
+    kept = asked.select(*[F.col(c) for c in columns], "__prompt")
+    fields = S.StructType([*kept.schema.fields[:-1], S.StructField(out, S.StringType())])
+    return kept.mapInArrow(run, fields, profile=profile)
+
+
 def chat_prompt(system: Column, user: Column) -> Column:
     """"role: content" lines, for models without a chat template; an empty system part is left out."""
     return F.concat(F.when(F.coalesce(system, F.lit("")) != "", F.concat(F.lit("system: "), system, F.lit("\n"))).otherwise(""), F.lit("user: "), user)

@@ -15,6 +15,7 @@ from quillmark.functions import segment as G
 from quillmark.functions import text as T
 from quillmark.operators import align as A
 from quillmark.operators import evaluation as E
+from quillmark.operators import memo as X
 from quillmark.operators import models as M
 from quillmark.operators import scoring as W
 from quillmark.operators import solutions as P
@@ -22,6 +23,7 @@ from quillmark.operators import stats as D
 from quillmark.plans import sql as Q
 from quillmark.schemas import CASE, GENERATION_LOG, SEGMENTS, SUMMARY
 from quillmark.session import materialize, new_path, ship
+from quillmark.sources import charts as C
 from quillmark.sources import jsonlines as J_
 from quillmark.sources import readers as R
 from quillmark.sources import writers as K
@@ -742,6 +744,59 @@ def memo(spark: SparkSession, d: str) -> DataFrame:
     return M.once_per_text(_t(spark, d, "conversations"), "role", lambda x: F.concat(F.upper(x), F.lit("!")), "said").select("conv_id", "turn", "said")
 
 
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 OR text IN (SELECT role FROM conversations) THEN upper(role) || '!1' ELSE length(text) || '!2' END AS said FROM conversations")
+def memo_again(spark: SparkSession, d: str) -> DataFrame:
+    """A first run over all roles, a second one over roles and texts: it asks for the texts alone and remembers the roles' answers."""
+    rows, path = _t(spark, d, "conversations"), new_path(spark, "memo")
+    X.Memo(spark, path, "m").answer(rows.select("role"), "role", lambda x: F.concat(F.upper(x), F.lit("!1")), "said")
+    both = rows.select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.col("role")).otherwise(F.col("text")).alias("asked"))
+    later = X.Memo(spark, path, "m").answer(both, "asked", lambda x: F.concat(F.length(x).cast("string"), F.lit("!2")), "said")
+    return later.select("conv_id", "turn", "said")
+
+
+@query(f"SELECT conv_id, turn, role, regexp_extract('user: ' || text, '[^{chr(10)}]*$') || ' <<<END>>> and more' AS answer FROM conversations")
+def placed_answers(spark: SparkSession, d: str) -> DataFrame:
+    """A model stage that can have a resource profile; without one it runs like any other."""
+    rows = _t(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    return M.answers(rows, M.chat_prompt(F.lit(""), F.col("text")), M.EchoEngine).select("conv_id", "turn", "role", "answer")
+
+
+# charts: drawn, written, and read back
+@query("""WITH c AS (SELECT event_type || CASE WHEN event_id % 2 = 0 THEN ' <&">' ELSE '' END AS key, count(*) AS count FROM events GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (ORDER BY count DESC, key) AS rank, count(*) OVER () AS n, max(count) OVER () AS most FROM c),
+s AS (SELECT *, least(6 + greatest(n - 10, 0) * 0.25, 20) * 100 - 80 AS w, (CASE WHEN n <= 15 THEN 4.5 ELSE 5.5 END) * 100 - 100 AS h FROM r)
+SELECT key, CAST(count AS DOUBLE) AS count, round(60 + w / n * (rank - 1 + 0.1), 1) AS x, round(w / n * 0.8, 1) AS width, round(h * 0.95 * count / most, 1) AS height, round(h + 40 - h * 0.95 * count / most, 1) AS y FROM s""")
+def chart_bars(spark: SparkSession, d: str) -> DataFrame:
+    """Bars of a distribution by count, with names that need escapes."""
+    name = F.concat("event_type", F.when(F.col("event_id") % 2 == 0, ' <&">').otherwise(""))
+    counts = D.distribution(_t(spark, d, "events").select(name.alias("k")), "k").withColumn("down", -F.col("count"))
+    path = new_path(spark, "bars")
+    C.write_chart(C.bar_chart(counts, ["down", "key"], "Events", "type"), path)
+    return C.read_marks(spark, path).select("key", "count", *[F.round(c, 1).alias(c) for c in ("x", "width", "height", "y")])
+
+
+@query("""WITH s AS (SELECT min(value) AS lo, max(value) AS hi FROM events),
+c AS (SELECT CAST(least(floor(10 * (value - lo) / (hi - lo)), 9) AS BIGINT) AS bin, count(*) AS count FROM events, s GROUP BY 1)
+SELECT CAST(i AS VARCHAR) AS key, CAST(coalesce(count, 0) AS DOUBLE) AS count, CAST(60 + i * 82 AS DOUBLE) AS x FROM range(10) r(i) LEFT JOIN c ON bin = i""")
+def chart_histogram(spark: SparkSession, d: str) -> DataFrame:
+    path = new_path(spark, "histogram")
+    C.write_chart(C.histogram_chart(_t(spark, d, "events"), "value", "Values"), path)
+    return C.read_marks(spark, path, "bin").select("key", "count", "x")
+
+
+@query("""WITH p AS (SELECT c_custkey, CAST(c_nationkey AS DOUBLE) AS x, CAST(c_acctbal AS DOUBLE) AS y FROM customer)
+SELECT round(x, 4) AS x, round(y, 4) AS y, count(*) AS n FROM p GROUP BY ALL""")
+def chart_regression(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair is a dot of the chart; the chart is left out where a line, or one edge of its band, is not there."""
+    path = new_path(spark, "regression")
+    C.write_chart(C.regression_chart(_t(spark, d, "customer"), "c_nationkey", "c_acctbal", F.col("c_custkey"), "Balance", points=20, resamples=40), path)
+    lines = spark.read.text(path)
+    curves = lines.where("value RLIKE 'class=.(fit|low|high).* d=.M([0-9.]+,[0-9.]+ L){19}[0-9.]+,[0-9.]+.'").agg(F.count("*").alias("curves"))
+    dots = lines.where(F.col("value").contains('class="dot"')).select(F.regexp_extract("value", 'data-x="([^"]*)"', 1).cast("double").alias("x"), F.regexp_extract("value", 'data-y="([^"]*)"', 1).cast("double").alias("y"))
+    both = dots.crossJoin(F.broadcast(curves)).where("curves = 3")  # one row
+    return both.groupBy(F.round("x", 4).alias("x"), F.round("y", 4).alias("y")).agg(F.count("*").alias("n"))
+
+
 # writers: round trips through files
 _CASES = _case_sql(_TURNS, "conv_id")
 
