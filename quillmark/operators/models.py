@@ -67,6 +67,18 @@ class EchoEngine:
         return [json.dumps({"segments": [{"id": 1, "text": p.rpartition(" ")[2][:80] or "."}]}) for p in prompts]
 
 
+class MarkedTurns:
+    """A stand-in for a tokenizer with a chat template: every turn between marks, the model's turn opened."""
+
+    chat_template = "<|{role}|>\n{content}<|end|>\n"
+
+    def __init__(self, config: ModelConfig) -> None:
+        self.opened = "<|assistant|>\n"
+
+    def apply_chat_template(self, turns: list[dict[str, str]], tokenize: bool = False, add_generation_prompt: bool = True) -> str:
+        return "".join(self.chat_template.format(**t) for t in turns) + (self.opened if add_generation_prompt else "")
+
+
 _ENGINES: dict[tuple[str, str, str, str], Engine] = {}  # of this worker
 
 

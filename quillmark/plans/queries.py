@@ -27,6 +27,8 @@ from quillmark.sources import charts as C
 from quillmark.sources import jsonlines as J_
 from quillmark.sources import readers as R
 from quillmark.sources import writers as K
+from quillmark.streaming import cases as Y
+from quillmark.streaming import evaluate as V
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -370,6 +372,27 @@ def case_scores(spark: SparkSession, d: str) -> DataFrame:
     return out.select("conv_id", "num_steps", F.round("total_score", 6).alias("total_score"), F.round("score", 6).alias("score"))
 
 
+@query(f"SELECT conv_id AS id, num_steps, true AS complete, round(total, 6) AS total_score, round(total * exp((difficulty - 5) / 10), 6) AS score FROM ({_case_sql(_TURNS, 'conv_id')})")
+def case_scores_streamed(spark: SparkSession, d: str) -> DataFrame:
+    """The steps of all cases in four files without order, a third of them with a wrong score that a later file corrects, replayed as a stream."""
+    turns = _t(spark, d, "conversations").select("conv_id", "turn", "text")
+    steps = W.score_steps(turns, "conv_id", "turn", "text")
+    sizes = _cases(turns, "conv_id")
+    whole = sizes.join(steps.drop("num_steps"), "conv_id", "left")  # cases of one step have none that is scored
+    mixed = F.pmod(F.hash("conv_id", "index"), F.lit(3))
+    right = whole.select(F.col("conv_id").alias("id"), F.col("index").cast("int").alias("index"), F.col("num_steps").cast("int").alias("num_steps"), "difficulty", "step_score", F.lit(1).cast("long").alias("version"), (mixed + 1).cast("int").alias("file"))
+    wrong = right.where("file = 3").withColumns({"step_score": F.col("step_score") + 0.5, "version": F.lit(0).cast("long"), "file": F.lit(0)})
+    rows = materialize(right.unionByName(wrong), "steps")
+    feed, out = new_path(spark, "feed"), new_path(spark, "revisions")
+    for n in range(4):
+        rows.where(F.col("file") == n).drop("file").orderBy(F.hash("id", "index")).coalesce(1).write.mode("append").json(feed)
+    stream = V.stream_jsonl(spark, feed, Y.STEP, files_per_batch=1)
+    with V.rocks(spark):
+        V.run_batches(Y.revisions(stream), lambda b: b, out, new_path(spark, "offsets")).awaitTermination()
+    given = spark.read.schema("id bigint, revision bigint, complete boolean, num_steps bigint, difficulty double, total_score double, score double").json(out)  # with its batch
+    return Y.latest(given).select("id", "num_steps", "complete", F.round("total_score", 6).alias("total_score"), F.round("score", 6).alias("score"))
+
+
 # a larger table of steps: order lines, their discount as score
 _LINES = "(SELECT l_orderkey, row_number() OVER w AS i, count(*) OVER (PARTITION BY l_orderkey) AS n, l_discount * 10 AS v FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice))"
 _ORDERS = _case_sql(_LINES, "l_orderkey")
@@ -696,15 +719,43 @@ def _judge_length() -> str:
     return f"length({prompt})"
 
 
-@query(f"SELECT conv_id, turn, ({_judge_length()} % 101) / 100.0 AS score, CAST(0.25 AS DOUBLE) AS forward, CAST(0.75 AS DOUBLE) AS backward, regexp_extract('user: ' || text, '[^ ]*$')[1:80] AS claim, 'user: x' AS chat FROM conversations")
+@query(f"SELECT conv_id, turn, ({_judge_length()} % 101) / 100.0 AS score, CAST(0.25 AS DOUBLE) AS forward, CAST(0.75 AS DOUBLE) AS backward, regexp_extract('user: ' || text, '[^ ]*$')[1:80] AS claim, 'system: ' || role || chr(10) || 'user: ' || text AS chat FROM conversations")
 def guided_answers(spark: SparkSession, d: str) -> DataFrame:
     """Judge, pair and claims models with their schemas, and a chat template, through an engine in each worker."""
     ship(spark)
     call = M.generator(M.EchoEngine)
-    rows = _t(spark, d, "conversations").select("conv_id", "turn", M.model_scorer(call)(F.col("text"), F.col("role")).alias("score"), M.model_pair(call)(F.col("text"), F.col("role")).alias("p"), M.model_claims(call)(F.col("text")).alias("c"), M.templated_prompt(_no_template)(F.lit(""), F.lit("x")).alias("chat"))
+    rows = _t(spark, d, "conversations").select("conv_id", "turn", M.model_scorer(call)(F.col("text"), F.col("role")).alias("score"), M.model_pair(call)(F.col("text"), F.col("role")).alias("p"), M.model_claims(call)(F.col("text")).alias("c"), M.templated_prompt(_no_template)(F.col("role"), F.col("text")).alias("chat"))
     return rows.select("conv_id", "turn", "score", "p.forward", "p.backward", F.coalesce(F.col("c")[0], F.lit("")).alias("claim"), "chat")
 
 
+@query("SELECT conv_id, turn, '<|system|>' || chr(10) || role || '<|end|>' || chr(10) || '<|user|>' || chr(10) || text || '<|end|>' || chr(10) || '<|assistant|>' || chr(10) AS chat, '<|user|>' || chr(10) || text || '<|end|>' || chr(10) || '<|assistant|>' || chr(10) AS bare FROM conversations")
+def templated_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Every turn through a tokenizer that has a template, with a system part and without."""
+    ship(spark)
+    prompt = M.templated_prompt(M.MarkedTurns)
+    rows = _t(spark, d, "conversations")
+    return rows.select("conv_id", "turn", prompt(F.col("role"), F.col("text")).alias("chat"), prompt(F.lit(""), F.col("text")).alias("bare"))
+
+
+class Measure:
+    """An engine that tells how long a prompt is and how its second line begins; asked for its style, it names one."""
+
+    def __init__(self, config) -> None:
+        self.stop = config.stop
+
+    def generate(self, prompts: list[str], schema: dict | None = None) -> list[str]:
+        return [" terse; dry " if p.endswith("Your style, please.") else f"{len(p)} {p.splitlines()[1][:9]} {self.stop} more" for p in prompts]
+
+
+@query(f"SELECT conv_id, turn, length({_quoted('system: ' + _REWRITE + chr(10) + 'terse; dry' + chr(10) + 'user: ')}) + length(text) || ' terse; dr' AS rewritten FROM conversations")
+def styled(spark: SparkSession, d: str) -> DataFrame:
+    """The style is asked for once, and every text rewritten in it."""
+    ship(spark)
+    call = M.generator(Measure)
+    write = M.rewriter(call, M.probe_style(spark, call))
+    return _t(spark, d, "conversations").select("conv_id", "turn", write(F.col("text")).alias("rewritten"))
+
+
 def _problems(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as segmented problems: each turn is a segment, its line ends as blanks."""
     segment = F.struct(F.col("turn").cast("int").alias("id"), F.lit("text").alias("type"), F.translate("text", "\n", " ").alias("content"), F.lit(0).alias("paragraph_index"))
@@ -830,23 +881,38 @@ def sink_pretty_json(spark: SparkSession, d: str) -> DataFrame:
     return _round(K.read_pretty_json(spark, path, CASE))
 
 
-@query(f"SELECT 'cases' AS output, count(*) AS n, round(sum(s), 4) AS total FROM (SELECT round(total * exp((difficulty - 5) / 10), 6) AS s FROM ({_case_sql(_ECHO_STEPS, 'conv_id')})) UNION ALL SELECT 'pretty', count(*), NULL FROM (SELECT DISTINCT conv_id FROM conversations) UNION ALL SELECT 'generations', count(DISTINCT conv_id), NULL FROM conversations UNION ALL SELECT 'log', count(DISTINCT conv_id), NULL FROM conversations UNION ALL SELECT 'summary', count(*), round(sum(s) * 10 / count(*), 4) FROM (SELECT total * exp((difficulty - 5) / 10) AS s FROM ({_case_sql(_ECHO_STEPS, 'conv_id')}))")
+_RUN_SQL = f"""WITH s AS (SELECT conv_id, i, n, v FROM {_ECHO_STEPS}),
+c AS (SELECT conv_id, num_steps, difficulty, total * exp((difficulty - 5) / 10) AS score FROM ({_case_sql('s', 'conv_id')})),
+t AS (SELECT conv_id, string_agg(i || ':' || printf('%.6f', v) || ':' || CAST(v < 0.6 AS INTEGER), ';' ORDER BY i) FILTER (i < n) AS steps,
+  string_agg('  - Step ' || i || printf(': score=%.4f, weighted=%.4f, hallucination=%d', v, v, CAST(v < 0.6 AS INTEGER)), chr(10) ORDER BY i) FILTER (i < n) AS logged FROM s GROUP BY conv_id),
+g AS (SELECT conv_id, string_agg(trim(text), '{BAR}' ORDER BY turn) AS texts, string_agg('  [' || (turn + 1) || '] ' || trim(text), chr(10) ORDER BY turn) AS shown FROM {_LINES_} GROUP BY conv_id),
+r AS (SELECT conv_id, difficulty, printf('%.6f', score) AS score6, printf('%.4f', score) AS score4, score, num_steps, coalesce(steps, '') AS steps, coalesce(logged, '  <no step scores>') AS logged, texts, shown FROM c JOIN t USING (conv_id) JOIN g USING (conv_id)),
+k AS (SELECT conv_id AS id, 'p' || conv_id || ' a' || conv_id || ' ' || difficulty || ' ' || num_steps || ' ' || score6 || ' ' || steps AS record FROM r)
+SELECT 'cases' AS output, id, record FROM k UNION ALL SELECT 'pretty', id, record FROM k
+UNION ALL SELECT 'generations', conv_id, difficulty || ' ' || score6 || ' ' || steps || ' ' || texts FROM r
+UNION ALL SELECT 'log', conv_id, array_to_string(['Case #' || conv_id, 'Difficulty: ' || difficulty, 'Weighted Score: ' || score4, 'Total Steps: ' || num_steps, 'Problem:', 'p' || conv_id, 'Answer:', 'a' || conv_id, 'Step Scores:', logged, 'Generated Outputs:', shown], chr(10)) FROM r
+UNION ALL SELECT 'summary', count(*), printf('%.6f', sum(score) * 10 / count(*)) FROM r"""
+
+
+@query(_RUN_SQL)
 def sink_run(spark: SparkSession, d: str) -> DataFrame:
-    """The five outputs of a run, written and read back."""
+    """The five outputs of a run, written and read back, every record whole."""
     e = _evaluated(spark, d)
     base = K.run_path(new_path(spark, "runs"), "a/model", "judge", 7)
     log = K.case_log(F.col("id"), F.col("difficulty"), F.col("score"), F.col("num_steps"), F.col("problem"), F.col("answer"), F.col("steps"), F.col("gen_output"))
     K.write_run(base, e.cases, e.generations, e.summary, log)
-    cases = R.read_jsonl_strict(spark, f"{base}/case_results.jsonl", CASE)
-    pretty = K.read_pretty_json(spark, f"{base}/case_results_pretty.json", CASE)
-    logs = spark.read.text(f"{base}/case.log").where(F.col("value") == K.RULE)
-    none = F.lit(None).cast("double")
+    steps = F.array_join(F.transform("steps", lambda s: F.concat_ws(":", s["index"], K.fixed(s["score"], 6), s["hallucination"])), ";")
+    record = F.concat_ws(" ", "problem", "answer", "difficulty", "num_steps", K.fixed(F.col("score"), 6), steps)
+    cases, pretty = R.read_jsonl_strict(spark, f"{base}/case_results.jsonl", CASE), K.read_pretty_json(spark, f"{base}/case_results_pretty.json", CASE)
+    made = R.read_jsonl_strict(spark, f"{base}/gen_and_scores.jsonl", GENERATION_LOG)
+    logs = spark.read.option("lineSep", f"\n{K.RULE}\n").text(f"{base}/case.log")
+    total = R.read_jsonl_strict(spark, f"{base}/summary.json", SUMMARY)
     parts = [
-        cases.agg(F.lit("cases").alias("output"), F.count("*").alias("n"), F.round(F.sum(F.round("score", 6)), 4).alias("total")),
-        pretty.agg(F.lit("pretty").alias("output"), F.count("*").alias("n"), none.alias("total")),
-        R.read_jsonl_strict(spark, f"{base}/gen_and_scores.jsonl", GENERATION_LOG).agg(F.lit("generations").alias("output"), F.count("*").alias("n"), none.alias("total")),
-        logs.agg(F.lit("log").alias("output"), F.count("*").alias("n"), none.alias("total")),
-        R.read_jsonl_strict(spark, f"{base}/summary.json", SUMMARY).select(F.lit("summary").alias("output"), F.col("num").alias("n"), F.round("avg_score", 4).alias("total")),
+        cases.select(F.lit("cases").alias("output"), "id", record.alias("record")),
+        pretty.select(F.lit("pretty").alias("output"), "id", record.alias("record")),
+        made.select(F.lit("generations").alias("output"), "id", F.concat_ws(" ", "difficulty", K.fixed(F.col("final_total_score"), 6), steps, F.array_join("gen_output", BAR)).alias("record")),
+        logs.select(F.lit("log").alias("output"), F.regexp_extract("value", r"^Case #(\d+)", 1).cast("bigint").alias("id"), F.col("value").alias("record")),
+        total.select(F.lit("summary").alias("output"), F.col("num").alias("id"), K.fixed(F.col("avg_score"), 6).alias("record")),
     ]
     return reduce(DataFrame.unionByName, parts)
 

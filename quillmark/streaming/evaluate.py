@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -21,6 +22,18 @@ def segment_stream(rows: DataFrame, c: SegmentConfig = SegmentConfig()) -> DataF
     return process_solutions(rows, c)
 
 
+@contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """Operators with state of their own need the store that keeps it on disk; the session's setting comes back afterwards."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
 def run_batches(rows: DataFrame, evaluate: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Each micro-batch through ``evaluate`` into a folder of its own, so a repeated batch overwrites itself."""
 

@@ -278,3 +278,76 @@ def test_totals_of_weights_once_a_case(spark, alpha):
 @pytest.mark.parametrize(("text", "role"), [("It is different because of that.", None), ("If so, done", "CaseSplit"), ("A lower bound, if any", "LowerBound"), ("so \\boxed{4}", "Conclusion/Answer"), ("must be ≥ 3", "LowerBound"), ("Lemma1 is no word", None), ("the lemma.", "Claim"), (None, None), ("", None), ("éif", None)])
 def test_roles_take_whole_words(spark, one, text, role):
     assert one(P.tag_role, text) == role
+
+
+def _replay(spark, tmp_path, files, **options):
+    import json
+
+    from quillmark.streaming import cases as Y
+
+    names = ("id", "index", "num_steps", "difficulty", "step_score", "version")
+    (tmp_path / "in").mkdir()
+    for n, rows in enumerate(files):
+        path = tmp_path / f"in/{n}.json"
+        path.write_text("".join(json.dumps(dict(zip(names, r, strict=True))) + "\n" for r in rows))
+        import os
+
+        os.utime(path, (1_000_000 + n, 1_000_000 + n))  # files are taken in the order of their times
+    with E.rocks(spark):
+        stream = E.stream_jsonl(spark, f"{tmp_path}/in", Y.STEP, files_per_batch=1)
+        E.run_batches(Y.revisions(stream, **options), lambda b: b, f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination()
+    return spark.read.schema("id long, revision long, complete boolean, num_steps int, difficulty double, total_score double, score double").json(f"{tmp_path}/out")
+
+
+def test_cases_come_out_when_whole_and_are_corrected(spark, tmp_path):
+    from quillmark.streaming import cases as Y
+
+    files = [
+        [(1, 3, 4, 8.0, 0.5, 1), (1, 1, 4, 8.0, 1.0, 1), (2, None, 1, 5.0, None, 0), (None, 1, 2, 5.0, 1.0, 1)],
+        [(1, 2, 4, 8.0, 0.0, 1), (3, 1, 3, None, 1.0, 1)],  # case 1 is whole
+        [(1, 2, 4, 8.0, 0.0, 1), (1, 1, 4, 8.0, 1.0, 1)],  # nothing new
+        [(1, 3, 4, 8.0, 0.0, 0), (1, 4, 4, 8.0, 9.0, 1)],  # an older version, and the last step
+        [(1, 3, 4, 8.0, 1.0, 2), (3, 2, 3, None, 1.0, 1)],
+    ]
+    given = _replay(spark, tmp_path, files)
+    got = sorted((r.id, r.revision, r.complete, round(r.total_score, 9)) for r in given.collect())
+    assert got == [(1, 1, True, 0.5), (1, 2, True, 0.6), (2, 1, True, 0.0), (3, 1, True, round(5 / 6, 9))]
+    last = {r.id: r for r in Y.latest(given).collect()}
+    assert last[1].score == pytest.approx(0.6 * 2.718281828459045**0.3) and last[3].score is None
+
+
+def test_cases_that_wait_too_long(spark, tmp_path):
+    import json
+    import time
+
+    from quillmark.streaming import cases as Y
+
+    names = ("id", "index", "num_steps", "difficulty", "step_score", "version")
+    (tmp_path / "in").mkdir()
+
+    def feed(n, *rows):
+        (tmp_path / f"in/{n}.json").write_text("".join(json.dumps(dict(zip(names, r, strict=True))) + "\n" for r in rows))
+
+    def given():
+        lines = [json.loads(x) for p in sorted((tmp_path / "out").glob("batch=*/part-*.json")) for x in p.read_text().splitlines()] if (tmp_path / "out").exists() else []
+        return sorted((x["id"], x["complete"], round(x["total_score"], 9)) for x in lines)
+
+    def wait(want):
+        end = time.time() + 90
+        while time.time() < end and given() != want:
+            assert q.exception() is None
+            time.sleep(0.5)
+        assert given() == want
+
+    feed(0, (1, 1, 3, 5.0, 1.0, 1), (2, 1, 2, 5.0, 1.0, 1))
+    whole = (2, True, round(2 / 3, 9))
+    with E.rocks(spark):
+        stream = E.stream_jsonl(spark, f"{tmp_path}/in", Y.STEP, files_per_batch=1)
+        q = E.run_batches(Y.revisions(stream, patience_ms=1000), lambda b: b, f"{tmp_path}/out", f"{tmp_path}/c", once=False)
+        try:
+            wait([(1, False, 0.5), whole])
+            feed(1, (1, 2, 3, 5.0, 1.0, 1), (1, 1, 3, 5.0, 1.0, 1))
+            wait([(1, False, 0.5), (1, True, round(5 / 6, 9)), whole])
+        finally:
+            q.stop()
+    assert Y.latest(spark.read.schema("id long, revision long, complete boolean").json(f"{tmp_path}/out")).where("id = 1").first().complete
