@@ -20,6 +20,13 @@
     share one among the first few of each, at places that leave room for
     enough others.  What pages have in common comes last in that order, so
     such pairs never meet, and the cost follows the number of shingles.
+7.  Where no shingle is rare, as with pages composed of a few shared
+    paragraphs, that lookup would pair nearly all classes.  How many pairs it
+    would make is counted first; areas with more than ``PAIRS`` a class compare
+    their blocks instead, strip against strip: signatures by bit counts, and
+    sets only of pairs above the floor, many at a time by one product of
+    matrices of their common shingles.  No pair leaves a task but a confirmed
+    link between texts that the task has not connected yet.
 
 With 32 bands of 5 a pair at similarity 0.85 lacks a common band with
 probability 7e-9, at 0.8 with 3e-6.
@@ -116,9 +123,33 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 Block = tuple[np.ndarray, list[np.ndarray], np.ndarray]  # ids, sets, signatures
 
 
-def links_between(hasher: MinHash, left: Block, right: Block, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the confirmed links between two blocks (or inside one)."""
-    forest, out = Forest(), []
+#: From so many pairs of two blocks on, their common shingles are counted by matrices, so many columns at a time.
+DENSE, COLUMNS = 256, 4096
+
+
+def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """float32, left x right: how many values two sorted sets have in common, exactly."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    flat = [np.concatenate(part) for part in (left, right)]
+    rows = [np.repeat(np.arange(len(part)), [len(x) for x in part]) for part in (left, right)]
+    common = np.intersect1d(*flat)
+    at = [K.lookup(common, f) for f in flat]
+    held = [(r[a >= 0], a[a >= 0]) for r, a in zip(rows, at, strict=True)]
+    for lo in range(0, len(common), COLUMNS):
+        wide = min(COLUMNS, len(common) - lo)
+        one = []
+        for (r, a), part in zip(held, (left, right), strict=True):
+            matrix = np.zeros((len(part), wide), np.float32)
+            here = (a >= lo) & (a < lo + wide)
+            matrix[r[here], a[here] - lo] = 1
+            one.append(matrix)
+        out += one[0] @ one[1].T
+    return out
+
+
+def links_between(hasher: MinHash, left: Block, right: Block, percent: int, forest: Forest | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the confirmed links between two blocks (or inside one), without those that ``forest`` connects; it learns them."""
+    forest, out = forest or Forest(), []
     same = left is right
     estimate = hasher.estimate(left[2], right[2])
     n, m = (np.array([len(s) for s in part[1]])[:, None] for part in (left, right))
@@ -126,6 +157,15 @@ def links_between(hasher: MinHash, left: Block, right: Block, percent: int) -> l
     i, j = np.nonzero(near & (estimate >= hasher.floor(percent / 100)))
     keep = i < j if same else left[0][i] != right[0][j]
     i, j = i[keep], j[keep]
+    if len(i) >= DENSE:
+        p, q = np.unique(i), np.unique(j)
+        x, y = np.searchsorted(p, i), np.searchsorted(q, j)
+        both = shared([left[1][k] for k in p], [right[1][k] for k in q])[x, y].astype(np.int64)
+        sure = 100 * both >= percent * (n[i, 0] + m[j, 0] - both)
+        for a, b in zip(left[0][i[sure]].tolist(), right[0][j[sure]].tolist(), strict=True):
+            if forest.link(a, b):
+                out.append((min(a, b), max(a, b)))
+        return out
     order = np.argsort(-estimate[i, j], kind="stable")
     for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
         a, b = int(left[0][x]), int(right[0][y])
@@ -282,6 +322,8 @@ def _pick(part: Block, ids: set[int]) -> Block:
 
 
 HUB, CHUNK, STARS = 32, 64, 8  # classes of a hub; blocks that meet one copy of it; hubs of a shingle
+PAIRS = 64  # most pairs a class that a lookup by shingles may make; beyond, blocks are compared
+STRIPS, STRIP = 8, (4, 32)  # strips that an area is cut into, and the least and most blocks of one
 _PAIR = "a bigint, b bigint"
 _MEMBER = "area bigint, id bigint, n bigint, members binary"
 
@@ -350,12 +392,49 @@ def _between_blocks(big: DataFrame, links: DataFrame, areas: DataFrame, hasher:
         heads = chosen.groupBy("area").agg(F.collect_list("data").alias("parts")).mapInArrow(K.tidy(join_up), "area bigint, data binary")
         out = out.unionByName(_against_all(heads, big, hasher, percent))
     if not many.isEmpty():
-        out = out.unionByName(_by_shingles(big.join(many, "area", "left_semi"), rest, links.unionByName(out), percent))
+        open_ = big.join(many, "area", "left_semi")
+        crowded, found = _by_shingles(open_, rest, links.unionByName(out), percent)
+        out = out.unionByName(found)
+        if not crowded.isEmpty():
+            out = out.unionByName(_by_strips(open_.join(crowded, "area", "left_semi"), hasher, percent))
     return out
 
 
-def _by_shingles(blocks: DataFrame, rest: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Links between classes of the areas in ``blocks`` that ``links`` do not connect, by rare shingles (step 6)."""
+def _by_strips(blocks: DataFrame, hasher: MinHash, percent: int) -> DataFrame:
+    """Links between all classes of each area, by comparing strips of its blocks (step 7).
+
+    A pair of strips is a job of bounded size; a block goes to as many jobs as
+    its area has strips, which grows only beyond STRIPS of the widest.
+    """
+    sizes = materialize(blocks.groupBy("area").agg((F.max("block") + 1).alias("n")), "areas")
+    wide = F.least(F.greatest(F.ceil(F.col("n") / STRIPS), F.lit(STRIP[0])), F.lit(STRIP[1]))
+    placed = blocks.join(sizes.select("area", wide.alias("wide"), F.ceil(F.col("n") / wide).alias("strips")), "area").withColumn("strip", F.floor(F.col("block") / F.col("wide")))
+    others = F.sequence(F.lit(0).cast("long"), F.col("strips") - 1)
+    sent = placed.select("area", "strip", "block", "data", F.explode(others).alias("other")).select("area", F.least("strip", "other").alias("i"), F.greatest("strip", "other").alias("j"), "strip", "block", "data")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, first, held, forest = None, -1, [], Forest()
+        for batch in batches:
+            for area, i, j, strip, data in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 3, 5)), strict=True):
+                if (area, i, j) != job:
+                    job, first, held, forest = (area, i, j), strip, [], Forest()
+                part = _load(data)
+                # blocks of the first strip are kept, and meet each other in the job of that strip with itself alone
+                others = held if strip != first or i == j else []
+                found = [f for other in others for f in links_between(hasher, other, part, percent, forest)]
+                if i == j:
+                    found += links_between(hasher, part, part, percent, forest)
+                if strip == first:
+                    held.append(part)
+                if found:
+                    yield _links_batch(found)
+
+    jobs = sent.repartition("area", "i", "j").sortWithinPartitions("area", "i", "j", "strip", "block")
+    return materialize(jobs.select("area", "i", "j", "strip", "block", "data").mapInArrow(K.tidy(meet), _PAIR), "strips")
+
+
+def _by_shingles(blocks: DataFrame, rest: DataFrame, links: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Areas in ``blocks`` where this would make too many pairs; and of the others links between classes that ``links`` do not connect, by rare shingles (step 6)."""
     p = percent
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,6 +466,10 @@ def _by_shingles(blocks: DataFrame, rest: DataFrame, links: DataFrame, percent:
     cap = F.expr(f"((n - i + 1) * {100 + p}) div {p} - n")
     first = placed.where((F.col("i") <= probe) & F.col("df").isNotNull()).select("area", "g", "id", "n", cap.alias("cap"), (F.col("i") <= index).alias("idx")).where(100 * F.col("cap") >= p * F.col("n"))
     first = materialize(first, "first")
+    pairs_of = first.groupBy("area", "g").agg(F.count("*").alias("n"), F.sum(F.col("idx").cast("long")).alias("m")).groupBy("area").agg(F.sum(F.col("n") * F.col("m")).alias("pairs"))
+    crowded = materialize(sets.groupBy("area").agg(F.count("*").alias("size")).join(pairs_of, "area").where(F.col("pairs") > PAIRS * F.col("size")).select("area"), "crowded")
+    if not crowded.isEmpty():
+        first = materialize(first.join(crowded, "area", "left_anti"), "first")
     found = None
     for stars in (True, False):  # first each class against a few of those that hold its shingle, then all that are still apart
         known = components(links if found is None else links.unionByName(found)).select(F.col("node").alias("id"), F.col("component").alias("c"))
@@ -406,4 +489,4 @@ def _by_shingles(blocks: DataFrame, rest: DataFrame, links: DataFrame, percent:
         both = materialize(pairs, "candidates").join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
         new = materialize(both.select("a", "b", "x", "y").mapInArrow(K.tidy(confirm), _PAIR), "confirmed")
         found = new if found is None else found.unionByName(new)
-    return links.limit(0) if found is None else found
+    return crowded, links.limit(0) if found is None else found

@@ -471,6 +471,7 @@ def pages(seed: int, share: tuple[int, ...]) -> list[tuple[int, str]]:
 
 @pytest.mark.parametrize("share", [(14,), (2, 4, 6, 8), (1, 5, 10, 20, 40)])
 def test_neardup_of_templated_pages(spark, monkeypatch, share):
+    monkeypatch.setattr(neardup, "PAIRS", 10**9)
     ran = []
     plain = neardup._by_shingles
     monkeypatch.setattr(neardup, "_by_shingles", lambda *a: ran.append(1) or plain(*a))
@@ -482,6 +483,31 @@ def test_neardup_of_templated_pages(spark, monkeypatch, share):
     assert 1 < len(set(want.values())) < len(want)
 
 
+@pytest.mark.parametrize(("paragraphs", "dense", "pairs"), [(33, 256, 64), (33, 10**9, 0), (36, 1, 0)])
+def test_neardup_of_pages_made_of_shared_paragraphs(spark, monkeypatch, paragraphs, dense, pairs):
+    """No shingle is rare: the blocks of the area meet in strips, sets compared one by one or by matrices, in several columns."""
+    ran = []
+    plain = neardup._by_strips
+    monkeypatch.setattr(neardup, "_by_strips", lambda *a: ran.append(1) or plain(*a))
+    for name, value in (("HUB", 3), ("DENSE", dense), ("PAIRS", pairs), ("COLUMNS", 50), ("STRIP", (2, 3))):
+        monkeypatch.setattr(neardup, name, value)
+    rng = random.Random(paragraphs)
+    pool = [" ".join(f"p{i}w{j}" for j in range(7)) for i in range(40)]
+    docs = [(i, " ".join(pool[j] for j in sorted(rng.sample(range(40), paragraphs)))) for i in range(260)]
+    want = plain_groups(docs, 3, 85)
+    got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id"), F.col("text"), 3, 85, block=16).collect()
+    assert {r.doc_id: r.component_id for r in got} == want and ran
+    assert 1 < len(set(want.values())) < len(want)
+
+
+def test_shared_values_by_matrices(monkeypatch):
+    monkeypatch.setattr(neardup, "COLUMNS", 7)
+    rng = np.random.default_rng(4)
+    left, right = ([np.unique(rng.integers(0, 60, rng.integers(1, 40), dtype=np.uint64)) for _ in range(n)] for n in (9, 5))
+    assert neardup.shared(left, right).tolist() == [[len(np.intersect1d(a, b)) for b in right] for a in left]
+    assert neardup.shared(left, [np.array([99], np.uint64)]).tolist() == [[0]] * 9
+
+
 def test_neardup_odd_rows(spark):
     got = neardup.near_duplicates(odd(spark), F.col("doc_id"), F.col("text")).collect()
     assert len(got) == len(ODD)
