@@ -815,15 +815,16 @@ def placed_answers(spark: SparkSession, d: str) -> DataFrame:
 # charts: drawn, written, and read back
 @query("""WITH c AS (SELECT event_type || CASE WHEN event_id % 2 = 0 THEN ' <&">' ELSE '' END AS key, count(*) AS count FROM events GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (ORDER BY count DESC, key) AS rank, count(*) OVER () AS n, max(count) OVER () AS most FROM c),
-s AS (SELECT *, least(6 + greatest(n - 10, 0) * 0.25, 20) * 100 - 80 AS w, (CASE WHEN n <= 15 THEN 4.5 ELSE 5.5 END) * 100 - 100 AS h FROM r)
-SELECT key, CAST(count AS DOUBLE) AS count, round(60 + w / n * (rank - 1 + 0.1), 1) AS x, round(w / n * 0.8, 1) AS width, round(h * 0.95 * count / most, 1) AS height, round(h + 40 - h * 0.95 * count / most, 1) AS y FROM s""")
+s AS (SELECT *, least(6.0 + greatest(n - 10, 0) * 0.25, 20.0)::DOUBLE * 100 - 60 - 20 AS w, (CASE WHEN n <= 15 THEN 4.5 ELSE 5.5 END)::DOUBLE * 100 AS h FROM r),
+t AS (SELECT *, w / n AS step, CAST(count AS DOUBLE) / most * (h - 40 - 60) * 0.95::DOUBLE AS tall FROM s)
+SELECT key, CAST(count AS DOUBLE) AS count, CAST(printf('%.2f', 60 + step * (rank - 1) + step * 0.1::DOUBLE) AS DOUBLE) AS x, CAST(printf('%.2f', step * 0.8::DOUBLE) AS DOUBLE) AS width, CAST(printf('%.2f', tall) AS DOUBLE) AS height, CAST(printf('%.2f', h - 60 - tall) AS DOUBLE) AS y FROM t""")
 def chart_bars(spark: SparkSession, d: str) -> DataFrame:
     """Bars of a distribution by count, with names that need escapes."""
     name = F.concat("event_type", F.when(F.col("event_id") % 2 == 0, ' <&">').otherwise(""))
     counts = D.distribution(_t(spark, d, "events").select(name.alias("k")), "k").withColumn("down", -F.col("count"))
     path = new_path(spark, "bars")
     C.write_chart(C.bar_chart(counts, ["down", "key"], "Events", "type"), path)
-    return C.read_marks(spark, path).select("key", "count", *[F.round(c, 1).alias(c) for c in ("x", "width", "height", "y")])
+    return C.read_marks(spark, path).select("key", "count", "x", "width", "height", "y")
 
 
 @query("""WITH s AS (SELECT min(value) AS lo, max(value) AS hi FROM events),
