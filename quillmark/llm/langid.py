@@ -9,7 +9,9 @@ text is compared with every language by cosine.
 Letter vectors are a pure function of seed and letter, so workers make those
 they meet, and nothing but the language vectors (languages x dimensions
 numbers) is broadcast.  Training adds vectors up inside each task first and
-sums them with one aggregation on (language, component).
+sums them with one aggregation on (language, component), then puts each
+language's sums into one row.  Up to MOST_LANGUAGES languages are compared at
+once; more stay a table, of which one block after the other is broadcast.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm import kernels as K
-from quillmark.llm.store import apart, bound_batches
+from quillmark.llm.store import apart, bound_batches, materialize
+from quillmark.sources.readers import numbered
 
 UNDETERMINED = "und"
-MOST_LANGUAGES = 2_000  # prototypes that may be collected and broadcast
+MOST_LANGUAGES = 2_000  # prototypes that are collected and broadcast at a time
 _TABLE = 0x3000
 _BITS = 21  # of a code point in a trigram's code
 _PIECE = 2048  # trigrams bound at once
@@ -116,12 +119,12 @@ def _groups(texts: list[str | None], most: int = 96, chars: int = 1_000_000) ->
         i = j
 
 
-def fit(docs: DataFrame, text: Column, lang: Column, dims: int = 1024, seed: int = 7) -> dict[str, np.ndarray]:
+def fit(docs: DataFrame, text: Column, lang: Column, dims: int = 1024, seed: int = 7) -> dict[str, np.ndarray] | DataFrame:
     """Language vectors from all rows with a text and a language; unit length.
 
     Each text counts with its own length, so long and short ones weigh by their
     letters; repeated rows count each.  Without rows there is no language.
-    More than MOST_LANGUAGES names raise an error, as prototypes are collected.
+    More than MOST_LANGUAGES languages are given as a table (lang, vector).
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,29 +149,57 @@ def fit(docs: DataFrame, text: Column, lang: Column, dims: int = 1024, seed: int
     bound_batches(docs.sparkSession)
     rows = docs.select(text.alias("text"), lang.alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sums = rows.mapInArrow(partial, "lang string, dim int, value bigint").groupBy("lang", "dim").agg(F.sum("value").alias("value"))
-    got = sums.limit(MOST_LANGUAGES * dims + 1).collect()
-    if len(got) > MOST_LANGUAGES * dims:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    out: dict[str, np.ndarray] = {}
-    for r in got:
-        out.setdefault(r.lang, np.zeros(dims))[r.dim] = r.value
-    return {k: v / np.linalg.norm(v) for k, v in sorted(out.items()) if np.linalg.norm(v)}
+    # a row for each language: as many numbers as a vector has components
+    rows = sums.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "value"))), lambda x: x["value"].cast("double")).alias("vector"))
+    square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
+    vectors = materialize(rows.where(square > 0), "profiles")
+    return vectors if vectors.count() > MOST_LANGUAGES else _collected(vectors)
 
 
-def identify(docs: DataFrame, text: Column, profiles: dict[str, np.ndarray], keep: list[str], dims: int = 1024, seed: int = 7) -> DataFrame:
+def _collected(vectors: DataFrame) -> dict[str, np.ndarray]:
+    """Unit vectors of MOST_LANGUAGES languages at most, in order of their names."""
+    rows = sorted(vectors.select("lang", "vector").collect(), key=lambda r: r.lang)
+    whole = ((r.lang, np.array(r.vector)) for r in rows)
+    return {name: v / np.linalg.norm(v) for name, v in whole}
+
+
+def identify(docs: DataFrame, text: Column, profiles: dict[str, np.ndarray] | DataFrame, keep: list[str], dims: int = 1024, seed: int = 7) -> DataFrame:
     """Columns ``keep`` with ``lang_pred`` and ``score`` (the cosine, not below 0).
 
     Null texts, texts without any letter and, if no language was learned, all
     texts get ``und`` and 0.  Ties go to the language that sorts first.
     Rows are only mapped: no shuffle.  A kept column with the name of an output
-    gives way to it.
+    gives way to it.  Of a table of languages one block after the other is
+    compared, and the best so far kept beside the text, which is stored each time.
     """
     keep = apart(keep, ["lang_pred", "score"])
     bound_batches(docs.sparkSession)
+    kept = docs.select(*[F.col(c) for c in keep], text.alias("__text"))
+    if isinstance(profiles, dict):
+        return _compared(kept, profiles, keep, dims, seed).withColumn("score", _share(F.col("score")))
+    placed = materialize(numbered(profiles.select("lang", "vector"), ["lang"], "n"), "blocks")
+    for block in range(-(-placed.count() // MOST_LANGUAGES)):
+        part = _collected(placed.where((F.col("n") > block * MOST_LANGUAGES) & (F.col("n") <= (block + 1) * MOST_LANGUAGES)))
+        now = _compared(kept, part, [*kept.columns], dims, seed).withColumnsRenamed({"lang_pred": "__new", "score": "__cos"})
+        if block == 0:
+            best = now.select(*keep, "__text", F.col("__new").alias("__lang"), F.col("__cos").alias("__best"))
+        else:  # names of later blocks sort later, so a tie stays with the first
+            better = F.col("__cos") > F.col("__best")
+            best = now.select(*keep, "__text", F.when(better, F.col("__new")).otherwise(F.col("__lang")).alias("__lang"), F.greatest("__cos", "__best").alias("__best"))
+        kept = materialize(best, "best")
+    return kept.select(*keep, F.col("__lang").alias("lang_pred"), _share(F.col("__best")).alias("score"))
+
+
+def _share(cosine: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine))
+
+
+def _compared(kept: DataFrame, profiles: dict[str, np.ndarray], keep: list[str], dims: int, seed: int) -> DataFrame:
+    """Columns ``keep`` with the best of these languages and its cosine; the text is the column __text."""
     names = list(profiles)
     matrix = np.array([profiles[n] for n in names]).T.reshape(dims, len(names))
-    bound = docs.sparkSession.sparkContext.broadcast((names, matrix))
-    kept = docs.select(*[F.col(c) for c in keep], text.alias("__text"))
+    bound = kept.sparkSession.sparkContext.broadcast((names, matrix))
+    kept = kept.select(*keep, F.col("__text").alias("__read"))
     schema = ", ".join([*(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string", "score double"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,6 +218,6 @@ def identify(docs: DataFrame, text: Column, profiles: dict[str, np.ndarray], kee
                 best[i:j] = np.where(some, c.argmax(axis=1), -1)
                 cos[i:j] = np.where(some, c.max(axis=1), 0)
             pred = pa.array([names[b] if b >= 0 else UNDETERMINED for b in best], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pred, pa.array(np.clip(cos, 0.0, 1.0))], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pred, pa.array(cos)], [*keep, "lang_pred", "score"])
 
     return kept.mapInArrow(score, schema)

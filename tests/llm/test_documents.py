@@ -148,10 +148,20 @@ def test_langid_is_the_plain_one(spark):
     assert {r.lang_pred for r in langid.identify(frame.where("lang IN ('el', 'zh')"), F.col("text"), profiles, ["doc_id"], dims=256).collect()} == {"el", "zh"}
 
 
-def test_langid_refuses_very_many_languages(spark, monkeypatch):
-    monkeypatch.setattr(langid, "MOST_LANGUAGES", 3)
-    with pytest.raises(ValueError, match="languages"):
-        langid.fit(spark.createDataFrame([("abc", f"l{i}") for i in range(4)], "t string, l string"), F.col("t"), F.col("l"))
+def test_langid_with_languages_beyond_the_bound(spark, monkeypatch):
+    """Blocks of three languages, one after the other, are the same as all at once; ties go to the first name."""
+    rng = random.Random(9)
+    kinds = {f"l{i}": "".join(rng.sample("abcdefghijklmnopqrstuvwxyzäöü", 9)) for i in range(8)}
+    texts = [(i, " ".join("".join(rng.choice(kinds[f"l{i % 8}"]) for _ in range(rng.randint(2, 7))) for _ in range(12)), f"l{i % 8}") for i in range(80)]
+    texts += [(100 + i, t, n) for i, (_, t, _) in enumerate(texts[:8]) for n in ("l3", "m3")] + [(200, "", None), (201, None, None), (202, "12", None), (203, "жжж ж", None)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    out = []
+    for most in (2_000, 3, 1):
+        monkeypatch.setattr(langid, "MOST_LANGUAGES", most)
+        profiles = langid.fit(frame, F.col("text"), F.col("lang"), dims=256)
+        assert isinstance(profiles, dict) == (most > 9)
+        out.append(sorted((r.doc_id, r.lang, r.lang_pred, round(r.score, 9)) if r.lang else (r.doc_id, "", r.lang_pred, round(r.score, 9)) for r in langid.identify(frame, F.col("text"), profiles, ["doc_id", "lang"], dims=256).collect()))
+    assert out[0] == out[1] == out[2] and {r[2] for r in out[0]} > {"und", "l0", "l7"}
 
 
 def test_langid_odd_rows(spark):
