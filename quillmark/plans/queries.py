@@ -12,9 +12,11 @@ from quillmark.config import SegmentConfig
 from quillmark.functions import jsonrepair as J
 from quillmark.functions import nested as N
 from quillmark.functions import segment as G
+from quillmark.functions import tables as B
 from quillmark.functions import text as T
 from quillmark.operators import align as A
 from quillmark.operators import evaluation as E
+from quillmark.operators import joins as JN
 from quillmark.operators import memo as X
 from quillmark.operators import models as M
 from quillmark.operators import scoring as W
@@ -680,6 +682,39 @@ def normalize_generation(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "conversations").select("conv_id", "turn", *[f.alias(n) for f, n in zip(forms, ("plain", "one", "two"), strict=True)])
 
 
+# joins on order and overlap, and table functions
+_ORDER_US = "1704067200000000 + (o_orderkey * 173 % 2592000) * 1000000"
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, o_custkey, {_ORDER_US} AS us FROM orders),
+e AS (SELECT user_id, epoch_us(ts) AS us, event_id, event_type FROM events),
+m AS (SELECT o_orderkey, e.event_id, event_type FROM o JOIN e ON user_id = o_custkey AND e.us <= o.us QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY e.us DESC, e.event_id DESC) = 1)
+SELECT o_orderkey, event_id, event_type FROM o LEFT JOIN m USING (o_orderkey)""")
+def asof_event(spark: SparkSession, d: str) -> DataFrame:
+    """The last event of a customer before each of the orders, which are moved into the month of the events."""
+    orders = _t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"), F.expr(_ORDER_US).alias("us"))
+    events = _t(spark, d, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", "event_type")
+    return JN.asof_join(orders, events, ["user_id"], "us", "us", ["event_id", "event_type"], ["event_id"]).select("o_orderkey", "event_id", "event_type")
+
+
+@query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS user_id, epoch_us(ts) AS s, epoch_us(ts) + CAST(value * 600000000 AS BIGINT) AS t FROM events)
+SELECT a.event_id AS first, b.event_id AS second FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.s <= b.t AND b.s <= a.t""")
+def interval_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of events against each other, a third of them of one user, whose stretches are split."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    spans = _t(spark, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("user_id")).alias("user_id"), us.alias("s"), (us + F.round(F.col("value") * 600_000_000).cast("bigint")).alias("t"))
+    both = JN.interval_join(spans, spans, ["user_id"], ("s", "t"), ("s", "t"), most=50)
+    return both.where("l.event_id < r.event_id").select(F.col("l.event_id").alias("first"), F.col("r.event_id").alias("second"))
+
+
+@query(f"WITH {_units_sql(200)}, m AS (SELECT doc_id, {Q.merge('u', 60)} AS m FROM u), x AS (SELECT doc_id, unnest(m) AS e, unnest(range(len(m))) AS id FROM m) SELECT doc_id, id, e.t AS type, e.c AS content, e.p AS paragraph_index FROM x")
+def fine_segment_sql(spark: SparkSession, d: str) -> DataFrame:
+    """The units as a table function of SQL."""
+    B.register(spark)
+    _t(spark, d, "documents").select("doc_id", _solution().alias("solution")).createOrReplaceTempView("quillmark_solutions")
+    return spark.sql("SELECT doc_id, CAST(id AS BIGINT) AS id, type, content, CAST(paragraph_index AS BIGINT) AS paragraph_index FROM quillmark_solutions, LATERAL fine_segment(solution, 200, 60)")
+
+
 # prompts, engines, the whole evaluation
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
