@@ -161,7 +161,7 @@ def _take(best: Best, q: int, own: int, scores: np.ndarray, ids: np.ndarray) ->
         best.add(q, s.astype(np.int64), i)
 
 
-def top_k(rows: DataFrame, vec_id: Column, vector: Column, is_query: Column, k: int = 20, scale: int = 64, bucket_rows: int = 4096, query_rows: int = 512, strip: int = 16, most_strips: int = 50_000) -> DataFrame:
+def top_k(rows: DataFrame, vec_id: Column, vector: Column, is_query: Column, k: int = 20, scale: int = 64, bucket_rows: int = 4096, query_rows: int = 512, strip: int = 16, most_strips: int = 50_000, most_tasks: int = 10_000) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best rows but its own.
 
     Vectors that are null or hold null or non-finite components, and rows
@@ -169,7 +169,8 @@ def top_k(rows: DataFrame, vec_id: Column, vector: Column, is_query: Column, k:
     with the query's own id is left out; rows with a repeated id all count, and
     a query row that occurs twice is answered twice.  Ties go to the smaller id.
     Scores must fit 64 bits.  Strips grow so that no more than ``most_strips``
-    of them are known to the driver.
+    of them are known to the driver, and pairs of strips are dealt to no more
+    than ``most_tasks`` tasks, each of which takes one pair after the other.
     """
     spark = rows.sparkSession
     bound_batches(spark, 8)
@@ -261,7 +262,7 @@ def top_k(rows: DataFrame, vec_id: Column, vector: Column, is_query: Column, k:
                         search(best, ids, queries, bucket)
         yield from out()
 
-    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-per // q_strip) * min(64, -(-buckets // c_strip)))
+    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(most_tasks, -(-per // q_strip) * min(64, -(-buckets // c_strip))))
     found = both.repartition(spread, "dim", "q_strip", "c_strip").sortWithinPartitions("dim", "q_strip", "c_strip", "side", "block")
     found = found.mapInArrow(meet, "block bigint, place bigint, query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("block", "place").orderBy(F.desc("score"), "vec_id")

@@ -167,7 +167,7 @@ def test_top_k_is_brute_force(spark, scale, bucket, strip):
         rows.append((i, [float(np.float32(x)) for x in v]))
     rows += [(300, None), (301, [1.0, None] * 4), (302, [float("nan")] * 8), (320, [float("inf")] * 8), (340, [1.0, 2.0]), (341, [2.0, 2.0]), (360, []), (None, [1.0] * 8), (380, [0.0] * 8), (400, [-1.0] * 8)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = topk.top_k(frame, F.col("vec_id"), F.col("embedding"), F.col("vec_id") % 20 == 0, k=5, bucket_rows=bucket, query_rows=7, strip=strip).collect()
+    got = topk.top_k(frame, F.col("vec_id"), F.col("embedding"), F.col("vec_id") % 20 == 0, k=5, bucket_rows=bucket, query_rows=7, strip=strip, most_tasks=strip // 2).collect()
     found = {}
     for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
         found.setdefault(r.query_id, []).append((r.vec_id, r.score))
