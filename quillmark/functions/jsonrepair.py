@@ -30,9 +30,19 @@ def _column(name: str, x: Column) -> Column:
     return reduce(lambda t, rule: F.regexp_replace(t, "(?U)" + rule[0], re.sub(r"\\(\d)", r"$\1", rule[1])), REPAIRS[name], x)
 
 
+_RULES = {name: [(re.compile(find), put) for find, put in rules] for name, rules in REPAIRS.items()}
+#: A repair changes nothing in a text that holds none of these.
+_SIGNS = {"trailing commas": (",",), "single quotes": ("'",), "bare keys": (":",), "literals": ("True", "False", "None")}
+_BRACKETS = {"{": re.compile(r"[{}]"), "[": re.compile(r"[\[\]]")}
+
+
 def mend(name: str, text: str) -> str:
     """A repair of one text."""
-    return reduce(lambda t, rule: re.sub(*rule, t), REPAIRS[name], text)
+    if not any(sign in text for sign in _SIGNS[name]):
+        return text
+    for find, put in _RULES[name]:
+        text = find.sub(put, text)
+    return text
 
 
 def strip_trailing_commas(x: Column) -> Column:
@@ -83,25 +93,26 @@ def first_chunk(s: str | None) -> str | None:
     opened = re.search(r"[{\[]", s or "")
     if not opened:
         return None
-    left = opened.group()
-    right, depth = {"{": "}", "[": "]"}[left], 0
-    for m in re.finditer(re.escape(left) + "|" + re.escape(right), s[opened.start() :]):
+    left, depth = opened.group(), 0
+    for m in _BRACKETS[left].finditer(s, opened.start()):
         depth += 1 if m.group() == left else -1
         if depth == 0:
-            return s[opened.start() : opened.start() + m.end()]
+            return s[opened.start() : m.end()]
     return None
 
 
 def _readings(text: str) -> Iterator[object]:
     """All ways to read a normalised text, the strictest first; each may fail with an error or give None."""
-    chunk = first_chunk(text)
+    tried = {text}
     yield lambda: json.loads(text)
-    if chunk:
-        yield lambda: json.loads(chunk)
-    now = text
-    for name in REPAIRS:  # one upon the other
-        now = mend(name, now)
-        yield lambda t=now: json.loads(first_chunk(t) or t)
+    part, now = first_chunk(text) or text, text
+    for name in (None, *REPAIRS):  # one upon the other
+        mended = now if name is None else mend(name, now)
+        if mended != now:
+            now, part = mended, first_chunk(mended) or mended
+        if part not in tried:  # what has failed fails again
+            tried.add(part)
+            yield lambda t=part: json.loads(t)
     # as a Python value, with keys and quotes as they came
     plain = reduce(lambda t, name: mend(name, t), ("trailing commas", "single quotes", "literals"), text)
     yield lambda: json.loads(json.dumps(ast.literal_eval(first_chunk(plain) or plain)))
