@@ -94,10 +94,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of ten words of a benchmark item.
+    """Documents without any window of ten words of an evaluation item.
 
     Null texts and texts without words stay, repeated rows are judged alike,
-    long texts are read whole; an empty benchmark lets all documents stay.
+    long texts are read whole; an empty table of items lets all documents stay.
     """
     rows, _, text, _ = _aside(docs)
     bench = table(spark, sf_dir, "benchmark")

@@ -1,4 +1,4 @@
-"""Benchmark decontamination by winnowing.
+"""Decontamination from evaluation items by winnowing.
 
 Both sides keep the minimum hash of k consecutive words in every sliding
 window of w = window - k + 1 such hashes.  Two texts that share ``window``
@@ -6,7 +6,7 @@ consecutive words share that minimum, so joining fingerprints finds every such
 span; each hit is then extended to the whole window and checked there.  Items
 shorter than a window are matched as a whole.
 
-The benchmark's fingerprints are broadcast only while their number is within
+The fingerprints of the items are broadcast only while their number is within
 ``broadcast_windows``; then documents are only mapped.  Beyond it the same
 fingerprints are joined by shuffles: a text sends each run of equal minima
 once, about a third as many as it has words, and only the places that hit are
@@ -108,7 +108,7 @@ def scan(docs: DataFrame, text: Column, bench: DataFrame, item_id: Column, item_
     """Columns ``keep`` with n_words, n_hit, n_items and items (sorted item ids found).
 
     A null, empty or wordless text has no words; texts of any length are read
-    whole; an empty table of documents gives an empty one; an empty benchmark
+    whole; an empty table of documents gives an empty one; an empty table of items
     hits nothing; items with null id or text take no part; items with equal
     windows all count.  ``keep`` may hold any columns, also null or repeated
     ones: each row is judged alone, and repeated rows are judged alike.
@@ -154,12 +154,12 @@ def _turns(words: np.ndarray, n: int, window: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _scan_by_join(rows: DataFrame, wins: DataFrame, keep: list[str], kept: str, window: int) -> DataFrame:
-    """The same for a benchmark of any size, by joins of stored tables.
+    """The same for items of any number, by joins of stored tables.
 
     Texts are named by a hash of their words, so equal texts are matched once.
     A text sends (n, fingerprint) pairs without repeats; those that the
-    benchmark has come back as its list of fingerprints that hit.  The windows
-    of the text at these alone join with the benchmark's windows.
+    item side has come back as its list of fingerprints that hit.  The windows
+    of the text at these alone join with the windows of the items.
     """
     short = [r.n for r in wins.where(F.col("n") < window).select("n").distinct().collect()]  # below 10 values
     lengths = sorted({*short, window})
