@@ -634,11 +634,11 @@ _EXTRA = "CASE event_id % 3 WHEN 0 THEN ', \"more\": {\"a\": [' || event_id || '
 
 @query(f"SELECT row_number() OVER (ORDER BY event_id) AS id, event_id, k, '{{\"event_id\": ' || event_id || ', \"k\": ' || k || {_EXTRA} || ', \"seen\": true}}' AS record FROM (SELECT *, regexp_extract(props, '[0-9]+') AS k FROM events WHERE event_id % 7 <> 3)")
 def jsonl_records(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of different keys, some bad, cut into ranges of 4 kB: ordinals, and records that keep what no schema names."""
+    """Lines of different keys, some bad, cut into ranges of 64 kB: ordinals, and records that keep what no schema names."""
     extra = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(', "more": {"a": ['), F.col("event_id").cast("string"), F.lit(", null]}"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit(', "é x": "'), "event_type", F.lit('"'))).otherwise("")
     whole = F.concat(F.lit(' {"event_id": '), F.col("event_id").cast("string"), F.lit(', "k": '), "k", extra, F.lit("}"))
     path = _event_lines(spark, d, F.when(F.col("event_id") % 7 == 3, F.concat(whole, F.lit(" thanks"))).otherwise(F.concat(whole, F.lit("\r\n"))), "records")
-    rows = J_.read_records(spark, path, split_bytes=4096)
+    rows = J_.read_records(spark, path, split_bytes=1 << 16)
     record = N.with_fields(F.col("record"), F.lit('{"seen": true}'))
     return rows.select("id", J_.field(F.col("value"), "event_id", "bigint").alias("event_id"), J_.field(F.col("value"), "k", "string").alias("k"), record.alias("record"))
 
