@@ -300,7 +300,7 @@ def _windows(stream: np.ndarray, depth: int, rare: bool = False) -> Iterator[tup
         whole, last = _id(context, whole), _id(context, last)
 
 
-def fit(texts: DataFrame, text: Column, depth: int = 2, floor: float = 0.0, support: int = 5, prior: float = 2.0) -> tuple[Tree, DataFrame, int]:
+def fit(texts: DataFrame, text: Column, depth: int = 3, floor: float = 0.0, support: int = 5, prior: float = 2.0) -> tuple[Tree, DataFrame, int]:
     """The tree, the table of all word counts and its number of buckets.
 
     Null texts are empty: they hold one end token.  With no row at all the
