@@ -30,6 +30,7 @@ SCHEMA = "file string, offset bigint, part int, place bigint, record string"
 MODES = ("tolerant", "strict", "repair")
 _READ = 1 << 20
 _ROWS = 2_000
+_RANGES, _LONGEST = 1024, 32 << 20  # ranges get longer than asked, up to _LONGEST, where they would be many more than _RANGES
 _SINGLE = re.compile(r"'([^']+)':")
 
 
@@ -58,15 +59,15 @@ class Range(InputPartition):
     packed: bool
 
 
-def lines(stream, start: int, stop: int | None) -> Iterator[tuple[int, bytes]]:
+def lines(stream, start: int, stop: int | None, size: int = _READ) -> Iterator[tuple[int, bytes]]:
     """(offset, line) of the lines that begin before ``stop``, from a stream that stands at ``start``; ends by \\n, \\r\\n or \\r, as Python reads text.
 
-    Only the line at hand and one block are held.
+    Only the line at hand and one block of ``size`` bytes are held.
     """
     held, at = bytearray(), start
     scanned = 0
     while True:
-        block = stream.read(_READ)
+        block = stream.read(size)
         held += block
         while (end := held.find(b"\n", scanned)) >= 0:
             whole, scanned = bytes(held[:end]), 0
@@ -99,7 +100,10 @@ def _finite(value: object) -> object:
 
 
 class JsonLines(DataSource):
-    """Options: ``path``; ``mode``: tolerant (bad lines go), strict (a bad line ends the read, named by file and byte) or repair (single-quoted keys are quoted first, then strict); ``splitBytes`` of a range."""
+    """Options: ``path``; ``mode``: tolerant (bad lines go), strict (a bad line ends the read, named by file and byte) or repair (single-quoted keys are quoted first, then strict); ``splitBytes`` of a range.
+
+    A range is a task, so where there would be many more than 1,024 they are longer than asked, up to 32 MB.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -121,11 +125,13 @@ class JsonLinesReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         out: list[Range] = []
-        for f in _files(self.path):
+        files = _files(self.path)
+        split = max(self.split, min(_LONGEST, sum(f.size for f in files if not _packed(f.path)) // _RANGES))
+        for f in files:
             packed = _packed(f.path)
-            cuts = [0] if packed else range(0, max(f.size, 1), self.split)
+            cuts = [0] if packed else range(0, max(f.size, 1), split)
             for start in cuts:
-                out.append(Range(len(out), f.path, start, f.size if packed else min(start + self.split, f.size), packed))
+                out.append(Range(len(out), f.path, start, f.size if packed else min(start + split, f.size), packed))
         return out or [Range(0, "", 0, 0, False)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
@@ -146,22 +152,14 @@ class JsonLinesReader(DataSourceReader):
                 yield from self._good(r, lines(stream, 0, None))
             return
         with system.open_input_file(r.path) as stream:
-            start = 0
-            if r.start:  # the line that is cut by the edge belongs to the range before
+            size = min(_READ, r.stop - r.start + 1024)
+            if not r.start:
+                found = lines(stream, 0, r.stop, size)
+            else:  # the line that is cut by the edge belongs to the range before
                 stream.seek(r.start - 1)
-                start = r.start - 1
-                first = True
-                for offset, _ in lines(stream, start, None):
-                    if not first:
-                        start = offset
-                        break
-                    first = False
-                else:
-                    return
-                if start >= r.stop:
-                    return
-                stream.seek(start)
-            yield from self._good(r, lines(stream, start, r.stop))
+                found = lines(stream, r.start - 1, r.stop, size)
+                next(found, None)
+            yield from self._good(r, found)
 
     def _good(self, r: Range, found: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, str]]:
         for offset, line in found:

@@ -99,6 +99,19 @@ def test_all_cuts_of_a_file(tmp_path, ends, last):
         assert all(r["part"] == part == r["offset"] // split for part, r in rows)
 
 
+def test_many_short_ranges_become_fewer(tmp_path):
+    """A range is a task, so their number is bounded; no range reads far beyond itself."""
+    line = b"{'a': 12345}\n"
+    (tmp_path / "a.jsonl").write_bytes(line * 30_000)
+    (tmp_path / "b.jsonl").write_bytes(line * 10_000)
+    reader = J.JsonLinesReader({"path": str(tmp_path), "mode": "repair", "splitBytes": "16"})
+    ranges = reader.partitions()
+    assert len(ranges) < 1100
+    rows = [(p.part, r) for p in ranges for b in reader.read(p) for r in b.to_pylist()]
+    assert [r["offset"] for _, r in rows] == [len(line) * i for n in (30_000, 10_000) for i in range(n)]
+    assert all(r["part"] == part and r["record"] == '{"a": 12345}' for part, r in rows)
+
+
 def test_compressed_files_and_one_file(spark, tmp_path):
     (tmp_path / "x.jsonl.gz").write_bytes(gzip.compress(b'{"a": 1}\n{"a": 2}\n' * 3000))
     rows = J.read_records(spark, str(tmp_path / "x.jsonl.gz"), split_bytes=10)
