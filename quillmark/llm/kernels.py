@@ -223,11 +223,13 @@ class Prober:
 
     def __init__(self, sorted_keys: np.ndarray) -> None:
         self.keys = sorted_keys
-        bits = max(8, min(24, int(len(sorted_keys)).bit_length() + 1))
+        bits = max(8, min(23, int(len(sorted_keys)).bit_length() + 1))
         self.shift = U64(64 - bits)
-        heads = np.bincount((sorted_keys >> self.shift).astype(np.int64), minlength=1 << bits)
-        self.longest = int(heads.max(initial=0))
-        self.begin = np.concatenate([[0], np.cumsum(heads)]).astype(np.int32)
+        self.begin = np.zeros((1 << bits) + 1, np.int32)
+        for i in range(0, len(sorted_keys), 1 << 18):  # a table of 8 bytes beside this one would be twice as large
+            np.add.at(self.begin[1:], (sorted_keys[i : i + (1 << 18)] >> self.shift).astype(np.int64), 1)
+        self.longest = int(self.begin.max())
+        np.cumsum(self.begin, out=self.begin)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Position of each key, or -1."""

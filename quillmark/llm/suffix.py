@@ -44,7 +44,8 @@ from quillmark.llm.store import apart, bound_batches, discard, materialize
 RARE, END, START = 0, 1, 2  # symbols; words are numbered from 3 on
 _RARE_HASH, _END_HASH, _START_HASH = K.U64(0x5EED0FE4D0000003), K.U64(0x5EED0FE4D0000001), K.U64(0x5EED0FE4D0000005)
 _ENTRY, _CONTEXT = K.U64(0x3C6EF372FE94F82B), K.U64(0xA54FF53A5F1D36F1)  # tell the keys of one lookup table apart
-_WAITING, _FLUSH = 500_000, 1_500_000
+_WAITING, _FLUSH = 500_000, 1_000_000
+_AT_ONCE = 16  # buckets that leave a task in one batch
 _BUCKET_BYTES, _BUCKETS_A_TASK = 6 << 20, 4  # bytes of text that make a bucket; buckets of one task
 _SIEVE_BITS = 28
 _COMMON, _NEAR = 1_000_000, 1_000_000  # words, and entries or contexts of a level, that go to all tasks
@@ -173,19 +174,24 @@ class _Runs:
 
     def fold(self) -> None:
         parts = [self.sums, *self.waiting]
-        self.sums = _tally(np.concatenate([k for k, _ in parts], 1), np.concatenate([c for _, c in parts]))
-        self.waiting, self.size = [], 0
+        whole = [np.concatenate([k for k, _ in parts], 1), np.concatenate([c for _, c in parts])]
+        parts.clear()
+        self.waiting, self.size, self.sums = [], 0, None  # what is held twice is held by every worker
+        self.sums = _tally(*whole)
 
     def out(self) -> Iterator[pa.RecordBatch]:
         self.fold()
         keys, counts = self.sums
+        self.sums = np.zeros((self.width, 0), np.uint64), np.zeros(0, np.int64)
         order, begin = _split(K.mix(_whole(keys)), self.buckets, keys[0] if self.width > 1 else None)
         if counts.max(initial=0) >= 1 << 32:
             raise OverflowError("a run occurs 2 ** 32 times in one task: use more partitions")
         keys, counts = keys[:, order], counts[order].astype(np.uint32)
-        full = [b for b in range(self.buckets) if begin[b + 1] > begin[b]]
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([keys[:, begin[b] : begin[b + 1]].tobytes() for b in full], pa.binary()), pa.array([counts[begin[b] : begin[b + 1]].tobytes() for b in full], pa.binary())], ["bucket", "keys", "counts"])
-        self.sums = np.zeros((self.width, 0), np.uint64), np.zeros(0, np.int64)
+        del order
+        filled = [b for b in range(self.buckets) if begin[b + 1] > begin[b]]
+        for i in range(0, len(filled), _AT_ONCE):
+            full = filled[i : i + _AT_ONCE]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([keys[:, begin[b] : begin[b + 1]].tobytes() for b in full], pa.binary()), pa.array([counts[begin[b] : begin[b + 1]].tobytes() for b in full], pa.binary())], ["bucket", "keys", "counts"])
 
 
 def _whole(keys: np.ndarray) -> np.ndarray:
@@ -199,7 +205,9 @@ def _tally(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     order = np.argsort(whole)
     whole = whole[order]
     head = np.flatnonzero(np.concatenate([[True], whole[1:] != whole[:-1]]))
-    return keys[:, order[head]], np.add.reduceat(counts[order], head)
+    del whole
+    counts = np.add.reduceat(counts[order], head)
+    return keys[:, order[head]], counts
 
 
 def _merged(packed: DataFrame, width: int, buckets: int, least: float = 1) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -73,3 +74,16 @@ def test_tally():
     assert (k.tolist(), c.tolist()) == ([1, 3], [1, 2])
     k, c = K.tally(np.array([3, 1, 3], np.uint64), np.array([5, 1, 2]))
     assert (k.tolist(), c.tolist()) == ([1, 3], [1, 7])
+
+
+def test_a_prober_is_built_in_little_memory():
+    """Each task that scores texts builds one over millions of keys."""
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 64, 3_000_000, dtype=np.uint64))
+    tracemalloc.start()
+    try:
+        prober = K.Prober(keys)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 64 << 20
+    assert (prober.find(keys[::7]) == np.arange(0, len(keys), 7)).all() and (prober.find(keys[::7] + K.U64(1)) == K.lookup(keys, keys[::7] + K.U64(1))).all()
